@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # many sort/hash operators share one task in the page-keyed stages
+        .config("spark.buffer.pageSize", os.environ.get("PAGELIFT_PAGE_SIZE", "2m"))
         .config("spark.driver.memory", os.environ.get("PAGELIFT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -21,6 +21,7 @@ bounded by node count x depth (no range join, no pairs within a page).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ UNTITLED = "Untitled page"
 SEMANTIC_ROOTS = ("main", "article")
 
 
+def _text_len() -> Column:
+    """Length of ``get_text(" ", strip=True)`` from the element statistics."""
+    return F.col("sum_len") + F.greatest(F.col("n_text") - 1, F.lit(0))
+
+
+def _link_len() -> Column:
+    """Length of the space-joined link texts from the link rollup."""
+    return F.coalesce(F.col("a_len"), F.lit(0)) + F.greatest(F.col("n_a") - 1, F.lit(0))
+
+
 def _sorted_join(pairs: Column, sep: str) -> Column:
     """Join the ``s`` fields of ``collect_list(struct(pre, s))`` in ``pre`` order."""
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["s"]), sep)
@@ -113,6 +124,15 @@ class PageTree:
         self.all_nodes = nodes
         self.nodes = drop_chrome(nodes)
         self.base = pages.select("page_id", F.col("url").alias("base_url"))
+        self._memo: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build) -> DataFrame:
+        """Tables used by several candidates are built once and persisted: a
+        persisted plan is a leaf for later queries, so the optimizer does not
+        re-plan it per use (and executors do not recompute it)."""
+        if name not in self._memo:
+            self._memo[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._memo[name]
 
     # text nodes and their ancestors ------------------------------------
     def texts(self, nodes: DataFrame | None = None) -> DataFrame:
@@ -131,11 +151,16 @@ class PageTree:
 
     def element_stats(self) -> DataFrame:
         """Per element: visible text count, total length, total words."""
+        return self._once("stats", self._element_stats)
+
+    def _element_stats(self) -> DataFrame:
         return (self.text_ancestors()
                 .groupBy("page_id", "anc")
                 .agg(F.count("*").alias("n_text"),
                      F.sum(F.length("s")).alias("sum_len"),
-                     F.sum(word_count("s")).alias("sum_words")))
+                     F.sum(word_count("s")).alias("sum_words"),
+                     F.sum(F.length("s") - F.length(F.replace("s", F.lit(","), F.lit(""))))
+                     .alias("sum_commas")))
 
     def subtree_texts(self, targets: DataFrame) -> DataFrame:
         """``(page_id, pre, parts)`` -- the ordered stripped strings under
@@ -165,6 +190,9 @@ class PageTree:
     def roots(self) -> DataFrame:
         """Candidate roots ``(page_id, pre, last, tag, sel_order)``: selector
         matches, then the first body, else the whole document."""
+        return self._once("roots", self._roots)
+
+    def _roots(self) -> DataFrame:
         el = self.nodes.filter(F.col("kind") == "element")
         sel = (el.withColumn("sel_order", _selector_order())
                .filter(F.col("sel_order").isNotNull())
@@ -191,6 +219,9 @@ class PageTree:
     def block_lines(self) -> DataFrame:
         """All emitted block lines of every page:
         ``(page_id, bpre, line_no, value, is_table, anc_pre)``; empty values removed."""
+        return self._once("lines", self._block_lines)
+
+    def _block_lines(self) -> DataFrame:
         nodes = self.flagged()
         el = nodes.filter(F.col("kind") == "element")
         emitted = el.filter("emitted")
@@ -350,23 +381,29 @@ class PageTree:
                     lambda x: x["value"]), "\n").alias("markdown")))
 
     # Q8-Q10 ------------------------------------------------------------
-    def root_scores(self, roots: DataFrame, md: DataFrame) -> DataFrame:
-        stats = self.element_stats()
-        text_len = F.col("sum_len") + F.greatest(F.col("n_text") - 1, F.lit(0))
+    def link_rollup(self, targets: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+        """Per target element: total link-text length (``a_len``), link count
+        (``n_a``) and words under ``p`` elements (``p_words``) of its subtree."""
+        stats = self.element_stats() if stats is None else stats
         el = self.nodes.filter((F.col("kind") == "element") & F.col("tag").isin("a", "p"))
         per_el = (el.join(stats.withColumnRenamed("anc", "pre"), ["page_id", "pre"], "left")
                   .select("page_id", "tag", "anc_pre",
-                          F.coalesce(text_len, F.lit(0)).alias("len"),
+                          F.coalesce(_text_len(), F.lit(0)).alias("len"),
                           F.coalesce(F.col("sum_words"), F.lit(0)).alias("words")))
-        rollup = (per_el.select("page_id", "tag", "len", "words",
-                                F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
-                                .alias("pre"))
-                  .join(roots.select("page_id", "pre"), ["page_id", "pre"])
-                  .groupBy("page_id", "pre")
-                  .agg(F.sum(F.when(F.col("tag") == "a", F.col("len"))).alias("a_len"),
-                       F.count(F.when(F.col("tag") == "a", 1)).alias("n_a"),
-                       F.sum(F.when(F.col("tag") == "p", F.col("words"))).alias("p_words")))
-        link_len = F.coalesce(F.col("a_len"), F.lit(0)) + F.greatest(F.col("n_a") - 1, F.lit(0))
+        return (per_el.select("page_id", "tag", "len", "words",
+                              F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
+                              .alias("pre"))
+                .join(targets.select("page_id", "pre"), ["page_id", "pre"])
+                .groupBy("page_id", "pre")
+                .agg(F.sum(F.when(F.col("tag") == "a", F.col("len"))).alias("a_len"),
+                     F.count(F.when(F.col("tag") == "a", 1)).alias("n_a"),
+                     F.sum(F.when(F.col("tag") == "p", F.col("words"))).alias("p_words")))
+
+    def root_scores(self, roots: DataFrame, md: DataFrame) -> DataFrame:
+        stats = self.element_stats()
+        text_len = _text_len()
+        rollup = self.link_rollup(roots, stats)
+        link_len = _link_len()
         all_len = F.coalesce(text_len, F.lit(0))
         density = F.try_divide(link_len.cast("double"), F.greatest(all_len, F.lit(1)).cast("double"))
         n_words = word_count("markdown")

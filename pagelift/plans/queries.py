@@ -194,3 +194,197 @@ def d1_page_nodes(spark, sf):
                  F.count(F.when(F.col("kind") == "element", 1)).alias("n_elements"),
                  F.count(F.when(F.col("kind") == "text", 1)).alias("n_text"),
                  F.max("depth").alias("max_depth")))
+
+
+# --------------------------------------------------------------- C2-C7, M1-M2
+@query("c1_c7_extract_readable")
+def c_extract_readable(spark, sf):
+    from ..operators.candidates import extract_readable
+    configure(spark)
+    p = read_pages(spark, sf)
+    return extract_readable(p, persisted_nodes(p))
+
+
+@query("m1_m2_metadata")
+def m_metadata(spark, sf):
+    from ..operators.metadata import page_metadata
+    configure(spark)
+    p = read_pages(spark, sf)
+    return p.select("page_id").join(page_metadata(persisted_nodes(p)), "page_id", "left")
+
+
+# --------------------------------------------------------------- U3-U5
+def _v4_blocks_sql() -> str:
+    import ipaddress
+    from ..operators.guard import GLOBAL_EXCEPTIONS_V4, NON_GLOBAL_V4
+    rows = []
+    for nets, exc in ((NON_GLOBAL_V4, "false"), (GLOBAL_EXCEPTIONS_V4, "true")):
+        for net in nets:
+            n = ipaddress.ip_network(net)
+            rows.append(f"({int(n.network_address)}, {int(n.broadcast_address)}, {exc})")
+    return ", ".join(rows)
+
+
+@query("u1_u5_host_guard", f"""
+WITH blocks(lo, hi, exc) AS (VALUES {_v4_blocks_sql()}),
+p AS (
+  SELECT page_id,
+         lower(regexp_extract(url, '{_URL_PARTS}', 1)) AS scheme,
+         regexp_replace(lower(regexp_replace(regexp_replace(
+           regexp_extract(url, '{_URL_PARTS}', 3), '^.*@', ''), ':.*$', '')), '\\.+$', '') AS host,
+         (page_id * 2654435761) % 4294967296 AS n
+  FROM pages),
+dns AS (SELECT DISTINCT host, n FROM p WHERE host <> ''),
+flag AS (
+  SELECT d.host, d.n,
+         bool_or(b.lo IS NOT NULL AND NOT b.exc) AS in_block,
+         bool_or(coalesce(b.exc, false)) AS in_exc
+  FROM dns d LEFT JOIN blocks b ON d.n BETWEEN b.lo AND b.hi
+  GROUP BY d.host, d.n),
+hv AS (SELECT host, bool_or(in_block AND NOT in_exc) AS bad FROM flag GROUP BY host)
+SELECT p.page_id, p.host,
+  CASE WHEN p.scheme NOT IN ('http', 'https') OR p.host = ''
+         THEN 'Only public HTTP and HTTPS URLs are allowed.'
+       WHEN p.host = 'localhost' OR suffix(p.host, '.local')
+         THEN 'Local network addresses are not allowed.'
+       WHEN hv.bad THEN 'Private, loopback, and reserved addresses are not allowed.'
+  END AS unsafe_reason
+FROM p LEFT JOIN hv USING (host)
+""")
+def u_host_guard(spark, sf):
+    from ..operators.guard import guard_urls
+    from ..sources import derived
+    p = read_pages(spark, sf).select("page_id", "url")
+    out = guard_urls(spark, p, "url", derived.dns(p))
+    return out.select("page_id", ux.guard_host("url").alias("host"), "unsafe_reason")
+
+
+# --------------------------------------------------------------- R2-R7, A1, A2
+def _scrape(spark, sf):
+    from ..sources import derived
+    from .pipeline import scrape
+    p = read_pages(spark, sf)
+    return scrape(spark, p, derived.rendered_pages(p), derived.dns(p))
+
+
+@query("p_full_pipeline")
+def p_full_pipeline(spark, sf):
+    """A1: review items of every page that passes (guard, fetch, render, clean)."""
+    return _scrape(spark, sf).items
+
+
+@query("r7_rejected")
+def r7_rejected(spark, sf):
+    return _scrape(spark, sf).rejected
+
+
+@query("r2_needs_render")
+def r2_needs_render(spark, sf):
+    from ..operators.candidates import extract_readable
+    from ..operators.render import needs_render
+    configure(spark)
+    p = read_pages(spark, sf)
+    ex = extract_readable(p, persisted_nodes(p))
+    feats = p.select("page_id", *[c.alias(n) for n, c in shell_features("html").items()])
+    return ex.join(feats, "page_id").select(
+        "page_id", tx.word_count("text").cast("long").alias("visible_words"),
+        needs_render(F.col("text"), F.col("has_marker"), F.col("script_count"),
+                     F.col("html_chars")).alias("needs_render"))
+
+
+# --------------------------------------------------------------- L1-L5
+@query("l1_clip", """
+SELECT doc_id AS page_id, length(text) > 60000 AS clipped,
+       CAST(length(substring(text, 1, 60000)) AS BIGINT) AS sent_chars
+FROM documents
+""")
+def l1_clip(spark, sf):
+    from ..operators.cleanup import clip
+    d = table(spark, sf, "documents")
+    clipped, was = clip(F.col("text"))
+    return d.select(F.col("doc_id").alias("page_id"), was.alias("clipped"),
+                    F.length(clipped).cast("long").alias("sent_chars"))
+
+
+@query("l2_cleanup_requests")
+def l2_cleanup_requests(spark, sf):
+    from ..operators.cleanup import cleanup_requests
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"),
+                                             F.col("text").alias("raw_text"))
+    return cleanup_requests(d)
+
+
+@query("l3_l4_merge_replies", f"""
+WITH u AS (
+  SELECT conv_id, arg_min(text, turn) AS raw_text, min(turn) AS ut
+  FROM conversations WHERE role = 'user' GROUP BY conv_id),
+a AS (
+  SELECT c.conv_id, arg_min(c.text, c.turn) AS reply
+  FROM conversations c JOIN u ON c.conv_id = u.conv_id
+  WHERE c.role = 'assistant' AND c.turn > u.ut GROUP BY c.conv_id)
+SELECT u.conv_id AS page_id,
+  CASE WHEN a.reply IS NULL THEN u.raw_text
+       ELSE coalesce(nullif({_sql_strip('a.reply')}, ''), u.raw_text) END AS cleaned_text,
+  a.reply IS NOT NULL AS llm_used,
+  CASE WHEN a.reply IS NULL THEN 'LLM cleanup failed; showing extracted text instead: no reply'
+  END AS llm_warning
+FROM u LEFT JOIN a ON u.conv_id = a.conv_id
+""")
+def l3_l4_merge_replies(spark, sf):
+    from dataclasses import replace
+
+    from ..config import DEFAULT
+    from ..operators.cleanup import merge_cleanup
+    from ..sources import derived
+    ex = derived.conversation_exchanges(table(spark, sf, "conversations"))
+    cfg = replace(DEFAULT, llm_api_key="configured")
+    items = ex.select("page_id", "raw_text")
+    return merge_cleanup(items, ex.select("page_id", "body", "error"), cfg).select(
+        "page_id", "cleaned_text", "llm_used", "llm_warning")
+
+
+# --------------------------------------------------------------- A3-A7
+_APPROVAL_SQL = f"""
+WITH a AS (
+  SELECT 'https://docs.example.org/' || CAST(doc_id AS VARCHAR) AS url,
+         split_part(text, chr(10), 1) AS title, text AS content FROM documents)
+SELECT url,
+  CASE WHEN length(title) > 500 THEN 'title: longer than 500 characters'
+       WHEN content IS NULL OR length(content) < 1 THEN 'content: empty'
+       WHEN length(content) > 200000 THEN 'content: longer than 200000 characters'
+       WHEN {_sql_strip('content')} = '' THEN 'content: blank' END AS reject_reason,
+  coalesce(nullif({_sql_strip('title')}, ''), 'Untitled page') AS approved_title,
+  {_sql_strip('content')} AS approved_content
+FROM a
+"""
+
+
+@query("a3_a4_approve", _APPROVAL_SQL)
+def a3_a4_approve(spark, sf):
+    from ..operators.review import validate_approvals
+    d = table(spark, sf, "documents")
+    a = d.select(F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string"))
+                 .alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+                 F.col("text").alias("content"))
+    v = validate_approvals(a)
+    return v.select("url", "reject_reason",
+                    F.coalesce(F.nullif(tx.py_strip("title"), F.lit("")), F.lit("Untitled page"))
+                    .alias("approved_title"),
+                    tx.py_strip("content").alias("approved_content"))
+
+
+@query("a5_approval_gate")
+def a5_approval_gate(spark, sf):
+    """Items joined with approvals (the reviewer accepted the cleaned text)."""
+    from ..operators.review import approval_gate
+    items = _scrape(spark, sf).items
+    approvals = items.select("url", "title", F.col("cleaned_text").alias("content"))
+    approved, _pending = approval_gate(items, approvals)
+    return approved.select("page_id", "url", "approved_title", "approved_content")
+
+
+@query("a7_byline")
+def a7_byline(spark, sf):
+    from ..operators.review import byline
+    items = _scrape(spark, sf).items
+    return items.select("page_id", byline(F.col("author"), F.col("published_date")).alias("byline"))

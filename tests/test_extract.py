@@ -105,3 +105,36 @@ def test_empty_page(spark):
 def test_comment_in_paragraph_kept_as_text(spark):
     r = one(spark, "<main><p>one <!-- two --> three</p></main>")
     assert r.markdown == "one two three"
+
+
+def test_metadata_fields(spark):
+    from pagelift.operators.metadata import page_metadata
+    configure(spark)
+    html = """<html><head><title>Trip</title>
+      <meta property="og:description" content="Fallback text">
+      <meta name="Description" content="  A weekend on the  coast. ">
+      <meta property="article:author" content="Second Choice">
+      <meta name="author" content="R. Walker">
+      <meta property="article:published_time" content="2023-11-05T08:30:00Z">
+    </head><body><article><p>Body text.</p></article></body></html>"""
+    df = spark.createDataFrame([(1, "https://e.org/t", html),
+                                (2, "https://e.org/u", "<body><time datetime='2022-02-03'>x</time></body>"),
+                                (3, "https://e.org/v", "<p>none</p>")],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r for r in page_metadata(persisted_nodes(df)).collect()}
+    assert (got[1].author, got[1].published_date, got[1].description) == (
+        "R. Walker", "2023-11-05", "A weekend on the coast.")
+    assert (got[2].author, got[2].published_date, got[2].description) == (None, "2022-02-03", None)
+    assert (got[3].author, got[3].published_date, got[3].description) == (None, None, None)
+
+
+def test_candidates_prefer_longer_clean_text(spark):
+    from pagelift.operators.candidates import extract_readable
+    configure(spark)
+    para = " ".join(f"word{i}" for i in range(30)) + "."
+    html = f"""<body><div class="content"><h1>Head</h1><p>short intro.</p></div>
+      <div><p>{para}</p><p>{para} again</p></div></body>"""
+    df = spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string")
+    r = extract_readable(df, persisted_nodes(df)).collect()[0]
+    assert r.slot in ("basic", "recall", "precision", "density")
+    assert "again" in r.text and r.title == "Untitled page"

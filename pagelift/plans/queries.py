@@ -388,3 +388,109 @@ def a7_byline(spark, sf):
     from ..operators.review import byline
     items = _scrape(spark, sf).items
     return items.select("page_id", byline(F.col("author"), F.col("published_date")).alias("byline"))
+
+
+# --------------------------------------------------------------- K1-K3
+@query("k1_k3_markdown_blocks")
+def k_markdown_blocks(spark, sf):
+    """Blocks of the extracted Markdown of every page, with span counts."""
+    from ..operators.candidates import extract_readable
+    from ..operators.mdtables import inline_spans, markdown_blocks, markdown_lines
+    configure(spark)
+    p = read_pages(spark, sf)
+    ex = extract_readable(p, persisted_nodes(p)).select("page_id", F.col("text").alias("markdown"))
+    lines = markdown_lines(ex)
+    spans = (inline_spans(lines).groupBy("page_id", "ln")
+             .agg(F.count("*").alias("n_spans"),
+                  F.count(F.when(F.col("safe_target") == "#", 1)).alias("n_blocked_links")))
+    per_block = (lines.filter(F.col("block").isNotNull()).join(spans, ["page_id", "ln"], "left")
+                 .groupBy("page_id", "block")
+                 .agg(F.sum(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+                      F.sum(F.coalesce("n_blocked_links", F.lit(0))).alias("n_blocked_links")))
+    return markdown_blocks(lines).join(per_block, ["page_id", "block"], "left")
+
+
+_K_TRIM = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+
+
+@query("k1_line_classes", rf"""
+WITH l AS (
+  SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln
+  FROM documents),
+a AS (
+  SELECT *, regexp_matches(line, '^\s*```') AS is_fence,
+         starts_with({_K_TRIM}, '|') AS pipe,
+         coalesce(regexp_matches(lead(line) OVER (PARTITION BY page_id ORDER BY ln),
+                                 '^\s*\|?\s*:?-{{2,}}'), false) AS next_rule
+  FROM l),
+b AS (
+  SELECT *, coalesce(sum(is_fence::INT) OVER (PARTITION BY page_id ORDER BY ln
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fences_before
+  FROM a),
+c AS (
+  SELECT *, fences_before % 2 = 1 AS in_code,
+         (fences_before % 2 = 0) AND NOT is_fence AND pipe AND next_rule AS table_head
+  FROM b),
+d AS (
+  SELECT *, coalesce(lag(table_head) OVER (PARTITION BY page_id ORDER BY ln), false) AS after_head
+  FROM c),
+e AS (
+  SELECT *, sum((NOT pipe AND NOT after_head)::INT) OVER (PARTITION BY page_id ORDER BY ln
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pipe_run
+  FROM d),
+f AS (
+  SELECT *, max(table_head::INT) OVER (PARTITION BY page_id, pipe_run ORDER BY ln
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS in_table
+  FROM e)
+SELECT page_id, CAST(ln AS INTEGER) AS ln,
+  CASE WHEN is_fence THEN CASE WHEN in_code THEN 'fence_close' ELSE 'fence_open' END
+       WHEN in_code THEN 'code'
+       WHEN {_K_TRIM} = '' THEN 'blank'
+       WHEN regexp_matches(line, '^(#{{1,6}})\s+(.*)$') THEN 'heading'
+       WHEN table_head THEN 'table_head'
+       WHEN after_head THEN 'table_rule'
+       WHEN in_table AND pipe THEN 'table_row'
+       WHEN starts_with(line, '>') THEN 'quote'
+       WHEN regexp_matches(line, '^(\s*)([-*]|\d+\.)\s+(.*)$') THEN 'list'
+       ELSE 'paragraph' END AS cls
+FROM f
+""")
+def k1_line_classes(spark, sf):
+    from ..operators.mdtables import markdown_lines
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"),
+                                             F.col("text").alias("markdown"))
+    return markdown_lines(d).select("page_id", "ln", "cls")
+
+
+# --------------------------------------------------------------- T1, T2
+def _event_time():
+    # derived event time: pages arrive one minute apart in page_id order
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+
+
+@query("t1_stream_extract")
+def t1_stream_extract(spark, sf):
+    """The extraction as a file stream over the page table (availableNow)."""
+    from ..streaming.incremental import scratch, stream_extract
+    out, ckpt = scratch(spark, "t1-out"), scratch(spark, "t1-ckpt")
+    q = stream_extract(spark, sf, out, ckpt, glob="pages.parquet", event_time=_event_time())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("page_id", "url", "title", "text", "slot", "extracted_at")
+
+
+@query("t2_approval_join")
+def t2_approval_join(spark, sf):
+    """Items joined with approvals arriving 30 minutes after extraction; items
+    whose cleaned text is blank get no approval and stay pending."""
+    from ..streaming.incremental import approval_stream_join, scratch
+    items = t1_stream_extract(spark, sf)
+    items_dir, appr_dir = scratch(spark, "t2-items"), scratch(spark, "t2-approvals")
+    items.write.parquet(items_dir)
+    (items.filter(tx.py_strip("text") != "")
+     .select("url", "title", F.col("text").alias("content"),
+             (F.col("extracted_at") + F.expr("INTERVAL 30 MINUTES")).alias("approved_at"))
+     .write.parquet(appr_dir))
+    out, ckpt = scratch(spark, "t2-out"), scratch(spark, "t2-ckpt")
+    approval_stream_join(spark, items_dir, appr_dir, out, ckpt).awaitTermination()
+    return spark.read.parquet(out)

@@ -21,7 +21,7 @@ HEADLINE = [
     "c1_c7_extract_readable",
     "p_full_pipeline",
     "q1_q7_doc_quality",
-    "u1_u4_host_guard",
+    "u1_u5_host_guard",
     "m1_m2_metadata",
     "k1_k3_markdown_blocks",
 ]

@@ -213,8 +213,9 @@ class PageTree:
 
     # D7-D19 ------------------------------------------------------------
     def flagged(self) -> DataFrame:
-        return self.nodes.withColumn(
-            "emitted", F.coalesce(_emitted(F.col("tag"), F.col("anc_tags")), F.lit(False)))
+        """Visible nodes with the D7 ``emitted`` flag (block filter)."""
+        return self._once("flagged", lambda: self.nodes.withColumn(
+            "emitted", F.coalesce(_emitted(F.col("tag"), F.col("anc_tags")), F.lit(False))))
 
     def block_lines(self) -> DataFrame:
         """All emitted block lines of every page:
@@ -233,7 +234,7 @@ class PageTree:
         quoted = emitted.filter(F.col("tag").isin("pre", "blockquote"))
         targets = (child_el.select("page_id", "pre").unionByName(cells.select("page_id", "pre"))
                    .unionByName(quoted.select("page_id", "pre")))
-        parts = self.subtree_texts(targets)
+        parts = self._once("parts", lambda: self.subtree_texts(targets))
 
         # Inline rendering of h1-h6 / li / p from their children
         gt = F.col("_gt")

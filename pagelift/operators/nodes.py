@@ -23,14 +23,20 @@ and strings inside script/style/template/rt/rp, which text extraction skips).
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The parser runs in executor Python workers: ship this module's code by value
+# so the workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the tree builder.
 VOID_TAGS = frozenset({
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",
@@ -41,6 +47,7 @@ VOID_TAGS = frozenset({
 PRESERVE_WS_TAGS = frozenset({"pre", "textarea"})
 HIDDEN_STRING_TAGS = frozenset({"script", "style", "template", "rt", "rp"})
 ASCII_SPACES = "\x20\x0a\x09\x0c\x0d"
+_NO_ASCII_SPACES = {ord(c): None for c in ASCII_SPACES}
 
 # Chrome removed before extraction.
 DROP_TAGS = (
@@ -122,7 +129,7 @@ class _TreeBuilder(HTMLParser):
             return
         data = "".join(self.buf)
         self.buf = []
-        if data.translate({ord(c): None for c in ASCII_SPACES}) == "" and not any(
+        if data.translate(_NO_ASCII_SPACES) == "" and not any(
             f[1] in PRESERVE_WS_TAGS for f in self.stack
         ):
             data = "\n" if "\n" in data else " "

@@ -1,9 +1,15 @@
 """Extraction plan: pages -> nodes (one shuffle, persisted) -> Markdown.
 
-``configure`` sets the one planner option this workload relies on: joins whose
-keys start with ``page_id`` may reuse the ``page_id`` hash partitioning of the
-node table instead of re-shuffling on all join keys.  Page ids are unique and
-pages are size-capped (S2), so this partitioning cannot skew.
+``configure`` sets the planner options this workload relies on:
+
+* joins whose keys start with ``page_id`` may reuse the ``page_id`` hash
+  partitioning of the node table instead of re-shuffling on all join keys
+  (page ids are unique and pages are size-capped by S2, so it cannot skew);
+* no size-estimate broadcasts: node-level joins are co-partitioned, so a
+  sort-merge join needs no exchange, while each broadcast is an extra job.
+  Broadcasts of tables with a known bound are requested explicitly
+  (``F.broadcast`` behind :func:`pagelift.plans.joins.join_dimension`, the
+  constant address-range table).
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from ..operators.nodes import page_nodes
 
 def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
 def persisted_nodes(pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:

@@ -399,7 +399,7 @@ def k_markdown_blocks(spark, sf):
     configure(spark)
     p = read_pages(spark, sf)
     ex = extract_readable(p, persisted_nodes(p)).select("page_id", F.col("text").alias("markdown"))
-    lines = markdown_lines(ex)
+    lines = markdown_lines(ex).persist()
     spans = (inline_spans(lines).groupBy("page_id", "ln")
              .agg(F.count("*").alias("n_spans"),
                   F.count(F.when(F.col("safe_target") == "#", 1)).alias("n_blocked_links")))

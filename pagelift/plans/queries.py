@@ -494,3 +494,41 @@ def t2_approval_join(spark, sf):
     out, ckpt = scratch(spark, "t2-out"), scratch(spark, "t2-ckpt")
     approval_stream_join(spark, items_dir, appr_dir, out, ckpt).awaitTermination()
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------------- U6, S5, S6
+@query("u6_resolve_links", rf"""
+WITH a AS (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href
+  FROM pages)
+SELECT page_id, href,
+  CASE WHEN href LIKE '/%' AND href NOT LIKE '//%'
+       THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) || href END AS resolved,
+  CAST(count(*) AS BIGINT) AS n
+FROM a GROUP BY ALL
+""")
+def u6_resolve_links(spark, sf):
+    """Every link target of every page resolved against the page URL."""
+    configure(spark)
+    p = read_pages(spark, sf)
+    nodes = persisted_nodes(p)
+    links = (nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
+             .select("page_id", F.col("attrs")["href"].alias("href"))
+             .join(p.select("page_id", "url"), "page_id"))
+    out = ux.with_resolved_url(links, "href", "url", "resolved")
+    return out.groupBy("page_id", "href", "resolved").agg(F.count("*").alias("n"))
+
+
+@query("s5_s6_sinks")
+def s5_s6_sinks(spark, sf):
+    """Review items and approved items written to parquet and read back."""
+    from ..operators.review import approve
+    from ..sources.sinks import write_approved, write_review_items
+    from ..streaming.incremental import scratch
+    items = _scrape(spark, sf).items
+    items_dir, approved_dir = scratch(spark, "s5-items"), scratch(spark, "s6-approved")
+    write_review_items(items, items_dir)
+    stored = spark.read.parquet(items_dir)
+    write_approved(approve(stored.select("url", "title", F.col("cleaned_text").alias("content"))),
+                   approved_dir)
+    return spark.read.parquet(approved_dir)

@@ -59,3 +59,17 @@ def decode_body(body, charset=None):
         if name != "utf-8":
             out = F.when(cs == name, F.decode(body, name.upper())).otherwise(out)
     return out
+
+
+RENDERED_SCHEMA = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("html", T.StringType()),
+    T.StructField("render_error", T.StringType()),
+])
+
+
+def rendered_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The renderer's output table ``(page_id, url, html, render_error)``."""
+    reader = spark.read.schema(RENDERED_SCHEMA)
+    return reader.json(path) if fmt == "json" else reader.parquet(path)

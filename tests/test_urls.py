@@ -60,3 +60,13 @@ def test_safe_link(spark):
     df = spark.createDataFrame([(k,) for k in cases], "u string")
     for r in df.select("u", ux.safe_link("u").alias("s")).collect():
         assert r.s == cases[r.u]
+
+
+def test_decode_bytes_and_binary_pages(spark, tmp_path):
+    from pagelift.sources.tables import decode_body, pages_from_files
+    (tmp_path / "a.html").write_bytes(b"<p>caf\xc3\xa9 \xff ok</p>")
+    df = pages_from_files(spark, str(tmp_path))
+    r = df.collect()[0]
+    assert r.html == "<p>café � ok</p>" and r.n_bytes == 17
+    b = spark.createDataFrame([(bytearray(b"caf\xe9"), "iso-8859-1")], "b binary, cs string")
+    assert b.select(decode_body(F.col("b"), F.col("cs")).alias("s")).collect()[0].s == "café"

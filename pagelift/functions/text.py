@@ -117,6 +117,41 @@ def quality(col) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(score)
 
 
+def with_quality(df, text: str, out: str = "quality", features: bool = False):
+    """Q1-Q7 as a projection chain: the words and lines of ``text`` are split
+    once into intermediate columns (expensive, so Catalyst keeps them
+    un-inlined) and every feature reads them.  Adds ``out`` (and, with
+    ``features``, the Q1-Q6 columns)."""
+    t = F.col(text)
+    df = df.withColumn("_q_words", words(t)).withColumn("_q_lines", lines(t))
+    w, ls = F.col("_q_words"), F.col("_q_lines")
+    long_lines = F.filter(F.transform(ls, py_strip), lambda ln: F.length(ln) > REPEAT_MIN_CHARS)
+    df = df.select(
+        "*",
+        F.size(w).alias("_q_n"),
+        F.size(F.array_distinct(F.transform(w, casefold))).alias("_q_distinct"),
+        F.size(F.filter(ls, lambda ln: ln.rlike(STRUCTURE_PREFIX))).alias("_q_struct"),
+        sentence_marks(t).alias("_q_marks"),
+        boilerplate_hits(t).alias("_q_boiler"),
+        long_lines.alias("_q_long"))
+    n = F.col("_q_n")
+    penalty = (F.size("_q_long") - F.size(F.array_distinct("_q_long"))) * REPEAT_PENALTY
+    ints = (F.least(n, F.lit(2000)) + F.least(F.col("_q_struct"), F.lit(30)) * 8
+            + F.least(F.col("_q_marks"), F.lit(100)) * 2)
+    ratio = F.try_divide(F.col("_q_distinct").cast("double"), n.cast("double"))
+    score = (ints.cast("double") + ratio * 100.0 - (F.col("_q_boiler") * 80).cast("double")
+             - penalty.cast("double"))
+    df = df.withColumn(out, F.when(n == 0, F.lit(0.0)).otherwise(score))
+    if features:
+        df = df.select("*", n.cast("long").alias("n_words"),
+                       F.col("_q_struct").cast("long").alias("structure_lines"),
+                       F.col("_q_marks").cast("long").alias("sentence_marks"),
+                       F.col("_q_boiler").cast("long").alias("boilerplate_hits"),
+                       penalty.cast("long").alias("repeat_penalty"))
+    return df.drop("_q_words", "_q_lines", "_q_n", "_q_distinct", "_q_struct", "_q_marks",
+                   "_q_boiler", "_q_long")
+
+
 def quality_features(col) -> dict[str, Column]:
     """Q1-Q7 as named columns."""
     return {

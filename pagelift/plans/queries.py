@@ -127,14 +127,9 @@ FROM f
 """)
 def q1_q7_doc_quality(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.select(
-        "doc_id",
-        tx.word_count("text").cast("long").alias("n_words"),
-        tx.structure_lines("text").cast("long").alias("structure_lines"),
-        tx.sentence_marks("text").cast("long").alias("sentence_marks"),
-        tx.boilerplate_hits("text").cast("long").alias("boilerplate_hits"),
-        tx.repeated_line_penalty("text").cast("long").alias("repeat_penalty"),
-        F.round(tx.quality("text"), 6).alias("quality"))
+    q = tx.with_quality(d, "text", "q", features=True)
+    return q.select("doc_id", "n_words", "structure_lines", "sentence_marks", "boilerplate_hits",
+                    "repeat_penalty", F.round("q", 6).alias("quality"))
 
 
 @query("a6_word_count", f"""

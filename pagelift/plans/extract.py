@@ -15,31 +15,42 @@
   exchanges instead of 3 for the basic extraction at sf0.01).  What it would
   add is covered by design here: page ids cannot skew, hot hosts are salted
   explicitly, bounded tables are broadcast explicitly, and the node table's
-  partition count is chosen up front (``JobConfig.node_partitions``).
+  partition count is chosen up front (``JobConfig.node_partitions``);
+* at most ``ARROW_PAGES_PER_BATCH`` pages per Arrow batch into the parser.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JobConfig
 from ..operators.markdown import PageTree, extract_basic
 from ..operators.nodes import page_nodes
 
 
+ARROW_PAGES_PER_BATCH = 128
+
+
 def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    # pages per Arrow batch into the parser: bounded memory per Python worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_PAGES_PER_BATCH))
 
 
 def persisted_nodes(pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:
     """D1 once per run: parse, hash-partition by page_id, keep in memory/disk.
 
+    Only pages within the download cap (S2) are parsed, so every per-page group
+    downstream is bounded; larger pages yield no nodes (and so empty Markdown).
     A lost executor only loses cached blocks; Spark recomputes them from the
     (short) lineage scan -> parse -> shuffle."""
-    return page_nodes(pages, cfg.node_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    admitted = pages.filter(F.coalesce(F.octet_length("html") <= cfg.max_download_bytes,
+                                       F.lit(True)))
+    return page_nodes(admitted, cfg.node_partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def basic_extraction(spark: SparkSession, pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:

@@ -51,7 +51,7 @@ def squeeze_ws(col) -> Column:
 
 def words(col) -> Column:
     """Q1: ``s.split()`` -- whitespace-separated words, no empties."""
-    return F.filter(F.split(_c(col), f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(_c(col), f"{WS}+"), "")
 
 
 def word_count(col) -> Column:
@@ -72,7 +72,9 @@ def casefold(col) -> Column:
 def unique_ratio(col) -> Column:
     """Q2: distinct case-folded words / words."""
     w = words(col)
-    return F.try_divide(F.size(F.array_distinct(F.transform(w, casefold))).cast("double"),
+    # folding never creates or removes whitespace, so folding the text then
+    # splitting gives the folded words
+    return F.try_divide(F.size(F.array_distinct(words(casefold(col)))).cast("double"),
                         F.size(w).cast("double"))
 
 
@@ -129,7 +131,7 @@ def with_quality(df, text: str, out: str = "quality", features: bool = False):
     df = df.select(
         "*",
         F.size(w).alias("_q_n"),
-        F.size(F.array_distinct(F.transform(w, casefold))).alias("_q_distinct"),
+        F.size(F.array_distinct(words(casefold(t)))).alias("_q_distinct"),
         F.size(F.filter(ls, lambda ln: ln.rlike(STRUCTURE_PREFIX))).alias("_q_struct"),
         sentence_marks(t).alias("_q_marks"),
         boilerplate_hits(t).alias("_q_boiler"),

@@ -37,9 +37,9 @@ DENSITY_MIN_CHARS = 25
 
 def _join_lines(lines: DataFrame, key: str = "page_id") -> DataFrame:
     return (lines.groupBy(key)
-            .agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("bpre", "line_no", "value"))),
-                lambda x: x["value"]), "\n").alias("markdown")))
+            .agg(F.array_join(
+                F.sort_array(F.collect_list(F.struct("bpre", "line_no", "value")))["value"],
+                "\n").alias("markdown")))
 
 
 def recall_candidate(lines: DataFrame) -> DataFrame:

@@ -60,13 +60,18 @@ def _link_len() -> Column:
 
 
 def _sorted_join(pairs: Column, sep: str) -> Column:
-    """Join the ``s`` fields of ``collect_list(struct(pre, s))`` in ``pre`` order."""
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["s"]), sep)
+    """Join the ``s`` fields of ``collect_list(struct(pre, s))`` in ``pre`` order
+    (``sort_array`` + field extraction: no lambda, stays in generated code)."""
+    return F.array_join(F.sort_array(pairs)["s"], sep)
 
 
 # ---------------------------------------------------------------- predicates
 def _nearest_block(anc_tags: Column) -> Column:
-    return F.try_element_at(F.filter(anc_tags, lambda t: t.isin(*BLOCK_TAGS)), F.lit(-1))
+    """Tag of the nearest block ancestor: ``array_intersect`` keeps the order of
+    its first argument, so intersecting the reversed ancestor list with the
+    block tags puts the nearest one first."""
+    blocks = F.array(*[F.lit(t) for t in BLOCK_TAGS])
+    return F.try_element_at(F.array_intersect(F.reverse(anc_tags), blocks), F.lit(1))
 
 
 def _emitted(tag: Column, anc_tags: Column) -> Column:
@@ -142,10 +147,15 @@ class PageTree:
                 .filter(F.col("s") != ""))
 
     def text_ancestors(self) -> DataFrame:
-        """(page_id, anc, tpre, s): one row per visible text x ancestor,
-        the document root included as ``anc = -1``."""
+        """(page_id, anc, tpre, s, n_chars, n_words, n_commas): one row per
+        visible text x ancestor, the document root included as ``anc = -1``.
+        Per-string measures are computed once, before the explode."""
         return (self.texts()
-                .select("page_id", F.col("pre").alias("tpre"), "s",
+                .select("page_id", F.col("pre").alias("tpre"), "s", "anc_pre",
+                        F.length("s").alias("n_chars"), word_count("s").alias("n_words"),
+                        (F.length("s") - F.length(F.replace("s", F.lit(","), F.lit(""))))
+                        .alias("n_commas"))
+                .select("page_id", "tpre", "s", "n_chars", "n_words", "n_commas",
                         F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
                         .alias("anc")))
 
@@ -157,10 +167,9 @@ class PageTree:
         return (self.text_ancestors()
                 .groupBy("page_id", "anc")
                 .agg(F.count("*").alias("n_text"),
-                     F.sum(F.length("s")).alias("sum_len"),
-                     F.sum(word_count("s")).alias("sum_words"),
-                     F.sum(F.length("s") - F.length(F.replace("s", F.lit(","), F.lit(""))))
-                     .alias("sum_commas")))
+                     F.sum("n_chars").alias("sum_len"),
+                     F.sum("n_words").alias("sum_words"),
+                     F.sum("n_commas").alias("sum_commas")))
 
     def subtree_texts(self, targets: DataFrame) -> DataFrame:
         """``(page_id, pre, parts)`` -- the ordered stripped strings under
@@ -346,8 +355,7 @@ class PageTree:
                          F.explode("anc_pre").alias("tr"))
                  .join(trs.select("page_id", "tr").distinct(), ["page_id", "tr"])
                  .groupBy("page_id", "tr")
-                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "s"))),
-                                  lambda x: x["s"]).alias("cells")))
+                 .agg(F.sort_array(F.collect_list(F.struct("pre", "s")))["s"].alias("cells")))
         w = Window.partitionBy("page_id", "tbl")
         rows = (trs.join(cells, ["page_id", "tr"])
                 .withColumn("row_no", F.row_number().over(w.orderBy("tr")) - 1)
@@ -377,9 +385,9 @@ class PageTree:
         kept = (under.withColumn("prev", F.lag("value").over(w))
                 .filter(F.col("is_table") | F.col("prev").isNull() | (F.col("value") != F.col("prev"))))
         return (kept.groupBy("page_id", "pre")
-                .agg(F.array_join(F.transform(
-                    F.array_sort(F.collect_list(F.struct("bpre", "line_no", "value"))),
-                    lambda x: x["value"]), "\n").alias("markdown")))
+                .agg(F.array_join(
+                    F.sort_array(F.collect_list(F.struct("bpre", "line_no", "value")))["value"],
+                    "\n").alias("markdown")))
 
     # Q8-Q10 ------------------------------------------------------------
     def link_rollup(self, targets: DataFrame, stats: DataFrame | None = None) -> DataFrame:

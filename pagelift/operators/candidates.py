@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, quality, word_count
-from .markdown import DOCUMENT_PRE, UNTITLED, PageTree
+from .markdown import UNTITLED, PageTree
 
 # Candidate weights (slot order = tie order) and the word floor.
 SLOTS = (("basic", 1.0), ("recall", 1.2), ("precision", 1.15), ("density", 1.05))
@@ -145,11 +145,11 @@ def extract_readable(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "sel_order", "pre")
     basic = (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
              .select("page_id", "markdown"))
-    page_lines = lines  # every emitted line of the page (document-wide)
+    # the stand-ins work on every emitted line of the page (document-wide)
     best = weighted_top1(basic, {
-        "recall": recall_candidate(page_lines),
-        "precision": precision_candidate(tree, page_lines),
-        "density": density_candidate(tree, page_lines),
+        "recall": recall_candidate(lines),
+        "precision": precision_candidate(tree, lines),
+        "density": density_candidate(tree, lines),
     })
     return (pages.select("page_id", "url")
             .join(tree.titles(), "page_id", "left")
@@ -160,4 +160,4 @@ def extract_readable(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 __all__ = ["extract_readable", "weighted_top1", "recall_candidate", "precision_candidate",
-           "density_candidate", "DOCUMENT_PRE"]
+           "density_candidate"]

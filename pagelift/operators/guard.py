@@ -148,13 +148,3 @@ def guard_urls(spark: SparkSession, df: DataFrame, url_col: str, dns: DataFrame,
     joined = join_dimension(base, verdicts, "_host", salt_cols=salt_cols)
     return (joined.withColumn(out, F.coalesce(F.col("_pre_reason"), F.col("_verdict")))
             .drop("_host", "_pre_reason", "_verdict"))
-
-
-def derived_dns(pages: DataFrame) -> DataFrame:
-    """DNS stand-in derived from the page table (the lookup itself is outside):
-    every page contributes one IPv4 address to its host, spread over the whole
-    address space by a multiplicative hash of ``page_id``."""
-    h = (F.col("page_id") * F.lit(2654435761)) % F.lit(4294967296)
-    quad = F.concat_ws(".", *[((h / F.lit(256 ** k)).cast("long") % 256).cast("string")
-                              for k in (3, 2, 1, 0)])
-    return pages.select(guard_host("url").alias("host"), quad.alias("address")).distinct()

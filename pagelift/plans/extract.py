@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JobConfig
-from ..operators.markdown import PageTree, extract_basic
+from ..operators.markdown import extract_basic
 from ..operators.nodes import page_nodes
 
 
@@ -58,4 +58,4 @@ def basic_extraction(spark: SparkSession, pages: DataFrame, cfg: JobConfig = DEF
     return extract_basic(pages, persisted_nodes(pages, cfg))
 
 
-__all__ = ["configure", "persisted_nodes", "basic_extraction", "PageTree"]
+__all__ = ["configure", "persisted_nodes", "basic_extraction"]

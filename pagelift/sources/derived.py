@@ -13,7 +13,7 @@ from the given tables, deterministically and for every row:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import guard_host
@@ -50,4 +50,4 @@ def conversation_exchanges(conversations: DataFrame) -> DataFrame:
                     F.when(F.col("a").isNull(), F.lit("no reply")).alias("error")))
 
 
-__all__ = ["rendered_pages", "dns", "conversation_exchanges", "Window"]
+__all__ = ["rendered_pages", "dns", "conversation_exchanges"]

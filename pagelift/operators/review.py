@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..functions.urls import url_scheme, url_host
+from ..functions.urls import url_host, url_scheme
+from ..plans.joins import join_dimension
 
 # Request limits and defaults.
 MAX_INSTRUCTIONS = 2_000
@@ -54,15 +55,18 @@ def approve(approvals: DataFrame) -> DataFrame:
                         py_strip("content").alias("content"))
 
 
-def approval_gate(items: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def approval_gate(items: DataFrame, approvals: DataFrame,
+                  salt_cols: tuple[str, ...] = ("page_id",)) -> tuple[DataFrame, DataFrame]:
     """A5: (approved, pending).  Only items with a valid approval leave; the
     approved text is the human's.  One approval per URL is kept (the first
-    valid one in content order) so the join cannot multiply items."""
+    valid one in content order, a partial aggregate) so the join cannot
+    multiply items; the item side is salted when the approvals are too large
+    to broadcast, so a URL shared by many items does not land in one task."""
     ok = approve(approvals)
     one = ok.groupBy("url").agg(F.min(F.struct("content", "title")).alias("a")).select(
         "url", F.col("a.title").alias("approved_title"), F.col("a.content").alias("approved_content"))
-    approved = items.join(one, "url", "inner")
-    pending = items.join(one, "url", "left_anti")
+    approved = join_dimension(items, one, "url", how="inner", salt_cols=salt_cols)
+    pending = join_dimension(items, one.select("url"), "url", how="left_anti", salt_cols=salt_cols)
     return approved, pending
 
 

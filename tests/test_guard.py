@@ -46,3 +46,11 @@ def test_salted_join_equals_plain_join(spark):
                                   salt_cols=("page_id",))
     plain = fact.join(dim, "k", "left")
     assert sorted(salted.collect()) == sorted(plain.collect())
+
+
+def test_salted_anti_join_equals_plain(spark):
+    fact = spark.range(0, 500).select(F.col("id").alias("page_id"), (F.col("id") % 4).alias("k"))
+    dim = spark.createDataFrame([(0,), (2,)], "k long")
+    salted = joins.join_dimension(fact, dim, "k", how="left_anti", max_broadcast_bytes=-1,
+                                  salt_buckets=5, salt_cols=("page_id",))
+    assert sorted(salted.collect()) == sorted(fact.join(dim, "k", "left_anti").collect())

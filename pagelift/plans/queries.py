@@ -200,7 +200,23 @@ def c_extract_readable(spark, sf):
     return extract_readable(p, persisted_nodes(p))
 
 
-@query("m1_m2_metadata")
+def _meta_sql(attr: str, value: str) -> str:
+    return (f"nullif(regexp_replace(regexp_replace(regexp_extract(html, "
+            f"'<meta {attr}=\"{value}\" content=\"([^\"]*)\"', 1), '{WS}+', ' ', 'g'), "
+            f"'^ | $', '', 'g'), '')")
+
+
+@query("m1_m2_metadata", f"""
+SELECT page_id,
+  coalesce({_meta_sql('name', 'author')}, {_meta_sql('property', 'article:author')}) AS author,
+  strftime(TRY_CAST(left(coalesce(
+      nullif(regexp_extract(html, '<meta property="article:published_time" content="([^"]*)"', 1), ''),
+      nullif(trim(regexp_extract(html, '<time datetime="([^"]*)"', 1)), '')), 10) AS DATE),
+    '%Y-%m-%d') AS published_date,
+  coalesce({_meta_sql('name', 'description')}, {_meta_sql('property', 'og:description')})
+    AS description
+FROM pages
+""")
 def m_metadata(spark, sf):
     from ..operators.metadata import page_metadata
     configure(spark)

@@ -92,12 +92,14 @@ def density_candidate(tree: PageTree, lines: DataFrame) -> DataFrame:
                       (F.lit(1.0) + F.col("sum_commas")
                        + F.least(text_len / 100.0, F.lit(3.0))).alias("pts")))
     n = F.size("anc_pre")
+    # parent and grandparent (indexes never 0: element_at rejects it)
+    parent = F.when(n >= 1, F.try_element_at("anc_pre", F.greatest(n, F.lit(1))))
+    grand = F.when(n >= 2, F.try_element_at("anc_pre", F.greatest(n - 1, F.lit(1))))
     gains = scored.select(
         "page_id",
         F.explode(F.array(
-            F.struct(F.try_element_at("anc_pre", n).alias("pre"), F.col("pts").alias("pts")),
-            F.struct(F.try_element_at("anc_pre", n - 1).alias("pre"),
-                     (F.col("pts") / 2.0).alias("pts")))).alias("g"))
+            F.struct(parent.alias("pre"), F.col("pts").alias("pts")),
+            F.struct(grand.alias("pre"), (F.col("pts") / 2.0).alias("pts")))).alias("g"))
     gains = (gains.select("page_id", "g.pre", "g.pts").filter(F.col("pre").isNotNull())
              .groupBy("page_id", "pre").agg(F.sum("pts").alias("pts")))
     links = tree.link_rollup(gains)

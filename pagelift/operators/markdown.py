@@ -318,8 +318,10 @@ class PageTree:
         li = li.select(
             "page_id", "pre", "sig",
             F.size(F.filter("anc_tags", lambda t: t == "li")).alias("li_depth"),
-            F.when(idx > 0, F.try_element_at("anc_tags", idx)).alias("list_tag"),
-            F.when(idx > 0, F.try_element_at("anc_pre", idx)).alias("list_pre"))
+            F.when(idx > 0, F.try_element_at("anc_tags", F.greatest(idx, F.lit(1))))
+            .alias("list_tag"),
+            F.when(idx > 0, F.try_element_at("anc_pre", F.greatest(idx, F.lit(1))))
+            .alias("list_pre"))
         siblings = (self.nodes.filter((F.col("tag") == "li") & (F.col("kind") == "element"))
                     .select("page_id", F.col("parent").alias("list_pre"), "sig",
                             F.row_number().over(Window.partitionBy("page_id", "parent")

@@ -47,7 +47,6 @@ VOID_TAGS = frozenset({
 PRESERVE_WS_TAGS = frozenset({"pre", "textarea"})
 HIDDEN_STRING_TAGS = frozenset({"script", "style", "template", "rt", "rp"})
 ASCII_SPACES = "\x20\x0a\x09\x0c\x0d"
-_NO_ASCII_SPACES = {ord(c): None for c in ASCII_SPACES}
 
 # Chrome removed before extraction.
 DROP_TAGS = (
@@ -129,7 +128,7 @@ class _TreeBuilder(HTMLParser):
             return
         data = "".join(self.buf)
         self.buf = []
-        if data.translate(_NO_ASCII_SPACES) == "" and not any(
+        if not data.strip(ASCII_SPACES) and not any(
             f[1] in PRESERVE_WS_TAGS for f in self.stack
         ):
             data = "\n" if "\n" in data else " "

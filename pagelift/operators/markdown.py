@@ -147,15 +147,19 @@ class PageTree:
                 .filter(F.col("s") != ""))
 
     def text_ancestors(self) -> DataFrame:
-        """(page_id, anc, tpre, s, n_chars, n_words, n_commas): one row per
+        """(page_id, anc, tpre, n_chars, n_words, n_commas): one row per
         visible text x ancestor, the document root included as ``anc = -1``.
-        Per-string measures are computed once, before the explode."""
+        Per-string measures are computed once, before the explode, and the
+        string itself is not carried (it would be copied once per ancestor)."""
+        return self._once("text_anc", self._text_ancestors)
+
+    def _text_ancestors(self) -> DataFrame:
         return (self.texts()
-                .select("page_id", F.col("pre").alias("tpre"), "s", "anc_pre",
+                .select("page_id", F.col("pre").alias("tpre"), "anc_pre",
                         F.length("s").alias("n_chars"), word_count("s").alias("n_words"),
                         (F.length("s") - F.length(F.replace("s", F.lit(","), F.lit(""))))
                         .alias("n_commas"))
-                .select("page_id", "tpre", "s", "n_chars", "n_words", "n_commas",
+                .select("page_id", "tpre", "n_chars", "n_words", "n_commas",
                         F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
                         .alias("anc")))
 
@@ -173,9 +177,13 @@ class PageTree:
 
     def subtree_texts(self, targets: DataFrame) -> DataFrame:
         """``(page_id, pre, parts)`` -- the ordered stripped strings under
-        each target element (``parts`` is ``array<struct<pre, s>>``)."""
+        each target element (``parts`` is ``array<struct<pre, s>>``).  The
+        (text, ancestor) pairs are matched to the targets first; strings are
+        attached only to the matching pairs."""
         t = targets.select("page_id", F.col("pre").alias("anc")).distinct()
-        return (self.text_ancestors().join(t, ["page_id", "anc"])
+        pairs = self.text_ancestors().select("page_id", "anc", "tpre").join(t, ["page_id", "anc"])
+        strings = self.texts().select("page_id", F.col("pre").alias("tpre"), "s")
+        return (pairs.join(strings, ["page_id", "tpre"])
                 .groupBy("page_id", "anc")
                 .agg(F.collect_list(F.struct(F.col("tpre").alias("pre"), "s")).alias("parts"))
                 .withColumnRenamed("anc", "pre"))

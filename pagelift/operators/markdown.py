@@ -194,7 +194,8 @@ class PageTree:
         Pages without one are absent (callers default to "Untitled page")."""
         first = (self.all_nodes.filter(F.col("tag") == "title")
                  .groupBy("page_id").agg(F.min(F.struct("pre", "last")).alias("t")))
-        txt = self.texts(self.all_nodes)
+        # only strings with a title ancestor can be under the first title
+        txt = self.texts(self.all_nodes.filter(F.array_contains("anc_tags", "title")))
         under = (txt.join(first, "page_id")
                  .filter((F.col("pre") > F.col("t.pre")) & (F.col("pre") <= F.col("t.last")))
                  .groupBy("page_id")

@@ -135,11 +135,12 @@ def weighted_top1(basic: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
             .select("page_id", F.col("markdown").alias("text"), "slot", "weighted"))
 
 
-def extract_readable(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def extract_readable(pages: DataFrame, nodes: DataFrame, tree: PageTree | None = None) -> DataFrame:
     """``extract_readable_text`` for a table of pages:
     ``(page_id, url, title, text, slot)``; pages with no candidate get the basic
-    text (possibly '') and slot 'basic'."""
-    tree = PageTree(nodes, pages)
+    text (possibly '') and slot 'basic'.  Pass ``tree`` to release its
+    memoized tables once the result is materialized."""
+    tree = PageTree(nodes, pages) if tree is None else tree
     lines = tree.block_lines()
     roots = tree.roots()
     md = tree.root_markdown(roots, lines)

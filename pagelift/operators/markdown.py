@@ -131,6 +131,13 @@ class PageTree:
         self.base = pages.select("page_id", F.col("url").alias("base_url"))
         self._memo: dict[str, DataFrame] = {}
 
+    def release(self) -> None:
+        """Unpersist the memoized tables (after the results were written or
+        checkpointed; long-running jobs and streams call this per batch)."""
+        for df in self._memo.values():
+            df.unpersist()
+        self._memo.clear()
+
     def _once(self, name: str, build) -> DataFrame:
         """Tables used by several candidates are built once and persisted: a
         persisted plan is a leaf for later queries, so the optimizer does not

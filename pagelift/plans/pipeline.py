@@ -24,6 +24,7 @@ from ..operators.admission import admit
 from ..operators.candidates import extract_readable
 from ..operators.cleanup import merge_cleanup
 from ..operators.guard import guard_urls
+from ..operators.markdown import PageTree
 from ..operators.metadata import page_metadata
 from ..operators.render import UPGRADE_FACTOR, needs_render, shell_features
 from ..operators.review import REVIEW_FIELDS, merge_warnings
@@ -53,8 +54,10 @@ def _extract(spark: SparkSession, pages: DataFrame, cfg: JobConfig) -> tuple[Dat
     re-plan it inside the larger flow."""
     checkpoint_dir(spark)
     nodes = persisted_nodes(pages, cfg)
-    ex = extract_readable(pages, nodes).checkpoint(eager=True)
+    tree = PageTree(nodes, pages)
+    ex = extract_readable(pages, nodes, tree).checkpoint(eager=True)
     meta = page_metadata(nodes).checkpoint(eager=True)
+    tree.release()
     nodes.unpersist()
     return ex, meta
 

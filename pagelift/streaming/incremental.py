@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
+from ..operators.review import UNTITLED
 from ..plans.extract import configure, persisted_nodes
 from ..session import checkpoint_dir
 from ..sources.tables import PAGES_SCHEMA
@@ -46,10 +48,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def extract_batch(batch: DataFrame) -> DataFrame:
+def extract_batch(batch: DataFrame):
+    """(extraction, tree) of one micro-batch; release the tree after writing."""
     from ..operators.candidates import extract_readable
+    from ..operators.markdown import PageTree
     nodes = persisted_nodes(batch.select("page_id", "url", "html"))
-    return extract_readable(batch, nodes), nodes
+    tree = PageTree(nodes, batch)
+    return extract_readable(batch, nodes, tree), tree
 
 
 def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, ckpt: str,
@@ -61,11 +66,12 @@ def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, ckpt: str
              .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        out, nodes = extract_batch(batch)
+        out, tree = extract_batch(batch)
         ts = event_time if event_time is not None else F.current_timestamp()
         (out.withColumn("extracted_at", ts)
          .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}")))
-        nodes.unpersist()
+        tree.release()
+        tree.all_nodes.unpersist()
 
     return (pages.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
@@ -83,7 +89,7 @@ def approval_stream_join(spark: SparkSession, items_dir: str, approvals_dir: str
                       AND a.approved_at <= i.extracted_at + INTERVAL {approval_window}""")
     joined = items.join(approvals, cond, "inner").select(
         F.col("i.page_id").alias("page_id"), F.col("i.url").alias("url"),
-        F.coalesce(F.nullif(F.trim("a.title"), F.lit("")), F.lit("Untitled page")).alias("title"),
+        F.coalesce(F.nullif(py_strip(F.col("a.title")), F.lit("")), F.lit(UNTITLED)).alias("title"),
         F.col("a.content").alias("content"), F.col("i.extracted_at").alias("extracted_at"),
         F.col("a.approved_at").alias("approved_at"))
     return (joined.writeStream.format("parquet").option("path", out_dir)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, JobConfig
 from ..operators.markdown import extract_basic
 from ..operators.nodes import page_nodes
+from .joins import input_bytes
 
 
 ARROW_PAGES_PER_BATCH = 128
@@ -41,6 +42,27 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_PAGES_PER_BATCH))
 
 
+# ours: node table sizing -- node rows take about this many bytes per stored
+# input byte (ancestor arrays, attributes, per-node overhead), and a partition
+# should hold about this many bytes of nodes
+NODE_EXPANSION = 8
+NODE_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_NODE_PARTITIONS = 2 ** 31 - 1
+
+
+def node_partitions(pages: DataFrame, cfg: JobConfig = DEFAULT) -> int:
+    """Partitions of the node shuffle: ``cfg.node_partitions`` when set, else
+    the session default or enough for ~256 MB of nodes each, whichever is
+    larger (adaptive execution is off for these jobs, so nothing else sizes
+    this shuffle)."""
+    if cfg.node_partitions:
+        return cfg.node_partitions
+    spark = pages.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_size = -(-input_bytes(pages) * NODE_EXPANSION // NODE_PARTITION_BYTES)
+    return int(min(max(base, by_size), MAX_NODE_PARTITIONS))
+
+
 def persisted_nodes(pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:
     """D1 once per run: parse, hash-partition by page_id, keep in memory/disk.
 
@@ -50,7 +72,7 @@ def persisted_nodes(pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:
     (short) lineage scan -> parse -> shuffle."""
     admitted = pages.filter(F.coalesce(F.octet_length("html") <= cfg.max_download_bytes,
                                        F.lit(True)))
-    return page_nodes(admitted, cfg.node_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    return page_nodes(admitted, node_partitions(pages, cfg)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def basic_extraction(spark: SparkSession, pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:

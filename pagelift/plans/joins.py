@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 32
+UNKNOWN_SIZE = 2 ** 62
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -22,6 +23,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the plan's leaf relations (file scans, cached or
+    checkpointed data): an upper bound on the input that, unlike estimates of
+    joins, does not multiply."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    it = leaves.iterator()
+    while it.hasNext():
+        size = int(str(it.next().stats().sizeInBytes()))
+        if size < UNKNOWN_SIZE:  # relations of unknown size report a huge default
+            total += size
+    return total
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str, how: str = "left",
                    max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
                    salt_buckets: int = SALT_BUCKETS,

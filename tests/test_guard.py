@@ -54,3 +54,15 @@ def test_salted_anti_join_equals_plain(spark):
     salted = joins.join_dimension(fact, dim, "k", how="left_anti", max_broadcast_bytes=-1,
                                   salt_buckets=5, salt_cols=("page_id",))
     assert sorted(salted.collect()) == sorted(fact.join(dim, "k", "left_anti").collect())
+
+
+def test_node_partitions_grow_with_input(spark):
+    from dataclasses import replace
+
+    from pagelift.config import DEFAULT
+    from pagelift.plans import extract
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert extract.node_partitions(pages) == base
+    assert extract.node_partitions(pages, replace(DEFAULT, node_partitions=3)) == 3
+    assert joins.input_bytes(pages) > 0

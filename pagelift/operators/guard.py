@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import guard_host, local_host, scheme_host_ok
-from ..plans.joins import join_dimension
+from ..plans.joins import input_bytes, join_dimension
 
 # Non-global address blocks, and the exceptions inside them that
 # are global (standard-library ``is_global`` of Python 3.13).
@@ -145,6 +145,8 @@ def guard_urls(spark: SparkSession, df: DataFrame, url_col: str, dns: DataFrame,
     verdicts = host_verdicts(spark, base.filter(F.col("_pre_reason").isNull())
                              .select(F.col("_host").alias("host")), dns)
     verdicts = verdicts.select(F.col("host").alias("_host"), F.col("unsafe_reason").alias("_verdict"))
-    joined = join_dimension(base, verdicts, "_host", salt_cols=salt_cols)
+    # one verdict per distinct host: bounded by the URL column it came from
+    bound = input_bytes(df.select(url_col))
+    joined = join_dimension(base, verdicts, "_host", salt_cols=salt_cols, dim_bytes_bound=bound)
     return (joined.withColumn(out, F.coalesce(F.col("_pre_reason"), F.col("_verdict")))
             .drop("_host", "_pre_reason", "_verdict"))

@@ -40,12 +40,18 @@ def input_bytes(df: DataFrame) -> int:
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str, how: str = "left",
                    max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
                    salt_buckets: int = SALT_BUCKETS,
-                   salt_cols: tuple[str, ...] | None = None) -> DataFrame:
+                   salt_cols: tuple[str, ...] | None = None,
+                   dim_bytes_bound: int | None = None) -> DataFrame:
     """``fact`` joined to ``dim`` on ``key``.  ``salt_cols`` (e.g. a unique id)
     give a deterministic salt; without them rows are dealt round-robin.  Any
     salt assignment gives the same result: every salt value exists in the
-    replicated dimension."""
-    if estimated_bytes(dim) <= max_broadcast_bytes:
+    replicated dimension.  ``dim_bytes_bound`` is a caller-proven upper bound
+    on the dimension's size (e.g. the column it was distilled from); the
+    smaller of it and Catalyst's estimate decides the broadcast."""
+    size = estimated_bytes(dim)
+    if dim_bytes_bound is not None:
+        size = min(size, dim_bytes_bound)
+    if size <= max_broadcast_bytes:
         return fact.join(F.broadcast(dim), key, how)
     if salt_cols:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))

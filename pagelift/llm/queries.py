@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, secrets, toxicity
+from . import bpe, decontaminate, langid, ngram_join, quality, secrets, toxicity
 from .common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,31 @@ def op2_quality_rules(spark, sf):
     return quality.rules(table(spark, sf, "documents"))
 
 
+@query(rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS gram
+      FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS class FROM s GROUP BY r),
+c AS (SELECT class, min(r) AS r, any_value(n) AS n FROM n GROUP BY class),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM (SELECT s.* FROM s JOIN c USING (r)) a
+      JOIN (SELECT s.* FROM s JOIN c USING (r)) b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.r = a JOIN c cb ON cb.r = b WHERE 100 * common >= 75 * (ca.n + cb.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+ids AS (SELECT class, min(doc_id) AS class_id FROM d JOIN n USING (r) GROUP BY class),
+named AS (SELECT c.class, min(i2.class_id) AS component_id FROM c JOIN reach ON reach.a = c.r
+          JOIN c c2 ON c2.r = reach.b JOIN ids i2 ON i2.class = c2.class GROUP BY c.class)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN n.r IS NULL THEN d.doc_id ELSE named.component_id END AS component_id,
+       CASE WHEN n.r IS NULL THEN d.doc_id ELSE ids.class_id END AS class_id
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN named ON named.class = n.class LEFT JOIN ids ON ids.class = n.class
+""")
+def op3_ngram_jaccard(spark, sf):
+    return ngram_join.join(table(spark, sf, "documents"))
+
+
 @query()
 def op4_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
@@ -122,3 +147,10 @@ FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
 """)
 def op8_decontaminate(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op9_byte_bpe(spark, sf):
+    import public_tokenizers
+    ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf, "documents"), ranks)

@@ -38,6 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 BATCH_CHARS = 24_000_000
 LONG_WORD = 64
 #: White space for the split pattern, and a superset of it for safe cuts.
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_char
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(ranks)  # a vocabulary: a fixed size
+    table = Shared(spark, ranks)  # a vocabulary: a fixed size
     asked = own.mapInArrow(_asked(ranks.pattern, buckets, batch_chars), "bucket int, batch long, sizes binary, words binary")
     answers = asked.groupBy("bucket").applyInArrow(_encoded(table), "batch long, bucket int, sizes binary, ids binary")
     streams = own.mapInArrow(_streams(ranks.pattern, buckets, batch_chars),
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_char
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """The rows of ``encoded`` with the bytes that their ids stand for."""
-    table = encoded.sparkSession.sparkContext.broadcast(ranks.tokens)
+    table = Shared(encoded.sparkSession, ranks.tokens)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = table.value.__getitem__

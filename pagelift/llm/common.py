@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Shared:
+    """A broadcast value whose classes travel with it; each worker process unpacks it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._packed, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_packed": self._packed, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._packed.value)
+        return self._value
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared ``spark.checkpoint.dir``."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")

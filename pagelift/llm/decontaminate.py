@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, slices, texts_of, written
+from .common import Shared, runs, slices, texts_of, written
 
 WINDOW = 10
 MAX_INDEX_BYTES = 64 << 20
@@ -119,7 +119,7 @@ def benchmark_bytes(benchmark: DataFrame) -> int:
 
 def _broadcast_index(benchmark: DataFrame, window: int):
     rows = [(r.item_id, r.text) for r in _items(benchmark).collect()]  # below max_index_bytes, see the caller
-    return benchmark.sparkSession.sparkContext.broadcast(WindowIndex(rows, window))
+    return Shared(benchmark.sparkSession, WindowIndex(rows, window))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,

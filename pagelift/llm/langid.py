@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, code_points, id_crc, slices, texts_of
+from .common import Shared, bounded_sample, code_points, id_crc, slices, texts_of
 from .textgrams import hashed, lower_letters
 
 SIZES = (1, 2, 3, 4)
@@ -43,7 +43,7 @@ SCORE_BYTES = 1 << 20
 def windows(texts: list[str], each: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Presence of n-grams by window, the text of each window and its letters.  ``each``: so many windows of a text at most."""
     points, first = code_points(texts)
-    points = lower_letters()[points]
+    points = lower_letters(points)
     size = np.diff(np.append(first, len(points)))
     n = -(-size // WINDOW) if each is None else np.minimum(each, -(-size // WINDOW))
     text_of_window = np.repeat(np.arange(len(texts)), n)
@@ -127,7 +127,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> StringKernelRidge:
 
 def identify(docs: DataFrame, model: StringKernelRidge) -> DataFrame:
     """doc_id, predicted language and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks: a fixed size
+    shared = Shared(docs.sparkSession, model)  # landmarks: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SCORE_BYTES):

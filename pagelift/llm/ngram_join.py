@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, written
+from .common import Shared, slices, texts_of, written
 from .components import components
 
 SHINGLE = 5
@@ -357,7 +357,7 @@ def _bitmap(ids: DataFrame, column: str):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["chunk", "counts"])
 
     held = _summed(ids.select(F.col(column).cast("long")).mapInArrow(run, "chunk int, counts binary"), SKETCH_BITS) > 0
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(held))
+    return Shared(ids.sparkSession, np.packbits(held))
 
 
 def _id_hash(ids: np.ndarray) -> np.ndarray:
@@ -375,7 +375,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = first.filter("kind = 'doc'").select("doc_id", "n", "cid", "check")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     order = Order(_summed(first.filter("kind = 'sketch'"), SKETCH_BITS))
-    second = written(docs.mapInArrow(_second_pass(spark.sparkContext.broadcast(order), buckets), ", ".join(
+    second = written(docs.mapInArrow(_second_pass(Shared(spark, order), buckets), ", ".join(
         f"{k} {_SQL_TYPES[t]}" for k, t in _SECOND.items())), "ngram-prefixes", by="kind")
     sets = second.filter("kind = 'set'").select("cid", "n", "rest", "matches").dropDuplicates(["cid"])
     packed = second.filter("kind = 'packed'").select("bucket", "tokens", "owners")

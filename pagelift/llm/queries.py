@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, ngram_join, quality, secrets, toxicity
+from . import bpe, decontaminate, langid, ngram_join, quality, secrets, sharding, toxicity, warc
 from .common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,11 @@ def op4_toxicity(spark, sf):
             .select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", "predicted"))
 
 
+@query()
+def op5_balanced_labels(spark, sf):
+    return sharding.shards(table(spark, sf, "documents"))
+
+
 @query()
 def op7_language_id(spark, sf):
     docs = table(spark, sf, "documents")
@@ -154,3 +159,16 @@ def op9_byte_bpe(spark, sf):
     import public_tokenizers
     ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(table(spark, sf, "documents"), ranks)
+
+
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d,
+                  row_number() OVER (PARTITION BY sha256(coalesce(html, '')) ORDER BY page_id NULLS LAST, url) AS nth,
+                  min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n < 100 OR nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 100 AND nth > 1 THEN first END AS refers_to
+FROM p
+""")
+def op10_warc_chunks(spark, sf):
+    return warc.archived(table(spark, sf, "pages"))

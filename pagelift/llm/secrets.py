@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, code_points, runs, slices, texts_of
+from .common import Shared, bounded_sample, code_points, runs, slices, texts_of
 
 # The base patterns and lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -172,7 +172,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: counts by base kind, digest of the base spans, all spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    shared = Shared(docs.sparkSession, model)  # a table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD) -> D
 
 def redacted(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
     """All documents and columns; every span in their texts is replaced by ``mark`` (overlapping ones by one)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x7FEB352D], np.uint32)
 
 
-@lru_cache(None)
-def lower_letters() -> np.ndarray:
-    """For each code point: a lower-case letter, or a blank for what is no letter."""
-    table = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for c in range(0x323B0):  # the last assigned letters
+_LETTERS_END = 0x323B0  # after the last assigned letters
+_tables: dict[str, np.ndarray] = {}
+
+
+def _letters() -> np.ndarray:
+    """For each code point a lower-case letter, or a blank for what is no letter; the last entry is for all above."""
+    table = np.full(_LETTERS_END + 1, 32, np.uint32)
+    for c in range(_LETTERS_END):
         if unicodedata.category(chr(c))[0] == "L":
-            low = chr(c).lower()
-            table[c] = ord(low[0])
+            table[c] = ord(chr(c).lower()[0])
     return table
 
 
-@lru_cache(None)
-def lower_all() -> np.ndarray:
-    """For each code point its lower case; white space and control characters become a blank."""
-    table = np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    letters = lower_letters()
-    table[letters != 32] = letters[letters != 32]
-    table[:32] = 32
-    return table
+def lower_letters(points: np.ndarray) -> np.ndarray:
+    """Letters in lower case, a blank for each other character."""
+    if "letters" not in _tables:
+        _tables["letters"] = _letters()
+    return _tables["letters"][np.minimum(points, _LETTERS_END)]
+
+
+def lower_all(points: np.ndarray) -> np.ndarray:
+    """Letters in lower case, a blank for each control character, and the other characters."""
+    low = lower_letters(points)
+    return np.where(low != 32, low, np.maximum(points, 32))
 
 
 def hashed(points: np.ndarray, size: int, bits: int) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, id_crc, slices, texts_of
+from .common import Shared, code_points, id_crc, slices, texts_of
 from .textgrams import hashed, lower_all
 
 SIZES = (3, 4, 5)
@@ -41,7 +41,7 @@ SCORE_BYTES = 1 << 20
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size: (text number, hash) of all n-grams."""
     points, first = code_points(texts)
-    points = lower_all()[points]
+    points = lower_all(points)
     text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(points))))
     stop = np.append(first[1:], len(points)) - 1  # each text's end, before its line feed
     for size in SIZES:
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted class of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+    shared = Shared(docs.sparkSession, model)  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SCORE_BYTES):
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
 
 def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """Documents scored below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

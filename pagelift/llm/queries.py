@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, ngram_join, quality, secrets, sharding, toxicity, warc
+from . import bpe, decontaminate, langid, ngram_join, pii, quality, secrets, sharding, toxicity, warc
 from .common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,12 @@ def op5_balanced_labels(spark, sf):
     return sharding.shards(table(spark, sf, "documents"))
 
 
+@query()
+def op6_personal_data(spark, sf):
+    docs = table(spark, sf, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
 @query()
 def op7_language_id(spark, sf):
     docs = table(spark, sf, "documents")

@@ -8,6 +8,8 @@ it.  ``splitlines`` boundaries likewise.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ BOILERPLATE_TERMS = (
     "all rights reserved",
     "enable javascript",
 )
-STRUCTURE_PREFIX = r"^" + WS + r"*[#\-*|]"
 SENTENCE_MARKS = ".?!:"
 REPEAT_MIN_CHARS = 40
 REPEAT_PENALTY = 40
@@ -64,23 +65,42 @@ def lines(col) -> Column:
     return F.split(_c(col), LINE_BREAK)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What case folding does to characters that are lower case already, by the Unicode rules of the
+    standard library: one-to-one as two strings, one-to-many as a map."""
+    lower = [c for c in map(chr, range(0x10000)) if c == c.lower() and c != c.casefold() and not 0xD800 <= ord(c) < 0xE000]
+    single = [c for c in lower if len(c.casefold()) == 1]
+    return "".join(single), "".join(c.casefold() for c in single), {c: c.casefold() for c in lower if len(c.casefold()) > 1}
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_LONG = _folds()
+
+
 def casefold(col) -> Column:
-    """Case folding as used for word identity: lower case plus sharp s."""
-    return F.replace(F.lower(_c(col)), F.lit("ß"), F.lit("ss"))
+    """``str.casefold()``: lower case, then the folds that lower case leaves."""
+    table = F.from_json(F.lit(json.dumps(_FOLD_LONG)), "map<string,string>")
 
+    def folded(low: Column) -> Column:
+        single = F.translate(low, _FOLD_FROM, _FOLD_TO)
+        spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        # the micro sign, and nothing else below U+0149 but sharp s, folds further
+        return F.when(low.rlike(r"[\x{b5}\x{149}-\x{ffff}]"), spelled).otherwise(low)
 
-def unique_ratio(col) -> Column:
-    """Q2: distinct case-folded words / words."""
-    w = words(col)
-    # folding never creates or removes whitespace, so folding the text then
-    # splitting gives the folded words
-    return F.try_divide(F.size(F.array_distinct(words(casefold(col)))).cast("double"),
-                        F.size(w).cast("double"))
+    # sharp s is common and has a way of its own
+    return let(F.replace(F.lower(_c(col)), F.lit("ß"), F.lit("ss")), folded)
 
 
 def structure_lines(col) -> Column:
-    """Q3: lines whose left-stripped form starts with # - * or |."""
-    return F.size(F.filter(lines(col), lambda ln: ln.rlike(STRUCTURE_PREFIX)))
+    """Q3: lines whose left-stripped form starts with # - * or |.
+
+    One match a line: white space before the mark may hold further breaks, but
+    those end blank lines only."""
+    return F.regexp_count(_c(col), F.lit(rf"(?:^|{LINE_BREAK}){WS}*[#\-*|]"))
 
 
 def sentence_marks(col) -> Column:
@@ -89,55 +109,52 @@ def sentence_marks(col) -> Column:
     return F.length(c) - F.length(F.translate(c, SENTENCE_MARKS, ""))
 
 
+def _hits(folded: Column) -> Column:
+    return sum((F.regexp_count(folded, F.lit(t)) for t in BOILERPLATE_TERMS), F.lit(0)).cast("long")
+
+
 def boilerplate_hits(col) -> Column:
     """Q5: non-overlapping occurrences of the boilerplate terms, case-folded."""
-    folded = casefold(col)
-    total = None
-    for term in BOILERPLATE_TERMS:
-        hits = F.floor((F.length(folded) - F.length(F.replace(folded, F.lit(term), F.lit(""))))
-                       / F.lit(len(term))).cast("long")
-        total = hits if total is None else total + hits
-    return total
+    return let(casefold(col), _hits)
 
 
 def repeated_line_penalty(col) -> Column:
     """Q6: 40 points per repeat of a stripped line longer than 40 chars."""
-    long_lines = F.filter(F.transform(lines(col), py_strip),
-                          lambda ln: F.length(ln) > REPEAT_MIN_CHARS)
-    return (F.size(long_lines) - F.size(F.array_distinct(long_lines))) * REPEAT_PENALTY
+    long_lines = F.filter(F.transform(lines(col), py_strip), lambda ln: F.length(ln) > REPEAT_MIN_CHARS)
+    return let(long_lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))) * REPEAT_PENALTY)
+
+
+def quality_of(text: Column) -> Column:
+    """Q7: ``content_quality`` as one expression (also inside higher-order
+    functions) -- evaluated in the same order as the reference arithmetic so
+    that doubles are bit-identical."""
+    def scored(w: Column) -> Column:
+        n = F.size(w)
+        ints = (F.least(n, F.lit(2000)) + F.least(structure_lines(text), F.lit(30)) * 8
+                + F.least(sentence_marks(text), F.lit(100)) * 2)
+        distinct = lambda folded: F.size(F.array_distinct(words(folded)))
+        points = lambda folded: (
+            ints.cast("double") + F.try_divide(distinct(folded).cast("double"), n.cast("double")) * 100.0
+            - (_hits(folded) * 80).cast("double") - repeated_line_penalty(text).cast("double"))
+        return F.when(n == 0, F.lit(0.0)).otherwise(let(casefold(text), points))
+    return let(words(text), scored)
 
 
 def quality(col) -> Column:
-    """Q7: ``content_quality`` -- evaluated in the same order as the reference
-    arithmetic so that doubles are bit-identical."""
-    n = word_count(col)
-    ints = (F.least(n, F.lit(2000)) + F.least(structure_lines(col), F.lit(30)) * 8
-            + F.least(sentence_marks(col), F.lit(100)) * 2)
-    score = (ints.cast("double") + unique_ratio(col) * 100.0
-             - (boilerplate_hits(col) * 80).cast("double")
-             - repeated_line_penalty(col).cast("double"))
-    return F.when(n == 0, F.lit(0.0)).otherwise(score)
+    """Q7 of a column."""
+    return quality_of(_c(col))
 
 
 def with_quality(df, text: str, out: str = "quality", features: bool = False):
-    """Q1-Q7 as a projection chain: the words and lines of ``text`` are split
-    once into intermediate columns (expensive, so Catalyst keeps them
-    un-inlined) and every feature reads them.  Adds ``out`` (and, with
-    ``features``, the Q1-Q6 columns)."""
+    """Q1-Q7 as a chain of projections: the text is folded and split once into
+    columns that every feature reads.  Adds ``out`` (and, with ``features``, the
+    Q1-Q6 columns)."""
     t = F.col(text)
-    df = df.withColumn("_q_words", words(t)).withColumn("_q_lines", lines(t))
-    w, ls = F.col("_q_words"), F.col("_q_lines")
-    long_lines = F.filter(F.transform(ls, py_strip), lambda ln: F.length(ln) > REPEAT_MIN_CHARS)
-    df = df.select(
-        "*",
-        F.size(w).alias("_q_n"),
-        F.size(F.array_distinct(words(casefold(t)))).alias("_q_distinct"),
-        F.size(F.filter(ls, lambda ln: ln.rlike(STRUCTURE_PREFIX))).alias("_q_struct"),
-        sentence_marks(t).alias("_q_marks"),
-        boilerplate_hits(t).alias("_q_boiler"),
-        long_lines.alias("_q_long"))
-    n = F.col("_q_n")
-    penalty = (F.size("_q_long") - F.size(F.array_distinct("_q_long"))) * REPEAT_PENALTY
+    df = df.withColumn("_q_words", words(t)).withColumn("_q_folded", casefold(t))
+    df = df.select("*", F.size("_q_words").alias("_q_n"), F.size(F.array_distinct(words("_q_folded"))).alias("_q_distinct"),
+                   structure_lines(t).alias("_q_struct"), sentence_marks(t).alias("_q_marks"),
+                   _hits(F.col("_q_folded")).alias("_q_boiler"), repeated_line_penalty(t).alias("_q_penalty"))
+    n, penalty = F.col("_q_n"), F.col("_q_penalty")
     ints = (F.least(n, F.lit(2000)) + F.least(F.col("_q_struct"), F.lit(30)) * 8
             + F.least(F.col("_q_marks"), F.lit(100)) * 2)
     ratio = F.try_divide(F.col("_q_distinct").cast("double"), n.cast("double"))
@@ -145,23 +162,7 @@ def with_quality(df, text: str, out: str = "quality", features: bool = False):
              - penalty.cast("double"))
     df = df.withColumn(out, F.when(n == 0, F.lit(0.0)).otherwise(score))
     if features:
-        df = df.select("*", n.cast("long").alias("n_words"),
-                       F.col("_q_struct").cast("long").alias("structure_lines"),
-                       F.col("_q_marks").cast("long").alias("sentence_marks"),
-                       F.col("_q_boiler").cast("long").alias("boilerplate_hits"),
-                       penalty.cast("long").alias("repeat_penalty"))
-    return df.drop("_q_words", "_q_lines", "_q_n", "_q_distinct", "_q_struct", "_q_marks",
-                   "_q_boiler", "_q_long")
-
-
-def quality_features(col) -> dict[str, Column]:
-    """Q1-Q7 as named columns."""
-    return {
-        "n_words": word_count(col),
-        "unique_ratio": F.when(word_count(col) > 0, unique_ratio(col)),
-        "structure_lines": structure_lines(col),
-        "sentence_marks": sentence_marks(col),
-        "boilerplate_hits": boilerplate_hits(col),
-        "repeat_penalty": repeated_line_penalty(col),
-        "quality": quality(col),
-    }
+        df = df.select("*", *(F.col(c).cast("long").alias(name) for c, name in (
+            ("_q_n", "n_words"), ("_q_struct", "structure_lines"), ("_q_marks", "sentence_marks"),
+            ("_q_boiler", "boilerplate_hits"), ("_q_penalty", "repeat_penalty"))))
+    return df.drop("_q_words", "_q_folded", "_q_n", "_q_distinct", "_q_struct", "_q_marks", "_q_boiler", "_q_penalty")

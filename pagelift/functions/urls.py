@@ -1,9 +1,8 @@
 """URL expressions (U1, U2, U6, U7) as built-in Column expressions.
 
-``resolve_url`` follows the standard library's ``urljoin`` (RFC 3986 merge and
+``resolved_url`` follows the standard library's ``urljoin`` (RFC 3986 merge and
 dot-segment removal, with ``;params`` on the last segment), written with
-``regexp_extract``, ``split`` and an ``aggregate`` over path segments so it
-stays inside whole-stage codegen.
+``regexp_extract``, ``split`` and higher-order functions over path segments.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import py_strip
+from .text import let, py_strip
 
 # Scheme sets of the standard URL library.
 USES_RELATIVE = (
@@ -79,70 +78,59 @@ def _unparse(scheme, netloc, path, params, query, fragment) -> Column:
 
 
 def _remove_dots(segments: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    resolved = F.aggregate(
-        segments, empty,
-        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
-                              .otherwise(acc))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    tail = F.try_element_at(segments, F.lit(-1))
-    resolved = F.when(tail.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
-    joined = F.array_join(resolved, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    def resolved(parts: Column) -> Column:
+        kept = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+            .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+        kept = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+        return let(F.array_join(kept, "/"), lambda path: F.when(path == "", F.lit("/")).otherwise(path))
+    return let(segments, resolved)
 
 
-def with_resolved_url(df: DataFrame, value: str, base: str, out: str) -> DataFrame:
-    """``df`` plus column ``out`` = ``_resolve_url(value, base)``: strip the
-    value; ``urljoin`` it to ``base`` unless base is missing, value empty or a
-    ``data:`` URL.
+_BASE = ("scheme", "netloc", "path", "params", "query")
 
-    Written as a chain of projections over intermediate columns (Catalyst keeps
-    the non-trivial ones un-inlined), so no sub-expression is repeated.
-    """
-    tmp = [f"_u{i}" for i in range(12)]
-    v, bs, bn, bp, bpa, bq, us, un, up, upa, uq, uf = tmp
-    df = df.withColumn(v, py_strip(F.col(value)))
-    b, u = split_url(F.col(base)), split_url(F.col(v))
-    df = df.select("*", b["scheme"].alias(bs), b["netloc"].alias(bn), b["path"].alias(bp),
-                   b["params"].alias(bpa), b["query"].alias(bq),
-                   u["scheme"].alias(us), u["netloc"].alias(un), u["path"].alias(up),
-                   u["params"].alias(upa), u["query"].alias(uq), u["fragment"].alias(uf))
-    c = F.col
-    df = df.withColumn(us, F.when(c(us) == "", c(bs)).otherwise(c(us)))
-    scheme = c(us)
-    keep_url = (scheme != c(bs)) | ~scheme.isin(*USES_RELATIVE)
-    netloc_scheme = scheme.isin(*USES_NETLOC)
-    own_netloc = netloc_scheme & (c(un) != "")
-    netloc = F.when(netloc_scheme, c(bn)).otherwise(c(un))
-    no_path = (c(up) == "") & (c(upa) == "")
-    base_parts = F.split(c(bp), "/")
-    base_parts = F.when(F.try_element_at(base_parts, F.lit(-1)) != "",
-                        F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
-    df = df.withColumn("_rel", F.concat(base_parts, F.split(c(up), "/")))
-    rel = c("_rel")
-    rel = F.when(F.size(rel) >= 2, F.concat(
-        F.slice(rel, 1, 1),
-        F.filter(F.slice(rel, 2, F.greatest(F.size(rel) - 2, F.lit(0))), lambda s: s != ""),
-        F.slice(rel, -1, 1))).otherwise(rel)
-    df = df.withColumn("_segs", F.when(c(up).startswith("/"), F.split(c(up), "/")).otherwise(rel))
-    df = df.withColumn("_rpath", _remove_dots(c("_segs")))
-    do_join = c(base).isNotNull() & (c(base) != "") & (c(v) != "") & ~c(v).startswith("data:")
-    # which branch of urljoin applies: 0 keep as is, 1 own netloc, 2 same document, 3 merge
-    df = df.withColumn("_case", F.when(~do_join | keep_url, 0).when(own_netloc, 1)
-                       .when(no_path, 2).otherwise(3))
-    case = c("_case")
-    df = df.select(
-        "*",
-        F.when(case == 1, c(un)).otherwise(netloc).alias("_fn"),
-        F.when(case == 1, c(up)).when(case == 2, c(bp)).otherwise(c("_rpath")).alias("_fp"),
-        F.when(case == 2, c(bpa)).otherwise(c(upa)).alias("_fpa"),
-        F.when((case == 2) & (c(uq) == ""), c(bq)).otherwise(c(uq)).alias("_fq"))
-    df = df.withColumn("_fp", F.when(c("_fpa") != "", F.concat(c("_fp"), F.lit(";"), c("_fpa")))
-                       .otherwise(c("_fp")))
-    df = df.withColumn(out, F.when(case == 0, c(v)).otherwise(
-        _unparse(scheme, c("_fn"), c("_fp"), F.lit(""), c("_fq"), c(uf))))
-    return df.drop(*tmp, "_rel", "_segs", "_rpath", "_case", "_fn", "_fp", "_fpa", "_fq")
+
+def with_base_parts(df: DataFrame, base: str) -> DataFrame:
+    """Adds the parts of the base URL, which :func:`resolved_url` reads, as one column ``_base``."""
+    parts = split_url(F.col(base))
+    return df.withColumn("_base", F.when(F.col(base) != "", F.struct(*(parts[k].alias(k) for k in _BASE))))
+
+
+def resolved_url(value: Column) -> Column:
+    """``_resolve_url``: the stripped value, joined (``urljoin``) to the base
+    URL of :func:`with_base_parts` unless that is missing, the value is empty or a
+    ``data:`` URL."""
+    base = F.col("_base")
+
+    def resolved(v: Column) -> Column:
+        parts = split_url(v)
+        whole = F.struct(*(parts[k].alias(k) for k in (*_BASE, "fragment")))
+        return F.when(base.isNull() | (v == "") | v.startswith("data:"), v).otherwise(let(whole, lambda u: _joined(base, u, v)))
+
+    return let(py_strip(value), resolved)
+
+
+def _joined(b: Column, u: Column, v: Column) -> Column:
+    scheme = F.when(u["scheme"] == "", b["scheme"]).otherwise(u["scheme"])
+    in_netloc = scheme.isin(*USES_NETLOC)
+    netloc = F.when(in_netloc, b["netloc"]).otherwise(u["netloc"])
+    tail = lambda path, params: F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
+    text = lambda at, path, query: _unparse(scheme, at, path, F.lit(""), query, u["fragment"])
+    base_parts = F.split(b["path"], "/")
+    base_parts = F.when(F.try_element_at(base_parts, F.lit(-1)) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
+    relative = let(F.concat(base_parts, F.split(u["path"], "/")), lambda r: F.when(F.size(r) >= 2, F.concat(
+        F.slice(r, 1, 1), F.filter(F.slice(r, 2, F.greatest(F.size(r) - 2, F.lit(0))), lambda s: s != ""), F.slice(r, -1, 1))).otherwise(r))
+    segments = F.when(u["path"].startswith("/"), F.split(u["path"], "/")).otherwise(relative)
+    return (F.when((scheme != b["scheme"]) | ~scheme.isin(*USES_RELATIVE), v)
+            .when(in_netloc & (u["netloc"] != ""), text(u["netloc"], tail(u["path"], u["params"]), u["query"]))
+            .when((u["path"] == "") & (u["params"] == ""), text(netloc, tail(b["path"], b["params"]), F.when(u["query"] == "", b["query"]).otherwise(u["query"])))
+            .otherwise(let(_remove_dots(segments), lambda path: text(netloc, tail(path, u["params"]), u["query"]))))
+
+
+def with_resolved_url(df: DataFrame, value: str, base: str, out: str) -> DataFrame:
+    """U6 as a column: ``df`` plus ``out``, ``value`` resolved against ``base``."""
+    return with_base_parts(df, base).withColumn(out, resolved_url(F.col(value))).drop("_base")
 
 
 def url_host(col) -> Column:

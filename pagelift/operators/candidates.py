@@ -1,30 +1,28 @@
 """More extraction candidates per page, and the weighted top-1.
 
 The reference asks three external extractors for extra candidates; here they
-are native stand-ins built from the same node and block-line tables, each a
-DataFrame plan keyed by ``page_id``:
+are native stand-ins over the same page rows, each an expression:
 
-* recall (C2, weight 1.2): every emitted block of the page, a line repeated
-  anywhere earlier on the page dropped (``row_number`` over page x line);
+* recall (C2, weight 1.2): every emitted line of the page, a line that stood
+  earlier dropped;
 * precision (C3, weight 1.15): blocks kept by shallow text features -- words and
-  link density of the block and its neighbours (``lag``/``lead``), after
-  Kohlschuetter et al., "Boilerplate detection using shallow text features",
-  WSDM 2010;
+  link density of the block and its neighbours, after Kohlschuetter et al.,
+  "Boilerplate detection using shallow text features", WSDM 2010;
 * density (C4, weight 1.05): paragraph-like elements score their parent (full)
-  and grandparent (half), scaled by (1 - link density); the best node's
+  and grandparent (half), scaled by (1 - link density); the best element's
   Markdown, as in the public Readability heuristic.
 
-C5 unions the candidates, C6 drops the stand-ins under 20 words, C7 keeps the
+C5 gathers the candidates, C6 drops the stand-ins under 20 words, C7 keeps the
 highest quality x weight (first slot on ties), falling back to the basic text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip, quality, word_count
-from .markdown import UNTITLED, PageTree
+from ..functions.text import let, py_strip, quality_of, word_count
+from .markdown import markdown_under, with_basic, with_lines
 
 # Candidate weights (slot order = tie order) and the word floor.
 SLOTS = (("basic", 1.0), ("recall", 1.2), ("precision", 1.15), ("density", 1.05))
@@ -35,132 +33,72 @@ NEAR_LINK_DENSITY = 5.0 / 9.0
 DENSITY_MIN_CHARS = 25
 
 
-def _join_lines(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    return (lines.groupBy(key)
-            .agg(F.array_join(
-                F.sort_array(F.collect_list(F.struct("bpre", "line_no", "value")))["value"],
-                "\n").alias("markdown")))
-
-
-def recall_candidate(lines: DataFrame) -> DataFrame:
-    """All emitted lines of the page, first occurrence of each kept."""
-    w = Window.partitionBy("page_id", "value").orderBy("bpre", "line_no")
-    first = lines.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    return _join_lines(first).withColumn("markdown", py_strip("markdown"))
-
-
-def block_features(tree: PageTree) -> DataFrame:
-    """Per emitted block: words and link density of its text."""
-    stats = tree.element_stats().withColumnRenamed("anc", "pre")
-    blocks = tree.flagged().filter("emitted").select("page_id", "pre")
-    links = tree.link_rollup(blocks)
-    text_len = F.col("sum_len") + F.greatest(F.col("n_text") - 1, F.lit(0))
-    link_len = F.coalesce(F.col("a_len"), F.lit(0)) + F.greatest(F.col("n_a") - 1, F.lit(0))
-    return (blocks.join(stats, ["page_id", "pre"], "left").join(links, ["page_id", "pre"], "left")
-            .select("page_id", F.col("pre").alias("bpre"),
-                    F.coalesce(F.col("sum_words"), F.lit(0)).alias("w"),
-                    F.coalesce(F.try_divide(link_len.cast("double"),
-                                            F.greatest(F.coalesce(text_len, F.lit(0)), F.lit(1))
-                                            .cast("double")), F.lit(0.0)).alias("l")))
-
-
-def precision_candidate(tree: PageTree, lines: DataFrame) -> DataFrame:
-    """Blocks classified as content by words / link density of the block
-    and its neighbours, in page order."""
-    f = block_features(tree)
-    w = Window.partitionBy("page_id").orderBy("bpre")
-    f = (f.withColumn("pw", F.coalesce(F.lag("w").over(w), F.lit(0)))
-         .withColumn("pl", F.coalesce(F.lag("l").over(w), F.lit(0.0)))
-         .withColumn("nw", F.coalesce(F.lead("w").over(w), F.lit(0))))
-    keep = (F.col("l") <= MAX_LINK_DENSITY) & F.when(
-        F.col("pl") <= NEAR_LINK_DENSITY,
-        (F.col("w") > 16) | (F.col("nw") > 15) | (F.col("pw") > 4),
-    ).otherwise((F.col("w") > 40) | (F.col("nw") > 17))
-    kept = f.filter(keep).select("page_id", "bpre")
-    return _join_lines(lines.join(kept, ["page_id", "bpre"])).withColumn(
-        "markdown", py_strip("markdown"))
-
-
-def density_candidate(tree: PageTree, lines: DataFrame) -> DataFrame:
-    """C4: best paragraph container's Markdown."""
-    stats = tree.element_stats().withColumnRenamed("anc", "pre")
-    el = tree.nodes.filter((F.col("kind") == "element") & F.col("tag").isin("p", "pre", "td"))
-    text_len = F.col("sum_len") + F.greatest(F.col("n_text") - 1, F.lit(0))
-    scored = (el.join(stats, ["page_id", "pre"])
-              .filter(text_len >= DENSITY_MIN_CHARS)
-              .select("page_id", "anc_pre",
-                      (F.lit(1.0) + F.col("sum_commas")
-                       + F.least(text_len / 100.0, F.lit(3.0))).alias("pts")))
-    n = F.size("anc_pre")
-    # parent and grandparent (indexes never 0: element_at rejects it)
-    parent = F.when(n >= 1, F.try_element_at("anc_pre", F.greatest(n, F.lit(1))))
-    grand = F.when(n >= 2, F.try_element_at("anc_pre", F.greatest(n - 1, F.lit(1))))
-    gains = scored.select(
-        "page_id",
-        F.explode(F.array(
-            F.struct(parent.alias("pre"), F.col("pts").alias("pts")),
-            F.struct(grand.alias("pre"), (F.col("pts") / 2.0).alias("pts")))).alias("g"))
-    gains = (gains.select("page_id", "g.pre", "g.pts").filter(F.col("pre").isNotNull())
-             .groupBy("page_id", "pre").agg(F.sum("pts").alias("pts")))
-    links = tree.link_rollup(gains)
-    ranked = (gains.join(stats, ["page_id", "pre"], "left").join(links, ["page_id", "pre"], "left")
-              .withColumn("density", F.coalesce(F.try_divide(
-                  (F.coalesce(F.col("a_len"), F.lit(0))
-                   + F.greatest(F.col("n_a") - 1, F.lit(0))).cast("double"),
-                  F.greatest(F.coalesce(text_len, F.lit(0)), F.lit(1)).cast("double")), F.lit(0.0)))
-              .withColumn("score", F.col("pts") * (1.0 - F.col("density"))))
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "pre")
-    top = (ranked.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-           .select("page_id", "pre"))
-    return tree.root_markdown(top, lines).select("page_id", "markdown")
-
-
-def weighted_top1(basic: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
-    """Union, 20-word floor for the stand-ins, best quality x weight."""
-    weights = dict(SLOTS)
-    order = {name: i for i, (name, _) in enumerate(SLOTS)}
-    cands = basic.select("page_id", "markdown", F.lit("basic").alias("slot")) \
-        .filter(F.col("markdown") != "")
-    for name, df in others.items():
-        cands = cands.unionByName(
-            df.filter(word_count("markdown") >= MIN_WORDS)
-            .select("page_id", "markdown", F.lit(name).alias("slot")))
-    slot_w = F.create_map(*[x for n, wgt in weights.items() for x in (F.lit(n), F.lit(wgt))])
-    slot_o = F.create_map(*[x for n, i in order.items() for x in (F.lit(n), F.lit(i))])
-    scored = cands.select("page_id", "markdown", "slot",
-                          (quality("markdown") * slot_w[F.col("slot")]).alias("weighted"),
-                          slot_o[F.col("slot")].alias("slot_order"))
-    w = Window.partitionBy("page_id").orderBy(F.desc("weighted"), "slot_order")
-    return (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select("page_id", F.col("markdown").alias("text"), "slot", "weighted"))
-
-
-def extract_readable(pages: DataFrame, nodes: DataFrame, tree: PageTree | None = None) -> DataFrame:
-    """``extract_readable_text`` for a table of pages:
-    ``(page_id, url, title, text, slot)``; pages with no candidate get the basic
-    text (possibly '') and slot 'basic'.  Pass ``tree`` to release its
-    memoized tables once the result is materialized."""
-    tree = PageTree(nodes, pages) if tree is None else tree
-    lines = tree.block_lines()
-    roots = tree.roots()
-    md = tree.root_markdown(roots, lines)
-    scored = tree.root_scores(roots, md).filter(F.col("markdown") != "")
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "sel_order", "pre")
-    basic = (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-             .select("page_id", "markdown"))
-    # the stand-ins work on every emitted line of the page (document-wide)
-    best = weighted_top1(basic, {
-        "recall": recall_candidate(lines),
-        "precision": precision_candidate(tree, lines),
-        "density": density_candidate(tree, lines),
-    })
-    return (pages.select("page_id", "url")
-            .join(tree.titles(), "page_id", "left")
-            .join(best, "page_id", "left")
-            .select("page_id", "url", F.coalesce("title", F.lit(UNTITLED)).alias("title"),
-                    F.coalesce("text", F.lit("")).alias("text"),
-                    F.coalesce("slot", F.lit("basic")).alias("slot")))
-
-
-__all__ = ["extract_readable", "weighted_top1", "recall_candidate", "precision_candidate",
-           "density_candidate"]
+def _density(of: Column) -> Column:
+    return F.try_divide(of["link_len"].cast("double"), F.greatest(of["text_len"], F.lit(1)).cast("double"))
+
+
+def recall_text() -> Column:
+    """All emitted lines of the page, the first of equal ones."""
+    return py_strip(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["value"])), "\n"))
+
+
+def _kept_blocks() -> Column:
+    """Places of the blocks classified as content, by words and link
+    density of the block and its neighbours in page order."""
+    def kept(blocks: Column) -> Column:
+        def keep(b: Column, i: Column) -> Column:
+            before, after = F.get(blocks, i - 1), F.get(blocks, i + 1)
+            near = F.coalesce(before["l"], F.lit(0.0)) <= NEAR_LINK_DENSITY
+            pw, nw = F.coalesce(before["w"], F.lit(0)), F.coalesce(after["w"], F.lit(0))
+            return (b["l"] <= MAX_LINK_DENSITY) & F.when(near, (b["w"] > 16) | (nw > 15) | (pw > 4)).otherwise((b["w"] > 40) | (nw > 17))
+        return F.filter(blocks, keep)
+    measured = F.transform("blocks", lambda b: F.struct(b["pre"].alias("pre"), b["words"].alias("w"), _density(b).alias("l")))
+    return F.map_from_arrays(F.transform("_kept", lambda b: b["pre"]), F.transform("_kept", lambda b: F.lit(True))), let(measured, kept)
+
+
+def _best_holder() -> Column:
+    """C4: the element with the highest paragraph points, the first on ties."""
+    point = lambda p: F.when(p["len"] >= DENSITY_MIN_CHARS, F.lit(1.0) + p["commas"] + F.least(p["len"] / 100.0, F.lit(3.0))).otherwise(0.0)
+    total = lambda paras: F.aggregate(paras, F.lit(0.0).cast("double"), lambda acc, p: acc + point(p))
+    some = lambda h: F.exists(F.concat(h["kids"], h["grandkids"]), lambda p: p["len"] >= DENSITY_MIN_CHARS)
+    scored = F.transform(F.filter("holders", some), lambda h: F.struct(
+        ((total(h["kids"]) + total(h["grandkids"]) / 2.0) * (1.0 - _density(h))).alias("score"),
+        (-h["pre"]).alias("at"), h["last"].alias("last")))
+    return F.array_max(scored)
+
+
+def with_candidates(lined: DataFrame) -> DataFrame:
+    """Adds the texts ``recall``, ``precision`` and ``density`` (null: no holder)."""
+    places, kept = _kept_blocks()
+    held = lined.withColumn("_kept", kept).withColumn("_places", places).withColumn("_best", _best_holder())
+    content = F.filter("lines", lambda x: F.map_contains_key("_places", x["pre"]))
+    return (held.withColumn("recall", recall_text())
+            .withColumn("precision", py_strip(F.array_join(F.transform(content, lambda x: x["value"]), "\n")))
+            .withColumn("density", F.when(F.col("_best").isNotNull(), markdown_under(-F.col("_best.at"), F.col("_best.last"))))
+            .drop("_kept", "_places", "_best"))
+
+
+def weighted_top1(df: DataFrame, others: tuple[str, ...] = ("recall", "precision", "density")) -> DataFrame:
+    """C5-C7 over the text columns ``basic`` and ``others``: adds ``text`` and
+    ``slot`` of the best quality x weight; no candidate gives '' and basic."""
+    weights, order = dict(SLOTS), {name: i for i, (name, _) in enumerate(SLOTS)}
+    slots = []
+    for name in ("basic", *others):
+        text = F.coalesce(F.col(name), F.lit(""))
+        fits = text != "" if name == "basic" else word_count(text) >= MIN_WORDS
+        slots.append(F.when(fits, F.struct((quality_of(text) * weights[name]).alias("weighted"), F.lit(-order[name]).alias("order"),
+                                           F.lit(name).alias("slot"), text.alias("text"))))
+    return (df.withColumn("_top", F.array_max(F.filter(F.array(*slots), lambda s: s.isNotNull())))
+            .withColumn("text", F.coalesce("_top.text", "basic", F.lit("")))
+            .withColumn("slot", F.coalesce("_top.slot", F.lit("basic"))).drop("_top"))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """Page rows with all extraction columns: ``title``, ``text``, ``slot``, ``parse_error``, the metadata
+    elements, and the columns of ``pages`` but html."""
+    return weighted_top1(with_candidates(with_basic(with_lines(pages))))
+
+
+def extract_readable(pages: DataFrame) -> DataFrame:
+    """``extract_readable_text`` for a table of pages: ``(page_id, url, title, text, slot)``."""
+    return readable(pages.select("page_id", "url", "html")).select("page_id", "url", "title", "text", "slot")

@@ -1,26 +1,24 @@
-"""Host -> address join and the non-global address anti-join.
+"""Host -> address join and the non-global address test.
 
 Addresses are normalised to fixed-width hex (8 digits for IPv4, 32 for IPv6) so
-that CIDR blocks become ``lo <= hex <= hi`` string ranges.  The block table is a
-fixed constant (a few dozen rows), so broadcasting it is size-bounded; the
-range test runs as a broadcast hash join on ``family`` plus the range filter.
-
-Verdicts are computed per distinct (host, address), then per host -- both
-partial aggregates, so a host holding a large share of the pages is reduced
-map-side before any shuffle.  Joining verdicts back to pages goes through
-:func:`pagelift.plans.joins.join_dimension` (size-checked broadcast, else a
-salted join).
+that CIDR blocks become ``lo <= hex <= hi``; the blocks are a fixed list, so the
+test is an expression and every address row is flagged where it is read.  Then
+the flags are combined per host before any shuffle (a partial aggregate): what
+is shuffled and joined is one row per host, never one per address.  Verdicts
+go back to pages through :func:`pagelift.plans.joins.join_dimension` (measured
+broadcast, else a salted join).
 """
 
 from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import guard_host, local_host, scheme_host_ok
-from ..plans.joins import input_bytes, join_dimension
+from ..plans.joins import join_dimension
+from ..session import run_table
 
 # Non-global address blocks, and the exceptions inside them that
 # are global (standard-library ``is_global`` of Python 3.13).
@@ -46,21 +44,20 @@ UNRESOLVED = "The hostname could not be resolved."
 NON_GLOBAL = "Private, loopback, and reserved addresses are not allowed."
 
 
-def _block_rows():
-    rows = []
-    for fam, nets, exc in ((4, NON_GLOBAL_V4, False), (4, GLOBAL_EXCEPTIONS_V4, True),
-                           (6, NON_GLOBAL_V6, False), (6, GLOBAL_EXCEPTIONS_V6, True)):
-        width = 8 if fam == 4 else 32
-        for net in nets:
-            n = ipaddress.ip_network(net)
-            rows.append((fam, f"{int(n.network_address):0{width}x}",
-                         f"{int(n.broadcast_address):0{width}x}", exc))
-    return rows
+def _within(nets: tuple[str, ...], hx: Column) -> Column:
+    """Does the hex address lie in one of the blocks?"""
+    hit = F.lit(False)
+    for net in map(ipaddress.ip_network, nets):
+        width = net.max_prefixlen // 4
+        hit = hit | hx.between(f"{int(net.network_address):0{width}x}", f"{int(net.broadcast_address):0{width}x}")
+    return hit
 
 
-def address_blocks(spark: SparkSession) -> DataFrame:
-    """The CIDR table: ``(family, lo, hi, is_exception)``."""
-    return spark.createDataFrame(_block_rows(), "family int, lo string, hi string, is_exception boolean")
+def non_global(family: Column, hx: Column) -> Column:
+    """U4: an address in a non-global block and in none of its global exceptions; what is no address counts too."""
+    v4 = _within(NON_GLOBAL_V4, hx) & ~_within(GLOBAL_EXCEPTIONS_V4, hx)
+    v6 = _within(NON_GLOBAL_V6, hx) & ~_within(GLOBAL_EXCEPTIONS_V6, hx)
+    return F.when(family == 4, v4).when(family == 6, v6).otherwise(F.lit(True))
 
 
 def _v4_hex(addr: Column) -> Column:
@@ -106,47 +103,36 @@ def with_address_hex(df: DataFrame, col: str, fam_out: str = "family",
     return df.drop("_v4", "_v6")
 
 
-def host_verdicts(spark: SparkSession, hosts: DataFrame, dns: DataFrame) -> DataFrame:
-    """U3/U4 per distinct host: ``(host, n_addresses, unsafe_reason)``.
+def host_verdicts(hosts: DataFrame, dns: DataFrame) -> DataFrame:
+    """U3/U4 per distinct host: ``(host, unsafe_reason)``.
 
     An IP-literal host is its own address; a host without addresses is
     unresolved; a host is unsafe when any address is non-global.
     """
-    hosts = hosts.select("host").distinct()
-    literal = (with_address_hex(hosts, "host").filter(F.col("family").isNotNull())
-               .select("host", F.col("host").alias("address")))
-    resolved = dns.select("host", "address").join(hosts, "host", "left_semi")
-    addrs = literal.unionByName(resolved).distinct()
-    addrs = with_address_hex(addrs, "address")
-    blocks = address_blocks(spark)
-    hits = (addrs.join(F.broadcast(blocks), (addrs.family == blocks.family)
-                       & (addrs.hx >= blocks.lo) & (addrs.hx <= blocks.hi), "left")
-            .groupBy("host", "address", "hx")
-            .agg(F.max(F.when(~F.col("is_exception"), 1).otherwise(0)).alias("in_block"),
-                 F.max(F.when(F.col("is_exception"), 1).otherwise(0)).alias("in_exception")))
-    per_addr = hits.select("host", ((F.col("in_block") == 1) & (F.col("in_exception") == 0)
-                                    | F.col("hx").isNull()).alias("non_global"))
-    per_host = per_addr.groupBy("host").agg(
-        F.count("*").alias("n_addresses"),
-        F.max(F.col("non_global").cast("int")).alias("any_non_global"))
-    return (hosts.join(per_host, "host", "left")
-            .select("host", F.coalesce("n_addresses", F.lit(0)).cast("long").alias("n_addresses"),
-                    F.when(F.col("n_addresses").isNull(), F.lit(UNRESOLVED))
-                    .when(F.col("any_non_global") == 1, F.lit(NON_GLOBAL)).alias("unsafe_reason")))
-
-
-def guard_urls(spark: SparkSession, df: DataFrame, url_col: str, dns: DataFrame,
-               out: str = "unsafe_reason", salt_cols: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``df`` plus ``out``: null when the URL is public, else the reason."""
-    base = df.withColumn("_host", guard_host(url_col))
-    pre = (F.when(~scheme_host_ok(url_col), F.lit(NOT_HTTP))
-           .when(local_host(url_col), F.lit(LOCAL_NAME)))
-    base = base.withColumn("_pre_reason", pre)
-    verdicts = host_verdicts(spark, base.filter(F.col("_pre_reason").isNull())
-                             .select(F.col("_host").alias("host")), dns)
-    verdicts = verdicts.select(F.col("host").alias("_host"), F.col("unsafe_reason").alias("_verdict"))
-    # one verdict per distinct host: bounded by the URL column it came from
-    bound = input_bytes(df.select(url_col))
-    joined = join_dimension(base, verdicts, "_host", salt_cols=salt_cols, dim_bytes_bound=bound)
-    return (joined.withColumn(out, F.coalesce(F.col("_pre_reason"), F.col("_verdict")))
-            .drop("_host", "_pre_reason", "_verdict"))
+    flag = non_global(F.col("family"), F.col("hx")).cast("int")
+    literal = with_address_hex(hosts.select("host").distinct(), "host").select(
+        "host", F.when(F.col("family").isNotNull(), flag).alias("own"))
+    named = (with_address_hex(dns.select("host", "address"), "address")
+             .select("host", flag.alias("bad")).groupBy("host").agg(F.max("bad").alias("bad")))
+    bad = F.greatest("own", "bad")
+    return literal.join(named, "host", "left").select("host", F.when(bad.isNull(), F.lit(UNRESOLVED)).when(
+        bad == 1, F.lit(NON_GLOBAL)).alias("unsafe_reason"))
+
+
+def guard_urls(df: DataFrame, url_cols: dict[str, str], dns: DataFrame,
+               salt_cols: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``df`` plus, for each URL column, its output column: null when the
+    URL is public, else the reason.  The hosts of all columns are judged once."""
+    base, hosts = df, None
+    for url, out in url_cols.items():
+        before = (F.when(~scheme_host_ok(url), F.lit(NOT_HTTP)).when(local_host(url), F.lit(LOCAL_NAME)))
+        base = base.withColumn(f"_host_{out}", guard_host(url)).withColumn(f"_before_{out}", F.when(F.col(url).isNotNull(), before))
+        own = base.filter(F.col(f"_before_{out}").isNull()).select(F.col(f"_host_{out}").alias("host"))
+        hosts = own if hosts is None else hosts.unionByName(own)
+    verdicts = run_table(host_verdicts(hosts, dns), "guard")
+    for url, out in url_cols.items():
+        own = verdicts.select(F.col("host").alias(f"_host_{out}"), F.col("unsafe_reason").alias("_verdict"))
+        base = join_dimension(base, own, f"_host_{out}", salt_cols=salt_cols)
+        reason = F.coalesce(f"_before_{out}", F.when(F.col(url).isNotNull(), F.col("_verdict")))
+        base = base.withColumn(out, reason).drop(f"_host_{out}", f"_before_{out}", "_verdict")
+    return base

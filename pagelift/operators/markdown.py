@@ -1,41 +1,34 @@
-"""Markdown of candidate roots, as DataFrame operations.
+"""Markdown of candidate roots, as expressions on page rows.
 
-Input is the ``nodes`` table (see :mod:`pagelift.operators.nodes`), already
-hash-partitioned by ``page_id``.  Every join, aggregate and window below is
-keyed by ``page_id`` first, so Spark reuses that partitioning and plans no
-further exchange; each per-page group is bounded by the page-size admission
-cap (S2).
+Input are the nested rows of :func:`pagelift.operators.nodes.page_trees`.  All
+that follows -- rendering blocks, collecting the lines under a root, dropping
+repeats, scoring -- reads one page's row only, so the plan is a scan, the
+parser and projections: no shuffle at any size, and a page's work stays within
+its row.
 
-Two facts make the set formulation exact:
+Two facts make this exact:
 
 * whether a block element is emitted, and what it renders to, depends only on
   the element, its subtree and its ancestors on the whole page -- not on the
   candidate root that contains it;
 * dropping a line equal to the last emitted line equals dropping a line equal
-  to the previous non-empty candidate line, i.e. a ``lag`` window.
+  to the previous non-empty candidate line.
 
-Descendant relations use the ``anc_pre`` ancestor array of each node: exploding
-it turns "t is under e" into an equi-join on ``(page_id, pre)``, whose size is
-bounded by node count x depth (no range join, no pairs within a page).
+An element's text is a slice of the page's visible strings.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_ws, py_strip, quality, squeeze_ws, word_count
-from ..functions.urls import with_resolved_url
-from .nodes import drop_chrome
+from ..functions.text import collapse_ws, let, py_strip, quality_of, squeeze_ws, word_count
+from ..functions.urls import resolved_url, with_base_parts
+from .nodes import page_trees
 
-# Block tags, inline renderings and root selectors.
-BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre",
-              "blockquote", "table", "img")
-INLINE_BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "li", "p")
-NEST_OK = ("li", "blockquote")
+# Root selectors.
 SELECTORS = (
-    ("tag", "main"), ("tag", "article"), ("attr", "role", "main"),
+    ("tag", "main"), ("tag", "article"), ("role", "main"),
     ("id", "content"), ("id", "main-content"),
     ("class", "content"), ("class", "main-content"), ("class", "article-content"),
     ("class", "post-content"), ("class", "entry-content"), ("class", "product"),
@@ -43,429 +36,167 @@ SELECTORS = (
 )
 BODY_ORDER = len(SELECTORS)
 DOCUMENT_ORDER = BODY_ORDER + 1
-DOCUMENT_PRE = -1
-IMAGE_SOURCES = ("src", "data-src", "data-lazy-src", "data-original")
 UNTITLED = "Untitled page"
 SEMANTIC_ROOTS = ("main", "article")
+LINE = "struct<pre:int,value:string,is_table:boolean>"
+_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def _text_len() -> Column:
-    """Length of ``get_text(" ", strip=True)`` from the element statistics."""
-    return F.col("sum_len") + F.greatest(F.col("n_text") - 1, F.lit(0))
-
-
-def _link_len() -> Column:
-    """Length of the space-joined link texts from the link rollup."""
-    return F.coalesce(F.col("a_len"), F.lit(0)) + F.greatest(F.col("n_a") - 1, F.lit(0))
-
-
-def _sorted_join(pairs: Column, sep: str) -> Column:
-    """Join the ``s`` fields of ``collect_list(struct(pre, s))`` in ``pre`` order
-    (``sort_array`` + field extraction: no lambda, stays in generated code)."""
-    return F.array_join(F.sort_array(pairs)["s"], sep)
-
-
-# ---------------------------------------------------------------- predicates
-def _nearest_block(anc_tags: Column) -> Column:
-    """Tag of the nearest block ancestor: ``array_intersect`` keeps the order of
-    its first argument, so intersecting the reversed ancestor list with the
-    block tags puts the nearest one first."""
-    blocks = F.array(*[F.lit(t) for t in BLOCK_TAGS])
-    return F.try_element_at(F.array_intersect(F.reverse(anc_tags), blocks), F.lit(1))
-
-
-def _emitted(tag: Column, anc_tags: Column) -> Column:
-    """The block filter, using the page-wide ancestor list."""
-    nb = _nearest_block(anc_tags)
-    return tag.isin(*BLOCK_TAGS) & F.when(tag == "img", nb.isNull()).otherwise(
-        nb.isNull() | nb.isin(*NEST_OK))
-
-
-def _parent_is_inline_block(anc_tags: Column) -> Column:
-    parent_tag = F.try_element_at(anc_tags, F.lit(-1))
-    above = F.slice(anc_tags, 1, F.greatest(F.size(anc_tags) - 1, F.lit(0)))
-    return (F.size(anc_tags) > 0) & parent_tag.isin(*INLINE_BLOCKS) & _emitted(parent_tag, above)
-
-
-def _class_has(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), name)
-
-
-def _selector_order() -> Column:
-    """Index of the first selector the element matches (null: none)."""
-    cases = []
-    for i, sel in enumerate(SELECTORS):
-        if sel[0] == "tag":
-            m = F.col("tag") == sel[1]
-        elif sel[0] == "attr":
-            m = F.col("attrs")[sel[1]] == sel[2]
-        elif sel[0] == "id":
-            m = F.col("attrs")["id"] == sel[1]
-        else:
-            m = _class_has(sel[1])
-        cases.append(F.when(F.coalesce(m, F.lit(False)), F.lit(i)))
-    return F.least(*cases)
-
-
-def with_image_markdown(df: DataFrame, out: str = "img_md", attrs: str = "attrs",
-                        base: str = "base_url") -> DataFrame:
-    """``![alt](url)`` from the first non-empty lazy-load source; '' when
-    there is none or it is a ``data:`` URL."""
-    a = F.col(attrs)
-    src = py_strip(F.coalesce(*[F.nullif(a[k], F.lit("")) for k in IMAGE_SOURCES], F.lit("")))
-    df = with_resolved_url(df.withColumn("_img_src", src), "_img_src", base, "_img_url")
-    alt = squeeze_ws(py_strip(F.coalesce(a["alt"], F.lit(""))))
-    s = F.col("_img_src")
-    md = F.when((s == "") | s.startswith("data:"), F.lit("")).otherwise(
-        F.concat(F.lit("!["), alt, F.lit("]("), F.col("_img_url"), F.lit(")")))
-    return df.withColumn(out, md).drop("_img_src", "_img_url")
-
-
-# ---------------------------------------------------------------- tables
-class PageTree:
-    """Derived tables of one batch of pages, built lazily from ``nodes``."""
-
-    def __init__(self, nodes: DataFrame, pages: DataFrame):
-        self.all_nodes = nodes
-        self.nodes = drop_chrome(nodes)
-        self.base = pages.select("page_id", F.col("url").alias("base_url"))
-        self._memo: dict[str, DataFrame] = {}
-
-    def release(self) -> None:
-        """Unpersist the memoized tables (after the results were written or
-        checkpointed; long-running jobs and streams call this per batch)."""
-        for df in self._memo.values():
-            df.unpersist()
-        self._memo.clear()
-
-    def _once(self, name: str, build) -> DataFrame:
-        """Tables used by several candidates are built once and persisted: a
-        persisted plan is a leaf for later queries, so the optimizer does not
-        re-plan it per use (and executors do not recompute it)."""
-        if name not in self._memo:
-            self._memo[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
-        return self._memo[name]
-
-    # text nodes and their ancestors ------------------------------------
-    def texts(self, nodes: DataFrame | None = None) -> DataFrame:
-        src = self.nodes if nodes is None else nodes
-        return (src.filter(F.col("kind") == "text")
-                .select("page_id", "pre", "anc_pre", "anc_tags", py_strip("text").alias("s"))
-                .filter(F.col("s") != ""))
-
-    def text_ancestors(self) -> DataFrame:
-        """(page_id, anc, tpre, n_chars, n_words, n_commas): one row per
-        visible text x ancestor, the document root included as ``anc = -1``.
-        Per-string measures are computed once, before the explode, and the
-        string itself is not carried (it would be copied once per ancestor)."""
-        return self._once("text_anc", self._text_ancestors)
-
-    def _text_ancestors(self) -> DataFrame:
-        return (self.texts()
-                .select("page_id", F.col("pre").alias("tpre"), "anc_pre",
-                        F.length("s").alias("n_chars"), word_count("s").alias("n_words"),
-                        (F.length("s") - F.length(F.replace("s", F.lit(","), F.lit(""))))
-                        .alias("n_commas"))
-                .select("page_id", "tpre", "n_chars", "n_words", "n_commas",
-                        F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
-                        .alias("anc")))
-
-    def element_stats(self) -> DataFrame:
-        """Per element: visible text count, total length, total words."""
-        return self._once("stats", self._element_stats)
-
-    def _element_stats(self) -> DataFrame:
-        return (self.text_ancestors()
-                .groupBy("page_id", "anc")
-                .agg(F.count("*").alias("n_text"),
-                     F.sum("n_chars").alias("sum_len"),
-                     F.sum("n_words").alias("sum_words"),
-                     F.sum("n_commas").alias("sum_commas")))
-
-    def subtree_texts(self, targets: DataFrame) -> DataFrame:
-        """``(page_id, pre, parts)`` -- the ordered stripped strings under
-        each target element (``parts`` is ``array<struct<pre, s>>``).  The
-        (text, ancestor) pairs are matched to the targets first; strings are
-        attached only to the matching pairs."""
-        t = targets.select("page_id", F.col("pre").alias("anc")).distinct()
-        pairs = self.text_ancestors().select("page_id", "anc", "tpre").join(t, ["page_id", "anc"])
-        strings = self.texts().select("page_id", F.col("pre").alias("tpre"), "s")
-        return (pairs.join(strings, ["page_id", "tpre"])
-                .groupBy("page_id", "anc")
-                .agg(F.collect_list(F.struct(F.col("tpre").alias("pre"), "s")).alias("parts"))
-                .withColumnRenamed("anc", "pre"))
-
-    # D3 ----------------------------------------------------------------
-    def titles(self) -> DataFrame:
-        """D3: text of the first ``title`` element, taken before chrome removal.
-        Pages without one are absent (callers default to "Untitled page")."""
-        first = (self.all_nodes.filter(F.col("tag") == "title")
-                 .groupBy("page_id").agg(F.min(F.struct("pre", "last")).alias("t")))
-        # only strings with a title ancestor can be under the first title
-        txt = self.texts(self.all_nodes.filter(F.array_contains("anc_tags", "title")))
-        under = (txt.join(first, "page_id")
-                 .filter((F.col("pre") > F.col("t.pre")) & (F.col("pre") <= F.col("t.last")))
-                 .groupBy("page_id")
-                 .agg(F.collect_list(F.struct("pre", "s")).alias("parts")))
-        return (first.join(under, "page_id", "left")
-                .select("page_id", F.coalesce(_sorted_join(F.col("parts"), " "), F.lit(""))
-                        .alias("title")))
-
-    # D4/D5 -------------------------------------------------------------
-    def roots(self) -> DataFrame:
-        """Candidate roots ``(page_id, pre, last, tag, sel_order)``: selector
-        matches, then the first body, else the whole document."""
-        return self._once("roots", self._roots)
-
-    def _roots(self) -> DataFrame:
-        el = self.nodes.filter(F.col("kind") == "element")
-        sel = (el.withColumn("sel_order", _selector_order())
-               .filter(F.col("sel_order").isNotNull())
-               .select("page_id", "pre", "last", "tag", "sel_order"))
-        body = (el.filter(F.col("tag") == "body").groupBy("page_id")
-                .agg(F.min(F.struct("pre", "last")).alias("b"))
-                .select("page_id", "b.pre", "b.last", F.lit("body").alias("tag"),
-                        F.lit(BODY_ORDER).alias("sel_order")))
-        found = sel.unionByName(body)
-        with_nodes = self.nodes.select("page_id").distinct()
-        doc = (with_nodes.join(found.select("page_id").distinct(), "page_id", "left_anti")
-               .select("page_id", F.lit(DOCUMENT_PRE).alias("pre"),
-                       F.lit(2 ** 31 - 1).alias("last"), F.lit("[document]").alias("tag"),
-                       F.lit(DOCUMENT_ORDER).alias("sel_order")))
-        return (found.unionByName(doc).groupBy("page_id", "pre")
-                .agg(F.first("last").alias("last"), F.first("tag").alias("tag"),
-                     F.min("sel_order").alias("sel_order")))
-
-    # D7-D19 ------------------------------------------------------------
-    def flagged(self) -> DataFrame:
-        """Visible nodes with the D7 ``emitted`` flag (block filter)."""
-        return self._once("flagged", lambda: self.nodes.withColumn(
-            "emitted", F.coalesce(_emitted(F.col("tag"), F.col("anc_tags")), F.lit(False))))
-
-    def block_lines(self) -> DataFrame:
-        """All emitted block lines of every page:
-        ``(page_id, bpre, line_no, value, is_table, anc_pre)``; empty values removed."""
-        return self._once("lines", self._block_lines)
-
-    def _block_lines(self) -> DataFrame:
-        nodes = self.flagged()
-        el = nodes.filter(F.col("kind") == "element")
-        emitted = el.filter("emitted")
-        child_rows = nodes.filter(_parent_is_inline_block(F.col("anc_tags")))
-        child_el = child_rows.filter((F.col("kind") == "element")
-                                     & ~F.col("tag").isin("ul", "ol", "img"))
-        cells = el.filter(F.col("tag").isin("th", "td")
-                          & F.array_contains(F.col("anc_tags"), "table"))
-        quoted = emitted.filter(F.col("tag").isin("pre", "blockquote"))
-        targets = (child_el.select("page_id", "pre").unionByName(cells.select("page_id", "pre"))
-                   .unionByName(quoted.select("page_id", "pre")))
-        parts = self._once("parts", lambda: self.subtree_texts(targets))
-
-        # Inline rendering of h1-h6 / li / p from their children
-        gt = F.col("_gt")
-        tag = F.col("tag")
-        piece = (
-            F.when(F.col("kind") != "element", F.col("text"))
-            .when(tag == "a", F.when((gt != "") & F.coalesce(F.col("href_res") != "", F.lit(False)),
-                                     F.concat(F.lit("["), gt, F.lit("]("), F.col("href_res"),
-                                              F.lit(")")))
-                  .otherwise(gt))
-            .when(tag == "img", F.col("img_md"))
-            .when(tag.isin("ul", "ol"), F.lit(""))
-            .when(tag.isin("strong", "b"), F.concat(F.lit("**"), gt, F.lit("**")))
-            .when(tag.isin("em", "i"), F.concat(F.lit("*"), gt, F.lit("*")))
-            .when(tag == "code", F.concat(F.lit("`"), gt, F.lit("`")))
-            .otherwise(gt))
-        needs_url = (F.col("kind") == "element") & tag.isin("a", "img")
-        kids = (child_rows.join(parts, ["page_id", "pre"], "left")
-                .withColumn("_gt", F.coalesce(_sorted_join(F.col("parts"), " "), F.lit(""))))
-        kids_url = (kids.filter(needs_url).join(self.base, "page_id", "left")
-                    .withColumn("_href", F.col("attrs")["href"]))
-        kids_url = with_image_markdown(with_resolved_url(kids_url, "_href", "base_url", "href_res"))
-        kids_url = kids_url.drop("_href", "base_url")
-        kids_plain = (kids.filter(~needs_url)
-                      .withColumn("href_res", F.lit(None).cast("string"))
-                      .withColumn("img_md", F.lit(None).cast("string")))
-        inline = (kids_plain.unionByName(kids_url)
-                  .select("page_id", "parent", "pre", piece.alias("s"))
-                  .groupBy("page_id", F.col("parent").alias("pre"))
-                  .agg(collapse_ws(_sorted_join(F.collect_list(F.struct("pre", "s")), ""))
-                       .alias("inline")))
-
-        blocks = emitted.join(inline, ["page_id", "pre"], "left").join(
-            parts, ["page_id", "pre"], "left")
-        markers = self._list_markers(emitted)
-        blocks = blocks.join(markers, ["page_id", "pre"], "left")
-        imgs = with_image_markdown(
-            emitted.filter(F.col("tag") == "img").join(self.base, "page_id", "left")
-        ).select("page_id", "pre", "img_md")
-        blocks = blocks.join(imgs, ["page_id", "pre"], "left")
-
-        inline_c = F.coalesce(F.col("inline"), F.lit(""))
-        blocks = blocks.withColumn("_gt_nl", F.coalesce(_sorted_join(F.col("parts"), "\n"),
-                                                       F.lit("")))
-        gt_nl = F.col("_gt_nl")
-        quote = F.array_join(
-            F.transform(F.split(gt_nl, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"),
-                        lambda ln: F.concat(F.lit("> "), ln)), "\n")
-        heading_level = F.substring(tag, 2, 1).cast("int")
-        value = (
-            F.when(tag.isin("h1", "h2", "h3", "h4", "h5", "h6"),
-                   F.concat(F.repeat(F.lit("#"), heading_level), F.lit(" "), inline_c))
-            .when(tag == "li", F.concat(F.col("marker"), F.lit(" "), inline_c))
-            .when(tag == "pre", F.concat(F.lit("```\n"), gt_nl, F.lit("\n```")))
-            .when(tag == "blockquote", F.when(gt_nl == "", F.lit("")).otherwise(quote))
-            .when(tag == "img", F.col("img_md"))
-            .otherwise(inline_c))
-        simple = (blocks.filter(tag != "table")
-                  .select("page_id", F.col("pre").alias("bpre"), F.lit(0).alias("line_no"),
-                          value.alias("value"), F.lit(False).alias("is_table"), "anc_pre"))
-        tables = self._table_lines(el, emitted.filter(tag == "table"), parts)
-        return simple.unionByName(tables).filter(F.col("value") != "")
-
-    def _list_markers(self, emitted: DataFrame) -> DataFrame:
-        """Indentation by enclosing ``li`` count; ``-`` or the ordinal in
-        the nearest ``ol`` (index of the first equal sibling item, + start - 1)."""
-        li = emitted.filter(F.col("tag") == "li")
-        idx = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size("anc_tags"), F.lit(1))), F.lit(0),
-            lambda acc, i: F.when(F.try_element_at(F.col("anc_tags"), i).isin("ul", "ol"), i)
-            .otherwise(acc))
-        li = li.select(
-            "page_id", "pre", "sig",
-            F.size(F.filter("anc_tags", lambda t: t == "li")).alias("li_depth"),
-            F.when(idx > 0, F.try_element_at("anc_tags", F.greatest(idx, F.lit(1))))
-            .alias("list_tag"),
-            F.when(idx > 0, F.try_element_at("anc_pre", F.greatest(idx, F.lit(1))))
-            .alias("list_pre"))
-        siblings = (self.nodes.filter((F.col("tag") == "li") & (F.col("kind") == "element"))
-                    .select("page_id", F.col("parent").alias("list_pre"), "sig",
-                            F.row_number().over(Window.partitionBy("page_id", "parent")
-                                                .orderBy("pre")).alias("ordinal"))
-                    .groupBy("page_id", "list_pre", "sig").agg(F.min("ordinal").alias("ordinal")))
-        starts = (self.nodes.filter(F.col("tag") == "ol")
-                  .select("page_id", F.col("pre").alias("list_pre"),
-                          F.col("attrs")["start"].alias("start")))
-        ol = (li.filter(F.col("list_tag") == "ol")
-              .join(siblings, ["page_id", "list_pre", "sig"], "left")
-              .join(starts, ["page_id", "list_pre"], "left"))
-        start = F.when(F.col("start").rlike(r"^[0-9]+$"),
-                       F.coalesce(F.col("start").try_cast("long"), F.lit(1)) - 1).otherwise(F.lit(0))
-        number = F.coalesce(F.col("ordinal"), F.lit(1)) + start
-        ol = ol.select("page_id", "pre", F.concat(F.repeat(F.lit("  "), F.col("li_depth")),
-                                                  number.cast("string"), F.lit(".")).alias("marker"))
-        ul = (li.filter(F.col("list_tag").isNull() | (F.col("list_tag") == "ul"))
-              .select("page_id", "pre",
-                      F.concat(F.repeat(F.lit("  "), F.col("li_depth")), F.lit("-")).alias("marker")))
-        return ol.unionByName(ul)
-
-    def _table_lines(self, el: DataFrame, tables: DataFrame, parts: DataFrame) -> DataFrame:
-        """rows = all ``tr`` under the table, cells = all ``th``/``td`` under
-        the row; empty rows dropped; padded; header + ``---`` row."""
-        tpos = tables.select("page_id", F.col("pre").alias("tbl"), "anc_pre")
-        trs = (el.filter(F.col("tag") == "tr")
-               .select("page_id", F.col("pre").alias("tr"), F.explode("anc_pre").alias("tbl"))
-               .join(tpos.select("page_id", "tbl"), ["page_id", "tbl"]))
-        cell_text = squeeze_ws(F.coalesce(_sorted_join(F.col("parts"), " "), F.lit("")))
-        cells = (el.filter(F.col("tag").isin("th", "td"))
-                 .join(parts, ["page_id", "pre"], "left")
-                 .select("page_id", "pre", cell_text.alias("s"),
-                         F.explode("anc_pre").alias("tr"))
-                 .join(trs.select("page_id", "tr").distinct(), ["page_id", "tr"])
-                 .groupBy("page_id", "tr")
-                 .agg(F.sort_array(F.collect_list(F.struct("pre", "s")))["s"].alias("cells")))
-        w = Window.partitionBy("page_id", "tbl")
-        rows = (trs.join(cells, ["page_id", "tr"])
-                .withColumn("row_no", F.row_number().over(w.orderBy("tr")) - 1)
-                .withColumn("width", F.max(F.size("cells")).over(w)))
-        padded = F.concat(F.col("cells"), F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
-        row_line = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
-        body = rows.select("page_id", "tbl", F.when(F.col("row_no") == 0, 0)
-                           .otherwise(F.col("row_no") + 1).alias("line_no"),
-                           row_line.alias("value"))
-        rule = (rows.filter(F.col("row_no") == 0)
-                .select("page_id", "tbl", F.lit(1).alias("line_no"),
-                        F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")),
-                                                           " | "), F.lit(" |")).alias("value")))
-        return (body.unionByName(rule).join(tpos, ["page_id", "tbl"])
-                .select("page_id", F.col("tbl").alias("bpre"), "line_no", "value",
-                        F.lit(True).alias("is_table"), "anc_pre"))
-
-    # D6, D20, D21 ------------------------------------------------------
-    def root_markdown(self, roots: DataFrame, lines: DataFrame) -> DataFrame:
-        """Markdown per root: its emitted lines in document order, a line equal
-        to the previous one dropped unless it is a table line."""
-        under = (lines.select("page_id", "bpre", "line_no", "value", "is_table",
-                              F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
-                              .alias("pre"))
-                 .join(roots.select("page_id", "pre"), ["page_id", "pre"]))
-        w = Window.partitionBy("page_id", "pre").orderBy("bpre", "line_no")
-        kept = (under.withColumn("prev", F.lag("value").over(w))
-                .filter(F.col("is_table") | F.col("prev").isNull() | (F.col("value") != F.col("prev"))))
-        return (kept.groupBy("page_id", "pre")
-                .agg(F.array_join(
-                    F.sort_array(F.collect_list(F.struct("bpre", "line_no", "value")))["value"],
-                    "\n").alias("markdown")))
-
-    # Q8-Q10 ------------------------------------------------------------
-    def link_rollup(self, targets: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-        """Per target element: total link-text length (``a_len``), link count
-        (``n_a``) and words under ``p`` elements (``p_words``) of its subtree."""
-        stats = self.element_stats() if stats is None else stats
-        el = self.nodes.filter((F.col("kind") == "element") & F.col("tag").isin("a", "p"))
-        per_el = (el.join(stats.withColumnRenamed("anc", "pre"), ["page_id", "pre"], "left")
-                  .select("page_id", "tag", "anc_pre",
-                          F.coalesce(_text_len(), F.lit(0)).alias("len"),
-                          F.coalesce(F.col("sum_words"), F.lit(0)).alias("words")))
-        return (per_el.select("page_id", "tag", "len", "words",
-                              F.explode(F.concat(F.array(F.lit(DOCUMENT_PRE)), F.col("anc_pre")))
-                              .alias("pre"))
-                .join(targets.select("page_id", "pre"), ["page_id", "pre"])
-                .groupBy("page_id", "pre")
-                .agg(F.sum(F.when(F.col("tag") == "a", F.col("len"))).alias("a_len"),
-                     F.count(F.when(F.col("tag") == "a", 1)).alias("n_a"),
-                     F.sum(F.when(F.col("tag") == "p", F.col("words"))).alias("p_words")))
-
-    def root_scores(self, roots: DataFrame, md: DataFrame) -> DataFrame:
-        stats = self.element_stats()
-        text_len = _text_len()
-        rollup = self.link_rollup(roots, stats)
-        link_len = _link_len()
-        all_len = F.coalesce(text_len, F.lit(0))
-        density = F.try_divide(link_len.cast("double"), F.greatest(all_len, F.lit(1)).cast("double"))
-        n_words = word_count("markdown")
-        semantic = F.when(F.col("tag").isin(*SEMANTIC_ROOTS), 120).otherwise(0)
-        score = (quality("markdown")
-                 + F.least(F.coalesce(F.col("p_words"), F.lit(0)), F.lit(1500)) * 0.35
-                 + semantic
-                 - density * F.least(n_words, F.lit(1000)) * 1.2)
-        return (roots.join(md, ["page_id", "pre"])
-                .join(stats.withColumnRenamed("anc", "pre"), ["page_id", "pre"], "left")
-                .join(rollup, ["page_id", "pre"], "left")
-                .select("page_id", "pre", "tag", "sel_order", "markdown",
-                        F.when(n_words == 0, F.lit(0.0)).otherwise(score).alias("score")))
-
-    # C1 ----------------------------------------------------------------
-    def basic_extract(self) -> DataFrame:
-        """Per page with nodes, the non-empty root Markdown with the highest
-        score (first in selector order on ties): ``(page_id, root_pre, markdown)``."""
-        roots = self.roots()
-        md = self.root_markdown(roots, self.block_lines())
-        scored = self.root_scores(roots, md).filter(F.col("markdown") != "")
-        w = Window.partitionBy("page_id").orderBy(F.desc("score"), "sel_order", "pre")
-        return (scored.withColumn("rank", F.row_number().over(w)).filter("rank = 1")
-                .select("page_id", F.col("pre").alias("root_pre"), "markdown", "score"))
-
-
-def extract_basic(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _text(of: Column, sep: str) -> Column:
+    """The visible strings under an element, joined."""
+    return F.array_join(F.slice(F.col("strings"), of["first"] + 1, of["n"]), sep)
+
+
+def _target(kid: Column) -> Column:
+    """The URL that a link or an image (D12: its first non-empty lazy-load source) names."""
+    source = py_strip(F.coalesce(F.get(F.filter(kid["sources"], lambda s: s != ""), F.lit(0)), F.lit("")))
+    return F.when(kid["tag"] == "a", kid["href"]).when(kid["tag"] == "img", source)
+
+
+def _piece(kid: Column) -> Column:
+    """A direct child of an inline block, or an image (``![alt](url)``;
+    '' when it has no source or a ``data:`` URL)."""
+    tag = kid["tag"]
+
+    def rendered(parts: Column) -> Column:
+        text, url = parts["text"], parts["url"]
+        wrapped = lambda *around: F.concat(*(text if x is None else F.lit(x) for x in around))
+        alt = squeeze_ws(py_strip(F.coalesce(kid["alt"], F.lit(""))))
+        return (F.when(tag == "a", F.when((text != "") & F.coalesce(url != "", F.lit(False)), F.concat(F.lit("["), text, F.lit("]("), url, F.lit(")")))
+                       .otherwise(text))
+                .when(tag == "img", F.when((url == "") | url.startswith("data:"), F.lit(""))
+                      .otherwise(F.concat(F.lit("!["), alt, F.lit("]("), url, F.lit(")"))))
+                .when(tag.isin("ul", "ol"), F.lit(""))
+                .when(tag.isin("strong", "b"), wrapped("**", None, "**"))
+                .when(tag.isin("em", "i"), wrapped("*", None, "*"))
+                .when(tag == "code", wrapped("`", None, "`"))
+                .otherwise(text))
+
+    parts = F.struct(_text(kid, " ").alias("text"), resolved_url(_target(kid)).alias("url"))
+    return F.when(tag.isNull(), kid["text"]).otherwise(let(parts, rendered))
+
+
+def _marker(block: Column) -> Column:
+    """Indentation by enclosing ``li`` count; ``-`` or the ordinal in the
+    nearest ``ol`` (place of the first equal sibling item, + start - 1)."""
+    start = F.when(block["list_start"].rlike(r"^[0-9]+$"),
+                   F.coalesce(block["list_start"].try_cast("long"), F.lit(1)) - 1).otherwise(F.lit(0))
+    sign = F.when(block["list_tag"] == "ol", F.concat((block["ordinal"] + start).cast("string"), F.lit("."))).otherwise(F.lit("-"))
+    return F.concat(F.repeat(F.lit("  "), block["item_depth"]), sign)
+
+
+def _table(block: Column) -> Column:
+    """Cells of each row with any, padded; a rule after the first row."""
+    cell = lambda c: squeeze_ws(_text(c, " "))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def lines(rows: Column) -> Column:
+        def padded(width: Column) -> Column:
+            every = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+            rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+            return let(every, lambda e: F.concat(F.slice(e, 1, 1), rule, F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0)))))
+        return F.when(F.size(rows) == 0, _none("string")).otherwise(
+            let(F.array_max(F.transform(rows, lambda r: F.size(r))), padded))
+
+    rows = F.transform(F.filter(block["rows"], lambda r: F.size(r) > 0), lambda r: F.transform(r, cell))
+    return let(rows, lines)
+
+
+def _values(block: Column) -> Column:
+    """The lines that a block renders to."""
+    tag = block["tag"]
+
+    def value(parts: Column) -> Column:
+        raw, text = parts["raw"], parts["text"]
+        quote = F.array_join(F.transform(F.split(text, _LINE_BREAK), lambda ln: F.concat(F.lit("> "), ln)), "\n")
+        start = (F.when(tag.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" ")))
+                 .when(tag == "li", F.concat(_marker(block), F.lit(" "))).otherwise(F.lit("")))
+        return (F.when(tag == "pre", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+                .when(tag == "blockquote", F.when(text == "", F.lit("")).otherwise(quote))
+                .when(tag == "img", raw)
+                .otherwise(F.concat(start, collapse_ws(raw))))
+
+    parts = F.struct(F.array_join(F.transform(block["kids"], _piece), "").alias("raw"),
+                     F.when(tag.isin("pre", "blockquote"), _text(block, "\n")).alias("text"))
+    return F.when(tag == "table", _table(block)).otherwise(F.array(let(parts, value)))
+
+
+def _lines() -> Column:
+    """All emitted, non-empty lines of the page: ``array<struct<pre, value, is_table>>``."""
+    made = F.transform("blocks", lambda b: F.transform(_values(b), lambda v: F.struct(
+        b["pre"].alias("pre"), v.alias("value"), (b["tag"] == "table").alias("is_table"))))
+    return F.filter(F.flatten(made), lambda x: x["value"] != "")
+
+
+def _selector(of: Column) -> Column:
+    """The first selector an element matches; the first body is last in line."""
+    classes = F.split(F.coalesce(of["classes"], F.lit("")), r"\s+")
+    order = F.lit(None).cast("int")
+    for i, (kind, value) in reversed(list(enumerate(SELECTORS))):
+        hit = F.array_contains(classes, value) if kind == "class" else of[kind] == value
+        order = F.when(F.coalesce(hit, F.lit(False)), F.lit(i)).otherwise(order)
+    return order
+
+
+def _roots() -> Column:
+    """Candidate roots: selector matches, then the first body, else the whole document."""
+    fields = ("pre", "last", "tag", "text_len", "link_len", "p_words")
+    root = lambda of, order: F.struct(*(of[f].alias(f) for f in fields), order.alias("order"))
+    first_body = F.get(F.filter("marked", lambda m: m["tag"] == "body"), F.lit(0))["pre"]
+    order = lambda m: F.coalesce(_selector(m), F.when(m["pre"] == first_body, F.lit(BODY_ORDER)))
+    found = F.filter(F.transform("marked", lambda m: root(m, order(m))), lambda r: r["order"].isNotNull())
+    whole = F.array(root(F.col("whole"), F.lit(DOCUMENT_ORDER)))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
+
+
+def markdown_under(pre: Column, last: Column, lines: str = "lines") -> Column:
+    """The emitted lines under a root in document order, a line
+    equal to the previous one dropped unless it is a table line."""
+    under = F.filter(lines, lambda x: (x["pre"] > pre) & (x["pre"] <= last))
+    kept = let(under, lambda u: F.filter(u, lambda x, i: x["is_table"] | (i == 0) | (
+        x["value"] != F.coalesce(F.get(u, i - 1)["value"], F.lit("")))))
+    return F.array_join(F.transform(kept, lambda x: x["value"]), "\n")
+
+
+def _score(root: Column, markdown: Column) -> Column:
+    """Q8-Q10: quality, paragraph words, semantic roots, less the share of link text."""
+    density = F.try_divide(root["link_len"].cast("double"), F.greatest(root["text_len"], F.lit(1)).cast("double"))
+    semantic = F.when(root["tag"].isin(*SEMANTIC_ROOTS), 120).otherwise(0)
+    return let(word_count(markdown), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(
+        quality_of(markdown) + F.least(root["p_words"], F.lit(1500)) * 0.35 + semantic
+        - density * F.least(n, F.lit(1000)) * 1.2))
+
+
+def with_lines(pages: DataFrame) -> DataFrame:
+    """Page rows (``page_id, url, html`` and more) with their tree, ``title`` and emitted ``lines``."""
+    trees = with_base_parts(page_trees(pages), "url")
+    title = F.coalesce(F.array_join("title_parts", " "), F.lit(UNTITLED))
+    return trees.withColumn("title", title).withColumn("lines", F.coalesce(_lines(), _none(LINE)))
+
+
+def with_roots(lined: DataFrame) -> DataFrame:
+    """Adds ``roots``: candidate roots with their Markdown and score."""
+    roots = F.transform(_roots(), lambda r: F.struct(r.alias("root"), markdown_under(r["pre"], r["last"]).alias("markdown")))
+    named = F.transform(F.col("_roots"), lambda x: F.struct(
+        x["root"]["pre"].alias("pre"), x["root"]["tag"].alias("tag"), x["root"]["order"].alias("sel_order"),
+        x["markdown"].alias("markdown"), x["root"]["p_words"].alias("p_words"), x["root"]["text_len"].alias("text_len"),
+        x["root"]["link_len"].alias("link_len"), _score(x["root"], x["markdown"]).alias("score")))
+    return lined.withColumn("_roots", roots).withColumn("roots", named).drop("_roots")
+
+
+def with_basic(lined: DataFrame) -> DataFrame:
+    """Adds ``basic``, the non-empty root Markdown with the highest score
+    (first in selector order on ties); null when there is none."""
+    ranked = F.transform(F.filter("roots", lambda r: r["markdown"] != ""), lambda r: F.struct(
+        r["score"], -r["sel_order"], -r["pre"], r["markdown"].alias("markdown")))
+    return with_roots(lined).withColumn("basic", F.array_max(ranked)["markdown"])
+
+
+def extract_basic(pages: DataFrame) -> DataFrame:
     """Minimum slice: one row per page -- ``(page_id, url, title, markdown, quality)``."""
-    tree = PageTree(nodes, pages)
-    best = tree.basic_extract()
-    titles = tree.titles()
-    return (pages.select("page_id", "url")
-            .join(titles, "page_id", "left")
-            .join(best.select("page_id", "markdown"), "page_id", "left")
-            .select("page_id", "url",
-                    F.coalesce("title", F.lit(UNTITLED)).alias("title"),
-                    F.coalesce("markdown", F.lit("")).alias("markdown"))
-            .withColumn("quality", F.round(quality("markdown"), 6)))
+    found = with_basic(with_lines(pages.select("page_id", "url", "html"))).withColumn("markdown", F.coalesce("basic", F.lit("")))
+    return found.select("page_id", "url", "title", "markdown", F.round(quality_of(F.col("markdown")), 6).alias("quality"))

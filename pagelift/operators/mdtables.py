@@ -5,96 +5,159 @@ review preview renderer).
   heading, table (head / rule / row), quote, list, paragraph;
 * K2 blocks: consecutive lines of a class form a block (gaps and islands: a
   ``lag`` comparison and a running ``sum``); fenced code is found by the parity
-  of a running count of fence lines;
+  of a running count of fence lines; ``list_items`` and ``table_cells`` give
+  their structure;
 * K3 ``inline_spans``: code, image, link, bold and italic spans of the rendered
-  lines (``regexp_extract_all`` + ``posexplode``), link targets through the
-  scheme allow-list (U7).
+  texts -- a table cell each on its own -- with link targets through the scheme
+  allow-list (U7).
+
+A table begins at a line that starts with a pipe and is followed by a rule; the
+rule is used up, and all pipe lines after it are rows.  A run of pipe lines that
+follows directly on a rule without a pipe belongs to the head above that rule:
+whether a run is such a body alternates along a chain of them, so it is the
+parity of the chain's length before it.
 
 All windows are per document, ordered by line number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import safe_link
 
-# Line and span patterns of the preview renderer.
-FENCE = r"^\s*```"
-HEADING = r"^(#{1,6})\s+(.*)$"
-TABLE_RULE = r"^\s*\|?\s*:?-{2,}"
-LIST_ITEM = r"^(\s*)([-*]|\d+\.)\s+(.*)$"
-INLINE = (r"`([^`]+)`|!\[([^\]]*)\]\(([^)\s]+)\)|\[([^\]]*)\]\(([^)\s]+)\)"
+# White space and line ends of the preview's pattern language, and its patterns.
+SPACE = r"[\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+REST = r"([^\n\r\x{2028}\x{2029}]*)\z"
+HEADING = rf"^(#{{1,6}}){SPACE}+{REST}"
+TABLE_RULE = rf"^{SPACE}*\|?{SPACE}*:?-{{2,}}"
+LIST_START = rf"^({SPACE}*)([-*]|[0-9]+\.){SPACE}+"
+LIST_ITEM = LIST_START + REST
+_TARGET = rf"\(((?:(?!{SPACE})[^)])+)\)"
+INLINE = (rf"`([^`]+)`|!\[([^\]]*)\]{_TARGET}|\[([^\]]*)\]{_TARGET}"
           r"|\*\*([^*]+)\*\*|\*([^*]+)\*")
 
 
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def markdown_lines(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """K1/K2: ``(key, ln, line, cls, block)``; blank lines get block null."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-                        .alias("ln", "line"))
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("ln", "line"))
     w = Window.partitionBy(key).orderBy("ln")
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = (lines.withColumn("is_fence", F.col("line").rlike(FENCE))
-             .withColumn("fences_before", F.coalesce(
-                 F.sum(F.col("is_fence").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                 F.lit(0)))
-             .withColumn("pipe", trimmed.startswith("|"))
-             .withColumn("next_rule", F.coalesce(F.lead("line").over(w).rlike(TABLE_RULE), F.lit(False))))
-    in_code = (F.col("fences_before") % 2) == 1
-    head = ~in_code & ~F.col("is_fence") & F.col("pipe") & F.col("next_rule")
-    lines = lines.withColumn("table_head", head)
-    lines = lines.withColumn("after_head", F.coalesce(F.lag("table_head").over(w), F.lit(False)))
-    # a table runs from its head over the following pipe lines
-    lines = lines.withColumn("pipe_run", F.sum((~F.col("pipe") & ~F.col("after_head")).cast("int"))
-                             .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = Window.partitionBy(key, "pipe_run").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("in_table", F.max(F.col("table_head").cast("int")).over(wr) == 1)
-    cls = (F.when(F.col("is_fence"), F.when(in_code, "fence_close").otherwise("fence_open"))
-           .when(in_code, "code")
-           .when(trimmed == "", "blank")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("trimmed", _trim(F.col("line"))).withColumn("is_fence", F.col("trimmed").startswith("```"))
+    lines = lines.withColumn("in_code", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
+    pipe = F.col("trimmed").startswith("|") & ~F.col("in_code")
+    lines = lines.withColumn("pipe", pipe)
+    # a run: a line without a pipe and the pipe lines right after it
+    lines = lines.withColumn("run", F.sum((~F.col("pipe")).cast("int")).over(up_to)).withColumn(
+        "may_head", F.col("pipe") & F.coalesce(F.lead("line").over(w).rlike(TABLE_RULE), F.lit(False)))
+    runs = lines.groupBy(key, "run").agg(F.min(F.when(F.col("may_head"), F.col("ln"))).alias("head"),
+                                         F.max(F.when(F.col("pipe"), F.col("ln"))).alias("end"))
+    by_run = Window.partitionBy(key).orderBy("run")
+    runs = runs.withColumn("chained", F.coalesce(F.col("head") == F.col("end"), F.lit(False)))
+    broken = F.max(F.when(~F.col("chained"), F.col("run"))).over(by_run.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("run").over(Window.partitionBy(key))
+    runs = runs.withColumn("is_body", (F.col("run") - F.coalesce(broken, first - 1) - 1) % 2 == 1)
+    runs = runs.withColumn("head", F.when(~F.col("is_body"), F.col("head")))
+    # the line that opens the run is a rule where the run before ends with a head
+    runs = runs.withColumn("after_head", F.coalesce(F.lag(F.col("head") == F.col("end")).over(by_run), F.lit(False)))
+    lines = lines.join(runs.select(key, "run", "head", "is_body", "after_head"), [key, "run"])
+    pipe, head, ln = F.col("pipe"), F.col("head"), F.col("ln")
+    cls = (F.when(F.col("is_fence"), F.when(F.col("in_code"), "fence_close").otherwise("fence_open"))
+           .when(F.col("in_code"), "code")
+           .when(F.col("trimmed") == "", "blank")
+           .when(~pipe & F.col("after_head"), "table_rule")
            .when(F.col("line").rlike(HEADING), "heading")
-           .when(F.col("table_head"), "table_head")
-           .when(F.col("after_head") & ~in_code, "table_rule")
-           .when(F.col("in_table") & F.col("pipe"), "table_row")
+           .when(pipe & F.col("is_body"), "table_row")
+           .when(pipe & (ln == head), "table_head")
+           .when(pipe & (ln == head + 1), "table_rule")
+           .when(pipe & (ln > head + 1), "table_row")
            .when(F.col("line").startswith(">"), "quote")
            .when(F.col("line").rlike(LIST_ITEM), "list")
            .otherwise("paragraph"))
-    lines = lines.withColumn("cls", cls)
-    group = (F.when(F.col("cls").isin("fence_open", "code", "fence_close"), "code")
-             .when(F.col("cls").startswith("table"), "table").otherwise(F.col("cls")))
-    lines = lines.withColumn("grp", group)
+    lines = lines.withColumn("cls", cls).withColumn("grp", _kind(F.col("cls")))
+    # a paragraph goes on over lines that could open nothing else
+    opens = (F.col("cls") == "paragraph") & (pipe | F.col("line").rlike(LIST_START) | F.col("line").rlike(rf"^#{{1,6}}{SPACE}+"))
     starts = ((F.col("grp") != F.coalesce(F.lag("grp").over(w), F.lit("")))
-              | F.col("cls").isin("heading", "fence_open", "table_head"))
-    lines = lines.withColumn("block", F.sum(starts.cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    return lines.select(key, "ln", "line", "cls",
-                        F.when(F.col("cls") != "blank", F.col("block")).alias("block"))
+              | F.col("cls").isin("heading", "fence_open", "table_head") | opens)
+    lines = lines.withColumn("block", F.sum(starts.cast("int")).over(up_to))
+    return lines.select(key, "ln", "line", "cls", F.when(F.col("cls") != "blank", F.col("block")).alias("block"))
+
+
+def _kind(cls: Column) -> Column:
+    return (F.when(cls.isin("fence_open", "code", "fence_close"), "code")
+            .when(cls.startswith("table"), "table").otherwise(cls))
 
 
 def markdown_blocks(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    """K2: ``(key, block, kind, first_ln, n_lines)``."""
-    kind = F.when(F.col("cls").isin("fence_open", "code", "fence_close"), "code") \
-        .when(F.col("cls").startswith("table"), "table").otherwise(F.col("cls"))
-    return (lines.filter(F.col("block").isNotNull())
-            .groupBy(key, "block")
-            .agg(F.min(F.struct("ln", kind.alias("kind"))).alias("first"),
-                 F.count("*").alias("n_lines"))
-            .select(key, "block", F.col("first.kind").alias("kind"),
-                    F.col("first.ln").alias("first_ln"), "n_lines"))
+    """K2: ``(key, block, kind, first_ln, n_lines, level, n_spans, n_blocked_links)``:
+    the level of a heading, the inline spans and those whose target is not allowed."""
+    spans = F.flatten(F.transform(rendered_texts(), lambda t: F.regexp_extract_all(t, F.lit(INLINE), 0)))
+    blocked = lambda s: F.coalesce(_target(s).isNotNull() & (safe_link(_target(s)) == "#"), F.lit(False))
+    own = (lines.filter(F.col("block").isNotNull()).withColumn("spans", spans)
+           .withColumn("blocked", F.size(F.filter("spans", blocked)).cast("long")))
+    return (own.groupBy(key, "block")
+            .agg(F.min(F.struct("ln", _kind(F.col("cls")).alias("kind"), F.when(
+                F.col("cls") == "heading", F.length(F.regexp_extract("line", HEADING, 1))).alias("level"))).alias("first"),
+                F.count("*").alias("n_lines"), F.sum(F.size("spans").cast("long")).alias("n_spans"), F.sum("blocked").alias("n_blocked_links"))
+            .select(key, "block", F.col("first.kind").alias("kind"), F.col("first.ln").alias("first_ln"), "n_lines",
+                    F.col("first.level").alias("level"), "n_spans", "n_blocked_links"))
+
+
+def _cells(line: Column) -> Column:
+    """The trimmed cells of a table line."""
+    inner = F.regexp_replace(F.regexp_replace(_trim(line), r"^\|", ""), r"\|\z", "")
+    return F.transform(F.split(inner, r"\|"), _trim)
+
+
+def table_cells(lines: DataFrame, key: str = "page_id") -> DataFrame:
+    """K2: ``(key, block, ln, is_head, col, cell)`` of every table."""
+    return (lines.filter(F.col("cls").isin("table_head", "table_row"))
+            .select(key, "block", "ln", (F.col("cls") == "table_head").alias("is_head"), F.posexplode(_cells(F.col("line"))).alias("col", "cell")))
+
+
+def list_items(lines: DataFrame, key: str = "page_id") -> DataFrame:
+    """K2: ``(key, block, ln, indent, ordered, depth, content)`` of every list line.
+
+    An item stands under each smaller indent whose last line comes after the
+    last line with a still smaller one; its depth counts those and itself."""
+    items = lines.filter(F.col("cls") == "list").select(
+        key, "block", "ln", F.length(F.regexp_extract("line", LIST_ITEM, 1)).alias("indent"),
+        F.regexp_extract("line", LIST_ITEM, 2).rlike(r"[0-9]").alias("ordered"), F.regexp_extract("line", LIST_ITEM, 3).alias("content"))
+    levels = items.select(key, "block", F.col("indent").alias("at")).distinct()
+    w = Window.partitionBy(key, "block", "at").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda cond: F.max(F.when(cond, F.col("ln"))).over(w)
+    pairs = items.join(levels, [key, "block"])  # lines x the block's distinct indents
+    holds = (last(F.col("indent") == F.col("at")) > F.coalesce(last(F.col("indent") < F.col("at")), F.lit(-1))) & (F.col("at") <= F.col("indent"))
+    return (pairs.withColumn("holds", F.coalesce(holds, F.lit(False)))
+            .groupBy(key, "block", "ln", "indent", "ordered", "content").agg(F.sum(F.col("holds").cast("int")).cast("int").alias("depth")))
+
+
+def rendered_texts() -> Column:
+    """The texts of a line in which spans are looked for: one, or one per table cell; none in code and rules."""
+    cls, line = F.col("cls"), F.col("line")
+    text = (F.when(cls == "heading", F.regexp_extract(line, HEADING, 2))
+            .when(cls == "list", F.regexp_extract(line, LIST_ITEM, 3))
+            .when(cls == "quote", F.regexp_replace(line, rf"^>{SPACE}?", ""))
+            .when(cls == "paragraph", line))
+    return (F.when(cls.isin("table_head", "table_row"), _cells(line))
+            .when(text.isNotNull(), F.array(text)).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def _target(span: Column) -> Column:
+    return F.when(span.rlike(r"^!?\[") & span.endswith(")"), F.regexp_extract(span, r"\]\(([^)]+)\)\z", 1))
 
 
 def inline_spans(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    """K3: ``(key, ln, pos, kind, label, target, safe_target)`` for every span
-    of the rendered (non-code) lines."""
-    content = (F.when(F.col("cls") == "heading", F.regexp_extract("line", HEADING, 2))
-               .when(F.col("cls") == "list", F.regexp_extract("line", LIST_ITEM, 3))
-               .when(F.col("cls") == "quote", F.regexp_replace("line", r"^>\s?", ""))
-               .otherwise(F.col("line")))
-    spans = (lines.filter(F.col("cls").isin("heading", "list", "quote", "paragraph",
-                                            "table_head", "table_row"))
-             .select(key, "ln", F.posexplode(F.regexp_extract_all(content, F.lit(INLINE), 0))
-                     .alias("pos", "span")))
+    """K3: ``(key, ln, cell, pos, kind, label, target, safe_target)`` for every span
+    of the rendered texts; ``cell`` is 0 but in tables."""
+    texts = lines.select(key, "ln", F.posexplode(rendered_texts()).alias("cell", "text"))
+    spans = texts.select(key, "ln", "cell", F.posexplode(F.regexp_extract_all("text", F.lit(INLINE), 0)).alias("pos", "span"))
     s = F.col("span")
     kind = (F.when(s.startswith("`"), "code").when(s.startswith("!["), "image")
             .when(s.startswith("["), "link").when(s.startswith("**"), "bold").otherwise("italic"))
@@ -103,7 +166,6 @@ def inline_spans(lines: DataFrame, key: str = "page_id") -> DataFrame:
              .when(kind == "link", F.regexp_extract(s, r"^\[([^\]]*)\]", 1))
              .when(kind == "bold", F.regexp_extract(s, r"^\*\*([^*]+)\*\*$", 1))
              .otherwise(F.regexp_extract(s, r"^\*([^*]+)\*$", 1)))
-    target = F.when(kind.isin("image", "link"), F.regexp_extract(s, r"\]\(([^)\s]+)\)$", 1))
-    return spans.select(key, "ln", "pos", kind.alias("kind"), label.alias("label"),
-                        target.alias("target"),
+    target = F.when(kind.isin("image", "link"), _target(s))
+    return spans.select(key, "ln", "cell", "pos", kind.alias("kind"), label.alias("label"), target.alias("target"),
                         F.when(target.isNotNull(), safe_link(target)).alias("safe_target"))

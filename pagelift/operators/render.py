@@ -57,7 +57,3 @@ def needs_render(text: Column, has_marker: Column, script_count: Column,
             | (has_marker & (words < SHELL_WORDS))
             | ((script_count >= SCRIPT_HEAVY) & (words < SCRIPT_WORDS))
             | ((html_chars > LARGE_HTML) & (ratio < TEXT_RATIO) & (words < LARGE_WORDS)))
-
-
-def with_shell_features(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.select("*", *[c.alias(n) for n, c in shell_features(html).items()])

@@ -14,6 +14,7 @@ MAX_INSTRUCTIONS = 2_000
 MAX_TITLE = 500
 MAX_CONTENT = 200_000
 UNTITLED = "Untitled page"
+INSTRUCTIONS_TOO_LONG = "instructions: longer than 2000 characters"
 REVIEW_FIELDS = ("url", "title", "method", "raw_text", "cleaned_text", "llm_used", "author",
                  "published_date", "description", "warning")
 
@@ -24,11 +25,6 @@ def merge_warnings(*cols: Column) -> Column:
     return F.nullif(F.array_join(arr, " "), F.lit(""))
 
 
-def review_items(df: DataFrame) -> DataFrame:
-    """A1: the ten review fields (keyed by page_id)."""
-    return df.select("page_id", *REVIEW_FIELDS)
-
-
 def http_url_ok(url: Column) -> Column:
     return url_scheme(url).isin("http", "https") & (url_host(url) != "")
 
@@ -45,25 +41,26 @@ def validate_approvals(approvals: DataFrame) -> DataFrame:
     return approvals.withColumn("reject_reason", reason)
 
 
-def approve(approvals: DataFrame) -> DataFrame:
-    """A4: valid approvals -> ``(url, status, title, content)``, title and
-    content stripped, an empty title replaced by "Untitled page"."""
+def approve(approvals: DataFrame, *keep: str) -> DataFrame:
+    """A4: valid approvals -> ``(url, status, title, content)`` and the columns to
+    keep, title and content stripped, an empty title replaced by "Untitled page"."""
     valid = validate_approvals(approvals).filter(F.col("reject_reason").isNull())
     title = F.coalesce(F.nullif(py_strip(F.coalesce(F.col("title"), F.lit(""))), F.lit("")),
                        F.lit(UNTITLED))
     return valid.select("url", F.lit("approved").alias("status"), title.alias("title"),
-                        py_strip("content").alias("content"))
+                        py_strip("content").alias("content"), *keep)
 
 
 def approval_gate(items: DataFrame, approvals: DataFrame,
                   salt_cols: tuple[str, ...] = ("page_id",)) -> tuple[DataFrame, DataFrame]:
     """A5: (approved, pending).  Only items with a valid approval leave; the
-    approved text is the human's.  One approval per URL is kept (the first
-    valid one in content order, a partial aggregate) so the join cannot
-    multiply items; the item side is salted when the approvals are too large
-    to broadcast, so a URL shared by many items does not land in one task."""
-    ok = approve(approvals)
-    one = ok.groupBy("url").agg(F.min(F.struct("content", "title")).alias("a")).select(
+    approved text is the human's.  One approval per URL is kept -- the latest by
+    ``approved_at`` where there is that column, ties by content -- so the join
+    cannot multiply items; the item side is salted when the approvals are too
+    large to broadcast, so a URL shared by many items does not land in one task."""
+    at = F.col("approved_at") if "approved_at" in approvals.columns else F.lit(None).cast("timestamp")
+    ok = approve(approvals.withColumn("_at", at), "_at")
+    one = ok.groupBy("url").agg(F.max(F.struct("_at", "content", "title")).alias("a")).select(
         "url", F.col("a.title").alias("approved_title"), F.col("a.content").alias("approved_content"))
     approved = join_dimension(items, one, "url", how="inner", salt_cols=salt_cols)
     pending = join_dimension(items, one.select("url"), "url", how="left_anti", salt_cols=salt_cols)

@@ -1,83 +1,13 @@
-"""Extraction plan: pages -> nodes (one shuffle, persisted) -> Markdown.
+"""Extraction plans: a scan of the pages, the parser, and projections.
 
-``configure`` sets the planner options this workload relies on:
-
-* joins whose keys start with ``page_id`` may reuse the ``page_id`` hash
-  partitioning of the node table instead of re-shuffling on all join keys
-  (page ids are unique and pages are size-capped by S2, so it cannot skew);
-* no size-estimate broadcasts: node-level joins are co-partitioned, so a
-  sort-merge join needs no exchange, while each broadcast is an extra job.
-  Broadcasts of tables with a known bound are requested explicitly
-  (``F.broadcast`` behind :func:`pagelift.plans.joins.join_dimension`, the
-  constant address-range table);
-* adaptive execution off: with it, a persisted relation no longer reports its
-  ``page_id`` hash partitioning and every page-keyed join re-shuffles (79
-  exchanges instead of 3 for the basic extraction at sf0.01).  What it would
-  add is covered by design here: page ids cannot skew, hot hosts are salted
-  explicitly, bounded tables are broadcast explicitly, and the node table's
-  partition count is chosen up front (``JobConfig.node_partitions``);
-* at most ``ARROW_PAGES_PER_BATCH`` pages per Arrow batch into the parser.
+Nothing here sets session options: each page is one row from the parser on, so
+there is no shuffle to size and no join to steer.  The parser takes parts of
+bounded size from each Arrow batch.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..config import DEFAULT, JobConfig
+from ..operators.candidates import extract_readable, readable
 from ..operators.markdown import extract_basic
-from ..operators.nodes import page_nodes
-from .joins import input_bytes
-
-
-ARROW_PAGES_PER_BATCH = 128
-
-
-def configure(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    # pages per Arrow batch into the parser: bounded memory per Python worker
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_PAGES_PER_BATCH))
-
-
-# ours: node table sizing -- node rows take about this many bytes per stored
-# input byte (ancestor arrays, attributes, per-node overhead), and a partition
-# should hold about this many bytes of nodes
-NODE_EXPANSION = 8
-NODE_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_NODE_PARTITIONS = 2 ** 31 - 1
-
-
-def node_partitions(pages: DataFrame, cfg: JobConfig = DEFAULT) -> int:
-    """Partitions of the node shuffle: ``cfg.node_partitions`` when set, else
-    the session default or enough for ~256 MB of nodes each, whichever is
-    larger (adaptive execution is off for these jobs, so nothing else sizes
-    this shuffle)."""
-    if cfg.node_partitions:
-        return cfg.node_partitions
-    spark = pages.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_size = -(-input_bytes(pages) * NODE_EXPANSION // NODE_PARTITION_BYTES)
-    return int(min(max(base, by_size), MAX_NODE_PARTITIONS))
-
-
-def persisted_nodes(pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:
-    """D1 once per run: parse, hash-partition by page_id, keep in memory/disk.
-
-    Only pages within the download cap (S2) are parsed, so every per-page group
-    downstream is bounded; larger pages yield no nodes (and so empty Markdown).
-    A lost executor only loses cached blocks; Spark recomputes them from the
-    (short) lineage scan -> parse -> shuffle."""
-    admitted = pages.filter(F.coalesce(F.octet_length("html") <= cfg.max_download_bytes,
-                                       F.lit(True)))
-    return page_nodes(admitted, node_partitions(pages, cfg)).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def basic_extraction(spark: SparkSession, pages: DataFrame, cfg: JobConfig = DEFAULT) -> DataFrame:
-    configure(spark)
-    return extract_basic(pages, persisted_nodes(pages, cfg))
-
 
-__all__ = ["configure", "persisted_nodes", "basic_extraction"]
+__all__ = ["extract_basic", "extract_readable", "readable"]

@@ -1,10 +1,11 @@
 """Join helpers for a large fact table against a per-key dimension.
 
-``join_dimension`` broadcasts the dimension only when Catalyst's size estimate
-for it is within a bound; otherwise it salts: the fact side gets a
-deterministic salt from a hash of its row, the dimension is replicated once per
-salt value, and the join runs on (key, salt) -- so one key holding a large
-share of the fact rows is spread over ``salt_buckets`` tasks instead of one.
+``join_dimension`` broadcasts the dimension only when its measured size (a sum
+over its rows, not an estimate) is within a bound; otherwise it salts: the fact
+side gets a deterministic salt from a hash of its row, the dimension is
+replicated once per salt value, and the join runs on (key, salt) -- so one key
+holding a large share of the fact rows is spread over ``salt_buckets`` tasks
+instead of one.
 """
 
 from __future__ import annotations
@@ -14,44 +15,25 @@ from pyspark.sql import functions as F
 
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 32
-UNKNOWN_SIZE = 2 ** 62
+ROW_BYTES = 64
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (an upper bound for filters and
-    aggregates without column statistics)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the plan's leaf relations (file scans, cached or
-    checkpointed data): an upper bound on the input that, unlike estimates of
-    joins, does not multiply."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    it = leaves.iterator()
-    while it.hasNext():
-        size = int(str(it.next().stats().sizeInBytes()))
-        if size < UNKNOWN_SIZE:  # relations of unknown size report a huge default
-            total += size
-    return total
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df``: the length of all strings, and ``ROW_BYTES`` for each row."""
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    return df.agg(F.coalesce(F.sum(sum(texts, F.lit(ROW_BYTES)).cast("long")), F.lit(0))).first()[0]
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str, how: str = "left",
                    max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
                    salt_buckets: int = SALT_BUCKETS,
-                   salt_cols: tuple[str, ...] | None = None,
-                   dim_bytes_bound: int | None = None) -> DataFrame:
+                   salt_cols: tuple[str, ...] | None = None) -> DataFrame:
     """``fact`` joined to ``dim`` on ``key``.  ``salt_cols`` (e.g. a unique id)
     give a deterministic salt; without them rows are dealt round-robin.  Any
     salt assignment gives the same result: every salt value exists in the
-    replicated dimension.  ``dim_bytes_bound`` is a caller-proven upper bound
-    on the dimension's size (e.g. the column it was distilled from); the
-    smaller of it and Catalyst's estimate decides the broadcast."""
-    size = estimated_bytes(dim)
-    if dim_bytes_bound is not None:
-        size = min(size, dim_bytes_bound)
-    if size <= max_broadcast_bytes:
+    replicated dimension.  ``dim`` is read once to measure it, so it should be
+    a written table or a cheap plan."""
+    if max_broadcast_bytes >= 0 and measured_bytes(dim) <= max_broadcast_bytes:
         return fact.join(F.broadcast(dim), key, how)
     if salt_cols:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))

@@ -1,14 +1,16 @@
-"""The whole scrape flow as one lazy plan over a table of pages.
+"""The whole scrape flow over a table of pages.
 
-pages --U1-U4 guard--> S2 admission --> extraction of the fetched html (pass 1)
-      --> R2 decision --> rendered copies only for pages that need one (R3/R4)
-      --> extraction of those copies (pass 2) --> R4/R5 choice --> R6
-      --> M1/M2 metadata of the html used --> L4/L5 cleanup merge --> A1/A2
+pages --S2 admission, U1/U2--> extraction of the fetched html (a projection)
+      --U3/U4 guard--> R2 decision --> rendered copies only for pages that need one (R3/R4)
+      --> extraction of those copies --> R4/R5 choice --> R6
+      --> M1/M2 metadata of the html used --> L2 requests, L4/L5 merge --> A1/A2
 and the rejections (R7) as a second table.
 
-Both extraction passes parse, shuffle once by page_id and persist their node
-tables; pass 2 only sees the pages selected for rendering (a semi-join before
-the parse), so the cheap path stays cheap.
+Extraction is a projection of the page scan, so html is never shuffled for the
+first pass; what the row itself rules out (fetch failed, no HTML, too large, no
+public URL by its text) is not parsed.  Each step's narrow result is written
+once to the shared run folder as Parquet and read back; the extracted text is
+written once per pass, and once more with the choice between both.
 """
 
 from __future__ import annotations
@@ -20,16 +22,15 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JobConfig
 from ..functions.text import quality
+from ..functions.urls import local_host, scheme_host_ok
 from ..operators.admission import admit
-from ..operators.candidates import extract_readable
-from ..operators.cleanup import merge_cleanup
+from ..operators.candidates import readable
+from ..operators.cleanup import cleanup_requests, merge_cleanup
 from ..operators.guard import guard_urls
-from ..operators.markdown import PageTree
-from ..operators.metadata import page_metadata
+from ..operators.metadata import metadata
 from ..operators.render import UPGRADE_FACTOR, needs_render, shell_features
-from ..operators.review import REVIEW_FIELDS, merge_warnings
-from ..session import checkpoint_dir
-from .extract import configure, persisted_nodes
+from ..operators.review import INSTRUCTIONS_TOO_LONG, REVIEW_FIELDS, instructions_ok, merge_warnings
+from ..session import run_table
 
 # Warning and error texts.
 FALLBACK_WARNING = "Direct download failed, so the browser renderer was used: "
@@ -43,116 +44,98 @@ PROCESS_ERROR = "Could not process page: "
 class ScrapeResult:
     items: DataFrame      # A1: page_id + the ten review fields
     rejected: DataFrame   # R7: page_id, url, status, detail
+    requests: DataFrame   # L2: one cleanup request per part of an item's text
 
 
-def _extract(spark: SparkSession, pages: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
-    """(extraction, metadata) of ``pages(page_id, url, html)``, checkpointed.
+def _column(pages: DataFrame, name: str, kind: str, other=None):
+    return F.col(name) if name in pages.columns else (F.lit(None).cast(kind) if other is None else other)
 
-    The checkpoint (in the shared ``spark.checkpoint.dir``) cuts the lineage
-    and the plan: later steps see a scan of the written result, a lost
-    executor does not re-run the extraction, and the optimizer does not
-    re-plan it inside the larger flow."""
-    checkpoint_dir(spark)
-    nodes = persisted_nodes(pages, cfg)
-    tree = PageTree(nodes, pages)
-    ex = extract_readable(pages, nodes, tree).checkpoint(eager=True)
-    meta = page_metadata(nodes).checkpoint(eager=True)
-    tree.release()
-    nodes.unpersist()
-    return ex, meta
+
+def _extracted(pages: DataFrame) -> DataFrame:
+    return readable(pages).select("*", *metadata())
+
+
+_TEXTS = ("page_id", "url", "title", "text", "parse_error", "author", "published_date", "description")
 
 
 def scrape(spark: SparkSession, pages: DataFrame, rendered: DataFrame, dns: DataFrame,
-           cfg: JobConfig = DEFAULT, llm_responses: DataFrame | None = None) -> ScrapeResult:
-    configure(spark)
-    checkpoint_dir(spark)
-    cols = set(pages.columns)
-    # the guard and admission work on a narrow table (no html), checkpointed:
-    # each extraction pass then reads a plain scan semi-joined to small ids
+           cfg: JobConfig = DEFAULT, llm_responses: DataFrame | None = None,
+           requests: DataFrame | None = None) -> ScrapeResult:
+    """``pages(page_id, url, html[, final_url, fetch_error, content_type, n_bytes])`` to review items.
+
+    ``requests(page_id, instructions)`` may name the instructions of a page's
+    cleanup; a page whose instructions are too long is rejected (422)."""
+    html_size = F.octet_length("html").cast("long")
     p = pages.select(
-        "page_id", "url",
-        (F.col("final_url") if "final_url" in cols else F.col("url")).alias("final_url"),
-        (F.col("fetch_error") if "fetch_error" in cols else F.lit(None).cast("string"))
-        .alias("fetch_error"),
-        *([F.col("content_type")] if "content_type" in cols else []),
-        (F.col("n_bytes") if "n_bytes" in cols else F.octet_length("html").cast("long"))
-        .alias("n_bytes"))
-    p = guard_urls(spark, p, "url", dns, out="unsafe")
+        "page_id", "url", _column(pages, "final_url", "string", F.col("url")).alias("final_url"),
+        _column(pages, "fetch_error", "string").alias("fetch_error"),
+        *([F.col("content_type")] if "content_type" in pages.columns else []),
+        _column(pages, "n_bytes", "long", html_size).alias("n_bytes"), "html")
     p = admit(p, cfg)
-    # The URL after redirects is guarded like the requested one
-    p = guard_urls(spark, p, "final_url", dns, out="final_unsafe")
-    p = p.withColumn("fetch_fail", F.coalesce("fetch_error", "reject_reason")).checkpoint(eager=True)
-
-    http_ids = p.filter(F.col("unsafe").isNull() & F.col("final_unsafe").isNull()
-                        & F.col("fetch_fail").isNull()).select("page_id", F.col("final_url").alias("url"))
-    http_pages = pages.select("page_id", "html").join(http_ids, "page_id")
-    ex1, meta1 = _extract(spark, http_pages.select("page_id", "url", "html"), cfg)
-    feats = http_pages.select("page_id", *[c.alias(n) for n, c in shell_features("html").items()])
-    h = (ex1.join(feats, "page_id")
-         .withColumn("needs", needs_render(F.col("text"), F.col("has_marker"),
-                                           F.col("script_count"), F.col("html_chars")))
-         .select("page_id", F.col("url").alias("h_url"), F.col("title").alias("h_title"),
-                 F.col("text").alias("h_text"), "needs")).checkpoint(eager=True)
-
+    public = scheme_host_ok("url") & ~local_host("url") & scheme_host_ok("final_url") & ~local_host("final_url")
+    p = p.withColumn("fetch_fail", F.coalesce("fetch_error", "reject_reason")).withColumn("parsed", F.col("fetch_fail").isNull() & public)
+
+    # pass 1: the fetched html, in the scan
+    features = [c.alias(n) for n, c in shell_features("html").items()]
+    own = p.filter("parsed").select("page_id", F.col("final_url").alias("url"), "html", *features)
+    first = _extracted(own).select(*_TEXTS, "has_marker", "script_count", "html_chars")
+    first = run_table(first.drop("url").withColumn("needs", needs_render(F.col("text"), F.col("has_marker"), F.col("script_count"), F.col("html_chars")))
+                      .drop("has_marker", "script_count", "html_chars"), "scrape-fetched")
+
+    # U1-U5 of the requested and the final URL, on a narrow table
+    narrow = p.select("page_id", "url", "final_url", "fetch_fail")
+    narrow = run_table(guard_urls(narrow, {"url": "unsafe", "final_url": "final_unsafe"}, dns), "scrape-guard")
+    state = narrow.join(first.select("page_id", "needs", "parse_error"), "page_id", "left")
+    safe = F.coalesce("unsafe", "final_unsafe").isNull()
+    failed = F.coalesce("fetch_fail", "parse_error")
+    wanted = state.filter(safe & F.lit(cfg.enable_browser_fallback) & (failed.isNotNull() | F.coalesce("needs", F.lit(False)))).select("page_id")
+
+    # pass 2: rendered copies of the pages that want one
+    copies = rendered.select("page_id", "url", "html", "render_error").join(wanted, "page_id", "left_semi")
+    copies = guard_urls(copies, {"url": "r_unsafe"}, dns).dropDuplicates(["page_id"])
+    second = _extracted(copies).select(*_TEXTS, "render_error", "r_unsafe")
+    second = run_table(second.select("page_id", *(F.col(c).alias(f"r_{c}") for c in _TEXTS[1:]), "r_unsafe",
+                                     F.coalesce("render_error", "parse_error").alias("r_error")), "scrape-rendered")
+
+    wants = wanted.withColumn("wants", F.lit(True))
+    j = (narrow.join(first, "page_id", "left").join(wants, "page_id", "left").join(second, "page_id", "left"))
+    wants, unsafe = F.coalesce("wants", F.lit(False)), F.coalesce("unsafe", "final_unsafe")
+    no_copy = F.when(F.col("r_text").isNull(), F.lit(NO_COPY))
+    r_error = F.coalesce("r_unsafe", "r_error", no_copy)
+    fail, r_ok = F.coalesce("fetch_fail", "parse_error"), wants & r_error.isNull()
+    better = quality("r_text") > quality("text") * UPGRADE_FACTOR
+    browser = r_ok & F.when(fail.isNotNull(), F.lit(True)).otherwise(F.coalesce(better, F.lit(False)))
     enabled = F.lit(cfg.enable_browser_fallback)
-    fallback_ids = p.filter(F.col("unsafe").isNull() & F.col("fetch_fail").isNotNull()
-                            & enabled).select("page_id")
-    upgrade_ids = h.filter(F.col("needs") & enabled).select("page_id")
-    wanted = fallback_ids.unionByName(upgrade_ids)
-    copies = rendered.select("page_id", "url", "render_error").join(wanted, "page_id", "left_semi")
-    copies = guard_urls(spark, copies, "url", dns, out="r_unsafe")
-    copies = copies.withColumn("r_error", F.coalesce("render_error", "r_unsafe")).checkpoint(eager=True)
-    good_ids = copies.filter(F.col("r_error").isNull()).select("page_id", "url")
-    good = (rendered.select("page_id", "html").filter(F.col("html").isNotNull())
-            .join(good_ids, "page_id"))
-    ex2, meta2 = _extract(spark, good.select("page_id", "url", "html"), cfg)
-    r = (wanted.join(copies.select("page_id", "r_error"), "page_id", "left")
-         .join(ex2.select("page_id", F.col("url").alias("r_url"), F.col("title").alias("r_title"),
-                          F.col("text").alias("r_text")), "page_id", "left")
-         .withColumn("r_error", F.when(F.col("r_text").isNull(),
-                                       F.coalesce("r_error", F.lit(NO_COPY))))
-         .dropDuplicates(["page_id"]))
-
-    j = (p.select("page_id", "url", "unsafe", "final_unsafe", "fetch_fail")
-         .join(h, "page_id", "left").join(r, "page_id", "left"))
-    fail, unsafe = F.col("fetch_fail"), F.coalesce("unsafe", "final_unsafe")
-    r_ok = F.col("r_error").isNull() & F.col("r_text").isNotNull()
-    upgrade = (enabled & F.coalesce("needs", F.lit(False)) & r_ok
-               & (quality(F.col("r_text")) > quality(F.col("h_text")) * UPGRADE_FACTOR))
-    use_browser = (fail.isNotNull() & r_ok) | (fail.isNull() & upgrade)
-    j = j.withColumn("method", F.when(use_browser, "browser").otherwise("http"))
-    error = (
-        F.when(unsafe.isNotNull(), unsafe)
-        .when(fail.isNotNull() & ~enabled, fail)
-        .when(fail.isNotNull() & ~r_ok, F.col("r_error"))
-        .when(fail.isNull() & enabled & F.coalesce("needs", F.lit(False)) & ~r_ok
-              & (F.coalesce("h_text", F.lit("")) == ""), F.col("r_error")))
+    bare = F.coalesce("text", F.lit("")) == ""
+    error = (F.when(unsafe.isNotNull(), unsafe)
+             .when(fail.isNotNull() & ~enabled, fail)
+             .when(fail.isNotNull() & ~r_ok, r_error)
+             .when(fail.isNull() & wants & ~r_ok & bare, r_error))
+    # an unsafe copy of a page that has nothing else is an unsafe URL, like the page's own
+    refused = F.when(unsafe.isNotNull(), unsafe).when(error.isNotNull(), F.when(wants, F.col("r_unsafe")))
     warning = (F.when(fail.isNotNull() & r_ok, F.concat(F.lit(FALLBACK_WARNING), fail))
-               .when(fail.isNull() & enabled & F.coalesce("needs", F.lit(False)) & ~r_ok,
-                     F.concat(F.lit(ENHANCE_WARNING), F.col("r_error"))))
-    browser = F.col("method") == "browser"
-    j = j.select("page_id", "url", F.col("unsafe").isNotNull().alias("is_unsafe"),
-                 unsafe.alias("unsafe_reason"), error.alias("error"), warning.alias("page_warning"),
-                 "method",
-                 F.when(browser, F.col("r_url")).otherwise(F.col("h_url")).alias("final"),
-                 F.when(browser, F.col("r_title")).otherwise(F.col("h_title")).alias("title"),
-                 F.when(browser, F.col("r_text")).otherwise(F.col("h_text")).alias("raw_text"))
+               .when(fail.isNull() & wants & ~r_ok, F.concat(F.lit(ENHANCE_WARNING), r_error)))
+    pick = lambda r, h: F.when(F.col("method") == "browser", F.col(r)).otherwise(F.col(h))
+    j = (j.withColumn("method", F.when(browser, "browser").otherwise("http"))
+         .withColumn("error", error).withColumn("refused", refused).withColumn("page_warning", warning))
+    j = j.select("page_id", F.col("url").alias("requested"), "error", "refused", "page_warning", "method",
+                 pick("r_url", "final_url").alias("url"), pick("r_text", "text").alias("raw_text"),
+                 *(pick(f"r_{c}", c).alias(c) for c in ("title", "author", "published_date", "description")))
     # Nothing readable is an error too
-    j = j.withColumn("error", F.coalesce(
-        "error", F.when(F.coalesce("raw_text", F.lit("")) == "", F.lit(NO_CONTENT)))
-    ).checkpoint(eager=True)
-
-    ok = j.filter(F.col("error").isNull())
-    meta = (meta1.withColumn("method", F.lit("http"))
-            .unionByName(meta2.withColumn("method", F.lit("browser"))))
-    ok = ok.join(meta, ["page_id", "method"], "left")
-    ok = merge_cleanup(ok, llm_responses, cfg)
-    items = ok.select("page_id", F.col("final").alias("url"), "title", "method", "raw_text",
-                      "cleaned_text", "llm_used", "author", "published_date", "description",
-                      merge_warnings(F.col("page_warning"), F.col("llm_warning")).alias("warning"))
-    rejected = j.filter(F.col("error").isNotNull()).select(
-        "page_id", "url",
-        F.when(F.col("unsafe_reason").isNotNull(), 400).otherwise(502).alias("status"),
-        F.when(F.col("unsafe_reason").isNotNull(), F.col("error"))
+    j = j.withColumn("error", F.coalesce("error", F.when(F.coalesce("raw_text", F.lit("")) == "", F.lit(NO_CONTENT))))
+    if requests is not None:
+        asked = requests.select("page_id", "instructions").dropDuplicates(["page_id"])
+        j = j.join(asked, "page_id", "left")
+    else:
+        j = j.withColumn("instructions", F.lit(None).cast("string"))
+    j = run_table(j.withColumn("bad_request", F.when(~instructions_ok(F.col("instructions")), F.lit(INSTRUCTIONS_TOO_LONG))), "scrape-chosen")
+
+    ok = j.filter(F.col("error").isNull() & F.col("bad_request").isNull())
+    merged = merge_cleanup(ok, llm_responses, cfg)
+    items = merged.withColumn("warning", merge_warnings(F.col("page_warning"), F.col("llm_warning")))
+    rejected = j.filter(F.col("error").isNotNull() | F.col("bad_request").isNotNull()).select(
+        "page_id", F.col("requested").alias("url"),
+        F.when(F.col("bad_request").isNotNull(), 422).when(F.col("refused").isNotNull(), 400).otherwise(502).alias("status"),
+        F.when(F.col("bad_request").isNotNull(), F.col("bad_request")).when(F.col("refused").isNotNull(), F.col("refused"))
         .otherwise(F.concat(F.lit(PROCESS_ERROR), F.col("error"))).alias("detail"))
-    return ScrapeResult(items.select("page_id", *REVIEW_FIELDS), rejected)
+    return ScrapeResult(items.select("page_id", *REVIEW_FIELDS), rejected, cleanup_requests(ok, cfg, instructions="instructions"))

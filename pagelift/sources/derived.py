@@ -2,52 +2,80 @@
 
 The fetcher, renderer, DNS and LLM endpoints are outside the engine; their
 outputs arrive as tables.  For runs on the driver data these tables are derived
-from the given tables, deterministically and for every row:
+from the given tables, by a rule over all their rows:
 
-* ``rendered_pages``: every page has a rendered snapshot equal to its served
-  markup (a static site renders to the same document);
+* ``rendered_pages``: what a renderer would give for each page, by the length
+  of its markup modulo 7 -- the same markup (0, 1), no copy at all (2), a
+  failure (3), a copy at an address inside the network (4), or the markup with
+  its text twice as long: the body's markup once more after the end (5, 6);
+* ``fetched_pages``: the final URL and how the fetch went, by the length modulo
+  11 -- HTTP 503 (0), a body that is no HTML (1), else as requested;
 * ``dns``: each page contributes one IPv4 address to its host, spread over the
   whole address space by a multiplicative hash of ``page_id`` (ids below 2^32);
-* ``llm_responses``: chat-completion bodies built from conversation turns.
+* ``requests``: the requested pages with instructions, some of them too long;
+* ``page_bodies``: the markup as bytes in one of several charsets;
+* ``conversation_exchanges``: every user turn with the assistant turn after it,
+  as a chat-completion response body.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import guard_host
 
 HASH_MULTIPLIER = 2654435761
+INSIDE = "http://10.0.0.5/copy"
+#: Charsets of ``page_bodies``, by the length of the markup modulo their number.
+CHARSETS = ("utf-8", "utf-16", "windows-1252", "no-such-charset", None)
 
 
 def rendered_pages(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", "html", F.lit(None).cast("string").alias("render_error"))
+    rule = F.length("html") % 7
+    return pages.filter(rule != 2).select(
+        "page_id", F.when(rule == 4, F.lit(INSIDE)).otherwise(F.col("url")).alias("url"),
+        F.when(rule == 3, F.lit(None)).when(rule >= 5, F.concat("html", F.lit("<main>"), "html", F.lit("</main>"))).otherwise(F.col("html")).alias("html"),
+        F.when(rule == 3, F.lit("Headless browser rendering timed out.")).alias("render_error"))
+
+
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    rule = F.length("html") % 11
+    return pages.select(
+        "page_id", "url", "html", F.when(rule == 0, F.lit("HTTP 503")).alias("fetch_error"),
+        F.when(rule == 1, F.lit("application/pdf")).otherwise(F.lit("text/HTML; charset=utf-8")).alias("content_type"))
 
 
 def dns(pages: DataFrame) -> DataFrame:
     h = (F.col("page_id") * F.lit(HASH_MULTIPLIER)) % F.lit(2 ** 32)
     quad = F.concat_ws(".", *[(F.floor(h / F.lit(256 ** k)) % 256).cast("string")
                               for k in (3, 2, 1, 0)])
-    return pages.select(guard_host("url").alias("host"), quad.alias("address")).distinct()
+    return pages.select(guard_host("url").alias("host"), quad.alias("address"))
 
 
-def conversation_exchanges(conversations: DataFrame) -> DataFrame:
-    """Per conversation: the first user turn (the text to clean) and the first
-    assistant turn after it, as a chat-completion response body."""
-    c = conversations.select("conv_id", "turn", "role", "text")
-    first_user = (c.filter(F.col("role") == "user").groupBy("conv_id")
-                  .agg(F.min(F.struct("turn", "text")).alias("u")))
-    reply = (c.filter(F.col("role") == "assistant").join(first_user, "conv_id")
-             .filter(F.col("turn") > F.col("u.turn"))
-             .groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("a")))
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(
-        F.lit("assistant").alias("role"), F.col("a.text").alias("content")).alias("message")))
-        .alias("choices")))
-    return (first_user.join(reply, "conv_id", "left")
-            .select(F.col("conv_id").alias("page_id"), F.col("u.text").alias("raw_text"),
-                    F.when(F.col("a").isNotNull(), body).alias("body"),
-                    F.when(F.col("a").isNull(), F.lit("no reply")).alias("error")))
+def requests(pages: DataFrame) -> DataFrame:
+    rule = F.length("html") % 13
+    return pages.select("page_id", F.when(rule == 0, F.repeat(F.lit("x"), 2001)).when(rule < 7, F.lit("Keep prices.")).alias("instructions"))
 
 
-__all__ = ["rendered_pages", "dns", "conversation_exchanges"]
+def page_bodies(pages: DataFrame) -> DataFrame:
+    rule = F.length("html") % len(CHARSETS)
+    name, body = F.lit(None).cast("string"), F.encode("html", "UTF-8")
+    for k, charset in enumerate(CHARSETS):
+        name = F.when(rule == k, F.lit(charset)).otherwise(name)
+    body = F.when(rule == 1, F.encode("html", "UTF-16")).otherwise(body)
+    # a byte that no UTF-8 text holds ends every body in a one-byte charset
+    return pages.select("page_id", "url", name.alias("charset"), F.when(rule == 1, body).otherwise(F.concat(body, F.lit(b"\xff"))).alias("body"))
+
+
+def conversation_exchanges(conversations: DataFrame) -> DataFrame:
+    """Every user turn, keyed ``(conv_id, turn)``: its text, and the reply if the next turn is the assistant's."""
+    after = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = (conversations.select("conv_id", "turn", "role", "text")
+         .withColumn("next_role", F.lead("role").over(after)).withColumn("next_text", F.lead("text").over(after))
+         .filter(F.col("role") == "user"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(
+        F.lit("assistant").alias("role"), F.col("next_text").alias("content")).alias("message"))).alias("choices")))
+    answered = F.coalesce(F.col("next_role") == "assistant", F.lit(False)) & F.col("next_text").isNotNull()
+    return c.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("page_id"), F.col("text").alias("raw_text"),
+                    F.when(answered, body).alias("body"), F.when(~answered, F.lit("no reply")).alias("error"))

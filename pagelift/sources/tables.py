@@ -8,10 +8,17 @@ parquet scan).
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The decoder runs in Python workers: ship this module's code by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAGES_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -33,32 +40,42 @@ def pages_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES_SCHEMA).json(path)
 
 
-def pages_from_files(spark: SparkSession, path: str, charset_col: str | None = None) -> DataFrame:
-    """S1 + S3: raw fetched bodies as files (``binaryFile``), decoded.
+def pages_from_files(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """S1 + S3: raw fetched bodies as files (``binaryFile``), decoded with one declared charset.
 
-    ``page_id`` is a stable hash of the path; the URL is the file path.
+    The page id is a 128-bit digest of the path (as text): no two files share one.
     """
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(
-        F.xxhash64("path").alias("page_id"),
-        F.col("path").alias("url"),
-        decode_body(F.col("content")).alias("html"),
-        F.octet_length("content").cast("long").alias("n_bytes"),
-    )
-
-
-def decode_body(body, charset=None):
-    """S3: declared charset, else UTF-8; undecodable bytes become U+FFFD."""
-    utf8 = F.make_valid_utf8(body.cast("string"))
-    if charset is None:
-        return utf8
-    cs = F.lower(F.coalesce(charset, F.lit("utf-8")))
-    known = ("us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16")
-    out = utf8
-    for name in known:
-        if name != "utf-8":
-            out = F.when(cs == name, F.decode(body, name.upper())).otherwise(out)
-    return out
+    return decoded_pages(raw.select(
+        F.md5("path").alias("page_key"), F.col("path").alias("url"), F.col("content").alias("body"),
+        F.lit(charset).cast("string").alias("charset")))
+
+
+def decode_body(body: bytes | None, charset: str | None) -> str | None:
+    """S3: declared charset, else (or when there is no such charset) UTF-8; bad bytes become U+FFFD."""
+    if body is None:
+        return None
+    try:
+        text = body.decode((charset or "").strip() or "utf-8", errors="replace")
+    except (LookupError, ValueError, UnicodeError):  # unknown names, codecs that are no text encodings
+        text = body.decode("utf-8", errors="replace")
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def decoded_pages(bodies: DataFrame, body: str = "body", charset: str = "charset") -> DataFrame:
+    """S3: ``html`` and ``n_bytes`` in place of the body and its charset; never raises on bad bytes."""
+    names = [c for c in bodies.columns if c not in (body, charset)]
+    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.schema if f.name in names]
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(body).to_pylist()
+            html = [decode_body(b, c) for b, c in zip(raw, batch.column(charset).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(html, pa.string()),
+                 pa.array([None if b is None else len(b) for b in raw], pa.int64())], [*names, "html", "n_bytes"])
+
+    return bodies.select(*names, body, charset).mapInArrow(run, ", ".join([*given, "html string", "n_bytes long"]))
 
 
 RENDERED_SCHEMA = T.StructType([

@@ -1,38 +1,39 @@
-"""The extraction as a file stream, and the approval wait as a
+"""The scrape flow as a file stream, and the approval wait as a
 stream-stream join.
 
 T1: new page files are read with an explicit schema; each micro-batch runs the
-same batch plan (``foreachBatch``) and overwrites its own ``epoch=N`` folder, so
-a retried epoch replaces its output instead of duplicating it (exactly-once
-files).  ``availableNow`` drains what is there and stops.
+whole batch flow (guard, admission, extraction, rendered copies, review items)
+and overwrites its own ``epoch=N`` folders of items and rejections, so a retried
+epoch replaces its output instead of duplicating it (exactly-once files).
+``availableNow`` drains what is there and stops.
 
 T2: review items and approvals are two event-time streams joined on URL with
 watermarks on both sides and a time bound (an approval counts within
 ``approval_window`` after extraction), so join state is dropped once the
-watermark passes the bound.
+watermark passes the bound.  Approvals are validated like the batch gate's;
+several approvals of an item give it once; an item whose bound has passed
+without one comes out as pending.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import py_strip
-from ..operators.review import UNTITLED
-from ..plans.extract import configure, persisted_nodes
-from ..session import checkpoint_dir
+from ..config import DEFAULT, JobConfig
+from ..operators.review import approve
+from ..plans.pipeline import scrape
+from ..session import run_folder
 from ..sources.tables import PAGES_SCHEMA
 
 ITEM_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("title", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("slot", T.StringType()),
+    T.StructField("cleaned_text", T.StringType()),
     T.StructField("extracted_at", T.TimestampType()),
 ])
 APPROVAL_SCHEMA = T.StructType([
@@ -44,34 +45,23 @@ APPROVAL_SCHEMA = T.StructType([
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder under the shared folder."""
+    return run_folder(spark, name)
 
 
-def extract_batch(batch: DataFrame):
-    """(extraction, tree) of one micro-batch; release the tree after writing."""
-    from ..operators.candidates import extract_readable
-    from ..operators.markdown import PageTree
-    nodes = persisted_nodes(batch.select("page_id", "url", "html"))
-    tree = PageTree(nodes, batch)
-    return extract_readable(batch, nodes, tree), tree
+def stream_scrape(spark: SparkSession, source_dir: str, rendered: DataFrame, dns: DataFrame, out_dir: str, ckpt: str,
+                  glob: str = "*.parquet", files_per_trigger: int = 16, event_time=None, cfg: JobConfig = DEFAULT):
+    """Run the flow over page files as they arrive; returns the query.
 
-
-def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, ckpt: str,
-                   glob: str = "*.parquet", files_per_trigger: int = 16,
-                   event_time=None):
-    """Run extraction over page files as they arrive; returns the query."""
-    configure(spark)
+    Items go to ``out_dir/items`` with ``extracted_at``, rejections to ``out_dir/rejected``."""
     pages = (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
              .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        out, tree = extract_batch(batch)
-        ts = event_time if event_time is not None else F.current_timestamp()
-        (out.withColumn("extracted_at", ts)
-         .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}")))
-        tree.release()
-        tree.all_nodes.unpersist()
+        found = scrape(batch.sparkSession, batch, rendered, dns, cfg)
+        at = event_time if event_time is not None else F.current_timestamp()
+        for name, df in (("items", found.items.withColumn("extracted_at", at)), ("rejected", found.rejected)):
+            df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch_id}"))
 
     return (pages.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
@@ -80,18 +70,15 @@ def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, ckpt: str
 def approval_stream_join(spark: SparkSession, items_dir: str, approvals_dir: str,
                          out_dir: str, ckpt: str, item_delay: str = "1 hour",
                          approval_delay: str = "2 hours", approval_window: str = "1 day"):
-    """Items joined with approvals that arrive within the window."""
-    items = (spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir)
-             .withWatermark("extracted_at", item_delay).alias("i"))
-    approvals = (spark.readStream.schema(APPROVAL_SCHEMA).parquet(approvals_dir)
-                 .withWatermark("approved_at", approval_delay).alias("a"))
+    """Items with the approvals that arrive within the window, and pending items once it has passed."""
+    items = spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir).withWatermark("extracted_at", item_delay).alias("i")
+    approvals = approve(spark.readStream.schema(APPROVAL_SCHEMA).parquet(approvals_dir), "approved_at")
+    approvals = approvals.withWatermark("approved_at", approval_delay).alias("a")
     cond = F.expr(f"""i.url = a.url AND a.approved_at >= i.extracted_at
                       AND a.approved_at <= i.extracted_at + INTERVAL {approval_window}""")
-    joined = items.join(approvals, cond, "inner").select(
-        F.col("i.page_id").alias("page_id"), F.col("i.url").alias("url"),
-        F.coalesce(F.nullif(py_strip(F.col("a.title")), F.lit("")), F.lit(UNTITLED)).alias("title"),
-        F.col("a.content").alias("content"), F.col("i.extracted_at").alias("extracted_at"),
-        F.col("a.approved_at").alias("approved_at"))
-    return (joined.writeStream.format("parquet").option("path", out_dir)
+    joined = items.join(approvals, cond, "leftOuter").select(
+        "i.page_id", "i.url", F.coalesce("a.status", F.lit("pending")).alias("status"), "a.title", "a.content",
+        "i.extracted_at", (F.col("a.approved_at") + F.expr("INTERVAL 0 SECONDS")).alias("approved_at"))  # one event time goes on
+    return (joined.dropDuplicatesWithinWatermark(["page_id"]).writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", ckpt).outputMode("append")
             .trigger(availableNow=True).start())

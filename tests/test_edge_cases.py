@@ -6,13 +6,11 @@ from pagelift.functions.text import quality, with_quality
 from pagelift.operators.candidates import weighted_top1
 from pagelift.operators.markdown import extract_basic
 from pagelift.operators.render import needs_render, shell_features
-from pagelift.plans.extract import configure, persisted_nodes
 
 
 def _extract(spark, rows):
-    configure(spark)
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    return {r.page_id: r for r in extract_basic(df, persisted_nodes(df)).collect()}
+    return {r.page_id: r for r in extract_basic(df).collect()}
 
 
 def test_nested_table_rows_and_cells_are_recursive(spark):
@@ -69,10 +67,23 @@ def test_render_thresholds(spark):
 def test_twenty_word_floor_and_slot_ties(spark):
     w19 = " ".join(f"u{i}" for i in range(19))
     w20 = " ".join(f"v{i}" for i in range(20))
-    basic = spark.createDataFrame([(1, "short"), (2, "short"), (3, "same text here")],
-                                  "page_id long, markdown string")
-    recall = spark.createDataFrame([(1, w19), (2, w20), (3, "same text here")],
-                                   "page_id long, markdown string")
-    got = {r.page_id: r.slot for r in weighted_top1(basic, {"recall": recall}).collect()}
+    df = spark.createDataFrame([(1, "short", w19), (2, "short", w20), (3, "same text here", "same text here"), (4, None, None)],
+                               "page_id long, basic string, recall string")
+    got = {r.page_id: (r.slot, r.text) for r in weighted_top1(df, ("recall",)).collect()}
     # 19 words: stand-in dropped; 20 words: kept and better; 3: too short to compete
-    assert got == {1: "basic", 2: "recall", 3: "basic"}
+    assert got == {1: ("basic", "short"), 2: ("recall", w20), 3: ("basic", "same text here"), 4: ("basic", "")}
+
+
+def test_case_folding_is_that_of_the_standard_library(spark):
+    from pagelift.functions.text import casefold
+    texts = ["STRASSE Straße", "ΟΔΥΣΣΕΥΣ ὈΔΥΣΣΕΎΣ λόγος", "ﬁnd eﬀect ﬃ", "ſ µ ŉ ǰ", "İstanbul ISPARTA", "և ẖ ᾳ ᾲ", "Ünïcode", "plain", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.f for r in df.select(casefold("t").alias("f")).collect()] == [t.casefold() for t in texts]
+
+
+def test_structure_lines_are_counted_once(spark):
+    from pagelift.functions.text import structure_lines
+    texts = ["# a\n\n\n  - b\r\n* c\nd # e\n|\u2028#f", "\n\n#", "a\n-", "--\n--", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [sum(x.lstrip().startswith(("#", "-", "*", "|")) for x in t.splitlines()) for t in texts]
+    assert [r.n for r in df.select(structure_lines("t").alias("n")).collect()] == want

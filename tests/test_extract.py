@@ -3,13 +3,11 @@
 import pytest
 
 from pagelift.operators.markdown import extract_basic
-from pagelift.plans.extract import configure, persisted_nodes
 
 
 def run(spark, pages):
-    configure(spark)
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    out = extract_basic(df, persisted_nodes(df))
+    out = extract_basic(df)
     return {r.page_id: r for r in out.collect()}
 
 
@@ -109,7 +107,6 @@ def test_comment_in_paragraph_kept_as_text(spark):
 
 def test_metadata_fields(spark):
     from pagelift.operators.metadata import page_metadata
-    configure(spark)
     html = """<html><head><title>Trip</title>
       <meta property="og:description" content="Fallback text">
       <meta name="Description" content="  A weekend on the  coast. ">
@@ -121,7 +118,7 @@ def test_metadata_fields(spark):
                                 (2, "https://e.org/u", "<body><time datetime='2022-02-03'>x</time></body>"),
                                 (3, "https://e.org/v", "<p>none</p>")],
                                "page_id long, url string, html string")
-    got = {r.page_id: r for r in page_metadata(persisted_nodes(df)).collect()}
+    got = {r.page_id: r for r in page_metadata(df).collect()}
     assert (got[1].author, got[1].published_date, got[1].description) == (
         "R. Walker", "2023-11-05", "A weekend on the coast.")
     assert (got[2].author, got[2].published_date, got[2].description) == (None, "2022-02-03", None)
@@ -130,11 +127,66 @@ def test_metadata_fields(spark):
 
 def test_candidates_prefer_longer_clean_text(spark):
     from pagelift.operators.candidates import extract_readable
-    configure(spark)
     para = " ".join(f"word{i}" for i in range(30)) + "."
     html = f"""<body><div class="content"><h1>Head</h1><p>short intro.</p></div>
       <div><p>{para}</p><p>{para} again</p></div></body>"""
     df = spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string")
-    r = extract_readable(df, persisted_nodes(df)).collect()[0]
+    r = extract_readable(df).collect()[0]
     assert r.slot in ("basic", "recall", "precision", "density")
     assert "again" in r.text and r.title == "Untitled page"
+
+
+def test_equal_items_share_a_number_however_their_class_is_spaced(spark):
+    r = one(spark, """<main><ol><li class="a b">One</li><li>Two</li><li class="a  b">One</li></ol></main>""")
+    assert r.markdown == "1. One\n2. Two\n1. One"
+
+
+def test_empty_sources_fall_through_to_the_next(spark):
+    from pagelift.operators.metadata import page_metadata
+    html = """<meta name="author" content=""><meta property="article:author" content="Ann Lee">
+      <meta name="description" content="  "><meta property="og:description" content="Short.">
+      <meta property="article:published_time" content="soon"><time datetime="2020-09-08T10:00">then</time>"""
+    df = spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string")
+    r = page_metadata(df).first()
+    assert (r.author, r.published_date, r.description) == ("Ann Lee", "2020-09-08", "Short.")
+
+
+def test_deep_nesting_is_linear(spark):
+    import time
+
+    from pagelift.operators.nodes import page_tree, parse_html
+    times = []
+    for n in (50_000, 200_000):
+        start = time.process_time()
+        nodes, error = parse_html("<p>" + "<b>" * n + "deep" + "</i>" * 10)
+        tree = page_tree(nodes)
+        times.append(time.process_time() - start)
+        assert error is None and len(nodes) == n + 2 and tree["strings"] == ["deep"]
+        assert sum(len(b["kids"] or ()) for b in tree["blocks"]) == 1
+    assert times[1] < 12 * times[0] + 1
+    r = one(spark, "<p>" + "<b>" * 20_000 + "deep")
+    assert r.markdown == "**deep**"
+
+
+def test_refused_markup_is_told(spark):
+    from pagelift.operators import nodes
+    from pagelift.operators.candidates import readable
+
+    def refuse(self, data):
+        raise AssertionError("unknown declaration")
+
+    old = nodes._TreeBuilder.handle_decl
+    nodes._TreeBuilder.handle_decl = refuse
+    try:
+        df = spark.createDataFrame([(1, "u", "<!DOCTYPE html><p>x"), (2, "u", "<p>y")], "page_id long, url string, html string")
+        got = {r.page_id: (r.parse_error, r.text) for r in readable(df).select("page_id", "parse_error", "text").collect()}
+    finally:
+        nodes._TreeBuilder.handle_decl = old
+    assert got == {1: ("The markup could not be parsed: unknown declaration", ""), 2: (None, "y")}
+
+
+def test_no_shuffle_in_the_extraction(spark):
+    from pagelift.operators.candidates import extract_readable
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = extract_readable(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

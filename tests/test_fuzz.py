@@ -7,7 +7,6 @@ from hypothesis import strategies as st
 
 from pagelift.operators.candidates import extract_readable
 from pagelift.operators.metadata import page_metadata
-from pagelift.plans.extract import configure, persisted_nodes
 
 TAGS = ["p", "div", "li", "ul", "ol", "h2", "b", "a", "img", "table", "tr", "td", "th", "pre",
         "blockquote", "main", "article", "nav", "script", "br", "span", "em", "code", "body",
@@ -37,10 +36,7 @@ def soup(rng: random.Random, n: int) -> str:
 def test_tag_soup_extracts(spark, seed):
     rng = random.Random(seed)
     pages = [(i, f"https://e{i % 3}.example/a/b", soup(rng, rng.randint(0, 120))) for i in range(40)]
-    configure(spark)
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    nodes = persisted_nodes(df)
-    rows = extract_readable(df, nodes).collect()
+    rows = extract_readable(df).collect()
     assert sorted(r.page_id for r in rows) == list(range(40))
-    page_metadata(nodes).collect()
-    nodes.unpersist()
+    page_metadata(df).collect()

@@ -12,7 +12,7 @@ from pagelift.plans.pipeline import ENHANCE_WARNING, FALLBACK_WARNING, NO_CONTEN
 WORDS = " ".join(f"w{i}." for i in range(300))
 RICH = f"<html><head><title>Rich</title></head><body><main><p>{WORDS}</p></main></body></html>"
 THIN = "<html><head><title>Thin</title></head><body><main><p>just a few words</p></main></body></html>"
-SHELL = '<html><body><div id="root"></div><script src="app.js"></script></body></html>'
+SHELL = "<body><p>Loading</p><section id='app'></section></body>"
 
 
 def _pages(spark, rows):
@@ -74,29 +74,75 @@ def test_enhancement_failure_keeps_text_with_warning(spark):
 
 def test_cleanup_requests_and_merge(spark):
     cfg = replace(DEFAULT, llm_api_key="k", max_llm_input_chars=10)
-    items = spark.createDataFrame([(1, "0123456789abc"), (2, "text two"), (3, "text three"),
-                                   (4, "text four"), (5, "text five")], "page_id long, raw_text string")
-    req = {r.page_id: r for r in cleanup.cleanup_requests(items, cfg).collect()}
-    assert req[1].clipped and not req[2].clipped
-    assert '"temperature":0.1' in req[1].request and "0123456789" in req[1].request
-    assert "0123456789abc" not in req[1].request
+    texts = {1: "0123456789abc", 2: "text two", 3: "one\ntwo\nthree four five", 4: "text four", 5: "text five", 6: ""}
+    items = spark.createDataFrame([(k, v, "Be kind." if k == 2 else None) for k, v in texts.items()], "page_id long, raw_text string, wish string")
+    req = cleanup.cleanup_requests(items, cfg, instructions="wish").collect()
+    sent = {}
+    for r in sorted(req, key=lambda r: (r.page_id, r.part)):
+        import json
+        body = json.loads(r.request)
+        prompt = body["messages"][1]["content"]
+        assert body["temperature"] == 0.1 and ("Be kind." in prompt) == (r.page_id == 2)
+        sent.setdefault(r.page_id, []).append(prompt.split("Extracted page:\n", 1)[1])
+        assert r.n_parts == len([x for x in req if x.page_id == r.page_id])
+    assert {k: "".join(v) for k, v in sent.items()} == texts  # no character is lost
+    assert all(len(part) <= 10 for v in sent.values() for part in v)
+    assert sent[3][0] == "one\ntwo\n"  # cut at a line break in the second half
+    reply = lambda text: '{"choices":[{"message":{"content":"%s"}}]}' % text
     resp = spark.createDataFrame([
-        (1, '{"choices":[{"message":{"content":"  cleaned  "}}]}', None),
-        (2, '{"choices":[{"message":{"content":"   "}}]}', None),
-        (3, "not json", None),
-        (4, None, "HTTP 500"),
-    ], "page_id long, body string, error string")
+        (1, 1, reply("  tail  "), None), (1, 0, reply("head,"), None),
+        (2, 0, reply("   "), None), (3, 0, "not json", None), (3, 1, reply("x"), None), (4, 0, None, "HTTP 500"),
+    ], "page_id long, part int, body string, error string")
     got = {r.page_id: r for r in cleanup.merge_cleanup(items, resp, cfg).collect()}
-    assert (got[1].cleaned_text, got[1].llm_used, got[1].llm_warning) == ("cleaned", True, None)
+    assert (got[1].cleaned_text, got[1].llm_used, got[1].llm_warning) == ("head,tail", True, None)
     assert (got[2].cleaned_text, got[2].llm_used) == ("text two", True)
-    assert got[3].llm_used is False and got[3].llm_warning.startswith(cleanup.FAILED_PREFIX)
-    assert got[4].llm_warning == cleanup.FAILED_PREFIX + "HTTP 500"
-    assert got[5].llm_used is False
+    assert got[3].cleaned_text.startswith("one\ntwo\nx") and got[3].llm_used
+    assert got[3].llm_warning == cleanup.FAILED_PREFIX + "unreadable reply; no reply"
+    assert got[4].llm_warning == cleanup.FAILED_PREFIX + "HTTP 500" and got[4].llm_used is False
+    assert got[5].llm_used is False and got[5].cleaned_text == "text five"
     passthrough = cleanup.merge_cleanup(items, None, DEFAULT).collect()
     assert all(r.cleaned_text == r.raw_text and r.llm_warning == cleanup.NOT_CONFIGURED
                for r in passthrough)
 
 
+def test_large_pages_and_unsafe_copies(spark):
+    cfg = replace(DEFAULT, max_download_bytes=len(RICH) - 1)
+    pages = _pages(spark, [(1, "https://good.example/big", RICH, None), (2, "https://good.example/gone", None, "HTTP 404"),
+                           (3, "https://good.example/none", None, "HTTP 404"), (4, "https://good.example/thin", THIN, None)])
+    rendered = spark.createDataFrame([
+        (1, "https://good.example/big", RICH, None), (2, "http://10.0.0.9/x", RICH, None), (4, "http://10.0.0.9/y", RICH, None),
+    ], "page_id long, url string, html string, render_error string")
+    dns = spark.createDataFrame([("good.example", "93.184.216.34")], "host string, address string")
+    asked = spark.createDataFrame([(1, "Keep all."), (4, "y" * 2001)], "page_id long, instructions string")
+    res = scrape(spark, pages, rendered, dns, cfg, requests=asked)
+    items = {r.page_id: r for r in res.items.collect()}
+    rejected = {r.page_id: r for r in res.rejected.collect()}
+    assert set(items) == {1} and items[1].method == "browser" and items[1].title == "Rich"  # served from its copy
+    assert rejected[2].status == 400 and rejected[3].status == 502 and rejected[4].status == 422
+    (request,) = res.requests.collect()
+    assert request.page_id == 1 and "Keep all." in request.request
+
+
+def test_latest_approval_counts(spark):
+    items = spark.createDataFrame([(1, "https://a.example/1")], "page_id long, url string")
+    approvals = spark.createDataFrame([("https://a.example/1", "t", "aaa old", 1), ("https://a.example/1", "t", "zzz older", 0),
+                                       ("https://a.example/1", "t", "  new ", 2), ("https://a.example/1", "t", " ", 3)],
+                                      "url string, title string, content string, s long")
+    approvals = approvals.withColumn("approved_at", F.timestamp_seconds("s")).drop("s")
+    approved, _ = review.approval_gate(items, approvals)
+    assert [r.approved_content for r in approved.collect()] == ["new"]
+
+
+def test_bodies_decode_as_declared(spark):
+    from pagelift.sources.tables import decoded_pages
+    cases = [("é€".encode("utf-8"), None, "é€"), ("é".encode("windows-1252") + b"\x80", "windows-1252", "é€"), (b"a\xffb", "us-ascii", "a\ufffdb"),
+             ("ж".encode("koi8-r"), "KOI8-R", "ж"), (b"\xff\xfeA\x00B", "utf-16", "A\ufffd"), (b"x\xc3", "no-such", "x\ufffd"), (b"hi", "base64", "hi"), (None, "utf-8", None), (b"", None, "")]
+    df = spark.createDataFrame([(k, bytearray(b) if b is not None else None, c) for k, (b, c, _) in enumerate(cases)], "page_id long, body binary, charset string")
+    got = {r.page_id: (r.html, r.n_bytes) for r in decoded_pages(df).collect()}
+    for k, (body, _, want) in enumerate(cases):
+        assert got[k] == (want, None if body is None else len(body))
+
+
 def test_review_validation_gate_and_byline(spark):
     approvals = spark.createDataFrame([
         ("https://a.example/1", "  Title  ", " body "),

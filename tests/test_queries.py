@@ -27,6 +27,19 @@ def test_items_and_rejections_partition_the_pages(spark):
 
 
 def test_stream_matches_batch(spark):
-    streamed = {(r.page_id, r.text) for r in QUERIES["t1_stream_extract"](spark, SF_SMALL).collect()}
-    batch = {(r.page_id, r.text) for r in QUERIES["c1_c7_extract_readable"](spark, SF_SMALL).collect()}
-    assert streamed == batch
+    """The stream's items and rejections are those of the batch flow on the same pages."""
+    from pagelift.plans.pipeline import scrape
+    from pagelift.sources import derived
+    from pagelift.sources.tables import pages
+    p = pages(spark, SF_SMALL)
+    batch = scrape(spark, p, derived.rendered_pages(p), derived.dns(p))
+    want = {(r.page_id, r.method, r.cleaned_text) for r in batch.items.collect()} | {(r.page_id, None, r.detail) for r in batch.rejected.collect()}
+    assert {(r.page_id, r.method, r.cleaned_text) for r in QUERIES["t1_stream_scrape"](spark, SF_SMALL).collect()} == want
+
+
+def test_every_way_through_the_flow_is_taken(spark):
+    items = QUERIES["p_full_pipeline"](spark, SF_SMALL).collect()
+    rejected = QUERIES["r7_rejected"](spark, SF_SMALL).collect()
+    assert {r.method for r in items} == {"http", "browser"}
+    assert any((r.warning or "").startswith("Direct download failed") for r in items)
+    assert {r.status for r in rejected} >= {400, 422}

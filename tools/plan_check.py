@@ -19,7 +19,7 @@ from pagelift.plans.queries import QUERIES  # noqa: E402
 from pagelift.session import checkpoint_dir, local_session  # noqa: E402
 
 EAGER = {"p_full_pipeline", "r7_rejected", "a5_approval_gate", "a7_byline", "s5_s6_sinks",
-         "t1_stream_extract", "t2_approval_join"}
+         "t1_stream_scrape", "t2_approval_join", "s4_rendered_copies", "u1_u5_host_guard", "u5_redirect_guard", "a5_approval_gate"}
 
 
 def report(df) -> dict:

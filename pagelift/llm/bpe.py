@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared
 
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 8_000_000
 LONG_WORD = 64
 #: White space for the split pattern, and a superset of it for safe cuts.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -117,7 +117,7 @@ class Words:
         self._split = regex.compile(pattern).findall
         self.numbers: defaultdict[str, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
-        self._by_chunk = _Chunks(self._numbered)
+        self._by_chunk = _Chunks(self._numbered, self.numbers)
 
     def _numbered(self, piece: str) -> list[int]:
         return [self.numbers[w] for w in self._split(piece)]
@@ -131,19 +131,36 @@ class Words:
         else:
             chunks = text.split(" ")
         first = self._numbered(chunks[0])
-        return np.fromiter(chain(first, chain.from_iterable(map(self._by_chunk.__getitem__, chunks[1:]))), np.int64)
+        return np.fromiter(chain(first, chain.from_iterable(map(self._by_chunk.__getitem__, chunks[1:]))), np.int32)
 
 
 class _Chunks(dict):
-    def __init__(self, numbered):
-        super().__init__()
-        self._numbered = numbered
+    """Numbers of the pre-tokens of a blank and a chunk."""
 
-    def __missing__(self, chunk: str) -> list[int]:
-        self[chunk] = found = self._numbered(" " + chunk)
+    def __init__(self, numbered, numbers):
+        super().__init__()
+        self._numbered, self._numbers = numbered, numbers
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        # letters, and letters before one mark, are what the pattern makes of them without a look
+        if _plain(chunk):
+            found = (self._numbers[" " + chunk],)
+        elif chunk[-1:] in _MARKS and _plain(chunk[:-1]):
+            found = (self._numbers[" " + chunk[:-1]], self._numbers[chunk[-1]])
+        else:
+            found = tuple(self._numbered(" " + chunk))
+        self[chunk] = found
         return found
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def _plain(text: str) -> bool:
+    """Latin letters only."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 def _bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) % buckets
 
@@ -156,7 +173,7 @@ def _batches(parts: Iterator[pa.RecordBatch], pattern: str, limit: int) -> Itera
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             text = text or ""
             ids.append(doc)
-            sequences.append(words.sequence(text) if text else np.zeros(0, np.int64))
+            sequences.append(words.sequence(text) if text else np.zeros(0, np.int32))
             size += len(text)
             if size >= limit:
                 yield number, ids, sequences, words

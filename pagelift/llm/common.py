@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = run_folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)  # an empty table may have no files
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

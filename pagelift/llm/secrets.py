@@ -109,8 +109,8 @@ def identifier_samples(words: list[str], n: int = 3000, seed: int = 2) -> list[s
         parts = [words[i] for i in rng.integers(0, len(words), int(rng.integers(2, 5)))]
         out.append(("_".join(parts), "-".join(parts), "".join(p.capitalize() for p in parts), "/".join(parts),
                     "_".join(parts).upper(), parts[0] + str(rng.integers(0, 2030)))[k % 6])
-    for mark in "-=_+/":  # rulers
-        out += [mark * int(k) for k in rng.integers(20, 80, n // 50 if words else 0)]
+    for mark in _RUN_CHARS.decode():  # rulers and fillers
+        out += [mark * int(k) for k in rng.integers(20, 80, n // 200 if words else 0)]
     return out
 
 

@@ -3,7 +3,7 @@
 Features are the presence of hashed character n-grams (``SIZES``) of the
 lower-cased text.  On the training rows each n-gram gets the ratio
 ``r = log((p + a) / |p + a|) - log((q + a) / |q + a|)`` of its document counts
-in both classes; the ``FEATURES`` n-grams whose ratio is most significant stay,
+in both classes; the ``FEATURES`` n-grams whose ratio is surest to be large stay,
 and a logistic regression with an L2 penalty is fitted on presence times ``r``.
 Scoring is one table lookup per n-gram and a matrix product per slice.
 
@@ -33,6 +33,7 @@ from .textgrams import hashed, lower_all
 SIZES = (3, 4, 5)
 BITS = 20
 FEATURES = 3000
+MIN_TEXTS = 5
 THRESHOLD = 0.3
 MAX_ROWS, MAX_CHARS = 4000, 16_000_000
 SCORE_BYTES = 1 << 20
@@ -68,7 +69,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -35, 35)))
 
 
-def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, penalty: float = 1.0, steps: int = 300) -> Classifier:
+def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, penalty: float = 5.0, steps: int = 300) -> Classifier:
     labels = np.asarray(labels, np.float64)
     share = labels.mean() if len(labels) else 0.0
     model = Classifier(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -84,8 +85,9 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, penalty: float
                 counts[c] += np.bincount(each[own] & ((1 << BITS) - 1), minlength=1 << BITS)
     smooth = counts + alpha
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    seen = np.flatnonzero(counts.sum(axis=0) >= 3)
-    strength = np.abs(ratio[seen]) / np.sqrt(1 / smooth[0][seen] + 1 / smooth[1][seen])
+    seen = np.flatnonzero(counts.sum(axis=0) >= MIN_TEXTS)
+    # what is left of a ratio after twice its standard error
+    strength = np.abs(ratio[seen]) - 2 * np.sqrt(1 / smooth[0][seen] + 1 / smooth[1][seen])
     kept = seen[np.argsort(-strength, kind="stable")[:FEATURES]]
     model.slot[kept] = np.arange(len(kept))
     model.weights = np.zeros(len(kept), np.float32)

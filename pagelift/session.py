@@ -57,4 +57,4 @@ def run_table(df: DataFrame, name: str) -> DataFrame:
     plan and lineage, and survives lost executors."""
     path = run_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

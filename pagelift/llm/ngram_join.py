@@ -16,10 +16,13 @@ every link between different sets, without emitting all pairs of a group:
 3. *Postings.*  Prefix shingles of low estimated count, whose number of
    occurrences the sketch bounds, are packed by hash bucket; those found in one
    class only go.  Frequent ones are plain rows.
-4. *Leaders.*  While the join would be large, each shingle proposes one
-   leader, each document is verified against the leader it shares most prefix
-   shingles with, and linked documents become one component.  So a group of
-   near copies takes one verification per document.
+4. *Leaders.*  In a few rounds each shingle among the smallest hashes of its
+   documents' prefixes proposes one of its documents as leader: one whose
+   shingles are the most frequent, another one in each round.  (In a group of
+   near copies such a document has been edited least, and so is close to most
+   others.)  Each document is verified against the leader that most of its
+   shingles propose, and components that link are drawn together.  So a group of
+   near copies takes about one verification per document and round.
 5. *Join.*  All prefix matches between documents of different components are
    counted and verified.  No match is left out, so the components are exact.
 
@@ -37,6 +40,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,31 +61,40 @@ MAX_MATCHES = 12
 VERIFY_COST, SEND_COST = 16, 4
 #: A shingle is frequent when its count, less the sketch's noise, is above this.
 FREQUENT = 200
-#: Leaders are proposed while the join would meet more than this many rows per posting.
-DENSE = 8
-MAX_LEADER_ROUNDS = 6
-#: One shingle in so many votes for leaders; what the votes miss the join finds.
-VOTE_SHARE = 8
+#: Rounds of leaders, and how many shingles of a document vote in them; what they miss the join finds.
+LEADER_ROUNDS = 5
+VOTES = 8
 
 _MIX = np.random.default_rng(3).integers(1, 2 ** 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
-class _WordHash(dict):
+class _Words(dict):
+    """Numbers of words, and the hash of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
+        self[word] = number = len(self)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[number] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return number
 
 
-_word_hash = _WordHash()
+_words = _Words()
+MAX_WORDS = 1 << 21
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, sorted."""
+    if len(_words) > MAX_WORDS:  # bounded memory; hashes don't depend on what is kept
+        _words.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((h for own in words for h in map(_word_hash.__getitem__, own)), np.uint64, int(n.sum()))
+    numbers = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+    flat = _words.hashes[numbers]
     first = np.cumsum(n) - n
     with np.errstate(over="ignore"):
         total = flat * _MIX[0]
@@ -193,110 +207,129 @@ class Order:
         # twice the spread above the average is noise too
         self.others = np.maximum(0, counts - noise - 2 * np.sqrt(noise) - 1)
 
-    def prefix(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The prefix shingles, which of them are frequent, and the number of matches that a partner must have."""
-        n = len(own)
-        codes = self.codes[_bucket_of(own, self.bits)]
-        by_rank = np.argsort(codes, kind="stable")  # ties: by hash
+    def prefixes(self, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of non-empty sets: the prefix shingles, the set of each, which are frequent; the matches that a
+        partner must have, the length of each prefix, and how frequent a set's shingles are, as a whole logarithm."""
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        first = np.cumsum(n) - n
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        codes = self.codes[_bucket_of(flat, self.bits)]
+        by_rank = np.argsort(owner << 8 | codes, kind="stable")  # ties: by hash
+        flat, others = flat[by_rank], self.others[codes[by_rank]]
+        met_up_to = np.concatenate([[0.0], np.cumsum(others)])
         need = -(-PERCENT * n // 100)
-        others = self.others[codes[by_rank]]
-        matches = np.arange(1, min(MAX_MATCHES, need) + 1)
-        length = n - need + matches
-        met = np.cumsum(others)[length - 1]
-        best = int(np.argmin(SEND_COST * length + met * (1 + VERIFY_COST / matches)))
-        taken = by_rank[:length[best]]
-        return own[taken], others[:length[best]] > FREQUENT, int(matches[best])
+        matches = np.arange(1, MAX_MATCHES + 1)
+        length = np.minimum((n - need)[:, None] + matches, n[:, None])
+        met = met_up_to[first[:, None] + length] - met_up_to[first][:, None]
+        cost = np.where(matches <= need[:, None], SEND_COST * length + met * (1 + VERIFY_COST / matches), np.inf)
+        best = cost.argmin(axis=1)
+        taken = length[np.arange(len(sets)), best]
+        inside = np.arange(len(flat)) - first[owner] < taken[owner]
+        central = np.add.reduceat(np.log2(1 + others), first) / n
+        return flat[inside], owner[inside], others[inside] > FREQUENT, matches[best], taken, central.astype(np.int64)
+
+
+def _voting(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which prefix shingles vote: the ``VOTES`` of each set with the smallest hashes."""
+    by_hash = np.lexsort((_mixed(tokens), owner))
+    counts = np.bincount(owner)
+    place = np.empty(len(tokens), np.int64)
+    place[by_hash] = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return place < VOTES
 
 
 def _second_pass(order, buckets: int):
     """Rows of three kinds: packed prefixes by bucket, frequent postings, and a row per set with its sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 16 << 20):
-            packed: list[list] = [[] for _ in range(buckets)]
-            frequent: list[tuple[int, int, int]] = []
-            meta, seen = [], set()
+        for part in slices(batches, 1, 8 << 20):
+            sets = {}
             for own in shingle_sets(texts_of(part, 1)):
-                if not len(own) or (cid := _class_of(own)[0]) in seen:
-                    continue
-                seen.add(cid)
-                tokens, hot, matches = order.value.prefix(own)
-                meta.append((cid, len(own), len(own) - len(tokens), matches))
-                frequent += [(t, cid, len(own)) for t in tokens[hot].view(np.int64).tolist()]
-                cold = tokens[~hot]
-                bucket = (cold % np.uint64(buckets)).astype(np.int64)
-                by_bucket = np.argsort(bucket, kind="stable")
-                cold, bucket = cold[by_bucket], bucket[by_bucket]
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for b, at, stop in zip(bucket[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(cold)]):
-                    packed[b].append((cid, len(own), cold[at:stop]))
-            used = [b for b in range(buckets) if packed[b]]
-            blank = [None] * len(used)
-            yield _row_batch(kind=["packed"] * len(used), bucket=used, token=blank, cid=blank, n=blank, rest=blank, matches=blank,
-                             tokens=[np.concatenate([t for *_, t in packed[b]]).tobytes() for b in used],
-                             owners=[np.array([(c, n, len(t)) for c, n, t in packed[b]], np.int64).tobytes() for b in used])
-            for rows, kind in ((frequent, "posting"), (meta, "set")):
-                blank = [None] * len(rows)
-                yield _row_batch(kind=[kind] * len(rows), bucket=blank, token=[r[0] if kind == "posting" else None for r in rows],
-                                 cid=[r[kind == "posting"] for r in rows], n=[r[1 + (kind == "posting")] for r in rows],
-                                 rest=[r[2] if kind == "set" else None for r in rows],
-                                 matches=[r[3] if kind == "set" else None for r in rows], tokens=blank, owners=blank)
+                if len(own):
+                    sets[_class_of(own)[0]] = own
+            if not sets:
+                continue
+            cids, n = np.fromiter(sets, np.int64, len(sets)), np.fromiter(map(len, sets.values()), np.int64, len(sets))
+            with np.errstate(over="ignore"):
+                tokens, owner, hot, matches, length, central = order.value.prefixes(list(sets.values()))
+                votes = _voting(tokens, owner)
+            cold = np.flatnonzero(~hot)
+            bucket = (tokens[cold] % np.uint64(buckets)).astype(np.int64)
+            cold = cold[np.lexsort((~votes[cold], owner[cold], bucket))]
+            bucket = (tokens[cold] % np.uint64(buckets)).astype(np.int64)
+            new = np.flatnonzero(np.diff(bucket * len(sets) + owner[cold], prepend=-1))  # a run for each bucket and set
+            size = np.diff(np.append(new, len(cold)))
+            voting = np.add.reduceat(votes[cold].astype(np.int64), new) if len(new) else new
+            runs_ = np.stack([cids[owner[cold[new]]], n[owner[cold[new]]], central[owner[cold[new]]], size, voting], axis=1)
+            used = np.unique(bucket)
+            cut, run_cut = np.searchsorted(bucket, used), np.searchsorted(bucket[new], used)
+            tokens_cut = np.split(tokens[cold], cut[1:]) if len(used) else []
+            runs_cut = np.split(runs_, run_cut[1:]) if len(used) else []
+            yield _row_batch(len(used), kind="packed", bucket=used, tokens=[t.tobytes() for t in tokens_cut], owners=[r.tobytes() for r in runs_cut])
+            at = np.flatnonzero(hot)
+            yield _row_batch(len(at), kind="posting", token=tokens[at].view(np.int64), cid=cids[owner[at]], n=n[owner[at]], central=central[owner[at]], vote=votes[at])
+            yield _row_batch(len(cids), kind="set", cid=cids, n=n, rest=n - length, matches=matches)
     return run
 
 
-_SECOND = {"kind": pa.string(), "bucket": pa.int32(), "token": pa.int64(), "cid": pa.int64(), "n": pa.int32(), "rest": pa.int32(),
-           "matches": pa.int32(), "tokens": pa.binary(), "owners": pa.binary()}
+_SECOND = {"kind": pa.string(), "bucket": pa.int32(), "token": pa.int64(), "cid": pa.int64(), "n": pa.int32(), "central": pa.int32(), "vote": pa.bool_(),
+           "rest": pa.int32(), "matches": pa.int32(), "tokens": pa.binary(), "owners": pa.binary()}
 
 
-def _row_batch(**columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in _SECOND.items()], list(_SECOND))
+def _row_batch(rows: int, kind: str, **columns) -> pa.RecordBatch:
+    made = {"kind": [kind] * rows} | columns
+    return pa.RecordBatch.from_arrays([pa.array(made[k]).cast(t) if k in made and rows else pa.nulls(rows, t) for k, t in _SECOND.items()], list(_SECOND))
 
 
 # ---------------------------------------------------------------- 3: postings
 def _shared(group: pa.Table) -> pa.Table:
     """Postings of a bucket whose shingle is in two or more classes."""
     tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()])
-    owners = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 3) for o in group["owners"].to_pylist()])
-    cid, n = np.repeat(owners[:, 0], owners[:, 2]), np.repeat(owners[:, 1], owners[:, 2])
+    owners = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 5) for o in group["owners"].to_pylist()])
+    size, voting = owners[:, 3], owners[:, 4]
+    vote = np.arange(len(tokens)) < np.repeat(np.cumsum(size) - size + voting, size)  # voting shingles stand first
+    cid, run = np.repeat(owners[:, 0], size), np.repeat(np.arange(len(owners)), size)
     by_token = np.lexsort((cid, tokens))
-    tokens, cid, n = tokens[by_token], cid[by_token], n[by_token]
+    tokens, cid, run, vote = tokens[by_token], cid[by_token], run[by_token], vote[by_token]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (cid[1:] != cid[:-1])) if len(tokens) else np.zeros(0, bool)
-    tokens, cid, n = tokens[new], cid[new], n[new]
+    tokens, cid, run, vote = tokens[new], cid[new], run[new], vote[new]
     same = tokens[1:] == tokens[:-1]
     kept = np.append(same, False) | np.append(False, same) if len(tokens) else np.zeros(0, bool)
-    return pa.table({"token": pa.array(tokens[kept].view(np.int64)), "cid": pa.array(cid[kept]), "n": pa.array(n[kept].astype(np.int32))})
+    return pa.table({"token": pa.array(tokens[kept].view(np.int64)), "cid": pa.array(cid[kept]),
+                     "n": pa.array(owners[run[kept], 1].astype(np.int32)), "central": pa.array(owners[run[kept], 2].astype(np.int32)),
+                     "vote": pa.array(vote[kept])})
 
 
 # ---------------------------------------------------------------- 4, 5: candidates
 _SIZES_FIT = f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)"
 
 
-def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return postings.withColumn("comp", F.col("cid"))
-    return postings.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-
-
-def _active(postings: DataFrame) -> DataFrame:
-    """Shingles of more than one component, with the number of their postings."""
-    return (postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-            .filter("lo < hi").select("token", "k"))
-
-
-def _voted(postings: DataFrame, number: int) -> DataFrame:
-    """One candidate (a, b) per document: the leader of another component that most of its voting shingles propose."""
-    votes = postings.filter(F.pmod(F.xxhash64("token"), F.lit(VOTE_SHARE)) == number % VOTE_SHARE)
+def _leaders(votes: DataFrame, number: int) -> DataFrame:
+    """One candidate (a, b) per document, with their components: the leader of another component that most of
+    its voting shingles propose."""
     lead = (votes.groupBy("token").agg(
-        F.min_by(F.struct("cid", "n", "comp"), F.xxhash64("cid", F.lit(number))).alias("lead"),
+        F.min_by(F.struct("cid", "n", "comp"), F.struct(-F.col("central"), F.xxhash64("cid", F.lit(number)))).alias("lead"),
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         .selectExpr("token", "lead.cid as b", "lead.n as b_n", "lead.comp as b_comp"))
-    return (votes.withColumnsRenamed({"cid": "a", "n": "a_n"}).join(lead, "token").filter(f"comp != b_comp and {_SIZES_FIT}")
-            .groupBy("a", "b").agg(F.count("*").alias("c"))
-            .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
+    return (votes.withColumnsRenamed({"cid": "a", "n": "a_n", "comp": "a_comp"}).join(lead, "token")
+            .filter(f"a_comp != b_comp and {_SIZES_FIT}")
+            .groupBy("a", "b", "a_comp", "b_comp").agg(F.count("*").alias("c"))
+            .groupBy("a", "a_comp").agg(F.max_by(F.struct("b", "b_comp"), F.struct("c", "b")).alias("lead"))
+            .selectExpr("a", "lead.b as b", "a_comp", "lead.b_comp as b_comp"))
+
+
+def _drawn_together(votes: DataFrame, found: DataFrame) -> DataFrame:
+    """``votes`` with linked components under one label (the smaller), without shingles of one component only."""
+    lower = (found.selectExpr("greatest(a_comp, b_comp) as comp", "least(a_comp, b_comp) as low")
+             .groupBy("comp").agg(F.min("low").alias("low")))
+    votes = votes.join(lower, "comp", "left").withColumn("comp", F.coalesce("low", "comp")).drop("low")
+    split = votes.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    return written(votes.join(split, "token", "left_semi"), "ngram-votes")
 
 
 def _matched(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components with enough prefix matches to be verified."""
-    own = postings.join(_active(postings).select("token"), "token")
+    split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    own = written(postings.join(split, "token", "left_semi"), "ngram-split")
     a = own.selectExpr("token", "cid as a", "n as a_n", "comp as a_comp")
     b = own.selectExpr("token", "cid as b", "n as b_n", "comp as b_comp")
     counted = (a.join(b, "token").filter(f"a < b and a_comp != b_comp and {_SIZES_FIT}")
@@ -310,20 +343,37 @@ def _matched(postings: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+    """The pairs that link, by their whole sets, with all their columns."""
+    pairs = written(pairs, "ngram-pairs")
+    names = pairs.columns
+    shared = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).astype(bool)
+        for part in batches:
+            yield part.filter(pa.array(held[_bucket_of(_id_hash(part.column(0).to_numpy(zero_copy_only=False)), SKETCH_BITS)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
-        for part in slices(batches, 2):
+        for part in slices(batches, part_at):
             good = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in part.columns)):
-                if b != last:
-                    last, last_set = b, shingle_sets([zlib.decompress(tb).decode("utf-8", "surrogatepass")])[0]
-                if links(shingle_sets([zlib.decompress(ta).decode("utf-8", "surrogatepass")])[0], last_set):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], ["a", "b"])
-
+            for a, b, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text"))):
+                if (b, tb) != last:
+                    last, last_set = (b, tb), _set_of(tb)
+                own = _set_of(ta)
+                # a text under its document's id may be another row's: its set must be that of the class
+                good.append(_class_of(own)[0] == a and _class_of(last_set)[0] == b and links(own, last_set))
+            yield part.select(names).filter(pa.array(good, pa.bool_()))
+
+    part_at = len(names)
+    texts = texts.select("cid", "text").mapInArrow(wanted, "cid long, text binary")
     a, b = texts.selectExpr("cid as a", "text as a_text"), texts.selectExpr("cid as b", "text as b_text")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    joined = pairs.join(a, "a").join(b, "b").select(*names, "a_text", "b_text")
+    return written(joined.mapInArrow(run, pairs.schema).distinct(), "ngram-links")
+
+
+def _set_of(packed: bytes) -> np.ndarray:
+    return shingle_sets([zlib.decompress(packed).decode("utf-8", "surrogatepass")])[0]
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -339,12 +389,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in slices(batches, 1):
             part = part.filter(pc.is_valid(part.column(0)))
             part = part.filter(pa.array(held[_bucket_of(_id_hash(part.column(0).to_numpy(zero_copy_only=False)), SKETCH_BITS)]))
-            texts = texts_of(part, 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([_class_of(s)[0] for s in shingle_sets(texts)], pa.int64()),
-                 pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())], ["rep", "cid", "text"])
+                [part.column(0), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts_of(part, 1)], pa.binary())], ["rep", "text"])
 
-    return docs.mapInArrow(run, "rep long, cid long, text binary").join(wanted, ["rep", "cid"], "left_semi").dropDuplicates(["rep", "cid"]).select("cid", "text")
+    return docs.mapInArrow(run, "rep long, text binary").join(wanted, "rep").select("cid", "text")
 
 
 def _bitmap(ids: DataFrame, column: str):
@@ -379,8 +427,8 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         f"{k} {_SQL_TYPES[t]}" for k, t in _SECOND.items())), "ngram-prefixes", by="kind")
     sets = second.filter("kind = 'set'").select("cid", "n", "rest", "matches").dropDuplicates(["cid"])
     packed = second.filter("kind = 'packed'").select("bucket", "tokens", "owners")
-    frequent = second.filter("kind = 'posting'").select("token", "cid", "n").dropDuplicates(["token", "cid"])
-    postings = written(packed.groupBy("bucket").applyInArrow(_shared, "token long, cid long, n int").unionByName(frequent), "ngram-postings")
+    frequent = second.filter("kind = 'posting'").select("token", "cid", "n", "central", "vote").dropDuplicates(["token", "cid"])
+    postings = written(packed.groupBy("bucket").applyInArrow(_shared, "token long, cid long, n int, central int, vote boolean").unionByName(frequent), "ngram-postings")
 
     # a class with fewer shared prefix shingles than it must match has no partner
     able = (postings.groupBy("cid").agg(F.count("*").alias("k")).join(sets.select("cid", "matches"), "cid").filter("k >= matches").select("cid"))
@@ -390,20 +438,15 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = written(_texts(docs, able.select("cid", "rep")), "ngram-texts")
     postings = written(postings.join(able.select("cid"), "cid", "left_semi"), "ngram-postings")
 
-    found, comp = None, None
-    for number in range(MAX_LEADER_ROUNDS):
-        labelled = _labelled(postings, comp)
-        total, met = labelled.join(_active(labelled), "token").agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if met <= DENSE * total:
-            break
-        new = written(_verified(_voted(labelled, number), texts), "ngram-links")
-        if not new.limit(1).count():
-            break
-        found = new if found is None else found.unionByName(new)
-        comp = components(found).selectExpr("node as cid", "root as comp")
-    last = written(_verified(_matched(_labelled(postings, comp), sets), texts), "ngram-links")
-    found = last if found is None else found.unionByName(last)
-    comp = components(found).selectExpr("node as cid", "root as comp")
+    votes, found = postings.filter("vote").select("token", "cid", "n", "central", F.col("cid").alias("comp")), []
+    for number in range(LEADER_ROUNDS):
+        found.append(_verified(_leaders(votes, number), texts))
+        votes = _drawn_together(votes, found[-1])
+    near = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found))
+    comp = components(near).selectExpr("node as cid", "root as comp")
+    labelled = postings.select("token", "cid", "n").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    last = _verified(_matched(labelled, sets), texts)
+    comp = components(near.unionByName(last)).selectExpr("node as cid", "root as comp")
 
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -414,7 +457,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                     F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
 
 
-_SQL_TYPES = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+_SQL_TYPES = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:

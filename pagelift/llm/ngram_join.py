@@ -326,20 +326,16 @@ def _drawn_together(votes: DataFrame, found: DataFrame) -> DataFrame:
     return written(votes.join(split, "token", "left_semi"), "ngram-votes")
 
 
-def _matched(postings: DataFrame, sets: DataFrame) -> DataFrame:
+def _matched(postings: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components with enough prefix matches to be verified."""
     split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     own = written(postings.join(split, "token", "left_semi"), "ngram-split")
-    a = own.selectExpr("token", "cid as a", "n as a_n", "comp as a_comp")
-    b = own.selectExpr("token", "cid as b", "n as b_n", "comp as b_comp")
-    counted = (a.join(b, "token").filter(f"a < b and a_comp != b_comp and {_SIZES_FIT}")
-               .groupBy("a", "b").agg(F.count("*").alias("c")))
-    sides = [sets.selectExpr(f"cid as {s}", f"n as {s}_n", f"rest as {s}_rest", f"matches as {s}_l") for s in "ab"]
+    sides = [own.selectExpr("token", *(f"{x} as {side}{'_' + x if x != 'cid' else ''}" for x in ("cid", "n", "comp", "rest", "matches"))) for side in "ab"]
+    counted = (sides[0].join(sides[1], "token").filter(f"a < b and a_comp != b_comp and {_SIZES_FIT}")
+               .groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("a_matches", "b_matches")).alias("l"),
+                                      F.first(F.greatest("a_rest", "b_rest")).alias("rest"), F.first(F.col("a_n") + F.col("b_n")).alias("sizes")))
     # a common shingle outside the shorter prefix is among the `rest` of that side
-    return (counted.join(sides[0], "a").join(sides[1], "b")
-            .filter("c >= least(a_l, b_l)")
-            .filter(f"{100 + PERCENT} * (c + greatest(a_rest, b_rest)) >= {PERCENT} * (a_n + b_n)")
-            .select("a", "b"))
+    return counted.filter(f"c >= l and {100 + PERCENT} * (c + rest) >= {PERCENT} * sizes").select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -444,8 +440,8 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         votes = _drawn_together(votes, found[-1])
     near = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found))
     comp = components(near).selectExpr("node as cid", "root as comp")
-    labelled = postings.select("token", "cid", "n").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    last = _verified(_matched(labelled, sets), texts)
+    named = sets.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("cid", "rest", "matches", "comp")
+    last = _verified(_matched(postings.select("token", "cid", "n").join(named, "cid")), texts)
     comp = components(near.unionByName(last)).selectExpr("node as cid", "root as comp")
 
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -10,13 +10,9 @@ class JobConfig:
     # Defaults of the reference settings.
     llm_api_key: str = ""
     llm_model: str = "llama-3.1-8b-instant"
-    llm_base_url: str = "https://api.groq.com/openai/v1"
-    request_timeout_seconds: float = 20
     max_download_bytes: int = 5_000_000
     max_llm_input_chars: int = 60_000
     enable_browser_fallback: bool = True
-    # ours: output partitions of the node table (None: spark.sql.shuffle.partitions)
-    node_partitions: int | None = None
 
 
 DEFAULT = JobConfig()

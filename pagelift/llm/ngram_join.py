@@ -15,7 +15,8 @@ every link between different sets, without emitting all pairs of a group:
    shares the smaller ``l`` of the two, and enough for its sizes.
 3. *Postings.*  Prefix shingles of low estimated count, whose number of
    occurrences the sketch bounds, are packed by hash bucket; those found in one
-   class only go.  Frequent ones are plain rows.
+   class only go.  Frequent ones are plain rows.  A class stays if it has as
+   many as the least ``l`` among the classes it shares them with.
 4. *Leaders.*  In a few rounds each shingle among the smallest hashes of its
    documents' prefixes proposes one of its documents as leader: one whose
    shingles are the most frequent, another one in each round.  (In a group of
@@ -259,7 +260,7 @@ def _second_pass(order, buckets: int):
             new = np.flatnonzero(np.diff(bucket * len(sets) + owner[cold], prepend=-1))  # a run for each bucket and set
             size = np.diff(np.append(new, len(cold)))
             voting = np.add.reduceat(votes[cold].astype(np.int64), new) if len(new) else new
-            runs_ = np.stack([cids[owner[cold[new]]], n[owner[cold[new]]], central[owner[cold[new]]], size, voting], axis=1)
+            runs_ = np.stack([cids[owner[cold[new]]], n[owner[cold[new]]], central[owner[cold[new]]], size, voting, matches[owner[cold[new]]]], axis=1)
             used = np.unique(bucket)
             cut, run_cut = np.searchsorted(bucket, used), np.searchsorted(bucket[new], used)
             tokens_cut = np.split(tokens[cold], cut[1:]) if len(used) else []
@@ -282,9 +283,9 @@ def _row_batch(rows: int, kind: str, **columns) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- 3: postings
 def _shared(group: pa.Table) -> pa.Table:
-    """Postings of a bucket whose shingle is in two or more classes."""
+    """Postings of a bucket whose shingle is in two or more classes; ``low`` is the least ``matches`` of these."""
     tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()])
-    owners = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 5) for o in group["owners"].to_pylist()])
+    owners = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 6) for o in group["owners"].to_pylist()])
     size, voting = owners[:, 3], owners[:, 4]
     vote = np.arange(len(tokens)) < np.repeat(np.cumsum(size) - size + voting, size)  # voting shingles stand first
     cid, run = np.repeat(owners[:, 0], size), np.repeat(np.arange(len(owners)), size)
@@ -294,9 +295,13 @@ def _shared(group: pa.Table) -> pa.Table:
     tokens, cid, run, vote = tokens[new], cid[new], run[new], vote[new]
     same = tokens[1:] == tokens[:-1]
     kept = np.append(same, False) | np.append(False, same) if len(tokens) else np.zeros(0, bool)
-    return pa.table({"token": pa.array(tokens[kept].view(np.int64)), "cid": pa.array(cid[kept]),
-                     "n": pa.array(owners[run[kept], 1].astype(np.int32)), "central": pa.array(owners[run[kept], 2].astype(np.int32)),
-                     "vote": pa.array(vote[kept])})
+    tokens, cid, run, vote = tokens[kept], cid[kept], run[kept], vote[kept]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(owners[run, 5], first) if len(first) else first
+    low = np.repeat(low, np.diff(np.append(first, len(tokens))))
+    return pa.table({"token": pa.array(tokens.view(np.int64)), "cid": pa.array(cid),
+                     "n": pa.array(owners[run, 1].astype(np.int32)), "central": pa.array(owners[run, 2].astype(np.int32)),
+                     "vote": pa.array(vote), "low": pa.array(low.astype(np.int32))})
 
 
 # ---------------------------------------------------------------- 4, 5: candidates
@@ -423,16 +428,17 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         f"{k} {_SQL_TYPES[t]}" for k, t in _SECOND.items())), "ngram-prefixes", by="kind")
     sets = second.filter("kind = 'set'").select("cid", "n", "rest", "matches").dropDuplicates(["cid"])
     packed = second.filter("kind = 'packed'").select("bucket", "tokens", "owners")
-    frequent = second.filter("kind = 'posting'").select("token", "cid", "n", "central", "vote").dropDuplicates(["token", "cid"])
-    postings = written(packed.groupBy("bucket").applyInArrow(_shared, "token long, cid long, n int, central int, vote boolean").unionByName(frequent), "ngram-postings")
+    frequent = second.filter("kind = 'posting'").select("token", "cid", "n", "central", "vote").dropDuplicates(["token", "cid"]).withColumn("low", F.lit(1))
+    postings = written(packed.groupBy("bucket").applyInArrow(_shared, "token long, cid long, n int, central int, vote boolean, low int").unionByName(frequent), "ngram-postings")
 
-    # a class with fewer shared prefix shingles than it must match has no partner
-    able = (postings.groupBy("cid").agg(F.count("*").alias("k")).join(sets.select("cid", "matches"), "cid").filter("k >= matches").select("cid"))
+    # a pair needs the smaller `matches` of its two: a class has no partner if it shares fewer prefix shingles than
+    # any class that it shares one with asks for (1 for the frequent ones, whose classes aren't compared here)
+    able = postings.groupBy("cid").agg(F.count("*").alias("k"), F.min("low").alias("low")).filter("k >= low").select("cid")
     able = written(able.join(classes.filter("rep is not null"), "cid").select("cid", "rep", "lo", "hi"), "ngram-able")
     if able.filter("lo != hi").limit(1).count():
         raise ValueError("two different sets have one 64-bit class id")
     texts = written(_texts(docs, able.select("cid", "rep")), "ngram-texts")
-    postings = written(postings.join(able.select("cid"), "cid", "left_semi"), "ngram-postings")
+    postings = written(postings.drop("low").join(able.select("cid"), "cid", "left_semi"), "ngram-postings")
 
     votes, found = postings.filter("vote").select("token", "cid", "n", "central", F.col("cid").alias("comp")), []
     for number in range(LEADER_ROUNDS):

@@ -88,6 +88,20 @@ def test_prefix_settings_don_t_change_the_result(spark, monkeypatch, matches, fr
     assert joined(df) == plain_components(found)
 
 
+@pytest.mark.parametrize("copies", [2, 3, 10, 100])
+def test_copies_link_with_a_longer_text_that_holds_them(spark, copies):
+    rng = random.Random(copies)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    found = []
+    for _ in range(20):  # 75 shingles, and 100 that hold them: exactly 75 percent
+        text = " ".join(word() for _ in range(79))
+        found += [text] * copies + [text + " " + " ".join(word() for _ in range(25))]
+    found = list(enumerate(found))
+    df = spark.createDataFrame(found, "doc_id long, text string").repartition(4)
+    size = copies + 1
+    assert joined(df) == Counter((k, 100 if k % size == copies else 75, k - k % size) for k, _ in found)
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     got = ngram_join.one_per_component(docs)

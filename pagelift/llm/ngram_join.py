@@ -30,6 +30,9 @@ every link between different sets, without emitting all pairs of a group:
 Texts needed for verification are fetched once.  Components come from star
 steps on link tables; nothing but the fixed-size sketch passes the driver.
 
+``class_links`` gives the links themselves: it does without leaders, and counts
+and verifies all prefix matches between classes, also within components.
+
 Defined cases: a null or empty text has an empty set, which links with nothing
 (its component is its own id); rows that share a doc_id count as one document
 in components; a null doc_id keeps its row and never names a component;
@@ -414,8 +417,8 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
         return _mixed(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (smallest doc_id with an equal set) of every document."""
+def _prepared(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, ...]:
+    """Steps 1 to 3: rows, classes, sets, and of the classes that may have a partner the postings and texts."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -439,7 +442,12 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         raise ValueError("two different sets have one 64-bit class id")
     texts = written(_texts(docs, able.select("cid", "rep")), "ngram-texts")
     postings = written(postings.drop("low").join(able.select("cid"), "cid", "left_semi"), "ngram-postings")
+    return rows, classes, sets, postings, texts
 
+
+def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (smallest doc_id with an equal set) of every document."""
+    rows, classes, sets, postings, texts = _prepared(docs, buckets)
     votes, found = postings.filter("vote").select("token", "cid", "n", "central", F.col("cid").alias("comp")), []
     for number in range(LEADER_ROUNDS):
         found.append(_verified(_leaders(votes, number), texts))
@@ -459,6 +467,24 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                     F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
 
 
+def class_links(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links between classes that have a doc_id, and how many each document has.
+
+    The first table is written: a, b (keys of two classes, a < b) and a_class_id, b_class_id.  The second has a row per
+    document: doc_id, class_id and n_links, the number of other classes that its class links with.
+    """
+    rows, classes, sets, postings, texts = _prepared(docs, buckets)
+    named = sets.select("cid", "rest", "matches", F.col("cid").alias("comp"))  # every class on its own: no pair is left out
+    pairs = _verified(_matched(postings.select("token", "cid", "n").join(named, "cid")), texts)
+    a, b = (classes.selectExpr(f"cid as {side}", f"rep as {side}_class_id") for side in "ab")
+    found = written(pairs.join(a, "a").join(b, "b").select("a", "b", "a_class_id", "b_class_id"), "ngram-class-links")
+    counts = found.selectExpr("a as cid").unionByName(found.selectExpr("b as cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    known = classes.select("cid", F.col("rep").alias("class_id"))
+    return found, (rows.join(known, "cid", "left").join(counts, "cid", "left")
+                   .select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+                           F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+
+
 _SQL_TYPES = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 

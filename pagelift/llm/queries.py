@@ -104,6 +104,26 @@ def op3_ngram_jaccard(spark, sf):
     return ngram_join.join(table(spark, sf, "documents"))
 
 
+@query(rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS gram
+      FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS class FROM s GROUP BY r),
+c AS (SELECT class, min(r) AS r, any_value(n) AS n, min(doc_id) AS class_id FROM n JOIN d USING (r) GROUP BY class),
+g AS (SELECT class, n, gram FROM c JOIN s USING (r) WHERE class_id IS NOT NULL),
+l AS (SELECT a.class FROM g a JOIN g b ON a.gram = b.gram AND a.class <> b.class
+      GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+k AS (SELECT class, count(*) AS n_links FROM l GROUP BY class)
+SELECT d.doc_id, CASE WHEN n.r IS NULL THEN d.doc_id ELSE c.class_id END AS class_id,
+       CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN c ON c.class = n.class LEFT JOIN k ON k.class = n.class
+""")
+def op3_class_links(spark, sf):
+    return ngram_join.class_links(table(spark, sf, "documents"))[1]
+
+
 @query()
 def op4_toxicity(spark, sf):
     docs = table(spark, sf, "documents")

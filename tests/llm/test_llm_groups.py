@@ -102,6 +102,22 @@ def test_copies_link_with_a_longer_text_that_holds_them(spark, copies):
     assert joined(df) == Counter((k, 100 if k % size == copies else 75, k - k % size) for k, _ in found)
 
 
+def test_all_links_between_classes_are_returned(spark):
+    found = crowded(7)
+    found += [(len(found) + k, text) for k, (_, text) in enumerate(found[:10])]  # copies are of one class
+    links, counts = ngram_join.class_links(spark.createDataFrame(found, "doc_id long, text string").repartition(4))
+    classes = {}
+    for doc, text in found:
+        classes.setdefault(frozenset(shingles(text)), doc)
+    sets = [(doc, own) for own, doc in classes.items()]
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    got = [tuple(sorted((r.a_class_id, r.b_class_id))) for r in links.collect()]
+    assert len(got) == len(want) > 50 and set(got) == want
+    own = {doc: classes[frozenset(shingles(text))] for doc, text in found}
+    each = Counter(x for pair in want for x in pair)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in counts.collect()} == {doc: (c, each[c]) for doc, c in own.items()}
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     got = ngram_join.one_per_component(docs)

@@ -8,7 +8,8 @@ and a logistic regression with an L2 penalty is fitted on presence times ``r``.
 Scoring is one table lookup per n-gram and a matrix product per slice.
 
 The training sample is bounded by ``max_rows`` rows and ``max_chars``
-characters, chosen by a hash of the id; a longer sample is never needed on the
+characters, chosen by a hash of the id; a text that does not fit is passed over,
+and too few rows of a class give a warning. A longer sample is never needed on the
 driver.  Rows whose ``crc32(doc_id) mod 4`` is 2 are held out.
 
 Defined cases: a null or empty text has no n-grams and gets the score of the
@@ -20,6 +21,7 @@ kept by ``drop_toxic``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,11 +135,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(own), "doc_id"))
-    sized = sorted(tuple(r) for r in rows.select(
-        F.xxhash64("doc_id"), F.coalesce(F.length("text"), F.lit(0))).collect())
-    n_fits = int((np.cumsum([n for _, n in sized]) <= max_chars).sum())
-    chosen = rows.filter(F.xxhash64("doc_id") <= F.lit(sized[n_fits - 1][0])).collect() if n_fits else []
-    chosen = sorted(chosen, key=lambda r: (r.doc_id, r.text or ""))
+    sized: dict[tuple[int, int], int] = {}
+    for key, doc, size in rows.select(F.xxhash64("doc_id"), "doc_id", F.coalesce(F.length("text"), F.lit(0))).collect():
+        sized[key, doc] = sized.get((key, doc), 0) + size
+    fits, used = [], 0
+    for (_, doc), size in sorted(sized.items()):  # what doesn't fit is passed over; what comes after it may fit
+        if used + size <= max_chars:
+            fits.append((doc,))
+            used += size
+    fits = docs.sparkSession.createDataFrame(fits, "doc_id long")
+    chosen = sorted(rows.join(F.broadcast(fits), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))
+    few = [c for c in (0, 1) if sum(r.toxic == c for r in chosen) < MIN_TEXTS]
+    if few:
+        warnings.warn(f"toxicity sample: fewer than {MIN_TEXTS} rows of class {few} among {len(chosen)}", stacklevel=2)
     return fit([r.text or "" for r in chosen], np.array([r.toxic for r in chosen]))
 
 

@@ -202,6 +202,18 @@ def test_toxicity_edges(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_a_long_text_does_not_end_the_toxicity_sample(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    first = spark.createDataFrame([(k,) for k in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).first().doc_id
+    found = [(k, "calm words " * 9000 if k == first else ("vile nasty slur " if k % 2 else "calm kind words ") * 5) for k in ids]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2 if k != first else 0) for k in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_chars=50_000)
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs, model).collect() if r.doc_id != first)
+    with pytest.warns(UserWarning, match="fewer than"):
+        toxicity.train(docs, labels, max_chars=10)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}

@@ -81,15 +81,27 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 _FOLD_FROM, _FOLD_TO, _FOLD_LONG = _folds()
 
 
+def _class(chars) -> str:
+    """A pattern for one of the characters, neighbours as ranges."""
+    points, spans = sorted(map(ord, chars)), []
+    for p in points:
+        if spans and spans[-1][1] == p - 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def casefold(col) -> Column:
-    """``str.casefold()``: lower case, then the folds that lower case leaves."""
+    """``str.casefold()``: lower case, then the folds that lower case leaves; a text is touched only if it holds a
+    character that folds, and spelled out character by character only if one folds to several."""
     table = F.from_json(F.lit(json.dumps(_FOLD_LONG)), "map<string,string>")
 
     def folded(low: Column) -> Column:
         single = F.translate(low, _FOLD_FROM, _FOLD_TO)
         spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-        # the micro sign, and nothing else below U+0149 but sharp s, folds further
-        return F.when(low.rlike(r"[\x{b5}\x{149}-\x{ffff}]"), spelled).otherwise(low)
+        return (F.when(~low.rlike(_class([*_FOLD_FROM, *_FOLD_LONG])), low)
+                .when(low.rlike(_class(_FOLD_LONG)), spelled).otherwise(single))
 
     # sharp s is common and has a way of its own
     return let(F.replace(F.lower(_c(col)), F.lit("ß"), F.lit("ss")), folded)

@@ -162,13 +162,12 @@ def markdown_under(pre: Column, last: Column, lines: str = "lines") -> Column:
     return F.array_join(F.transform(kept, lambda x: x["value"]), "\n")
 
 
-def _score(root: Column, markdown: Column) -> Column:
+def _score(root: Column, words: Column, quality: Column) -> Column:
     """Q8-Q10: quality, paragraph words, semantic roots, less the share of link text."""
     density = F.try_divide(root["link_len"].cast("double"), F.greatest(root["text_len"], F.lit(1)).cast("double"))
     semantic = F.when(root["tag"].isin(*SEMANTIC_ROOTS), 120).otherwise(0)
-    return let(word_count(markdown), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(
-        quality_of(markdown) + F.least(root["p_words"], F.lit(1500)) * 0.35 + semantic
-        - density * F.least(n, F.lit(1000)) * 1.2))
+    return F.when(words == 0, F.lit(0.0)).otherwise(
+        quality + F.least(root["p_words"], F.lit(1500)) * 0.35 + semantic - density * F.least(words, F.lit(1000)) * 1.2)
 
 
 def with_lines(pages: DataFrame) -> DataFrame:
@@ -179,24 +178,28 @@ def with_lines(pages: DataFrame) -> DataFrame:
 
 
 def with_roots(lined: DataFrame) -> DataFrame:
-    """Adds ``roots``: candidate roots with their Markdown and score."""
-    roots = F.transform(_roots(), lambda r: F.struct(r.alias("root"), markdown_under(r["pre"], r["last"]).alias("markdown")))
+    """Adds ``roots``: candidate roots with their Markdown, its words and quality, and the score."""
+    texts = F.transform(_roots(), lambda r: F.struct(r.alias("root"), markdown_under(r["pre"], r["last"]).alias("markdown")))
+    measured = F.transform(texts, lambda x: F.struct(x["root"].alias("root"), x["markdown"].alias("markdown"),
+                                                     word_count(x["markdown"]).alias("words"), quality_of(x["markdown"]).alias("quality")))
     named = F.transform(F.col("_roots"), lambda x: F.struct(
         x["root"]["pre"].alias("pre"), x["root"]["tag"].alias("tag"), x["root"]["order"].alias("sel_order"),
         x["markdown"].alias("markdown"), x["root"]["p_words"].alias("p_words"), x["root"]["text_len"].alias("text_len"),
-        x["root"]["link_len"].alias("link_len"), _score(x["root"], x["markdown"]).alias("score")))
-    return lined.withColumn("_roots", roots).withColumn("roots", named).drop("_roots")
+        x["root"]["link_len"].alias("link_len"), x["words"].alias("words"), x["quality"].alias("quality"),
+        _score(x["root"], x["words"], x["quality"]).alias("score")))
+    return lined.withColumn("_roots", measured).withColumn("roots", named).drop("_roots")
 
 
 def with_basic(lined: DataFrame) -> DataFrame:
-    """Adds ``basic``, the non-empty root Markdown with the highest score
-    (first in selector order on ties); null when there is none."""
+    """Adds ``basic``, the non-empty root Markdown with the highest score (first in selector order on ties; null
+    when there is none), and its ``basic_quality``."""
     ranked = F.transform(F.filter("roots", lambda r: r["markdown"] != ""), lambda r: F.struct(
-        r["score"], -r["sel_order"], -r["pre"], r["markdown"].alias("markdown")))
-    return with_roots(lined).withColumn("basic", F.array_max(ranked)["markdown"])
+        r["score"], -r["sel_order"], -r["pre"], r["markdown"].alias("markdown"), r["quality"].alias("quality")))
+    best = with_roots(lined).withColumn("_best", F.array_max(ranked))
+    return best.withColumn("basic", F.col("_best.markdown")).withColumn("basic_quality", F.col("_best.quality")).drop("_best")
 
 
 def extract_basic(pages: DataFrame) -> DataFrame:
     """Minimum slice: one row per page -- ``(page_id, url, title, markdown, quality)``."""
     found = with_basic(with_lines(pages.select("page_id", "url", "html"))).withColumn("markdown", F.coalesce("basic", F.lit("")))
-    return found.select("page_id", "url", "title", "markdown", F.round(quality_of(F.col("markdown")), 6).alias("quality"))
+    return found.select("page_id", "url", "title", "markdown", F.round(F.coalesce("basic_quality", F.lit(0.0)), 6).alias("quality"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.urls import url_host, url_scheme
-from ..plans.joins import join_dimension
+from ..plans.joins import join_hot
+from ..session import run_table
 
 # Request limits and defaults.
 MAX_INSTRUCTIONS = 2_000
@@ -56,14 +57,15 @@ def approval_gate(items: DataFrame, approvals: DataFrame,
     """A5: (approved, pending).  Only items with a valid approval leave; the
     approved text is the human's.  One approval per URL is kept -- the latest by
     ``approved_at`` where there is that column, ties by content -- so the join
-    cannot multiply items; the item side is salted when the approvals are too
-    large to broadcast, so a URL shared by many items does not land in one task."""
+    cannot multiply items.  These are written once.  Contents are repeated for no
+    URL but one that very many items share, whose items would else meet in one
+    task; who is pending is found from the URLs alone."""
     at = F.col("approved_at") if "approved_at" in approvals.columns else F.lit(None).cast("timestamp")
     ok = approve(approvals.withColumn("_at", at), "_at")
-    one = ok.groupBy("url").agg(F.max(F.struct("_at", "content", "title")).alias("a")).select(
-        "url", F.col("a.title").alias("approved_title"), F.col("a.content").alias("approved_content"))
-    approved = join_dimension(items, one, "url", how="inner", salt_cols=salt_cols)
-    pending = join_dimension(items, one.select("url"), "url", how="left_anti", salt_cols=salt_cols)
+    one = run_table(ok.groupBy("url").agg(F.max(F.struct("_at", "content", "title")).alias("a")).select(
+        "url", F.col("a.title").alias("approved_title"), F.col("a.content").alias("approved_content")), "approvals")
+    approved = join_hot(items, one, "url", salt_cols)
+    pending = join_hot(items, one.select("url"), "url", salt_cols, how="left_anti")
     return approved, pending
 
 

@@ -298,7 +298,22 @@ def d1_page_nodes(spark, sf):
 
 
 # --------------------------------------------------------------- C2-C7, M1-M2
-@query("c1_c7_extract_readable")
+# The driver's articles hold no repeated line and no boxes beside the text: all lines (C2) weigh most where they have 20 words,
+# else the basic text stays.
+_READABLE_SQL = f"""
+lined AS (
+  SELECT page_id, url, html, text AS basic, {_sql_strip("array_to_string(list_filter(all_lines, lambda x, i: list_position(all_lines, x) = i), chr(10))")} AS recall
+  FROM basic),
+readable AS (
+  SELECT *, CASE WHEN len(list_filter(regexp_split_to_array(recall, '{WS}+'), lambda w: w <> '')) >= 20 THEN recall ELSE basic END AS text,
+         CASE WHEN len(list_filter(regexp_split_to_array(recall, '{WS}+'), lambda w: w <> '')) >= 20 THEN 'recall' ELSE 'basic' END AS slot
+  FROM lined)"""
+
+@query("c1_c7_extract_readable", f"""
+WITH {_ARTICLE_SQL},
+{_READABLE_SQL}
+SELECT page_id, url, {_TITLE_SQL} AS title, text, slot FROM readable
+""")
 def c_extract_readable(spark, sf):
     return extract_readable(read_pages(spark, sf))
 
@@ -320,16 +335,15 @@ def _meta_sql(attr: str, value: str) -> str:
             f"'^ | $', '', 'g'), '')")
 
 
-@query("m1_m2_metadata", f"""
-SELECT page_id,
-  coalesce({_meta_sql('name', 'author')}, {_meta_sql('property', 'article:author')}) AS author,
-  strftime(TRY_CAST(left(coalesce(
+_META_AUTHOR_SQL = f"coalesce({_meta_sql('name', 'author')}, {_meta_sql('property', 'article:author')})"
+_META_DESCRIPTION_SQL = f"coalesce({_meta_sql('name', 'description')}, {_meta_sql('property', 'og:description')})"
+_META_DATE_SQL = """strftime(TRY_CAST(left(coalesce(
       nullif(regexp_extract(html, '<meta property="article:published_time" content="([^"]*)"', 1), ''),
-      nullif(trim(regexp_extract(html, '<time datetime="([^"]*)"', 1)), '')), 10) AS DATE),
-    '%Y-%m-%d') AS published_date,
-  coalesce({_meta_sql('name', 'description')}, {_meta_sql('property', 'og:description')})
-    AS description
-FROM pages
+      nullif(trim(regexp_extract(html, '<time datetime="([^"]*)"', 1)), '')), 10) AS DATE), '%Y-%m-%d')"""
+
+
+@query("m1_m2_metadata", f"""
+SELECT page_id, {_META_AUTHOR_SQL} AS author, {_META_DATE_SQL} AS published_date, {_META_DESCRIPTION_SQL} AS description FROM pages
 """)
 def m_metadata(spark, sf):
     from ..operators.metadata import page_metadata
@@ -387,6 +401,55 @@ def u_host_guard(spark, sf):
     return out.select("page_id", ux.guard_host("url").alias("host"), "unsafe_reason")
 
 
+# Hex bounds by prefix, stated independently: IPv6 blocks that are not global, and what is global in them.
+_V6_STATED = (("0" * 32, 128), ("0" * 31 + "1", 128), ("0" * 20 + "ffff", 96), ("0064ff9b0001", 48), ("0100" + "0" * 12, 64), ("20010", 23),
+              ("20010db8", 32), ("2002", 16), ("fc", 7), ("fe8", 10))
+_V6_GLOBAL_STATED = (("20010001" + "0" * 23 + "1", 128), ("20010001" + "0" * 23 + "2", 128), ("20010003", 32), ("200100040112", 48),
+                     ("2001002", 28), ("2001003", 28))
+
+
+def _v6_blocks_sql() -> str:
+    rows = []
+    for blocks, exception in ((_V6_STATED, "false"), (_V6_GLOBAL_STATED, "true")):
+        for prefix, bits in blocks:
+            low = int(prefix.ljust(32, "0"), 16)
+            rows.append(f"('{low:032x}', '{low + 2 ** (128 - bits) - 1:032x}', {exception})")
+    return ", ".join(rows)
+
+
+#: Rules by doc_id modulo 12: the groups before ``::`` of an IPv6 address that ends in the id, or None for the IPv4 rules.
+_V6_PREFIXES = {1: "2001:db8", 2: "fe80", 3: "2606:4700", 5: "fd00:1", 6: "2001:20", 7: "2001:10", 8: "2002:a00", 9: "64:ff9b:1", 10: "64:ff9b"}
+_V6_HEX_SQL = " ".join(f"WHEN {r} THEN rpad('{''.join(g.rjust(4, '0') for g in p.split(':'))}', 28, '0') || printf('%04x', doc_id % 65536)"
+                       for r, p in _V6_PREFIXES.items())
+
+
+@query("u4_address_ranges", f"""
+WITH v4(lo, hi, exc) AS (VALUES {_v4_blocks_sql()}), v6(lo, hi, exc) AS (VALUES {_v6_blocks_sql()}),
+a AS (SELECT doc_id, doc_id % 12 AS r, (doc_id * 2654435761) % 4294967296 AS h FROM documents),
+b AS (SELECT doc_id, CASE r WHEN 0 THEN h WHEN 4 THEN h WHEN 11 THEN 3221225472 + doc_id // 12 % 256 END AS n,
+             CASE r {_V6_HEX_SQL} END AS x FROM a)
+SELECT doc_id, CAST(CASE WHEN n IS NULL THEN 6 ELSE 4 END AS INTEGER) AS family,
+       coalesce(bool_or(in_block) AND NOT bool_or(in_exc), false) AS non_global
+FROM (SELECT doc_id, n, v4.lo IS NOT NULL AND NOT v4.exc AS in_block, coalesce(v4.exc, false) AS in_exc FROM b LEFT JOIN v4 ON n BETWEEN v4.lo AND v4.hi WHERE n IS NOT NULL
+      UNION ALL
+      SELECT doc_id, n, v6.lo IS NOT NULL AND NOT v6.exc, coalesce(v6.exc, false) FROM b LEFT JOIN v6 ON x BETWEEN v6.lo AND v6.hi WHERE n IS NULL)
+GROUP BY doc_id, n
+""")
+def u4_address_ranges(spark, sf):
+    """U4: an address of either family for every document, against the block table."""
+    from ..operators.guard import block_table, block_verdicts, with_address_hex
+    d = table(spark, sf, "documents").select("doc_id")
+    h = (F.col("doc_id") * F.lit(2654435761)) % F.lit(2 ** 32)
+    quad = F.concat_ws(".", *[(F.floor(h / F.lit(256 ** k)) % 256).cast("string") for k in (3, 2, 1, 0)])
+    rule, end = F.col("doc_id") % 12, F.lower(F.hex(F.col("doc_id") % 65536))
+    address = F.when(rule == 0, quad).when(rule == 4, F.concat(F.lit("::ffff:"), quad)).when(
+        rule == 11, F.concat(F.lit("192.0.0."), F.floor(F.col("doc_id") / 12) % 256))
+    for r, prefix in _V6_PREFIXES.items():
+        address = address.when(rule == r, F.concat(F.lit(prefix + "::"), end))
+    found = block_verdicts(with_address_hex(d.withColumn("address", address), "address"), block_table(spark))
+    return found.select("doc_id", "family", "non_global")
+
+
 @query("u5_redirect_guard", """
 SELECT page_id, CASE WHEN length(html) % 7 = 4 THEN 'Private, loopback, and reserved addresses are not allowed.' END AS copy_unsafe
 FROM pages WHERE length(html) % 7 <> 2
@@ -420,7 +483,7 @@ def s3_decoded_bodies(spark, sf):
 
 @query("s4_rendered_copies", """
 SELECT page_id, CASE WHEN length(html) % 7 = 4 THEN 'http://10.0.0.5/copy' ELSE url END AS url,
-       CAST(CASE WHEN length(html) % 7 = 3 THEN NULL WHEN length(html) % 7 >= 5 THEN 2 * length(html) + 13 ELSE length(html) END AS BIGINT) AS chars,
+       CAST(CASE WHEN length(html) % 7 = 3 THEN NULL WHEN length(html) % 7 >= 5 THEN length(html) + 1246 ELSE length(html) END AS BIGINT) AS chars,
        CASE WHEN length(html) % 7 = 3 THEN 'Headless browser rendering timed out.' END AS render_error
 FROM pages WHERE length(html) % 7 <> 2
 """)
@@ -435,6 +498,61 @@ def s4_rendered_copies(spark, sf):
 
 
 # --------------------------------------------------------------- R2-R7, A1, A2
+# Stated once more, independently of the code that derives the tables.
+_SHELL_SQL = """'<html><head></head><body><div id="root"></div><script src="/app.js"></script></body></html>'"""
+_MORE_SQL = "array_to_string(list_transform(range(150), lambda i: 'more' || i || '.'), ' ')"
+
+
+def _flow_sql(fail: str, long: str, copy: str) -> str:
+    """The relation ``flow``: what becomes of each page.  ``fail`` is its fetch error, ``long`` whether its instructions are too
+    long, ``copy`` the rule of its rendered copy, all in terms of ``n``, the length of the markup, and ``page_id``."""
+    return f"""
+WITH blocks(lo, hi, exc) AS (VALUES {_v4_blocks_sql()}),
+{_ARTICLE_SQL},
+{_READABLE_SQL},
+hosts AS (
+  SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '{_URL_PARTS}', 3), '^.*@', ''), ':.*$', '')), '\\.+$', '') AS host,
+         (page_id * 2654435761) % 4294967296 AS a FROM pages),
+bad AS (SELECT DISTINCT host FROM hosts JOIN blocks b ON a BETWEEN b.lo AND b.hi WHERE NOT b.exc),
+forms AS (
+  SELECT page_id, 'own' AS form, CASE WHEN length(html) % 17 < 3 THEN '' ELSE text END AS text FROM readable
+  UNION ALL
+  SELECT page_id, 'copy', CASE WHEN length(html) % 7 >= 5 THEN array_to_string(list_filter([recall, {_MORE_SQL}], lambda x: x <> ''), chr(10)) ELSE text END FROM readable),
+{_quality_sql('forms', 'page_id, form')},
+given AS (
+  SELECT page_id, url, html AS page, length(html) AS n, CASE WHEN length(html) % 17 < 3 THEN {_SHELL_SQL} ELSE html END AS html FROM pages),
+rules AS (
+  SELECT page_id, url, page, {fail} AS fail, {long} AS long, {copy} AS copy, ({_MARKER_SQL}) AS marker, length(html) AS chars,
+         (length(lower(html)) - length(replace(lower(html), '<script', ''))) // 7 AS scripts FROM given),
+sides AS (
+  SELECT r.*, o.text AS own, c.text AS other, o.q AS own_q, c.q AS other_q, h.host IN (SELECT host FROM bad) AS unsafe,
+         o.n_words < 180 OR (marker AND o.n_words < 400) OR (scripts >= 8 AND o.n_words < 250)
+           OR (chars > 20000 AND length(o.text)::DOUBLE / chars < 0.015 AND o.n_words < 350) AS needs,
+         CASE copy WHEN 4 THEN 'Private, loopback, and reserved addresses are not allowed.' WHEN 2 THEN 'No rendered copy is available.'
+                   WHEN 3 THEN 'Headless browser rendering timed out.' END AS copy_error
+  FROM rules r JOIN scored o ON o.page_id = r.page_id AND o.form = 'own' JOIN scored c ON c.page_id = r.page_id AND c.form = 'copy'
+       JOIN hosts h ON h.page_id = r.page_id),
+wishes AS (SELECT *, NOT unsafe AND (fail IS NOT NULL OR needs) AS wants FROM sides),
+choices AS (SELECT *, wants AND copy_error IS NULL AND (fail IS NOT NULL OR other_q > 1.08 * own_q) AS browser FROM wishes),
+errors AS (
+  SELECT *, CASE WHEN unsafe THEN 'Private, loopback, and reserved addresses are not allowed.'
+                 WHEN fail IS NOT NULL AND NOT browser THEN copy_error
+                 WHEN wants AND copy_error IS NOT NULL AND own = '' THEN copy_error
+                 WHEN CASE WHEN browser THEN other ELSE own END = '' THEN 'No readable content was found on this page.' END AS error
+  FROM choices),
+flow AS (
+  SELECT page_id, url, page AS html, CASE WHEN browser THEN other ELSE own END AS text, CASE WHEN browser THEN 'browser' ELSE 'http' END AS method,
+         CASE WHEN long THEN 422 WHEN unsafe OR (error IS NOT NULL AND wants AND copy = 4) THEN 400 WHEN error IS NOT NULL THEN 502 END AS status,
+         CASE WHEN long THEN 'instructions: longer than 2000 characters' WHEN unsafe OR (wants AND copy = 4) THEN 'Private, loopback, and reserved addresses are not allowed.'
+              ELSE 'Could not process page: ' || error END AS detail,
+         CASE WHEN fail IS NOT NULL THEN 'Direct download failed, so the browser renderer was used: ' || fail
+              WHEN wants AND copy_error IS NOT NULL THEN 'Browser enhancement failed, so the direct HTML extraction was retained: ' || copy_error END AS page_warning
+  FROM errors)"""
+
+
+_BATCH_FLOW_SQL = _flow_sql("CASE WHEN n % 11 = 0 THEN 'HTTP 503' WHEN n % 11 = 1 THEN 'The URL did not return an HTML page.' END", "n % 13 = 0", "n % 7")
+
+
 def _scrape(spark, sf):
     from ..sources import derived
     from .pipeline import scrape
@@ -442,34 +560,19 @@ def _scrape(spark, sf):
     return scrape(spark, derived.fetched_pages(p), derived.rendered_pages(p), derived.dns(p), requests=derived.requests(p))
 
 
-@query("p_full_pipeline")
+@query("p_full_pipeline", f"""
+{_BATCH_FLOW_SQL}
+SELECT page_id, url, {_TITLE_SQL} AS title, method, text AS raw_text, text AS cleaned_text, false AS llm_used, {_META_AUTHOR_SQL} AS author,
+       {_META_DATE_SQL} AS published_date, {_META_DESCRIPTION_SQL} AS description,
+       concat_ws(' ', page_warning, 'LLM cleanup is not configured, so the extracted text is shown without LLM cleanup.') AS warning
+FROM flow WHERE status IS NULL
+""")
 def p_full_pipeline(spark, sf):
     """A1: review items of every page that passes (guard, fetch, render, clean)."""
     return _scrape(spark, sf).items
 
 
-_REJECT_SQL = f"""
-WITH blocks(lo, hi, exc) AS (VALUES {_v4_blocks_sql()}),
-p AS (
-  SELECT page_id, url, length(html) AS n, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) <> '' AS readable,
-         regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '{_URL_PARTS}', 3), '^.*@', ''), ':.*$', '')), '\\.+$', '') AS host,
-         (page_id * 2654435761) % 4294967296 AS a FROM pages),
-bad AS (SELECT DISTINCT host FROM p JOIN blocks b ON a BETWEEN b.lo AND b.hi WHERE NOT b.exc),
-s AS (
-  SELECT page_id, url, CASE WHEN n % 11 = 0 THEN 'HTTP 503' WHEN n % 11 = 1 THEN 'The URL did not return an HTML page.' END AS fail,
-         n % 7 AS copy, n % 13 = 0 AS long_instructions, bad.host IS NOT NULL AS unsafe
-  FROM p LEFT JOIN bad USING (host))
-SELECT page_id, url,
-       CASE WHEN long_instructions THEN 422 WHEN unsafe THEN 400 WHEN fail IS NOT NULL AND copy = 4 THEN 400 ELSE 502 END AS status,
-       CASE WHEN long_instructions THEN 'instructions: longer than 2000 characters'
-            WHEN unsafe OR copy = 4 THEN 'Private, loopback, and reserved addresses are not allowed.'
-            WHEN copy = 2 THEN 'Could not process page: No rendered copy is available.'
-            ELSE 'Could not process page: Headless browser rendering timed out.' END AS detail
-FROM s WHERE long_instructions OR unsafe OR (fail IS NOT NULL AND copy IN (2, 3, 4))
-"""
-
-
-@query("r7_rejected", _REJECT_SQL)
+@query("r7_rejected", f"{_BATCH_FLOW_SQL} SELECT page_id, url, status, detail FROM flow WHERE status IS NOT NULL")
 def r7_rejected(spark, sf):
     return _scrape(spark, sf).rejected
 
@@ -663,9 +766,9 @@ def a7_byline(spark, sf):
 @query("k1_k3_markdown_blocks")
 def k_markdown_blocks(spark, sf):
     """Blocks of the extracted Markdown of every page, with span counts."""
-    from ..operators.mdtables import markdown_blocks, markdown_lines
+    from ..operators.mdtables import markdown_blocks
     ex = extract_readable(read_pages(spark, sf)).select("page_id", F.col("text").alias("markdown"))
-    return markdown_blocks(markdown_lines(ex))
+    return markdown_blocks(ex)
 
 
 @query("k3_inline_spans", r"""
@@ -743,55 +846,97 @@ def k1_line_classes(spark, sf):
 
 
 # --------------------------------------------------------------- T1, T2
-def _event_time():
-    # derived event time: pages arrive one minute apart in page_id order
-    return F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+def _after(time, interval: str):
+    return time + F.expr(f"INTERVAL {interval}")
+
+
+def _drained(start, add_late) -> None:
+    """Run a stream over what is there, then over rows far later, so that every time bound passes."""
+    start().awaitTermination()
+    add_late()
+    for _ in range(2):  # one run sees the late rows, the next one the watermark they have moved
+        start().awaitTermination()
 
 
-@query("t1_stream_scrape")
+@query("t1_stream_scrape", f"""
+{_flow_sql("CAST(NULL AS VARCHAR)", "false", "CASE WHEN page_id % 5 = 0 THEN 2 ELSE n % 7 END")}
+SELECT page_id, coalesce(status, 200) AS status, CASE WHEN status IS NULL THEN method END AS method, CASE WHEN status IS NULL THEN text END AS text FROM flow
+""")
 def t1_stream_scrape(spark, sf):
-    """The whole flow as a file stream over the page table (availableNow): items and rejections."""
+    """The flow as a stream: pages arrive first, their copies and addresses with the next files.  Copies come 30 minutes
+    after the page; those of every fifth page only after the wait of one hour.  Far later rows let all bounds pass."""
     from ..sources import derived
     from ..streaming.incremental import scratch, stream_scrape
     p = read_pages(spark, sf)
-    out = scratch(spark, "t1-out")
-    stream_scrape(spark, sf, derived.rendered_pages(p), derived.dns(p), out, scratch(spark, "t1-ckpt"),
-                  glob="pages.parquet", event_time=_event_time()).awaitTermination()
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
+    fetched = derived.fetched_pages(p).select("page_id", "url", "html", at.alias("fetched_at"))
+    late = F.col("page_id") % 5 == 0
+    copies = derived.rendered_pages(p).withColumn("rendered_at", F.when(late, _after(at, "90 MINUTES")).otherwise(_after(at, "30 MINUTES")))
+    # an earlier copy that the later one replaces
+    first = copies.filter(~late & (F.col("page_id") % 5 == 1)).select(
+        "page_id", "url", F.lit(None).cast("string").alias("html"), F.lit("superseded").alias("render_error"), _after(at, "10 MINUTES").alias("rendered_at"))
+    names = derived.dns(p.withColumn("resolved_at", _after(at, "5 MINUTES")), "resolved_at")
+    pages_dir, copies_dir, dns_dir, out, ckpt = (scratch(spark, f"t1-{name}") for name in ("pages", "copies", "dns", "out", "ckpt"))
+    fetched.write.parquet(pages_dir)
+    for path, df in ((copies_dir, copies), (dns_dir, names)):
+        df.limit(0).write.parquet(path)
+
+    def start():
+        return stream_scrape(spark, pages_dir, copies_dir, dns_dir, out, ckpt)
+
+    start().awaitTermination()  # a batch with pages alone
+    for path, df in ((copies_dir, first.unionByName(copies)), (dns_dir, names)):
+        df.write.mode("append").parquet(path)
+
+    def add_late():
+        end = fetched.agg(_after(F.max("fetched_at"), "30 DAYS").alias("t"))
+        none = F.lit(None).cast("string")
+        late_id = F.lit(-1).cast("long").alias("page_id")
+        end.select(late_id, F.lit("https://late.example.org/").alias("url"), none.alias("html"), F.col("t").alias("fetched_at")).write.mode("append").parquet(pages_dir)
+        end.select(late_id, none.alias("url"), none.alias("html"), none.alias("render_error"), F.col("t").alias("rendered_at")).write.mode("append").parquet(copies_dir)
+        end.select(F.lit("late.example.org").alias("host"), F.lit("93.184.216.34").alias("address"), F.col("t").alias("resolved_at")).write.mode("append").parquet(dns_dir)
+
+    _drained(start, add_late)
     items, rejected = (spark.read.parquet(f"{out}/{name}") for name in ("items", "rejected"))
-    return items.select("page_id", "url", "title", "method", "cleaned_text", F.lit(200).alias("status"), "extracted_at").unionByName(
-        rejected.select("page_id", "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("method"),
-                        F.col("detail").alias("cleaned_text"), "status", F.lit(None).cast("timestamp").alias("extracted_at")))
+    none = F.lit(None).cast("string")
+    return items.select("page_id", F.lit(200).alias("status"), "method", F.col("cleaned_text").alias("text")).unionByName(
+        rejected.select("page_id", "status", none.alias("method"), none.alias("text"))).filter("page_id >= 0")
 
 
 @query("t2_approval_join", f"""
-SELECT doc_id AS page_id, CASE WHEN lang = 'en' OR length(split_part(text, chr(10), 1)) > 500 OR {_sql_strip('text')} = ''
-                               THEN 'pending' ELSE 'approved' END AS status,
-       CASE WHEN lang = 'en' OR length(split_part(text, chr(10), 1)) > 500 OR {_sql_strip('text')} = '' THEN NULL ELSE {_sql_strip('text')} END AS content
-FROM documents
+WITH d AS (SELECT doc_id, lang, {_sql_strip('text')} AS own,
+                  lang = 'en' OR length(split_part(text, chr(10), 1)) > 500 OR {_sql_strip('text')} = '' AS pending FROM documents)
+SELECT doc_id AS page_id, CASE WHEN pending THEN 'pending' ELSE 'approved' END AS status,
+       CASE WHEN NOT pending THEN CASE WHEN lang = 'de' THEN 'Corrected. ' || own ELSE own END END AS content
+FROM d
 """)
 def t2_approval_join(spark, sf):
-    """Documents as items; those that are not in English get an approval half an hour later, German ones another one
-    after that.  A last item and approval, far later, let the time bounds of all others pass."""
+    """Documents as items; those that are not in English get an approval half an hour later.  German ones get a corrected
+    one an hour after that, which counts; Spanish ones a blank one, and all others one after the bound, which don't.
+    A last item and approval, far later, let the time bounds of all others pass."""
     from ..streaming.incremental import approval_stream_join, scratch
     d = table(spark, sf, "documents")
     url = F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string"))
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
     items = d.select(F.col("doc_id").alias("page_id"), url.alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                      F.col("text").alias("cleaned_text"), at.alias("extracted_at"), "lang")
-    first = items.filter("lang != 'en'").select("url", "title", F.col("cleaned_text").alias("content"),
-                                                    (F.col("extracted_at") + F.expr("INTERVAL 30 MINUTES")).alias("approved_at"), "lang")
-    again = first.filter("lang = 'de'").withColumn("approved_at", F.col("approved_at") + F.expr("INTERVAL 1 HOUR"))
+    first = items.filter("lang != 'en'").select("url", "title", F.col("cleaned_text").alias("content"), _after(F.col("extracted_at"), "30 MINUTES").alias("approved_at"), "lang")
+    said = (F.when(F.col("lang") == "de", F.when(tx.py_strip("content") != "", F.concat(F.lit("Corrected. "), tx.py_strip("content"))).otherwise(F.col("content")))
+            .when(F.col("lang") == "es", F.lit(" ")).otherwise(F.concat(F.lit("Too late. "), "content")))
+    when = F.when(F.col("lang").isin("de", "es"), _after(F.col("approved_at"), "1 HOUR")).otherwise(_after(F.col("approved_at"), "2 DAYS"))
+    again = first.withColumn("content", said).withColumn("approved_at", when)
     items_dir, approvals_dir, out, ckpt = (scratch(spark, f"t2-{name}") for name in ("items", "approvals", "out", "ckpt"))
     items.drop("lang").write.parquet(items_dir)
     first.unionByName(again).drop("lang").write.parquet(approvals_dir)
-    approval_stream_join(spark, items_dir, approvals_dir, out, ckpt).awaitTermination()
-    late = items.agg((F.max("extracted_at") + F.expr("INTERVAL 30 DAYS")).alias("t"))
-    late.select(F.lit(-1).cast("long").alias("page_id"), F.lit("https://late.example.org/").alias("url"), F.lit("").alias("title"),
-                F.lit("late").alias("cleaned_text"), F.col("t").alias("extracted_at")).write.mode("append").parquet(items_dir)
-    late.select(F.lit("https://late.example.org/").alias("url"), F.lit("").alias("title"), F.lit("late").alias("content"),
-                F.col("t").alias("approved_at")).write.mode("append").parquet(approvals_dir)
-    for _ in range(2):  # one run sees the late rows, the next one the watermark they have moved
-        approval_stream_join(spark, items_dir, approvals_dir, out, ckpt).awaitTermination()
+
+    def add_late():
+        late = items.agg(_after(F.max("extracted_at"), "30 DAYS").alias("t"))
+        late.select(F.lit(-1).cast("long").alias("page_id"), F.lit("https://late.example.org/").alias("url"), F.lit("").alias("title"),
+                    F.lit("late").alias("cleaned_text"), F.col("t").alias("extracted_at")).write.mode("append").parquet(items_dir)
+        late.select(F.lit("https://late.example.org/").alias("url"), F.lit("").alias("title"), F.lit("late").alias("content"),
+                    F.col("t").alias("approved_at")).write.mode("append").parquet(approvals_dir)
+
+    _drained(lambda: approval_stream_join(spark, items_dir, approvals_dir, out, ckpt), add_late)
     return spark.read.parquet(out).filter("page_id >= 0").select("page_id", "status", "content")
 
 

@@ -31,20 +31,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     )
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a local master (tests) a scratch folder is set where there is none; on a
-    cluster a machine-local folder could not be read back, so that is an error.
+    On a local master (tests) a scratch folder is made where there is none, and
+    becomes the session's checkpoint folder; on a cluster a machine-local folder
+    could not be read back, so that is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = _configured(spark)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    scratch = tempfile.mkdtemp(prefix="pagelift-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagelift-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -7,9 +7,10 @@ from the given tables, by a rule over all their rows:
 * ``rendered_pages``: what a renderer would give for each page, by the length
   of its markup modulo 7 -- the same markup (0, 1), no copy at all (2), a
   failure (3), a copy at an address inside the network (4), or the markup with
-  its text twice as long: the body's markup once more after the end (5, 6);
-* ``fetched_pages``: the final URL and how the fetch went, by the length modulo
-  11 -- HTTP 503 (0), a body that is no HTML (1), else as requested;
+  one more paragraph, ``MORE``, at its end (5, 6);
+* ``fetched_pages``: how the fetch went, by the length modulo 11 -- HTTP 503
+  (0), a body that is no HTML (1), else as requested -- and by the length modulo
+  17 what it gave: a shell that scripts would fill (0 to 2), else the page;
 * ``dns``: each page contributes one IPv4 address to its host, spread over the
   whole address space by a multiplicative hash of ``page_id`` (ids below 2^32);
 * ``requests``: the requested pages with instructions, some of them too long;
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from ..functions.urls import guard_host
 
 HASH_MULTIPLIER = 2654435761
+#: A paragraph of 150 words, and the body that a page rendered in the browser gives to a plain fetch.
+MORE = " ".join(f"more{k}." for k in range(150))
+SHELL = '<html><head></head><body><div id="root"></div><script src="/app.js"></script></body></html>'
 INSIDE = "http://10.0.0.5/copy"
 #: Charsets of ``page_bodies``, by the length of the markup modulo their number.
 CHARSETS = ("utf-8", "utf-16", "windows-1252", "no-such-charset", None)
@@ -35,22 +39,23 @@ def rendered_pages(pages: DataFrame) -> DataFrame:
     rule = F.length("html") % 7
     return pages.filter(rule != 2).select(
         "page_id", F.when(rule == 4, F.lit(INSIDE)).otherwise(F.col("url")).alias("url"),
-        F.when(rule == 3, F.lit(None)).when(rule >= 5, F.concat("html", F.lit("<main>"), "html", F.lit("</main>"))).otherwise(F.col("html")).alias("html"),
+        F.when(rule == 3, F.lit(None)).when(rule >= 5, F.concat("html", F.lit(f"<p>{MORE}</p>"))).otherwise(F.col("html")).alias("html"),
         F.when(rule == 3, F.lit("Headless browser rendering timed out.")).alias("render_error"))
 
 
 def fetched_pages(pages: DataFrame) -> DataFrame:
     rule = F.length("html") % 11
+    html = F.when(F.length("html") % 17 < 3, F.lit(SHELL)).otherwise(F.col("html"))
     return pages.select(
-        "page_id", "url", "html", F.when(rule == 0, F.lit("HTTP 503")).alias("fetch_error"),
+        "page_id", "url", html.alias("html"), F.when(rule == 0, F.lit("HTTP 503")).alias("fetch_error"),
         F.when(rule == 1, F.lit("application/pdf")).otherwise(F.lit("text/HTML; charset=utf-8")).alias("content_type"))
 
 
-def dns(pages: DataFrame) -> DataFrame:
+def dns(pages: DataFrame, *keep: str) -> DataFrame:
     h = (F.col("page_id") * F.lit(HASH_MULTIPLIER)) % F.lit(2 ** 32)
     quad = F.concat_ws(".", *[(F.floor(h / F.lit(256 ** k)) % 256).cast("string")
                               for k in (3, 2, 1, 0)])
-    return pages.select(guard_host("url").alias("host"), quad.alias("address"))
+    return pages.select(guard_host("url").alias("host"), quad.alias("address"), *keep)
 
 
 def requests(pages: DataFrame) -> DataFrame:

@@ -1,33 +1,42 @@
-"""The scrape flow as a file stream, and the approval wait as a
-stream-stream join.
-
-T1: new page files are read with an explicit schema; each micro-batch runs the
-whole batch flow (guard, admission, extraction, rendered copies, review items)
-and overwrites its own ``epoch=N`` folders of items and rejections, so a retried
-epoch replaces its output instead of duplicating it (exactly-once files).
-``availableNow`` drains what is there and stops.
-
-T2: review items and approvals are two event-time streams joined on URL with
-watermarks on both sides and a time bound (an approval counts within
-``approval_window`` after extraction), so join state is dropped once the
-watermark passes the bound.  Approvals are validated like the batch gate's;
-several approvals of an item give it once; an item whose bound has passed
-without one comes out as pending.
+"""The scrape flow as a stream that waits for its side inputs, and the
+wait for a human's approval.
+
+Both rest on :func:`latest_within`: rows of one stream wait, in event time, for
+rows of another one.  It is a stream-stream outer join with a time bound,
+followed by an aggregate per waiting row that keeps the *latest* match; a row is
+given out once, when the watermark has passed its bound, so a correction that
+arrives in time counts and the state of the past is dropped.
+
+T1: pages, rendered copies and DNS answers arrive as three file streams.  A page
+waits for its copy (a later one replaces an earlier one) and for the addresses
+of its host, whichever batch they come in.  What the wait gives is written once
+per micro-batch and goes through the batch flow (guard, admission, extraction,
+choice of the copy, review items) into ``epoch=N`` folders, so a retried epoch
+replaces its output instead of duplicating it (exactly-once files).
+
+T2: review items wait for approvals.  Approvals are validated like the batch
+gate's, the latest one within the bound counts, ties by content as there; an
+item whose bound has passed without one comes out as pending.
+
+A key that many rows share (the host of a third of all pages, the URL of many
+items) is salted: the waiting side is dealt over ``SALT`` values by its page id,
+the other, narrow one is repeated for each.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, JobConfig
+from ..functions.urls import guard_host
 from ..operators.review import approve
 from ..plans.pipeline import scrape
 from ..session import run_folder
-from ..sources.tables import PAGES_SCHEMA
+from ..sources.tables import PAGES_SCHEMA, RENDERED_SCHEMA
 
 ITEM_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -42,6 +51,14 @@ APPROVAL_SCHEMA = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("approved_at", T.TimestampType()),
 ])
+FETCHED_SCHEMA = T.StructType([*PAGES_SCHEMA.fields, T.StructField("fetched_at", T.TimestampType())])
+COPY_SCHEMA = T.StructType([*RENDERED_SCHEMA.fields, T.StructField("rendered_at", T.TimestampType())])
+DNS_SCHEMA = T.StructType([
+    T.StructField("host", T.StringType()),
+    T.StructField("address", T.StringType()),
+    T.StructField("resolved_at", T.TimestampType()),
+])
+SALT = 8
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,36 +66,79 @@ def scratch(spark: SparkSession, name: str) -> str:
     return run_folder(spark, name)
 
 
-def stream_scrape(spark: SparkSession, source_dir: str, rendered: DataFrame, dns: DataFrame, out_dir: str, ckpt: str,
-                  glob: str = "*.parquet", files_per_trigger: int = 16, event_time=None, cfg: JobConfig = DEFAULT):
-    """Run the flow over page files as they arrive; returns the query.
+def waiting(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, wait: str, salt: int = 1) -> DataFrame:
+    """``left`` with ``match``: each row of ``right`` with the same ``on`` between ``at`` and ``at + wait``, as a struct
+    that begins with its time; null once the bound has passed without one.  Both streams carry watermarks."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in right.columns})
+    cond = f"{on} = _{on} AND _{right_at} >= {at} AND _{right_at} <= {at} + INTERVAL {wait}"
+    if salt > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salt)).cast("int"))
+        right = right.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        cond += " AND _salt = _of"
+    joined = left.join(right, F.expr(cond), "leftOuter")
+    time = F.col(f"_{right_at}") + F.expr("INTERVAL 0 SECONDS")  # one event time goes on
+    found = F.struct(time.alias(right_at), *(F.col(c).alias(c[1:]) for c in right.columns if c not in (f"_{right_at}", f"_{on}", "_of")))
+    kept = [c for c in left.columns if c != "_salt"]
+    return joined.select(*kept, F.when(F.col(f"_{right_at}").isNotNull(), found).alias("match"))
+
+
+def latest_within(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, wait: str, salt: int = 1) -> DataFrame:
+    """Each row of ``left``, by page id and time, once, with its latest match: the one with the greatest struct."""
+    carried = [c for c in left.columns if c not in ("page_id", at)]
+    one = waiting(left, right, on, at, right_at, wait, salt).groupBy("page_id", at).agg(
+        F.min(F.struct(*carried)).alias("row"), F.max("match").alias("match"))
+    return one.select("page_id", at, *(F.col(f"row.{c}").alias(c) for c in carried), "match")
+
+
+def _stream(spark: SparkSession, path: str, schema: T.StructType, at: str, delay: str, files: int) -> DataFrame:
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark(at, delay))
 
-    Items go to ``out_dir/items`` with ``extracted_at``, rejections to ``out_dir/rejected``."""
-    pages = (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
-             .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+
+def waited_pages(pages: DataFrame, copies: DataFrame, dns: DataFrame, wait: str) -> DataFrame:
+    """Pages with ``copy`` (null: none came in time) and the distinct ``addresses`` of their host."""
+    with_copy = latest_within(pages, copies, "page_id", "fetched_at", "rendered_at", wait).withColumnRenamed("match", "copy")
+    hosted = with_copy.withColumn("host", guard_host("url"))
+    named = waiting(hosted, dns, "host", "fetched_at", "resolved_at", wait, SALT)
+    one = named.groupBy("page_id", "fetched_at").agg(F.min(F.struct("url", "html", "host", "copy")).alias("row"),
+                                                     F.collect_set("match.address").alias("addresses"))
+    return one.select("page_id", "fetched_at", "row.*", "addresses")
+
+
+def stream_scrape(spark: SparkSession, pages_dir: str, copies_dir: str, dns_dir: str, out_dir: str, ckpt: str,
+                  wait: str = "1 hour", delay: str = "10 minutes", files_per_trigger: int = 16, cfg: JobConfig = DEFAULT):
+    """Run the flow over page files as they arrive, each page when its wait is over; returns the query.
+
+    Items go to ``out_dir/items`` with ``extracted_at`` (the time of the fetch), rejections to ``out_dir/rejected``."""
+    pages, copies, dns = (_stream(spark, path, schema, at, delay, files_per_trigger) for path, schema, at in (
+        (pages_dir, FETCHED_SCHEMA, "fetched_at"), (copies_dir, COPY_SCHEMA, "rendered_at"), (dns_dir, DNS_SCHEMA, "resolved_at")))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        found = scrape(batch.sparkSession, batch, rendered, dns, cfg)
-        at = event_time if event_time is not None else F.current_timestamp()
-        for name, df in (("items", found.items.withColumn("extracted_at", at)), ("rejected", found.rejected)):
+        own = batch.sparkSession
+        held = os.path.join(out_dir, "waited", f"epoch={epoch_id}")
+        batch.write.mode("overwrite").parquet(held)  # the state is read once
+        ready = own.read.schema(batch.schema).parquet(held)
+        if ready.isEmpty():
+            return
+        copy = ready.filter("copy is not null").select("page_id", "copy.url", "copy.html", "copy.render_error")
+        names = ready.select("host", F.explode("addresses").alias("address")).distinct()
+        found = scrape(own, ready.select("page_id", "url", "html"), copy, names, cfg)
+        items = found.items.join(ready.select("page_id", F.col("fetched_at").alias("extracted_at")), "page_id")
+        for name, df in (("items", items), ("rejected", found.rejected)):
             df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch_id}"))
 
-    return (pages.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start())
+    return (waited_pages(pages, copies, dns, wait).writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+            .outputMode("append").trigger(availableNow=True).start())
 
 
 def approval_stream_join(spark: SparkSession, items_dir: str, approvals_dir: str,
                          out_dir: str, ckpt: str, item_delay: str = "1 hour",
                          approval_delay: str = "2 hours", approval_window: str = "1 day"):
-    """Items with the approvals that arrive within the window, and pending items once it has passed."""
-    items = spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir).withWatermark("extracted_at", item_delay).alias("i")
+    """Items with their latest approval within the window, or pending, once the window has passed."""
+    items = spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir).select("page_id", "url", "extracted_at").withWatermark("extracted_at", item_delay)
     approvals = approve(spark.readStream.schema(APPROVAL_SCHEMA).parquet(approvals_dir), "approved_at")
-    approvals = approvals.withWatermark("approved_at", approval_delay).alias("a")
-    cond = F.expr(f"""i.url = a.url AND a.approved_at >= i.extracted_at
-                      AND a.approved_at <= i.extracted_at + INTERVAL {approval_window}""")
-    joined = items.join(approvals, cond, "leftOuter").select(
-        "i.page_id", "i.url", F.coalesce("a.status", F.lit("pending")).alias("status"), "a.title", "a.content",
-        "i.extracted_at", (F.col("a.approved_at") + F.expr("INTERVAL 0 SECONDS")).alias("approved_at"))  # one event time goes on
-    return (joined.dropDuplicatesWithinWatermark(["page_id"]).writeStream.format("parquet").option("path", out_dir)
-            .option("checkpointLocation", ckpt).outputMode("append")
+    approvals = approvals.select("url", "approved_at", "content", "title").withWatermark("approved_at", approval_delay)
+    joined = latest_within(items, approvals, "url", "extracted_at", "approved_at", approval_window, SALT)
+    status: Column = F.when(F.col("match").isNull(), "pending").otherwise("approved")
+    return (joined.select("page_id", "url", status.alias("status"), "match.title", "match.content", "extracted_at", "match.approved_at")
+            .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt).outputMode("append")
             .trigger(availableNow=True).start())

@@ -28,7 +28,7 @@ def test_line_classes_blocks_and_spans(spark):
     assert cls == ["heading", "paragraph", "paragraph", "blank", "fence_open", "code",
                    "fence_close", "table_head", "table_rule", "table_row", "quote", "quote",
                    "list", "list", "paragraph"]
-    blocks = [(r.kind, r.first_ln, r.n_lines) for r in markdown_blocks(lines).orderBy("block").collect()]
+    blocks = [(r.kind, r.first_ln, r.n_lines) for r in markdown_blocks(df).orderBy("block").collect()]
     assert blocks == [("heading", 0, 1), ("paragraph", 1, 2), ("code", 4, 3), ("table", 7, 3),
                       ("quote", 10, 2), ("list", 12, 2), ("paragraph", 14, 1)]
     spans = [(r.ln, r.kind, r.label, r.safe_target)
@@ -44,11 +44,11 @@ def classes(spark, *docs):
     got = {k: [] for k in range(len(docs))}
     for r in lines.orderBy("page_id", "ln").collect():
         got[r.page_id].append((r.cls, r.block))
-    return lines, got
+    return df, lines, got
 
 
 def test_tables_by_hand(spark):
-    _, got = classes(
+    *_, got = classes(
         spark, "| a |\n|---|\n|---|\n| x |",            # the second rule is a row
         "text\n| solo\nmore",                             # a pipe line opens a paragraph of its own
         "| h |\n---\n| r |\n---\n| s |\nend",           # a rule without a pipe; then no rule but a paragraph line
@@ -106,19 +106,19 @@ def test_random_documents_read_line_by_line(spark):
     rng = random.Random(3)
     pieces = ["| a | b |", "|---|", "---", "| x", "text", "", "```", "# h", "> q", "- item", "  2. two", "--- x", "|--", ":--"]
     docs = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(400)]
-    _, got = classes(spark, *docs)
+    *_, got = classes(spark, *docs)
     for k, doc in enumerate(docs):
         assert [c for c, _ in got[k]] == by_hand(doc), doc
 
 
 def test_cells_items_and_spans(spark):
     doc = "| **a | b** | c |\n|--|\n| [x](y) | `p|q` |\n\n- one\n  - two *it*\n    1. three\n - four\n- five"
-    lines, _ = classes(spark, doc)
+    df, lines, _ = classes(spark, doc)
     cells = {(r.ln, r.col): (r.is_head, r.cell) for r in table_cells(lines).collect()}
     assert cells[(0, 0)] == (True, "**a") and cells[(0, 1)] == (True, "b**") and cells[(2, 0)] == (False, "[x](y)")
-    items = {r.content: (r.indent, r.ordered, r.depth) for r in list_items(lines).collect()}
+    items = {r.content: (r.indent, r.ordered, r.depth) for r in list_items(df).collect()}
     assert items == {"one": (0, False, 1), "two *it*": (2, False, 2), "three": (4, True, 3), "four": (1, False, 2), "five": (0, False, 1)}
     spans = [(r.ln, r.cell, r.kind, r.label) for r in inline_spans(lines).orderBy("ln", "cell", "pos").collect()]
     assert spans == [(2, 0, "link", "x"), (5, 0, "italic", "it")]  # nothing spans two cells
-    block = markdown_blocks(lines).filter("kind = 'table'").first()
+    block = markdown_blocks(df).filter("kind = 'table'").first()
     assert (block.n_lines, block.n_spans, block.n_blocked_links) == (3, 1, 0)

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ux
 from ..operators.admission import admit
+from ..operators.candidates import extract_readable
+from ..operators.markdown import extract_basic
 from ..operators.render import shell_features
 from ..sources.tables import pages as read_pages
 from ..sources.tables import table
-from .extract import extract_basic, extract_readable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -577,7 +578,14 @@ def r7_rejected(spark, sf):
     return _scrape(spark, sf).rejected
 
 
-@query("r2_needs_render")
+@query("r2_needs_render", f"""
+WITH {_ARTICLE_SQL},
+{_READABLE_SQL},
+n AS (SELECT page_id, html, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS words, ({_MARKER_SQL}) AS marker,
+             (length(lower(html)) - length(replace(lower(html), '<script', ''))) // 7 AS scripts FROM readable)
+SELECT page_id, CAST(words AS BIGINT) AS visible_words, words < 180 OR (marker AND words < 400) OR (scripts >= 8 AND words < 250)
+         OR (length(html) > 20000 AND chars::DOUBLE / length(html) < 0.015 AND words < 350) AS needs_render FROM n
+""")
 def r2_needs_render(spark, sf):
     from ..operators.candidates import readable
     from ..operators.render import needs_render
@@ -763,7 +771,22 @@ def a7_byline(spark, sf):
 
 
 # --------------------------------------------------------------- K1-K3
-@query("k1_k3_markdown_blocks")
+_SPANS_SQL = r"'`([^`]+)`|!\[([^\]]*)\]\(([^)\s]+)\)|\[([^\]]*)\]\(([^)\s]+)\)|\*\*([^*]+)\*\*|\*([^*]+)\*'"
+
+
+# The articles' lines are headings and paragraphs; paragraphs side by side are one block.
+@query("k1_k3_markdown_blocks", rf"""
+WITH {_ARTICLE_SQL},
+{_READABLE_SQL},
+l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM readable),
+c AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s') AS heading,
+             len(regexp_extract_all(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN regexp_replace(line, '^#{{1,6}}\s+', '') ELSE line END, {_SPANS_SQL})) AS spans FROM l),
+f AS (SELECT *, heading OR coalesce(lag(heading) OVER (PARTITION BY page_id ORDER BY ln), true) AS fresh FROM c),
+g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY page_id ORDER BY ln) AS block FROM f)
+SELECT page_id, CAST(block AS INTEGER) AS block, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, CAST(min(ln) AS INTEGER) AS first_ln, count(*) AS n_lines,
+       CASE WHEN heading THEN 1 END AS level, CAST(sum(spans) AS BIGINT) AS n_spans, CAST(0 AS BIGINT) AS n_blocked_links
+FROM g GROUP BY page_id, block, heading
+""")
 def k_markdown_blocks(spark, sf):
     """Blocks of the extracted Markdown of every page, with span counts."""
     from ..operators.mdtables import markdown_blocks
@@ -994,3 +1017,6 @@ def s5_s6_sinks(spark, sf):
     stored = spark.read.parquet(items_dir)
     write_approved(approve(stored.select("url", "title", F.col("cleaned_text").alias("content"))), approved_dir)
     return spark.read.parquet(approved_dir)
+
+
+from . import composed  # noqa: E402,F401  registers the queries over composed pages

@@ -67,6 +67,56 @@ SELECT page_id, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line FROM (SELECT pa
 """
 
 
+# --------------------------------------------------------------- S1, D2, D4-D6
+@query("s1_json_pages", """
+SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars, md5(html) AS digest FROM pages
+""")
+def s1_json_pages(spark, sf):
+    """The pages written as JSON lines and scanned with their schema."""
+    from ..session import run_folder
+    from ..sources.tables import pages, pages_json
+    path = run_folder(spark, "s1-json")
+    pages(spark, sf).write.json(path)
+    return pages_json(spark, path).select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+
+
+# The tags that are chrome, and what selects a root, in order.
+_CHROME = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "footer", "header", "form", "button", "aside")
+_ROOTS = ("main", "article", "role=main", "id=content", "id=main-content", "class=content", "class=main-content", "class=article-content",
+          "class=post-content", "class=entry-content", "class=product", "class=product-detail")
+
+
+@query("d2_chrome_tags", _lines_sql("[a || ' ' || c, d]"))
+def d2_chrome_tags(spark, sf):
+    """Each of the chrome tags inside a paragraph and between two, nested in the next one."""
+    n = F.col("page_id") % len(_CHROME)
+    tag, other = (F.array(*map(F.lit, _CHROME))[((n + k) % len(_CHROME)).cast("int")] for k in (0, 1))
+    return _lines_of(_words(spark, sf).withColumn("html", _filled(
+        "<p>{a} <{tag}>{b}</{tag}>{c}</p><{tag} class=\"content\"><{other}>{e}</{other}></{tag}><p>{d}</p>", tag=tag, other=other)))
+
+
+@query("d4_d6_selectors", f"""
+WITH {_WORDS_SQL}, r AS (SELECT *, page_id % 14 AS r FROM w)
+SELECT page_id, tag, ord AS sel_order, markdown FROM (
+  SELECT page_id, CASE r WHEN 0 THEN 'main' WHEN 1 THEN 'article' ELSE 'div' END AS tag, CAST(r AS INTEGER) AS ord, b || ' ' || c AS markdown FROM r WHERE r < 12
+  UNION ALL SELECT page_id, 'body', 12, a || chr(10) || b || ' ' || c FROM r WHERE r <= 12
+  UNION ALL SELECT page_id, '[document]', 13, a || chr(10) || b || ' ' || c FROM r WHERE r = 13)
+""")
+def d4_d6_selectors(spark, sf):
+    """A root of each kind, one that several selectors pick, pages with the body only and without a body."""
+    rule = F.col("page_id") % 14
+    start = F.lit("<span>")
+    for k, kind in enumerate(_ROOTS):
+        name, _, value = kind.partition("=")
+        made = f'<div {name}="{"x " + value + " y" if name == "class" else value}">' if value else f'<{name} id="content" class="product">'
+        start = F.when(rule == k, F.lit(made)).otherwise(start)
+    end = F.when(rule == 0, "</main>").when(rule == 1, "</article>").when(rule < 12, "</div>").otherwise("</span>")
+    inner = _filled("<p>{a}</p>{start}<p>{b} {c}</p>{end}", start=start, end=end)
+    html = F.when(rule == 13, inner).otherwise(F.concat(F.lit("<html><body>"), inner, F.lit("</body></html>")))
+    pages = _words(spark, sf).select("page_id", "url", html.alias("html"))
+    return with_roots(with_lines(pages)).select("page_id", F.explode("roots").alias("r")).select("page_id", "r.tag", "r.sel_order", "r.markdown")
+
+
 # --------------------------------------------------------------- D11-D19
 @query("d11_links", _lines_sql("""[a || ' ' || CASE page_id % 6
     WHEN 0 THEN '[' || b || ' ' || c || '](https://docs.example.org/p/' || page_id || ')' WHEN 1 THEN '[' || b || ' ' || c || '](https://docs.example.org/a/q/' || page_id || ')'

@@ -7,6 +7,7 @@ holds at once is bounded by bytes and not by a row count.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 SLICE_BYTES = 4 << 20
+#: For stages that run one after the other in the same workers.
+SMALL_SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BY
             start = stop
 
 
+def trimmed(run):
+    """``run`` over a task's batches, with the worker's unused memory given back before and after: a worker that is used
+    again doesn't add what earlier tasks held to what the next ones need."""
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+    return work
+
+
 def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -12,7 +12,7 @@ documents link when ``100 * intersection >= 85 * union``.
 2. *Bands.*  ``BANDS`` keys of ``ROWS`` registers each, drawn by a fixed rule.  Two
    sets of Jaccard 0.85 share a key with a probability above 1 - 10^-6.  Keys that
    one class alone has go.
-3. *Leaders.*  In a few rounds each key proposes one of its classes, the same one in
+3. *Leaders.*  In ``LEADER_ROUNDS`` rounds each key proposes one of its classes, the same one in
    all keys as far as possible; a class takes the leader that most of its keys
    propose.  So a group of near copies takes one check per class and round, and
    classes that link share a label; keys within one label go.
@@ -42,12 +42,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, slices, written
+from ..plans.joins import may_match
+from .blocks import hot_clusters, in_blocks
+from .common import slices, written
 from .components import components
+from .textgrams import mixed, word_hashes
 
 SHINGLE, PERCENT = 3, 85
 #: Sets with fewer shingles link with equal ones only: 5 of 6 are less than 85 of 100.
@@ -56,59 +58,25 @@ BUCKET_BITS, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS, MATCHES = 48, 6, 2
 SIEVE = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 #: Keys of more classes than this are hot; the classes and bytes (of compressed text) of a block.
-HOT, BLOCK_ROWS, BLOCK_BYTES = 64, 512, 4 << 20
+HOT, BLOCK_ROWS, BLOCK_BYTES = 64, 512, 1 << 20
 SLICE = 2 << 20
-#: Bits of the filter over wanted ids, per id; and its largest size (16 MB).
-FILTER_BITS, FILTER_LIMIT = 16, 27
-
-#: Bytes that stand in words, a random value for each byte, and an odd base with its inverse modulo 2^64.
-_INSIDE = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
-_OF_BYTE = np.random.default_rng(13).integers(1, 2 ** 63, 256, dtype=np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_BACK = pow(_BASE, -1, 1 << 64)
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        values = (values ^ values >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        values = (values ^ values >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        return values ^ values >> np.uint64(32)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 # ---------------------------------------------------------------- 1: sets and sketches
-def _powers(size: int, base: int) -> np.ndarray:
-    """base^0 ... base^(size - 1), modulo 2^64."""
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.append(np.uint64(1), np.full(max(size - 1, 0), base, np.uint64)))[:size]
-
-
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each lower-cased word of the texts, and the text that it is in: a polynomial over random values of
-    its bytes, as a difference of running sums moved back to its start."""
-    joined = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
-    inside = _INSIDE[joined]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.append(np.uint64(0), np.cumsum(_OF_BYTE[joined] * _powers(len(joined), _BASE)))
-        value = (sums[ends] - sums[starts]) * _powers(len(joined), _BACK)[starts]
-    first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    return _mixed(value), np.searchsorted(first, starts, side="right") - 1
-
-
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within each text, and where each text's begin (one more at the end)."""
-    flat, owner = _word_hashes(texts)
+    flat, owner = word_hashes(texts)
     n = np.bincount(owner, minlength=len(texts))
     with np.errstate(over="ignore"):
         total = flat * _MIX[0]
         for k in range(1, SHINGLE):  # shorter texts stop at their end
             same = owner[k:] == owner[:-k] if len(flat) > k else np.zeros(0, bool)
-            total[:len(same)] = np.where(same, _mixed(total[:len(same)]) + flat[k:k + len(same)] * _MIX[k], total[:len(same)])
-        total = _mixed(total + np.uint64(1))
+            total[:len(same)] = np.where(same, mixed(total[:len(same)]) + flat[k:k + len(same)] * _MIX[k], total[:len(same)])
+        total = mixed(total + np.uint64(1))
     used = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
     first = np.cumsum(n) - n
     sets = [np.sort(total[a:a + m]) for a, m in zip(first.tolist(), used.tolist())]
@@ -123,7 +91,7 @@ def _raw(part: pa.RecordBatch, column: int) -> list[bytes]:
 
 def _order_of_filling() -> np.ndarray:
     """For each register the other ones in a fixed pseudo-random order."""
-    rank = _mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS)
+    rank = mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS)
     return np.argsort(rank, axis=1, kind="stable").T
 
 
@@ -184,7 +152,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- 2: bands
 def _bands() -> np.ndarray:
     """The registers of each band."""
-    rank = _mixed(np.arange(BANDS * REGISTERS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(BANDS, REGISTERS)
+    rank = mixed(np.arange(BANDS * REGISTERS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(BANDS, REGISTERS)
     return np.argsort(rank, axis=1, kind="stable")[:, :ROWS]
 
 
@@ -195,7 +163,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(found), BANDS))
         with np.errstate(over="ignore"):
             for k in range(ROWS):
-                key = _mixed(key * _MIX[0] + found[:, taken[:, k]].astype(np.uint64))
+                key = mixed(key * _MIX[0] + found[:, taken[:, k]].astype(np.uint64))
         rows = np.repeat(np.arange(len(found)), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(rows)),
                                           batch.column(1).take(pa.array(rows))], ["key", "id", "n"])
@@ -229,22 +197,9 @@ def _rest(bands: DataFrame, clusters: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.count("*").alias("c")).filter(f"c >= {MATCHES}").select("a", "b"))
 
 
-def _clusters(bands: DataFrame) -> DataFrame:
-    """(id, cluster) of the classes that hot keys connect."""
-    hot = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("b")).filter(f"c > {HOT}").select("key", "b")
-    pairs = bands.join(hot, "key").selectExpr("id as a", "b").distinct()
-    return written(components(pairs).selectExpr("node as id", "root as cluster"), "hmh-clusters")
-
-
 def _cluster_links(members: DataFrame) -> DataFrame:
     """Links between classes of different labels of each cluster, from ``members(cluster, id, label, n, sketch, digest, text)``."""
-    size = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum(F.octet_length("text")).alias("bytes"))
-    size = size.selectExpr("cluster", f"cast(greatest(ceil(c / {BLOCK_ROWS}), ceil(bytes / {BLOCK_BYTES})) as int) as blocks")
-    dealt = members.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("other", met).selectExpr(
-        "cluster", "least(own, other) as i", "greatest(own, other) as j", "own", "id", "label", "n", "sketch", "digest", "text")
-
+    dealt = in_blocks(members, BLOCK_ROWS, BLOCK_BYTES)
     empty = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "a_label", "b_label")})
 
     def run(group: pa.Table) -> pa.Table:
@@ -284,10 +239,10 @@ def _cluster_links(members: DataFrame) -> DataFrame:
 
 
 def _relabelled(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """``bands`` with the labels of linked classes drawn together."""
-    pairs = found.selectExpr("a_label as a", "b_label as b").distinct()
-    named = components(pairs).selectExpr("node as label", "root")
-    return (bands.join(named, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
+    """``bands`` with the labels of linked classes drawn together, to the least label that each one links with."""
+    lower = (found.selectExpr("greatest(a_label, b_label) as label", "least(a_label, b_label) as low")
+             .groupBy("label").agg(F.min("low").alias("low")))
+    return bands.join(lower, "label", "left").withColumn("label", F.coalesce("low", "label")).drop("low")
 
 
 # ---------------------------------------------------------------- 5: sieve and check
@@ -343,24 +298,13 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, digest and compressed text of ``wanted(rep, id, digest)``.  A bit filter lets most other texts go before the shuffle."""
-    bits = min(FILTER_LIMIT, max(12, (FILTER_BITS * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64(F.col("rep")), F.lit(1 << bits))
-    words = (wanted.select(place.alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits")).toArrow())
-    held = np.zeros(1 << (bits - 5), np.uint32)
-    held[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = Shared(docs.sparkSession, held)
-
+    """id, digest and compressed text of ``wanted(rep, id, digest)``; most other texts go before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at = pc.fill_null(part.column(2), 0).to_numpy(zero_copy_only=False)
-            hit = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1
-            part = part.filter(pc.and_(pa.array(hit.astype(bool)), pc.is_valid(part.column(0))))
             packed = [zlib.compress(t, 1) for t in _raw(part, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["rep", "text"])
 
-    found = docs.select(F.col("doc_id").alias("rep"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("p"))
+    found = may_match(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", wanted.select("rep"))
     return found.mapInArrow(run, "rep long, text binary").join(wanted, "rep").select("id", "digest", "text")
 
 
@@ -385,8 +329,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for number in range(LEADER_ROUNDS):
         found.append(linked(_leaders(bands, number)))
         bands = written(_split(_relabelled(bands, found[-1])), "hmh-bands")
-    clusters = _clusters(bands)
-    members = (clusters.join(bands.select("id", "label").distinct(), "id").join(sketch, "id").join(texts, "id")
+    clusters = hot_clusters(bands.select("key", "id"), HOT)
+    members = (clusters.join(bands.select("id", "label").distinct(), "id").join(sketch, "id")
+               .join(may_match(texts, "id", clusters.select("id")), "id")
                .select("cluster", "id", "label", "n", "sketch", "digest", "text"))
     found.append(written(_cluster_links(members), "hmh-links"))
     found.append(linked(_rest(bands, clusters)))

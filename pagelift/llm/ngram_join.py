@@ -26,6 +26,11 @@ every link between different sets, without emitting all pairs of a group:
    near copies takes about one verification per document and round.
 5. *Join.*  All prefix matches between documents of different components are
    counted and verified.  No match is left out, so the components are exact.
+   Classes that share a prefix shingle with more than ``HOT`` classes form
+   clusters, cut into blocks of bounded rows and bytes; each task gets two
+   blocks, counts the prefix matches of their classes and verifies those with
+   enough of them there, so such a shingle makes no rows.  Outside the clusters
+   the matches are a join on the shingle.
 
 Texts needed for verification are fetched once.  Components come from star
 steps on link tables; nothing but the fixed-size sketch passes the driver.
@@ -45,7 +50,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +57,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, slices, texts_of, written
+from ..plans.joins import may_match
+from .blocks import hot_clusters, in_blocks
+from .common import SMALL_SLICE, Shared, slices, texts_of, trimmed, written
 from .components import components
+from .textgrams import word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -66,39 +73,18 @@ VERIFY_COST, SEND_COST = 16, 4
 #: A shingle is frequent when its count, less the sketch's noise, is above this.
 FREQUENT = 200
 #: Rounds of leaders, and how many shingles of a document vote in them; what they miss the join finds.
-LEADER_ROUNDS = 5
+LEADER_ROUNDS = 2
 VOTES = 8
+#: Shingles of more classes than this connect clusters; the classes and bytes (of compressed text) of a block.
+HOT, BLOCK_ROWS, BLOCK_BYTES = 64, 512, 1 << 20
 
 _MIX = np.random.default_rng(3).integers(1, 2 ** 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
-class _Words(dict):
-    """Numbers of words, and the hash of each."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return number
-
-
-_words = _Words()
-MAX_WORDS = 1 << 21
-
-
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, sorted."""
-    if len(_words) > MAX_WORDS:  # bounded memory; hashes don't depend on what is kept
-        _words.clear()
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    numbers = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
-    flat = _words.hashes[numbers]
+    flat, owner = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    n = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n) - n
     with np.errstate(over="ignore"):
         total = flat * _MIX[0]
@@ -159,21 +145,21 @@ class _Sketch:
 
 def _first_pass(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "cid", "check", "chunk", "counts"]
+        names = ["kind", "doc_id", "mark", "n", "cid", "check", "chunk", "counts"]
         sketch = _Sketch(bits)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SMALL_SLICE):
             sets = shingle_sets(texts_of(part, 1))
             sketch.add(np.concatenate(sets))
             classes = [_class_of(s) for s in sets]
             empty = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * len(sets)), part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [pa.array(["doc"] * len(sets)), part.column(0).cast(pa.int64()), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([c for c, _ in classes], pa.int64()), pa.array([d for _, d in classes], pa.int64()),
                  pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], names)
         rows = list(sketch.chunks()) if sketch.counts.any() else []
         empty = [None] * len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(["sketch"] * len(rows), pa.string()), *(pa.array(empty, pa.int64()) for _ in range(4)),
+            [pa.array(["sketch"] * len(rows), pa.string()), *(pa.array(empty, pa.int64()) for _ in range(5)),
              pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names)
     return run
 
@@ -242,10 +228,14 @@ def _voting(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return place < VOTES
 
 
+#: What a packed bucket says of each of its sets, in 19 bytes: there are nearly as many as shingles when buckets are many.
+_RUN = np.dtype([("cid", "<i8"), ("n", "<i4"), ("central", "u1"), ("size", "<u4"), ("voting", "u1"), ("matches", "u1")])
+
+
 def _second_pass(order, buckets: int):
     """Rows of three kinds: packed prefixes by bucket, frequent postings, and a row per set with its sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 8 << 20):
+        for part in slices(batches, 1, 2 * SMALL_SLICE):
             sets = {}
             for own in shingle_sets(texts_of(part, 1)):
                 if len(own):
@@ -263,7 +253,10 @@ def _second_pass(order, buckets: int):
             new = np.flatnonzero(np.diff(bucket * len(sets) + owner[cold], prepend=-1))  # a run for each bucket and set
             size = np.diff(np.append(new, len(cold)))
             voting = np.add.reduceat(votes[cold].astype(np.int64), new) if len(new) else new
-            runs_ = np.stack([cids[owner[cold[new]]], n[owner[cold[new]]], central[owner[cold[new]]], size, voting, matches[owner[cold[new]]]], axis=1)
+            runs_ = np.zeros(len(new), _RUN)
+            of = owner[cold[new]]
+            for name, value in (("cid", cids[of]), ("n", n[of]), ("central", central[of]), ("size", size), ("voting", voting), ("matches", matches[of])):
+                runs_[name] = value
             used = np.unique(bucket)
             cut, run_cut = np.searchsorted(bucket, used), np.searchsorted(bucket[new], used)
             tokens_cut = np.split(tokens[cold], cut[1:]) if len(used) else []
@@ -288,10 +281,10 @@ def _row_batch(rows: int, kind: str, **columns) -> pa.RecordBatch:
 def _shared(group: pa.Table) -> pa.Table:
     """Postings of a bucket whose shingle is in two or more classes; ``low`` is the least ``matches`` of these."""
     tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()])
-    owners = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 6) for o in group["owners"].to_pylist()])
-    size, voting = owners[:, 3], owners[:, 4]
+    owners = np.concatenate([np.frombuffer(o, _RUN) for o in group["owners"].to_pylist()])
+    size, voting = owners["size"].astype(np.int64), owners["voting"].astype(np.int64)
     vote = np.arange(len(tokens)) < np.repeat(np.cumsum(size) - size + voting, size)  # voting shingles stand first
-    cid, run = np.repeat(owners[:, 0], size), np.repeat(np.arange(len(owners)), size)
+    cid, run = np.repeat(owners["cid"], size), np.repeat(np.arange(len(owners)), size)
     by_token = np.lexsort((cid, tokens))
     tokens, cid, run, vote = tokens[by_token], cid[by_token], run[by_token], vote[by_token]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (cid[1:] != cid[:-1])) if len(tokens) else np.zeros(0, bool)
@@ -300,10 +293,10 @@ def _shared(group: pa.Table) -> pa.Table:
     kept = np.append(same, False) | np.append(False, same) if len(tokens) else np.zeros(0, bool)
     tokens, cid, run, vote = tokens[kept], cid[kept], run[kept], vote[kept]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
-    low = np.minimum.reduceat(owners[run, 5], first) if len(first) else first
+    low = np.minimum.reduceat(owners["matches"][run], first) if len(first) else first
     low = np.repeat(low, np.diff(np.append(first, len(tokens))))
     return pa.table({"token": pa.array(tokens.view(np.int64)), "cid": pa.array(cid),
-                     "n": pa.array(owners[run, 1].astype(np.int32)), "central": pa.array(owners[run, 2].astype(np.int32)),
+                     "n": pa.array(owners["n"][run].astype(np.int32)), "central": pa.array(owners["central"][run].astype(np.int32)),
                      "vote": pa.array(vote), "low": pa.array(low.astype(np.int32))})
 
 
@@ -334,18 +327,72 @@ def _drawn_together(votes: DataFrame, found: DataFrame) -> DataFrame:
     return written(votes.join(split, "token", "left_semi"), "ngram-votes")
 
 
-def _matched(postings: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components with enough prefix matches to be verified."""
+def _split(postings: DataFrame) -> DataFrame:
+    """Postings of the shingles that several components have; a written table."""
     split = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    own = written(postings.join(split, "token", "left_semi"), "ngram-split")
-    sides = [own.selectExpr("token", *(f"{x} as {side}{'_' + x if x != 'cid' else ''}" for x in ("cid", "n", "comp", "rest", "matches"))) for side in "ab"]
-    counted = (sides[0].join(sides[1], "token").filter(f"a < b and a_comp != b_comp and {_SIZES_FIT}")
+    return written(postings.join(split, "token", "left_semi"), "ngram-split")
+
+
+def _matched(own: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b) of different components, and not of one cluster, with enough prefix matches to be verified."""
+    apart, columns = "", ("cid", "n", "comp", "rest", "matches")
+    if clusters is not None:
+        own, columns = own.join(clusters.withColumnRenamed("id", "cid"), "cid", "left"), (*columns, "cluster")
+        apart = " and (a_cluster is null or b_cluster is null or a_cluster != b_cluster)"
+    sides = [own.selectExpr("token", *(f"{x} as {side}{'_' + x if x != 'cid' else ''}" for x in columns)) for side in "ab"]
+    counted = (sides[0].join(sides[1], "token").filter(f"a < b and a_comp != b_comp and {_SIZES_FIT}{apart}")
                .groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("a_matches", "b_matches")).alias("l"),
                                       F.first(F.greatest("a_rest", "b_rest")).alias("rest"), F.first(F.col("a_n") + F.col("b_n")).alias("sizes")))
     # a common shingle outside the shorter prefix is among the `rest` of that side
     return counted.filter(f"c >= l and {100 + PERCENT} * (c + rest) >= {PERCENT} * sizes").select("a", "b")
 
 
+def _cluster_links(members: DataFrame, order: Shared) -> DataFrame:
+    """Links between classes of different components of each cluster, one per pair of components and task at most, from
+    ``members(cluster, id, comp, text)``."""
+    dealt = in_blocks(members, BLOCK_ROWS, BLOCK_BYTES)
+    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = shingle_sets([zlib.decompress(t).decode("utf-8", "surrogatepass") for t in group["text"].to_pylist()])
+        ids = group["id"].to_numpy()
+        good = np.fromiter((len(s) > 0 and _class_of(s)[0] == c for s, c in zip(sets, ids.tolist())), bool, len(sets))
+        if not good.all():  # a text under a class's document id that is another row's
+            return run(group.filter(pa.array(good))) if good.any() else empty
+        prefix, owner, _, matches, _, _ = order.value.prefixes(sets)
+        prefix_cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+        cut = np.concatenate([[0], np.cumsum(list(map(len, sets)))])
+        n = np.diff(cut)
+        named, code = np.unique(np.concatenate(sets), return_inverse=True)
+        prefix_code = np.searchsorted(named, prefix)
+        mark = np.zeros(len(named), bool)
+
+        def shared(own: np.ndarray, k: int, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            """How many of the codes of set k each set holds."""
+            mark[own[starts[k]:starts[k + 1]]] = True
+            both = np.add.reduceat(mark[own], starts[:-1], dtype=np.int64)[at]
+            mark[own[starts[k]:starts[k + 1]]] = False
+            return both
+
+        own = group["own"].to_numpy()
+        low, high = group["i"][0].as_py(), group["j"][0].as_py()
+        found, joined = [], group["comp"].to_numpy().copy()  # what a link has joined needs no other one
+        for k in np.flatnonzero(own == low).tolist():
+            at = np.flatnonzero((joined != joined[k]) & (own == high if low != high else ids > ids[k])
+                                & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])))
+            if len(at):
+                at = at[shared(prefix_code, k, at, prefix_cut) >= np.minimum(matches[at], matches[k])]
+            if len(at):
+                both = shared(code, k, at, cut)
+                for x in at[100 * both >= PERCENT * (n[at] + n[k] - both)].tolist():
+                    if joined[x] != joined[k]:
+                        found.append((ids[k], ids[x]))
+                        joined[joined == joined[x]] = joined[k]
+        return pa.table({c: pa.array([f[s] for f in found], pa.int64()) for s, c in enumerate("ab")})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets, with all their columns."""
     pairs = written(pairs, "ngram-pairs")
@@ -359,7 +406,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
-        for part in slices(batches, part_at):
+        for part in slices(batches, part_at, SMALL_SLICE):
             good = []
             for a, b, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text"))):
                 if (b, tb) != last:
@@ -373,7 +420,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     texts = texts.select("cid", "text").mapInArrow(wanted, "cid long, text binary")
     a, b = texts.selectExpr("cid as a", "text as a_text"), texts.selectExpr("cid as b", "text as b_text")
     joined = pairs.join(a, "a").join(b, "b").select(*names, "a_text", "b_text")
-    return written(joined.mapInArrow(run, pairs.schema).distinct(), "ngram-links")
+    return written(joined.mapInArrow(trimmed(run), pairs.schema).distinct(), "ngram-links")
 
 
 def _set_of(packed: bytes) -> np.ndarray:
@@ -390,13 +437,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(shared.value).astype(bool)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SMALL_SLICE):
             part = part.filter(pc.is_valid(part.column(0)))
             part = part.filter(pa.array(held[_bucket_of(_id_hash(part.column(0).to_numpy(zero_copy_only=False)), SKETCH_BITS)]))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts_of(part, 1)], pa.binary())], ["rep", "text"])
 
-    return docs.mapInArrow(run, "rep long, text binary").join(wanted, "rep").select("cid", "text")
+    return docs.mapInArrow(trimmed(run), "rep long, text binary").join(wanted, "rep").select("cid", "text")
 
 
 def _bitmap(ids: DataFrame, column: str):
@@ -417,17 +464,18 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
         return _mixed(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _prepared(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, ...]:
-    """Steps 1 to 3: rows, classes, sets, and of the classes that may have a partner the postings and texts."""
+def _prepared(docs: DataFrame, buckets: int | None) -> tuple:
+    """Steps 1 to 3: rows, classes, sets, of the classes that may have a partner the postings and texts, and the order."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = written(docs.mapInArrow(_first_pass(SKETCH_BITS), "kind string, doc_id long, n long, cid long, check long, chunk int, counts binary"),
-                    "ngram-sets", by="kind")
-    rows = first.filter("kind = 'doc'").select("doc_id", "n", "cid", "check")
+    first = written(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        trimmed(_first_pass(SKETCH_BITS)), "kind string, doc_id long, mark long, n long, cid long, check long, chunk int, counts binary"), "ngram-sets", by="kind")
+    rows = first.filter("kind = 'doc'").select("doc_id", "mark", "n", "cid", "check")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     order = Order(_summed(first.filter("kind = 'sketch'"), SKETCH_BITS))
-    second = written(docs.mapInArrow(_second_pass(Shared(spark, order), buckets), ", ".join(
+    order = Shared(spark, order)
+    second = written(docs.mapInArrow(trimmed(_second_pass(order, buckets)), ", ".join(
         f"{k} {_SQL_TYPES[t]}" for k, t in _SECOND.items())), "ngram-prefixes", by="kind")
     sets = second.filter("kind = 'set'").select("cid", "n", "rest", "matches").dropDuplicates(["cid"])
     packed = second.filter("kind = 'packed'").select("bucket", "tokens", "owners")
@@ -442,12 +490,17 @@ def _prepared(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, ...]:
         raise ValueError("two different sets have one 64-bit class id")
     texts = written(_texts(docs, able.select("cid", "rep")), "ngram-texts")
     postings = written(postings.drop("low").join(able.select("cid"), "cid", "left_semi"), "ngram-postings")
-    return rows, classes, sets, postings, texts
+    return rows, classes, sets, postings, texts, order
 
 
 def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (smallest doc_id with an equal set) of every document."""
-    rows, classes, sets, postings, texts = _prepared(docs, buckets)
+    return _joined(docs, buckets).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _joined(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The rows of ``join`` with a hash of the text (``mark``) and the key of the component (``comp``, null for empty sets)."""
+    rows, classes, sets, postings, texts, order = _prepared(docs, buckets)
     votes, found = postings.filter("vote").select("token", "cid", "n", "central", F.col("cid").alias("comp")), []
     for number in range(LEADER_ROUNDS):
         found.append(_verified(_leaders(votes, number), texts))
@@ -455,14 +508,19 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     near = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found))
     comp = components(near).selectExpr("node as cid", "root as comp")
     named = sets.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("cid", "rest", "matches", "comp")
-    last = _verified(_matched(postings.select("token", "cid", "n").join(named, "cid")), texts)
-    comp = components(near.unionByName(last)).selectExpr("node as cid", "root as comp")
+    split = _split(postings.select("token", "cid", "n").join(named, "cid"))
+    clusters = hot_clusters(split.selectExpr("token as key", "cid as id"), HOT)
+    own = may_match(texts.withColumnRenamed("cid", "id"), "id", clusters.select("id"))  # the other texts stay where they are
+    members = clusters.join(split.selectExpr("cid as id", "comp").distinct(), "id").join(own, "id")
+    inside = written(_cluster_links(members.select("cluster", "id", "comp", "text"), order), "ngram-links")
+    last = _verified(_matched(split, clusters), texts)
+    comp = components(near.unionByName(inside).unionByName(last)).selectExpr("node as cid", "root as comp")
 
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "comp").select("cid", "component_id", F.col("rep").alias("class_id"))
+    named = named.join(smallest, "comp").select("cid", "comp", "component_id", F.col("rep").alias("class_id"))
     return (rows.join(named, "cid", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "mark", "comp", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
 
@@ -473,9 +531,9 @@ def class_links(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame,
     The first table is written: a, b (keys of two classes, a < b) and a_class_id, b_class_id.  The second has a row per
     document: doc_id, class_id and n_links, the number of other classes that its class links with.
     """
-    rows, classes, sets, postings, texts = _prepared(docs, buckets)
+    rows, classes, sets, postings, texts, _ = _prepared(docs, buckets)
     named = sets.select("cid", "rest", "matches", F.col("cid").alias("comp"))  # every class on its own: no pair is left out
-    pairs = _verified(_matched(postings.select("token", "cid", "n").join(named, "cid")), texts)
+    pairs = _verified(_matched(_split(postings.select("token", "cid", "n").join(named, "cid"))), texts)
     a, b = (classes.selectExpr(f"cid as {side}", f"rep as {side}_class_id") for side in "ab")
     found = written(pairs.join(a, "a").join(b, "b").select("a", "b", "a_class_id", "b_class_id"), "ngram-class-links")
     counts = found.selectExpr("a as cid").unionByName(found.selectExpr("b as cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
@@ -491,12 +549,13 @@ _SQL_TYPES = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int", p
 def one_per_component(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns; rows without an id stay.
 
-    Only rows that a bitmap of the touched ids lets through are shuffled.
+    Rows that share a doc_id are told apart by their texts: of equal ones the first stays, others go or stay with
+    their own components.  Only rows that a bitmap of the touched ids lets through are shuffled.
     """
-    found = written(join(docs).filter("doc_id is not null").select("doc_id", "component_id"), "ngram-found")
-    dropped = found.filter("doc_id != component_id").select("doc_id").distinct()
+    found = written(_joined(docs).filter("doc_id is not null").select("doc_id", "mark", "comp", "component_id"), "ngram-found")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
-    shared = _bitmap(written(dropped.unionByName(repeated), "ngram-touched"), "doc_id")
+    touched_ids = written(found.filter("doc_id != component_id").select("doc_id").distinct().unionByName(repeated), "ngram-touched")
+    shared = _bitmap(touched_ids, "doc_id")
     at = docs.columns.index("doc_id")
 
     def split(wanted: bool):
@@ -507,10 +566,12 @@ def one_per_component(docs: DataFrame) -> DataFrame:
                 hit = held[_bucket_of(_id_hash(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)), SKETCH_BITS)]
                 hit &= ids.is_valid().to_numpy(zero_copy_only=False)
                 yield part.filter(pa.array(hit == wanted))
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(trimmed(run), docs.schema)
 
-    touched = split(True)
-    touched = touched.join(dropped.select(F.col("doc_id").alias("_dropped")), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns))
+    stays = found.filter("doc_id = component_id").select("doc_id", "mark", "comp").distinct().withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "comp": "_comp"})
+    touched = split(True).withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    touched = touched.join(stays, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_mark")))
+    # one row for each component of an id; texts without a shingle, which have none, each for itself
+    first = Window.partitionBy("doc_id", "_comp", F.when(F.col("_comp").isNull(), F.col("_mark"))).orderBy(*(F.col(c).cast("string") for c in docs.columns))
     touched = touched.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(docs.columns)
     return split(False).unionByName(touched)

@@ -6,8 +6,8 @@ the target and in the corpus; a document weighs the sum of its features' gains,
 and Gumbel noise from its id turns weights into a draw without replacement.
 
 1. *Dictionary.*  Spark counts the distinct words of both tables (each task adds
-   up its slices first).  The ``DICTIONARY`` most frequent ones, each between two
-   blanks, become the keys of an Aho-Corasick automaton whose payload is the
+   up its slices first).  The most frequent ones, ``DICTIONARY`` at most and each
+   between two blanks, become the keys of an Aho-Corasick automaton whose payload is the
    word's number; two small arrays give its checksum and its length in bytes.
    The automaton is bounded by ``DICTIONARY`` words of ``WORD_BYTES`` bytes.
 2. *Scan.*  A slice of texts is one byte string with every other character as a
@@ -48,7 +48,7 @@ from .common import Shared, slices, written
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
-DICTIONARY, WORD_BYTES = 1 << 18, 64
+DICTIONARY, WORD_BYTES = 1 << 17, 64
 SLICE = 2 << 20
 #: Lengths up to this have tables of their own; longer moves are made of several.
 STEP = 64
@@ -142,15 +142,24 @@ def _raw(part: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def dictionary(texts: DataFrame, bound: int = DICTIONARY) -> Dictionary:
-    """The most frequent distinct words of ``texts(text binary)``."""
+    """The most frequent distinct words of ``texts(text binary)``: those of the highest levels of frequency (eighths of a
+    doubling) that hold ``bound`` words or fewer together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, SLICE):
             count = Counter(b" ".join(_raw(part, 0)).translate(PLAIN).split())
             count = {w: n for w, n in count.items() if len(w) <= WORD_BYTES}
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-    counted = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Dictionary([bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(bound).collect()])
+    counted = written(texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "resampling-words")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    room, least = bound, None
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundred rows
+        if r.n > room:
+            break
+        room, least = room - r.n, r.level
+    if least is None:
+        return Dictionary([])
+    return Dictionary(sorted(bytes(r.word) for r in counted.filter(level >= least).select("word").collect()))
 
 
 # ---------------------------------------------------------------- counting, scoring, drawing

@@ -72,7 +72,7 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND cover_5 <= 0.45 AND cover_7 <= 0.44 AND cover_10 <= 0.43 AND cover_lines <= 0.45 AS kept,
+       NOT base_failed AND cover_5 <= 0.20 AND cover_7 <= 0.18 AND cover_10 <= 0.16 AND cover_lines <= 0.25 AS kept,
        cover_5, cover_7, cover_10, cover_lines
 FROM v
 """)

@@ -48,8 +48,11 @@ HIDDEN, EMBED = 16, 12
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 2k + 1, 2k + 2: begin and inside of kind k
 TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 4000, 2400, 220, 48
 MIN_SPAN = 7
-#: Hard rules of the decoder besides the anchor: what a span of a kind must hold, and all it may hold.
-SHAPES = {"email": re.compile(r"[^\s@]+ ?@ ?[^\s@]+"), "ip": re.compile(r"[0-9.]+"), "card": re.compile(r"[0-9 .-]+"), "phone": re.compile(r"[0-9+() .-]+")}
+#: What a span of a kind may look like; ``_fitting`` adds what numbers must satisfy.
+SHAPES = {"email": re.compile(r"[^\s@]+ ?@ ?[^\s@.]+(\.[^\s@.]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+){3}"), "card": re.compile(r"[0-9 .-]+"),
+          "phone": re.compile(r"(?=.*[+() .-])[0-9+() .-]+")}
+#: Texts of more characters are passed over in the training sample.
+MAX_TEXT = 1 << 14
 BATCH_WINDOWS = 512
 
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_tagged long")
@@ -310,8 +313,9 @@ def labelled_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 5
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Tagger:
-    """Trained on the labelled spans of a bounded sample: at most ``max_docs`` documents that hold a digit or ``@``."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9]{4}|@"))
+    """Trained on the labelled spans of a bounded sample: at most ``max_docs`` documents of up to ``MAX_TEXT`` characters
+    that hold a digit or ``@``."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9]{4}|@") & (F.length("text") <= MAX_TEXT))
     rows = bounded_sample(own, "doc_id", max_docs).collect()
     tagger = Tagger()
     symbols, gold = labelled_windows(sorted({r.text for r in rows}, key=lambda t: (hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())))
@@ -321,6 +325,36 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Tagger:
 
 
 # ---------------------------------------------------------------- scan
+def _digits(value: str) -> str:
+    return "".join(c for c in value if "0" <= c <= "9")
+
+
+def _fitting(value: str, kind: str) -> Iterator[tuple[int, int]]:
+    """The parts of a tagged stretch that satisfy the hard rules of its kind: the shape, four numbers up to 255, 9 to 15
+    digits, or 13 to 19 that pass the check sum.  Numbers that were tagged as one card are told apart at their blanks."""
+    if kind != "card":
+        fits = SHAPES[kind].fullmatch(value)
+        if kind == "ip":
+            fits = fits and all(len(p) < 4 and int(p) < 256 for p in value.split("."))
+        elif kind == "phone":
+            fits = fits and 9 <= len(_digits(value)) <= 15
+        if fits:
+            yield 0, len(value)
+        return
+    words = [m.span() for m in re.finditer(r"[^ ]+", value)] if SHAPES[kind].fullmatch(value) else []
+    k = 0
+    while k < len(words):
+        for j in range(k, len(words)):
+            digits = _digits(value[words[k][0]:words[j][1]])
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and _luhn(digits):
+                yield words[k][0], words[j][1]
+                k = j
+                break
+        k += 1
+
+
 def _stretches(points: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows and, in parallel, the text that each lies in."""
     anchor = np.flatnonzero(((points >= 48) & (points < 58)) | (points == 64))
@@ -380,9 +414,7 @@ def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]
         if kind[b] and e - b >= MIN_SPAN:
             k, name = int(text_of[b]), KINDS[kind[b] - 1]
             start, stop_ = int(b - first[k]), int(e - first[k])
-            value = texts[k][start:stop_]
-            if _ANCHOR.search(value) and SHAPES[name].fullmatch(value):
-                out[k].append((start, stop_, name))
+            out[k].extend((start + x, start + y, name) for x, y in _fitting(texts[k][start:stop_], name))
     return out
 
 

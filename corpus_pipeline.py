@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pagelift.llm import bpe, decontaminate, ngram_join, secrets, toxicity
 from pagelift.llm.common import table, written
 
+BATCH_CHARS = 2 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +44,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return bpe.digests(docs, bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, ranks, batch_chars=BATCH_CHARS)  # words of smaller batches, after four stages in the same workers
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark),

@@ -300,9 +300,9 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield flat[ends[k]:ends[k + 1]]
 
 
-def digests(docs: DataFrame, ranks: Ranks) -> DataFrame:
+def digests(docs: DataFrame, ranks: Ranks, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Round trip: number of tokens, digest of the ids, digest of the decoded bytes."""
-    return decode(encode(docs, ranks), ranks).select(
+    return decode(encode(docs, ranks, batch_chars=batch_chars), ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))

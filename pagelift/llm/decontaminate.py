@@ -9,7 +9,7 @@ word by word.
 
 The index is broadcast only while the benchmark's texts, whose size is summed
 first, stay below ``max_index_bytes``; a larger benchmark is joined by window
-through a shuffle instead (:func:`scan_joined`).
+through a shuffle instead (:func:`scan_joined`), by row number, with equal results.
 
 Defined cases: a null or empty text has no words and is not contaminated; an
 item without words occurs nowhere; items with a null id mark words but are not
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, runs, slices, texts_of, written
+from .common import SMALL_SLICE, Shared, runs, slices, texts_of, trimmed, written
 
 WINDOW = 10
-MAX_INDEX_BYTES = 64 << 20
+#: Benchmark text that is indexed; the index is about 65 times as large (measured), 130 MB in the driver and a worker.
+MAX_INDEX_BYTES = 2 << 20
 #: What separates words, for SQL expressions (after lower-casing).
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -148,16 +149,25 @@ def _word_array(text: str) -> Column:
     return F.array_remove(F.split(lower, NO_WORD), "")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents as a written table with row numbers."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+
+
 def scan_joined(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same rows for a benchmark of any size: windows of both sides meet in a join on the window itself."""
+    return _scan_numbered(_numbered(docs.select("doc_id", "text")), benchmark, window).drop("row")
+
+
+def _scan_numbered(numbered: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """Rows of ``scan_joined`` with the number of each row."""
     items = (_items(benchmark).withColumn("w", _word_array("text"))
              .withColumn("size", F.least(F.size("w"), F.lit(window))).filter("size > 0")
              .select("item_id", "size", F.explode(F.expr(
                  "transform(sequence(0, size(w) - size), i -> concat_ws(' ', slice(w, i + 1, size)))")).alias("gram"))
              .distinct())
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # window lengths: WINDOW values at most
-    numbered = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                       .withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    numbered = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("row"))
     worded = numbered.withColumn("w", _word_array("text"))
     hits = None
     for size in sizes:
@@ -179,39 +189,46 @@ def scan_joined(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             .withColumn("spans", F.coalesce("spans", F.expr(empty)))
             .withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)"))
             .withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
-            .select("doc_id", "n_words", "n_hit", "items", "spans"))
+            .select("row", "doc_id", "n_words", "n_hit", "items", "spans"))
 
 
 def _kept(docs: DataFrame, benchmark: DataFrame, window: int, max_index_bytes: int, mend) -> DataFrame:
-    """The input's rows and columns after ``mend(text, spans)``, which gives a text or drops the row by None."""
-    size = benchmark_bytes(benchmark)
-    if size > max_index_bytes:
-        raise ValueError(f"benchmark texts hold {size} bytes: use scan_joined, or raise max_index_bytes")
-    index, schema, at = _broadcast_index(benchmark, window), docs.schema, docs.columns.index("text")
+    """The input's rows and columns after ``mend(text, spans)``, which gives a text or drops the row by None.
+
+    The spans come from the broadcast index, or for a larger benchmark from the joined scan, by row number: the result
+    is the same."""
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def mended(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        texts = part.column(at).to_pylist()
+        found = [mend(t, s) if s else t for t, s in zip(texts, spans)]
+        keep = pa.array([not s or f is not None for f, s in zip(found, spans)])
+        columns = [pa.array(found, c.type) if i == at else c for i, c in enumerate(part.columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
+
+    if benchmark_bytes(benchmark) > max_index_bytes:
+        numbered, names = _numbered(docs), list(docs.columns)
+        hit = _scan_numbered(numbered, benchmark, window).filter("n_hit > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+        joined = numbered.join(hit, "_row", "left").select(*names, "_spans")
+
+        def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, at, SMALL_SLICE):
+                spans = [[(x["start"], x["stop"]) for x in s or ()] for s in part.column(len(names)).to_pylist()]
+                yield mended(part.select(names), spans)
+        return joined.mapInArrow(run_joined, schema)
+    index = _broadcast_index(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
-            rows = _scanned(index.value, texts_of(part, at))
-            hit = [k for k, r in enumerate(rows) if r[1]]
-            if not hit:
-                yield part
-                continue
-            texts = part.column(at).to_pylist()
-            for k in hit:
-                texts[k] = mend(texts[k], rows[k][1])
-            keep = pa.array([not rows[k][1] or texts[k] is not None for k in range(len(rows))])
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
+        for part in slices(batches, at, SMALL_SLICE):
+            spans = [r[1] for r in _scanned(index.value, texts_of(part, at))]
+            yield mended(part, spans) if any(spans) else part
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                       max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """Documents without any hit, with all their columns."""
-    if benchmark_bytes(benchmark) > max_index_bytes:
-        return docs.join(scan_joined(docs, benchmark, window).filter("n_hit > 0").select("doc_id").distinct(),
-                         "doc_id", "left_anti").select(docs.columns)
     return _kept(docs, benchmark, window, max_index_bytes, lambda text, spans: None)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, bounded_sample, code_points, runs, slices, texts_of
+from .common import SMALL_SLICE, Shared, bounded_sample, code_points, runs, slices, texts_of, trimmed
 
 # The base patterns and lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -194,7 +194,7 @@ def redacted(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD,
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
+        for part in slices(batches, at, SMALL_SLICE):
             rows = found_spans(shared.value, texts_of(part, at), threshold)
             if any(rows):
                 texts = part.column(at).to_pylist()
@@ -203,7 +203,7 @@ def redacted(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD,
                     [pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
             yield part
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def cut(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:

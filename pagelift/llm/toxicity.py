@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, code_points, id_crc, slices, texts_of
+from .common import Shared, code_points, id_crc, slices, texts_of, trimmed
 from .textgrams import hashed, lower_all
 
 SIZES = (3, 4, 5)
@@ -166,12 +166,15 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
 
 
 def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents scored below the threshold, with all their columns."""
+    """Documents scored below the threshold, with all their columns.  Null texts, and those without a character that is
+    not white space, say nothing and stay, whatever the share of toxic labels makes of their score."""
     shared = Shared(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at, SCORE_BYTES):
-            yield part.filter(pa.array(shared.value.scores(texts_of(part, at)) < threshold))
+            texts = texts_of(part, at)
+            said = np.fromiter((bool(t.strip()) for t in texts), bool, len(texts))
+            yield part.filter(pa.array((shared.value.scores(texts) < threshold) | ~said))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -69,6 +69,13 @@ def crowded(seed):
     return list(enumerate(out))
 
 
+@pytest.mark.parametrize("hot, block", [(3, 10), (3, 512)])
+def test_blocks_of_hot_shingles_lose_no_link(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    test_crowded_groups_lose_no_link(spark, monkeypatch, 1)
+
+
 @pytest.mark.parametrize("rounds", [1, ngram_join.LEADER_ROUNDS])
 def test_crowded_groups_lose_no_link(spark, monkeypatch, rounds):
     monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", rounds)
@@ -128,13 +135,25 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == want
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    words = [f"w{k}" for k in range(60)]
+    own, near, other = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words))
+    rows_ = [(1, own), (2, near), (2, other), (3, other + " y"), (3, "alone under an id that is there twice already"), (4, None), (4, ""), (4, None),
+             (None, own), (None, own), (5, own), (5, near)]
+    docs = spark.createDataFrame([(d, t, "c") for d, t in rows_], "doc_id long, text string, _id string")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.one_per_component(docs.withColumnRenamed("_id", "extra")).collect())
+    assert got == Counter([(1, own), (2, other), (3, "alone under an id that is there twice already"), (4, None), (4, ""), (None, own), (None, own)])
+
+
 def test_empty_tables(spark):
     none = documents(spark).filter("false")
     assert ngram_join.join(none).count() == 0 and ngram_join.one_per_component(none).count() == 0
     assert sharding.shards(none).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 9, 2])
+def test_components_of_chains_and_stars(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "TASK_LINKS", limit)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 150)] + [(300, 200), (200, 300), (7, 7)]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(k, 0) for k in range(61)} | {(k, 100) for k in range(100, 150)} | {(200, 200), (300, 200)}
@@ -202,6 +221,16 @@ def test_toxicity_edges(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_empty_texts_are_not_toxic_whatever_the_share(spark):
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 40)], "doc_id long, toxic int")
+    docs = documents(spark)
+    model = toxicity.train(docs, labels)
+    assert model.scores([""])[0] >= 0.3  # all labels are toxic
+    kept = Counter(r.doc_id for r in toxicity.drop_toxic(docs, model).collect())
+    blank = Counter(r[0] for r in rows() if not (r[1] or "").strip())
+    assert kept & blank == blank and sum(blank.values()) >= 4
+
+
 def test_a_long_text_does_not_end_the_toxicity_sample(spark):
     ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
     first = spark.createDataFrame([(k,) for k in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).first().doc_id

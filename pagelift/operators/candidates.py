@@ -79,7 +79,7 @@ def with_candidates(lined: DataFrame) -> DataFrame:
 
 
 def weighted_top1(df: DataFrame, others: tuple[str, ...] = ("recall", "precision", "density")) -> DataFrame:
-    """C5-C7 over the text columns ``basic`` (with ``basic_quality``) and ``others``: adds ``text``, ``slot`` and
+    """C5-C7 over the text columns ``basic`` (with ``basic_quality`` where it is known) and ``others``: adds ``text``, ``slot`` and
     ``quality`` of the best quality x weight; no candidate gives '' and basic.  A slot whose text is the basic one
     takes over its quality."""
     weights, order = dict(SLOTS), {name: i for i, (name, _) in enumerate(SLOTS)}
@@ -88,17 +88,17 @@ def weighted_top1(df: DataFrame, others: tuple[str, ...] = ("recall", "precision
         return lambda q: F.struct((q * weights[name]).alias("weighted"), F.lit(-order[name]).alias("order"),
                                   F.lit(name).alias("slot"), text.alias("text"), q.alias("quality"))
 
+    known = F.col("basic_quality") if "basic_quality" in df.columns else quality_of(F.coalesce("basic", F.lit("")))
     slots = []
     for name in ("basic", *others):
         text = F.coalesce(F.col(name), F.lit(""))
         fits = text != "" if name == "basic" else word_count(text) >= MIN_WORDS
-        known = F.col("basic_quality")
         own = known if name == "basic" else F.when(text == F.col("basic"), known).otherwise(quality_of(text))
         slots.append(F.when(fits, let(own, candidate(name, text))))
     return (df.withColumn("_top", F.array_max(F.filter(F.array(*slots), lambda s: s.isNotNull())))
             .withColumn("text", F.coalesce("_top.text", "basic", F.lit("")))
             .withColumn("slot", F.coalesce("_top.slot", F.lit("basic")))
-            .withColumn("quality", F.coalesce("_top.quality", "basic_quality", F.lit(0.0))).drop("_top"))
+            .withColumn("quality", F.coalesce("_top.quality", F.lit(0.0))).drop("_top"))
 
 
 def readable(pages: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelift.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from pagelift.llm.common import table, written
+from pagelift.llm.common import table, trimmed, written
 
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 19
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(docs, ranks, batch_chars=BATCH_CHARS)  # words of smaller batches, after four stages in the same workers
+    return bpe.digests(docs, ranks, batch_chars=BATCH_CHARS, hold=trimmed)  # in workers that four stages have used before
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark),

@@ -267,15 +267,15 @@ def _reassembled(streams: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": pa.chunked_array(lists)})
 
 
-def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """doc_id and the token ids of every document."""
+def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_chars: int = BATCH_CHARS, hold=lambda run: run) -> DataFrame:
+    """doc_id and the token ids of every document; ``hold`` may wrap what tasks do with the texts."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = Shared(spark, ranks)  # a vocabulary: a fixed size
-    asked = own.mapInArrow(_asked(ranks.pattern, buckets, batch_chars), "bucket int, batch long, sizes binary, words binary")
+    asked = own.mapInArrow(hold(_asked(ranks.pattern, buckets, batch_chars)), "bucket int, batch long, sizes binary, words binary")
     answers = asked.groupBy("bucket").applyInArrow(_encoded(table), "batch long, bucket int, sizes binary, ids binary")
-    streams = own.mapInArrow(_streams(ranks.pattern, buckets, batch_chars),
+    streams = own.mapInArrow(hold(_streams(ranks.pattern, buckets, batch_chars)),
                              "batch long, part int, docs array<long>, sizes binary, sequence binary, owner binary")
     return streams.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_reassembled, "doc_id long, ids array<int>")
 
@@ -300,9 +300,9 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield flat[ends[k]:ends[k + 1]]
 
 
-def digests(docs: DataFrame, ranks: Ranks, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def digests(docs: DataFrame, ranks: Ranks, batch_chars: int = BATCH_CHARS, hold=lambda run: run) -> DataFrame:
     """Round trip: number of tokens, digest of the ids, digest of the decoded bytes."""
-    return decode(encode(docs, ranks, batch_chars=batch_chars), ranks).select(
+    return decode(encode(docs, ranks, batch_chars=batch_chars, hold=hold), ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 import sys
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import parts_of
+
 # The decoder runs in Python workers: ship this module's code by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,11 +72,12 @@ def decoded_pages(bodies: DataFrame, body: str = "body", charset: str = "charset
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(body).to_pylist()
-            html = [decode_body(b, c) for b, c in zip(raw, batch.column(charset).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(html, pa.string()),
-                 pa.array([None if b is None else len(b) for b in raw], pa.int64())], [*names, "html", "n_bytes"])
+            for part in parts_of(batch, body):
+                raw = part.column(body)
+                html = [decode_body(b.as_py(), c) for b, c in zip(raw, part.column(charset).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in names), pa.array(html, pa.string()), pc.binary_length(raw).cast(pa.int64())],
+                    [*names, "html", "n_bytes"])
 
     return bodies.select(*names, body, charset).mapInArrow(run, ", ".join([*given, "html string", "n_bytes long"]))
 

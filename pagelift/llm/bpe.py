@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import SMALL_SLICE, Shared, slices
 
 BATCH_CHARS = 8_000_000
 LONG_WORD = 64
@@ -122,14 +122,24 @@ class Words:
     def _numbered(self, piece: str) -> list[int]:
         return [self.numbers[w] for w in self._split(piece)]
 
-    def sequence(self, text: str) -> np.ndarray:
+    def _chunks(self, text: str) -> list[str]:
         # A single blank between two characters that are no white space always starts a pre-token, so texts can be
         # cut there, and what stands between two cuts splits alike wherever it stands.
         if "  " in text or text[:1] == " " or text[-1:] == " " or any(
                 c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES if c != " "):
-            chunks = _SAFE_CUT.split(text)
-        else:
-            chunks = text.split(" ")
+            return _SAFE_CUT.split(text)
+        return text.split(" ")
+
+    def add(self, text: str) -> None:
+        """Numbers the pre-tokens of a text as :meth:`sequence` does, each distinct chunk once."""
+        chunks, known = self._chunks(text), self._by_chunk
+        self._numbered(chunks[0])
+        del chunks[0]
+        for chunk in dict.fromkeys(chunks):
+            known[chunk]
+
+    def sequence(self, text: str) -> np.ndarray:
+        chunks = self._chunks(text)
         first = self._numbered(chunks[0])
         return np.fromiter(chain(first, chain.from_iterable(map(self._by_chunk.__getitem__, chunks[1:]))), np.int32)
 
@@ -165,15 +175,18 @@ def _bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) % buckets
 
 
-def _batches(parts: Iterator[pa.RecordBatch], pattern: str, limit: int) -> Iterator[tuple[int, list, list[np.ndarray], Words]]:
-    """(batch, ids of documents, sequences, words) of each batch of this task."""
+def _batches(parts: Iterator[pa.RecordBatch], pattern: str, limit: int, ordered: bool) -> Iterator[tuple[int, list, list[np.ndarray], Words]]:
+    """(batch, ids of documents, sequences, words) of each batch of this task; sequences only where ``ordered`` asks for them."""
     number, size = TaskContext.get().partitionId() << 24, 0
     ids, sequences, words = [], [], Words(pattern)
-    for part in parts:
+    for part in slices(parts, 1, SMALL_SLICE):
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             text = text or ""
             ids.append(doc)
-            sequences.append(words.sequence(text) if text else np.zeros(0, np.int32))
+            if ordered:
+                sequences.append(words.sequence(text) if text else np.zeros(0, np.int32))
+            elif text:
+                words.add(text)
             size += len(text)
             if size >= limit:
                 yield number, ids, sequences, words
@@ -186,7 +199,7 @@ def _batches(parts: Iterator[pa.RecordBatch], pattern: str, limit: int) -> Itera
 def _asked(pattern: str, buckets: int, limit: int):
     """Rows (bucket, batch, sizes, words): the distinct words of a batch that fall into a bucket, in order of their numbers."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _, words in _batches(parts, pattern, limit):
+        for batch, _, _, words in _batches(parts, pattern, limit, False):
             by_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
             for word in words.numbers:
                 data = word.encode("utf-8", "surrogatepass")
@@ -206,7 +219,7 @@ STREAM_DOCS = 2000
 def _streams(pattern: str, buckets: int, limit: int):
     """Rows (batch, part, docs, sizes, sequence, buckets): packed sequences; the first of a batch has its words' buckets."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, sequences, words in _batches(parts, pattern, limit):
+        for batch, ids, sequences, words in _batches(parts, pattern, limit, True):
             owner = np.fromiter((_bucket(w.encode("utf-8", "surrogatepass"), buckets) for w in words.numbers), np.int64, len(words.numbers))
             for at in range(0, len(ids), STREAM_DOCS):
                 own = sequences[at:at + STREAM_DOCS]

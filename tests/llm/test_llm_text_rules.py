@@ -335,3 +335,13 @@ def test_empty_tables(spark, markov, ranks):
     for df in (secrets.scan(none, secrets.train(none)), quality.rules(none), pii.scan(none, pii.train(none)), secrets.redacted(none, markov),
                decontaminate.scan(none, benchmark(spark)[1]), bpe.digests(none, ranks)):
         assert df.count() == 0
+
+
+def test_words_are_numbered_alike_with_and_without_sequences():
+    import public_tokenizers
+    texts = ["It's  a test, it's  one.", " lead and trail ", "a\n b c\tb a", "naïve café naïve! x1 x1", "one", "", "tail  x y x"]
+    one, two = bpe.Words(public_tokenizers.PATTERN), bpe.Words(public_tokenizers.PATTERN)
+    for text in texts:
+        one.sequence(text)
+        two.add(text)
+    assert list(one.numbers.items()) == list(two.numbers.items())

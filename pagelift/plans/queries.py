@@ -900,7 +900,7 @@ def t1_stream_scrape(spark, sf):
         "page_id", "url", F.lit(None).cast("string").alias("html"), F.lit("superseded").alias("render_error"), _after(at, "10 MINUTES").alias("rendered_at"))
     names = derived.dns(p.withColumn("resolved_at", _after(at, "5 MINUTES")), "resolved_at")
     pages_dir, copies_dir, dns_dir, out, ckpt = (scratch(spark, f"t1-{name}") for name in ("pages", "copies", "dns", "out", "ckpt"))
-    fetched.write.parquet(pages_dir)
+    fetched.write.option("compression", "zstd").parquet(pages_dir)
     for path, df in ((copies_dir, copies), (dns_dir, names)):
         df.limit(0).write.parquet(path)
 
@@ -909,7 +909,7 @@ def t1_stream_scrape(spark, sf):
 
     start().awaitTermination()  # a batch with pages alone
     for path, df in ((copies_dir, first.unionByName(copies)), (dns_dir, names)):
-        df.write.mode("append").parquet(path)
+        df.write.option("compression", "zstd").mode("append").parquet(path)
 
     def add_late():
         end = fetched.agg(_after(F.max("fetched_at"), "30 DAYS").alias("t"))

@@ -2,7 +2,9 @@
 wait for a human's approval.
 
 Both rest on :func:`latest_within`: rows of one stream wait, in event time, for
-rows of another one.  It is a stream-stream outer join with a time bound,
+rows of another one.  What waits are keys, times, addresses and the names of the
+files that hold the rows; html and contents are read back from those files, once,
+when the wait is over.  (So files stay in the streams' folders for the wait.)  It is a stream-stream outer join with a time bound,
 followed by an aggregate per waiting row that keeps the *latest* match; a row is
 given out once, when the watermark has passed its bound, so a correction that
 arrives in time counts and the state of the past is dropped.
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, JobConfig
 from ..functions.urls import guard_host
 from ..operators.review import approve
+from ..plans.joins import join_hot
 from ..plans.pipeline import scrape
 from ..session import run_folder
 from ..sources.tables import PAGES_SCHEMA, RENDERED_SCHEMA
@@ -83,11 +86,37 @@ def waiting(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str,
 
 
 def latest_within(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, wait: str, salt: int = 1) -> DataFrame:
-    """Each row of ``left``, by page id and time, once, with its latest match: the one with the greatest struct."""
-    carried = [c for c in left.columns if c not in ("page_id", at)]
+    """Each row of ``left``, by page id and time, once, with its smallest address and the ``files`` that hold it, and its
+    latest ``match``: the greatest one in time and address, with the files that hold that one.
+
+    Both streams are narrow (see :func:`_narrow`): all that is carried besides keys and times are addresses and names of files."""
+    same = lambda x, y: F.lit(True)
+    for c in right.columns:
+        if c not in (on, "file"):
+            same = lambda x, y, c=c, before=same: before(x, y) & x[c].eqNullSafe(y[c])
     one = waiting(left, right, on, at, right_at, wait, salt).groupBy("page_id", at).agg(
-        F.min(F.struct(*carried)).alias("row"), F.max("match").alias("match"))
-    return one.select("page_id", at, *(F.col(f"row.{c}").alias(c) for c in carried), "match")
+        F.collect_set(F.struct("url", "file")).alias("rows"), F.collect_set("match").alias("matches"))
+    one = one.withColumns({"url": F.array_min("rows")["url"], "last": F.array_max("matches")})
+    files = F.transform(F.filter("rows", lambda x: x["url"].eqNullSafe(F.col("url"))), lambda x: x["file"])
+    found = F.transform(F.filter("matches", lambda x: same(x, F.col("last"))), lambda x: x["file"])
+    match = F.struct(*(F.col(f"last.{c}").alias(c) for c in [right_at, *(c for c in right.columns if c not in (on, right_at, "file"))]), found.alias("files"))
+    return one.select("page_id", at, "url", files.alias("files"), F.when(F.col("last").isNotNull(), match).alias("match"))
+
+
+def _narrow(rows: DataFrame, *kept: str) -> DataFrame:
+    """Keys, times and addresses of a stream's rows with the ``file`` each is in, from which :func:`_read_back` takes the texts."""
+    return rows.select(*kept, F.col("_metadata.file_path").alias("file"))
+
+
+def _read_back(spark: SparkSession, path: str, schema: T.StructType, wanted: DataFrame, keys: list[str], prepared=lambda rows: rows) -> DataFrame:
+    """``key``, a struct of ``keys``, with each row of a stream's folder that ``wanted(*keys, files)`` names.
+
+    Only files that are named are read; their names, not their rows, pass the driver.  Nulls equal nulls in a key."""
+    named = [r.file for r in wanted.select(F.explode("files").alias("file")).distinct().collect()]
+    rows = spark.read.schema(schema).parquet(path).withColumn("file", F.col("_metadata.file_path")).filter(F.col("file").isin(named))
+    rows = prepared(rows).withColumn("key", F.struct(*keys))
+    asked = wanted.groupBy(F.struct(*keys).alias("key")).agg(F.array_distinct(F.flatten(F.collect_set("files"))).alias("files"))
+    return rows.drop(*keys).join(asked, "key").filter(F.array_contains("files", F.col("file"))).drop("files", "file")
 
 
 def _stream(spark: SparkSession, path: str, schema: T.StructType, at: str, delay: str, files: int) -> DataFrame:
@@ -95,11 +124,11 @@ def _stream(spark: SparkSession, path: str, schema: T.StructType, at: str, delay
 
 
 def waited_pages(pages: DataFrame, copies: DataFrame, dns: DataFrame, wait: str) -> DataFrame:
-    """Pages with ``copy`` (null: none came in time) and the distinct ``addresses`` of their host."""
+    """Pages with ``copy`` (null: none came in time) and the distinct ``addresses`` of their host; no html."""
     with_copy = latest_within(pages, copies, "page_id", "fetched_at", "rendered_at", wait).withColumnRenamed("match", "copy")
     hosted = with_copy.withColumn("host", guard_host("url"))
     named = waiting(hosted, dns, "host", "fetched_at", "resolved_at", wait, SALT)
-    one = named.groupBy("page_id", "fetched_at").agg(F.min(F.struct("url", "html", "host", "copy")).alias("row"),
+    one = named.groupBy("page_id", "fetched_at").agg(F.min(F.struct("url", "files", "host", "copy")).alias("row"),
                                                      F.collect_set("match.address").alias("addresses"))
     return one.select("page_id", "fetched_at", "row.*", "addresses")
 
@@ -111,6 +140,7 @@ def stream_scrape(spark: SparkSession, pages_dir: str, copies_dir: str, dns_dir:
     Items go to ``out_dir/items`` with ``extracted_at`` (the time of the fetch), rejections to ``out_dir/rejected``."""
     pages, copies, dns = (_stream(spark, path, schema, at, delay, files_per_trigger) for path, schema, at in (
         (pages_dir, FETCHED_SCHEMA, "fetched_at"), (copies_dir, COPY_SCHEMA, "rendered_at"), (dns_dir, DNS_SCHEMA, "resolved_at")))
+    pages, copies = _narrow(pages, "page_id", "url", "fetched_at"), _narrow(copies, "page_id", "url", "rendered_at")
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         own = batch.sparkSession
@@ -119,9 +149,13 @@ def stream_scrape(spark: SparkSession, pages_dir: str, copies_dir: str, dns_dir:
         ready = own.read.schema(batch.schema).parquet(held)
         if ready.isEmpty():
             return
-        copy = ready.filter("copy is not null").select("page_id", "copy.url", "copy.html", "copy.render_error")
+        # of rows equal in page, time and address: the page with the smallest html, the copy with the greatest
+        page = _read_back(own, pages_dir, FETCHED_SCHEMA, ready, ["page_id", "fetched_at", "url"])
+        page = page.groupBy("key").agg(F.min(F.struct("html")).alias("row")).select("key.page_id", "key.url", "row.html")
+        copy = _read_back(own, copies_dir, COPY_SCHEMA, ready.filter("copy is not null").select("page_id", "copy.*"), ["page_id", "rendered_at", "url"])
+        copy = copy.groupBy("key").agg(F.max(F.struct("html", "render_error")).alias("row")).select("key.page_id", "key.url", "row.*")
         names = ready.select("host", F.explode("addresses").alias("address")).distinct()
-        found = scrape(own, ready.select("page_id", "url", "html"), copy, names, cfg)
+        found = scrape(own, page, copy, names, cfg)
         items = found.items.join(ready.select("page_id", F.col("fetched_at").alias("extracted_at")), "page_id")
         for name, df in (("items", items), ("rejected", found.rejected)):
             df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch_id}"))
@@ -134,11 +168,24 @@ def approval_stream_join(spark: SparkSession, items_dir: str, approvals_dir: str
                          out_dir: str, ckpt: str, item_delay: str = "1 hour",
                          approval_delay: str = "2 hours", approval_window: str = "1 day"):
     """Items with their latest approval within the window, or pending, once the window has passed."""
-    items = spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir).select("page_id", "url", "extracted_at").withWatermark("extracted_at", item_delay)
-    approvals = approve(spark.readStream.schema(APPROVAL_SCHEMA).parquet(approvals_dir), "approved_at")
-    approvals = approvals.select("url", "approved_at", "content", "title").withWatermark("approved_at", approval_delay)
-    joined = latest_within(items, approvals, "url", "extracted_at", "approved_at", approval_window, SALT)
-    status: Column = F.when(F.col("match").isNull(), "pending").otherwise("approved")
-    return (joined.select("page_id", "url", status.alias("status"), "match.title", "match.content", "extracted_at", "match.approved_at")
-            .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt).outputMode("append")
-            .trigger(availableNow=True).start())
+    items = spark.readStream.schema(ITEM_SCHEMA).parquet(items_dir).withWatermark("extracted_at", item_delay)
+    approvals = spark.readStream.schema(APPROVAL_SCHEMA).parquet(approvals_dir).withColumn("file", F.col("_metadata.file_path"))
+    approvals = approve(approvals, "approved_at", "file").select("url", "approved_at", "file").withWatermark("approved_at", approval_delay)
+    joined = latest_within(_narrow(items, "page_id", "url", "extracted_at"), approvals, "url", "extracted_at", "approved_at", approval_window, SALT)
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        own = batch.sparkSession
+        held = os.path.join(out_dir, "_waited", f"epoch={epoch_id}")  # the underscore hides it from readers of the results
+        batch.drop("files").write.mode("overwrite").parquet(held)  # the state is read once
+        ready = own.read.schema(batch.drop("files").schema).parquet(held)
+        said = ready.filter("match is not null").select("page_id", "url", "extracted_at", "match.approved_at", "match.files")
+        texts = _read_back(own, approvals_dir, APPROVAL_SCHEMA, said, ["url", "approved_at"], lambda rows: approve(rows, "approved_at", "file"))
+        texts = texts.groupBy("key").agg(F.max(F.struct("content", "title")).alias("text"))  # ties by content
+        approved = join_hot(said.withColumn("key", F.struct("url", "approved_at")), texts, "key", ("page_id",)).select(
+            "page_id", "url", F.lit("approved").alias("status"), "text.title", "text.content", "extracted_at", "approved_at")
+        none = F.lit(None).cast("string")
+        pending = ready.filter("match is null").select("page_id", "url", F.lit("pending").alias("status"), none.alias("title"), none.alias("content"),
+                                                       "extracted_at", F.lit(None).cast("timestamp").alias("approved_at"))
+        approved.unionByName(pending).write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}"))
+
+    return (joined.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())

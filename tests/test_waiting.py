@@ -1,9 +1,11 @@
 """T1/T2 waits, the joins that keep wide rows in place, and the shared folder."""
 
 import ipaddress
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from pagelift import session
 from pagelift.operators import guard, mdtables, review
 from pagelift.plans import joins
 from pagelift.plans.pipeline import scrape
-from pagelift.streaming.incremental import COPY_SCHEMA, DNS_SCHEMA, FETCHED_SCHEMA, approval_stream_join, scratch, stream_scrape
+from pagelift.streaming.incremental import (
+    APPROVAL_SCHEMA, COPY_SCHEMA, DNS_SCHEMA, FETCHED_SCHEMA, ITEM_SCHEMA, approval_stream_join, scratch, stream_scrape)
 
 START = datetime(2024, 5, 1, 12)
 RICH = "<html><head><title>Rich</title></head><body><main><p>" + " ".join(f"w{i}." for i in range(300)) + "</p></main></body></html>"
@@ -64,6 +67,40 @@ def test_a_copy_that_comes_a_batch_later_is_used(spark):
     assert rejected == {2: 502, 3: 502, 4: 400, 5: 400}
 
 
+def _state_bytes(ckpt):
+    folder = urlparse(ckpt).path
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(os.path.join(folder, "state")) for f in files if f.endswith(".delta"))
+
+
+def test_texts_do_not_wait_in_the_state(spark):
+    long = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=150_000))  # can't be compressed much
+    pages, copies, dns, items, approvals, out, ckpt1, ckpt2 = (
+        scratch(spark, f"test-{n}") for n in ("pages", "copies", "dns", "items", "approvals", "out", "ckpt1", "ckpt2"))
+    u = "https://a.example/1"
+    for rows, schema, path in (([(1, u, long, at(0))], FETCHED_SCHEMA, pages), ([(1, u, long, None, at(1))], COPY_SCHEMA, copies), ([], DNS_SCHEMA, dns),
+                               ([(1, u, "t", "x", at(0))], ITEM_SCHEMA, items), ([(u, "t", long, at(1))], APPROVAL_SCHEMA, approvals)):
+        spark.createDataFrame(rows, schema).write.parquet(path)
+    approval_stream_join(spark, items, approvals, out, ckpt2).awaitTermination()
+    assert 0 < _state_bytes(ckpt2) < len(long) // 2
+    stream_scrape(spark, pages, copies, dns, out, ckpt1).awaitTermination()
+    assert 0 < _state_bytes(ckpt1) < len(long) // 2
+
+
+def test_of_equal_approvals_the_greatest_content_counts_and_rows_that_came_late_do_not(spark):
+    items, approvals, out, ckpt = (scratch(spark, f"test-{n}") for n in ("items", "approvals", "out", "ckpt"))
+    u = "https://a.example/{}".format
+    for files in ([(u(0), "t", "aa", at(5)), (u(0), "t", "zz", at(5)), (u(0), "t", "older", at(4))], [(u(0), "t", "mm", at(5))],
+                  [(u("late"), "", "late", at(30 * 1440))]):
+        spark.createDataFrame(files, APPROVAL_SCHEMA).coalesce(1).write.mode("append").parquet(approvals)
+    for row in ((1, u(0), "t", "x", at(0)), (2, None, "t", "x", at(0)), (-1, u("late"), "", "", at(30 * 1440))):
+        spark.createDataFrame([row], ITEM_SCHEMA).write.mode("append").parquet(items)
+    approval_stream_join(spark, items, approvals, out, ckpt).awaitTermination()
+    spark.createDataFrame([(u(0), "t", "zzz", at(5))], APPROVAL_SCHEMA).write.mode("append").parquet(approvals)
+    approval_stream_join(spark, items, approvals, out, ckpt).awaitTermination()
+    got = sorted((r.page_id, r.status, r.content) for r in spark.read.parquet(out).filter("page_id >= 0").collect())
+    assert got == [(1, "approved", "zz"), (2, "pending", None)]
+
+
 def test_a_row_of_pages_gives_one_result(spark):
     u = "https://good.example/{}".format
     pages = spark.createDataFrame([(1, u(1), RICH), (1, u(1), RICH), (2, u(2), SHELL), (2, u(2), SHELL), (3, u(3), SHELL)], "page_id long, url string, html string")

@@ -30,7 +30,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -110,14 +110,17 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 class Words:
-    """Numbers of a batch's pre-tokens, by first appearance, and the pre-tokens of what stands between single blanks."""
+    """Numbers of a batch's pre-tokens, by first appearance, and the pre-tokens of what stands between single blanks.
+
+    Nothing in it refers back to it: the tables of a batch go with their last reference. In a cycle they would wait for
+    the collector, which counts few of their objects and so lets those of many batches pile up.
+    """
 
     def __init__(self, pattern: str):
         import regex
         self._split = regex.compile(pattern).findall
-        self.numbers: defaultdict[str, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self._by_chunk = _Chunks(self._numbered, self.numbers)
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self._by_chunk = _Chunks(self._split, self.numbers)
 
     def _numbered(self, piece: str) -> list[int]:
         return [self.numbers[w] for w in self._split(piece)]
@@ -147,9 +150,9 @@ class Words:
 class _Chunks(dict):
     """Numbers of the pre-tokens of a blank and a chunk."""
 
-    def __init__(self, numbered, numbers):
+    def __init__(self, split, numbers):
         super().__init__()
-        self._numbered, self._numbers = numbered, numbers
+        self._split, self._numbers = split, numbers
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         # letters, and letters before one mark, are what the pattern makes of them without a look
@@ -158,7 +161,7 @@ class _Chunks(dict):
         elif chunk[-1:] in _MARKS and _plain(chunk[:-1]):
             found = (self._numbers[" " + chunk[:-1]], self._numbers[chunk[-1]])
         else:
-            found = tuple(self._numbered(" " + chunk))
+            found = tuple([self._numbers[w] for w in self._split(" " + chunk)])
         self[chunk] = found
         return found
 
@@ -282,6 +285,22 @@ def _reassembled(streams: pa.Table, answers: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_chars: int = BATCH_CHARS, hold=lambda run: run) -> DataFrame:
     """doc_id and the token ids of every document; ``hold`` may wrap what tasks do with the texts."""
+    return _put_together(docs, ranks, buckets, batch_chars, hold, _reassembled, "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_chars: int = BATCH_CHARS, hold=lambda run: run) -> DataFrame:
+    """The rows of ``decode(encode(docs))``; a batch is decoded in the worker that put its ids together, as a second one
+    for each task would add to an executor's memory."""
+    table = Shared(docs.sparkSession, ranks.tokens)
+
+    def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _reassembled(streams, answers)
+        return found.append_column("bytes", pa.chunked_array([_bytes(c, table.value) for c in found["ids"].chunks], pa.binary()))
+
+    return _put_together(docs, ranks, buckets, batch_chars, hold, run, "doc_id long, ids array<int>, bytes binary")
+
+
+def _put_together(docs: DataFrame, ranks: Ranks, buckets: int | None, batch_chars: int, hold, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -290,7 +309,7 @@ def encode(docs: DataFrame, ranks: Ranks, buckets: int | None = None, batch_char
     answers = asked.groupBy("bucket").applyInArrow(_encoded(table), "batch long, bucket int, sizes binary, ids binary")
     streams = own.mapInArrow(hold(_streams(ranks.pattern, buckets, batch_chars)),
                              "batch long, part int, docs array<long>, sizes binary, sequence binary, owner binary")
-    return streams.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_reassembled, "doc_id long, ids array<int>")
+    return streams.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema)
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
@@ -298,14 +317,17 @@ def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     table = Shared(encoded.sparkSession, ranks.tokens)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = table.value.__getitem__
         for part in parts:
-            data = [b"".join(map(find, ids.tolist())) for ids in _lists(part.column(1))]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], ["doc_id", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(part.column(1), table.value)], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
+def _bytes(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    find = tokens.__getitem__
+    return pa.array([b"".join(map(find, ids.tolist())) for ids in _lists(column)], pa.binary())
+
+
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     flat = column.values.to_numpy(zero_copy_only=False)
     ends = column.offsets.to_numpy(zero_copy_only=False)
@@ -315,7 +337,7 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 def digests(docs: DataFrame, ranks: Ranks, batch_chars: int = BATCH_CHARS, hold=lambda run: run) -> DataFrame:
     """Round trip: number of tokens, digest of the ids, digest of the decoded bytes."""
-    return decode(encode(docs, ranks, batch_chars=batch_chars, hold=hold), ranks).select(
+    return round_trip(docs, ranks, batch_chars=batch_chars, hold=hold).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))

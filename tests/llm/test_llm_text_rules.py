@@ -1,5 +1,6 @@
 """Secrets, quality, personal data, decontamination and BPE against brute force on awkward texts."""
 
+import gc
 import hashlib
 import random
 import re
@@ -345,3 +346,31 @@ def test_words_are_numbered_alike_with_and_without_sequences():
         one.sequence(text)
         two.add(text)
     assert list(one.numbers.items()) == list(two.numbers.items())
+
+
+def test_words_of_a_batch_go_without_the_collector():
+    """Tables in a cycle pile up in a task, batch by batch, until the collector happens to run."""
+    def batch() -> None:
+        words = bpe.Words(public_tokenizers.PATTERN)
+        words.add("one two, one (three) \n four")
+        words.sequence("five six, one")
+
+    batch()
+    gc.disable()
+    try:
+        gc.collect()
+        batch()
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+@pytest.mark.parametrize("batch_chars", [bpe.BATCH_CHARS, 500])
+def test_round_trip_takes_one_worker_a_task(spark, ranks, batch_chars):
+    """As many Python steps as without decoding, and the rows of decode(encode())."""
+    docs = documents(spark)
+    one, two = bpe.round_trip(docs, ranks, batch_chars=batch_chars), bpe.decode(bpe.encode(docs, ranks, batch_chars=batch_chars), ranks)
+    plan = bpe.digests(docs, ranks, batch_chars=batch_chars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("FlatMapCoGroupsInArrow") == 1
+    found = [Counter((r.doc_id, tuple(r.ids), bytes(r.bytes)) for r in df.collect()) for df in (one, two)]
+    assert found[0] == found[1]

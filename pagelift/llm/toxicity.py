@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, code_points, id_crc, slices, texts_of, trimmed
+from .common import Shared, code_points, id_crc, slices, texts_of, trim, trimmed
 from .textgrams import hashed, lower_all
 
 SIZES = (3, 4, 5)
@@ -39,6 +39,9 @@ MIN_TEXTS = 5
 THRESHOLD = 0.3
 MAX_ROWS, MAX_CHARS = 4000, 16_000_000
 SCORE_BYTES = 1 << 20
+#: Training texts whose n-grams the driver holds at once.
+PART_TEXTS, PART_CHARS = 64, 1 << 18
+DOUBLE_ROWS = 128
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -71,31 +74,47 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -35, 35)))
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of ``PART_TEXTS`` texts or fewer that hold about ``PART_CHARS`` characters, one text at least."""
+    at = size = 0
+    for k, text in enumerate(texts):
+        if k > at and (k - at == PART_TEXTS or size + len(text) > PART_CHARS):
+            yield at, k
+            at, size = k, 0
+        size += len(text)
+    if texts:
+        yield at, len(texts)
+
+
 def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, penalty: float = 5.0, steps: int = 300) -> Classifier:
     labels = np.asarray(labels, np.float64)
     share = labels.mean() if len(labels) else 0.0
     model = Classifier(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not 0 < share < 1:
         return model
-    counts = np.zeros((2, 1 << BITS))
-    for at in range(0, len(texts), 64):
-        part = texts[at:at + 64]
-        for text_of, keys in _grams(part):
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for at, stop in _parts(texts):
+        for text_of, keys in _grams(texts[at:stop]):
             each = np.unique(text_of.astype(np.int64) << BITS | keys.astype(np.int64))
             for c in (0, 1):
                 own = labels[at + (each >> BITS)] == c
                 counts[c] += np.bincount(each[own] & ((1 << BITS) - 1), minlength=1 << BITS)
-    smooth = counts + alpha
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+    total = counts.sum(axis=1, dtype=np.float64) + alpha * (1 << BITS)
     seen = np.flatnonzero(counts.sum(axis=0) >= MIN_TEXTS)
+    smooth = counts[:, seen] + alpha
+    del counts
+    ratio = np.log(smooth[1] / total[1]) - np.log(smooth[0] / total[0])
     # what is left of a ratio after twice its standard error
-    strength = np.abs(ratio[seen]) - 2 * np.sqrt(1 / smooth[0][seen] + 1 / smooth[1][seen])
-    kept = seen[np.argsort(-strength, kind="stable")[:FEATURES]]
+    strength = np.abs(ratio) - 2 * np.sqrt(1 / smooth[0] + 1 / smooth[1])
+    best = np.argsort(-strength, kind="stable")[:FEATURES]
+    kept, ratio = seen[best], ratio[best]
     model.slot[kept] = np.arange(len(kept))
     model.weights = np.zeros(len(kept), np.float32)
-    x = np.concatenate([model.presence(texts[at:at + 64]) for at in range(0, len(texts), 64)]) * ratio[kept].astype(np.float32)
+    x = np.empty((len(texts), len(kept)), np.float32)  # the largest table here: it is filled in place
+    for at, stop in _parts(texts):
+        np.multiply(model.presence(texts[at:stop]), ratio.astype(np.float32), out=x[at:stop])
     w, b = _logistic(x, labels.astype(np.float32), model.intercept, penalty, steps)
-    model.weights, model.intercept = (w * ratio[kept]).astype(np.float32), b
+    model.weights, model.intercept = (w * ratio).astype(np.float32), b
     return model
 
 
@@ -116,10 +135,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, b: float, penalty: float, steps: int
 
 
 def _largest(x: np.ndarray) -> float:
-    """The largest eigenvalue of x'x, by the power method."""
-    v = np.ones(x.shape[1], np.float32) / np.sqrt(x.shape[1])
+    """The largest eigenvalue of x'x, by the power method, in doubles; some rows at a time, as a double copy of x would be
+    the most that the driver holds."""
+    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = sum(part.T @ (part @ v) for part in (x[at:at + DOUBLE_ROWS].astype(np.float64) for at in range(0, len(x), DOUBLE_ROWS)))
         size = float(np.linalg.norm(v))
         if not size:
             return 1.0
@@ -148,7 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     few = [c for c in (0, 1) if sum(r.toxic == c for r in chosen) < MIN_TEXTS]
     if few:
         warnings.warn(f"toxicity sample: fewer than {MIN_TEXTS} rows of class {few} among {len(chosen)}", stacklevel=2)
-    return fit([r.text or "" for r in chosen], np.array([r.toxic for r in chosen]))
+    model = fit([r.text or "" for r in chosen], np.array([r.toxic for r in chosen]))
+    del chosen
+    trim()  # the driver's later work is not added to what the fit has held
+    return model
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +237,34 @@ def test_toxicity_edges(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def _peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_fit_holds_its_table_once():
+    rng = np.random.default_rng(5)
+    x = (rng.random((1500, 1000)) < 0.1).astype(np.float32)
+    assert _peak(lambda: toxicity._logistic(x, (x[:, 0] > 0).astype(np.float32), 0.0, 5.0, 3)) < x.nbytes
+    assert abs(toxicity._largest(x) / 1.1 / np.linalg.eigvalsh(x.T.astype(float) @ x)[-1] - 1) < 1e-6
+
+
+def test_toxicity_fit_holds_few_long_texts_at_once():
+    words = [w + str(k) for k in range(400) for w in ("ab", "cd", "xyz ")]
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(words, 8000)) + " bad" * (k % 2) for k in range(48)]
+    model = []
+    assert _peak(lambda: model.append(toxicity.fit(texts, np.arange(48) % 2))) < 70 << 20
+    found = model[0].scores(["this is bad bad bad", "this is good"])
+    assert found[0] > found[1]
+    assert list(toxicity._parts(["a" * toxicity.PART_CHARS] * 2 + ["b", ""] * 40)) == [(0, 1), (1, 2), (2, 66), (66, 82)]
+    assert list(toxicity._parts([])) == []
+
+
 def test_empty_texts_are_not_toxic_whatever_the_share(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(0, 40)], "doc_id long, toxic int")
     docs = documents(spark)

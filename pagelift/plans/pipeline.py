@@ -18,6 +18,7 @@ an error, and has the smallest URL and text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,9 +82,10 @@ def _fetched(pages: DataFrame, cfg: JobConfig) -> DataFrame:
         *(kept(c) for c in (*_TEXTS[1:], "quality")), (F.col("parsed") & F.coalesce(needs, F.lit(False))).alias("needs"))
 
 
-def _rendered(rendered: DataFrame, wanted: DataFrame) -> DataFrame:
+def _rendered(rendered: DataFrame | Callable[[DataFrame], DataFrame], wanted: DataFrame) -> DataFrame:
     """Pass 2, a projection of the filtered scan of the copies."""
-    copies = may_match(rendered.select("page_id", "url", "html", "render_error"), "page_id", wanted)
+    own = rendered(wanted) if callable(rendered) else may_match(rendered, "page_id", wanted)
+    copies = own.select("page_id", "url", "html", "render_error")
     return _extracted(copies).select(F.monotonically_increasing_id().alias("copy"), "page_id", *_TEXTS, "quality",
                                      F.coalesce("render_error", "parse_error").alias("r_error"))
 
@@ -98,13 +100,14 @@ def _best_copies(second: DataFrame, dns: DataFrame) -> DataFrame:
     return narrow.groupBy("page_id").agg(best.alias("c")).select("page_id", "c.*")
 
 
-def scrape(spark: SparkSession, pages: DataFrame, rendered: DataFrame, dns: DataFrame,
+def scrape(spark: SparkSession, pages: DataFrame, rendered: DataFrame | Callable[[DataFrame], DataFrame], dns: DataFrame,
            cfg: JobConfig = DEFAULT, llm_responses: DataFrame | None = None,
            requests: DataFrame | None = None) -> ScrapeResult:
     """``pages(page_id, url, html[, final_url, fetch_error, content_type, n_bytes])`` to review items.
 
     ``requests(page_id, instructions)`` may name the instructions of a page's
-    cleanup; a page whose instructions are too long is rejected (422)."""
+    cleanup; a page whose instructions are too long is rejected (422).  ``rendered``
+    may be a function of the wanted page ids that gives the copies of these pages."""
     first = run_table(_fetched(pages, cfg), "scrape-fetched")
 
     # U1-U5 of the requested and the final URL, on a narrow table

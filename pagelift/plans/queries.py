@@ -894,10 +894,12 @@ def t1_stream_scrape(spark, sf):
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
     fetched = derived.fetched_pages(p).select("page_id", "url", "html", at.alias("fetched_at"))
     late = F.col("page_id") % 5 == 0
-    copies = derived.rendered_pages(p).withColumn("rendered_at", F.when(late, _after(at, "90 MINUTES")).otherwise(_after(at, "30 MINUTES")))
+    rendered_at = F.when(late, _after(at, "90 MINUTES")).otherwise(_after(at, "30 MINUTES"))
+    copy = F.struct("html", "render_error", rendered_at.alias("rendered_at"))
     # an earlier copy that the later one replaces
-    first = copies.filter(~late & (F.col("page_id") % 5 == 1)).select(
-        "page_id", "url", F.lit(None).cast("string").alias("html"), F.lit("superseded").alias("render_error"), _after(at, "10 MINUTES").alias("rendered_at"))
+    first = F.struct(F.lit(None).cast("string").alias("html"), F.lit("superseded").alias("render_error"), _after(at, "10 MINUTES").alias("rendered_at"))
+    both = F.when(~late & (F.col("page_id") % 5 == 1), F.array(first, copy)).otherwise(F.array(copy))
+    copies = derived.rendered_pages(p).select("page_id", "url", F.explode(both).alias("copy")).select("page_id", "url", "copy.*")
     names = derived.dns(p.withColumn("resolved_at", _after(at, "5 MINUTES")), "resolved_at")
     pages_dir, copies_dir, dns_dir, out, ckpt = (scratch(spark, f"t1-{name}") for name in ("pages", "copies", "dns", "out", "ckpt"))
     fetched.write.option("compression", "zstd").parquet(pages_dir)
@@ -908,7 +910,7 @@ def t1_stream_scrape(spark, sf):
         return stream_scrape(spark, pages_dir, copies_dir, dns_dir, out, ckpt)
 
     start().awaitTermination()  # a batch with pages alone
-    for path, df in ((copies_dir, first.unionByName(copies)), (dns_dir, names)):
+    for path, df in ((copies_dir, copies), (dns_dir, names)):
         df.write.option("compression", "zstd").mode("append").parquet(path)
 
     def add_late():

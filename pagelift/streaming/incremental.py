@@ -1,8 +1,8 @@
 """The scrape flow as a stream that waits for its side inputs, and the
 wait for a human's approval.
 
-Both rest on :func:`latest_within`: rows of one stream wait, in event time, for
-rows of another one.  What waits are keys, times, addresses and the names of the
+Both rest on the same wait: rows of one stream wait, in event time, for rows of
+another one (:func:`latest_within`, :func:`waited_pages`).  What waits are keys, times, addresses and the names of the
 files that hold the rows; html and contents are read back from those files, once,
 when the wait is over.  (So files stay in the streams' folders for the wait.)  It is a stream-stream outer join with a time bound,
 followed by an aggregate per waiting row that keeps the *latest* match; a row is
@@ -11,7 +11,9 @@ arrives in time counts and the state of the past is dropped.
 
 T1: pages, rendered copies and DNS answers arrive as three file streams.  A page
 waits for its copy (a later one replaces an earlier one) and for the addresses
-of its host, whichever batch they come in.  What the wait gives is written once
+of its host, whichever batch they come in.  Answers are combined per host, kind
+of address and step of time before they meet a page, under a key that names the
+span of time too, so a page meets a few rows, not all answers of its host.  What the wait gives is written once
 per micro-batch and goes through the batch flow (guard, admission, extraction,
 choice of the copy, review items) into ``epoch=N`` folders, so a retried epoch
 replaces its output instead of duplicating it (exactly-once files).
@@ -35,8 +37,9 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, JobConfig
 from ..functions.urls import guard_host
+from ..operators.guard import non_global, with_address_hex
 from ..operators.review import approve
-from ..plans.joins import join_hot
+from ..plans.joins import join_hot, may_match
 from ..plans.pipeline import scrape
 from ..session import run_folder
 from ..sources.tables import PAGES_SCHEMA, RENDERED_SCHEMA
@@ -62,6 +65,8 @@ DNS_SCHEMA = T.StructType([
     T.StructField("resolved_at", T.TimestampType()),
 ])
 SALT = 8
+#: Steps of time in a wait, by which the answers for a host are combined.
+STEPS = 4
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -123,14 +128,61 @@ def _stream(spark: SparkSession, path: str, schema: T.StructType, at: str, delay
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark(at, delay))
 
 
+def _micros(spark: SparkSession, wait: str) -> int:
+    return spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {wait})").first()[0]
+
+
+def _answers(dns: DataFrame, step: int) -> DataFrame:
+    """``dns`` by host, ``step`` (ms) of time and kind of address: ``first`` and ``last`` time, and one address of the kind.
+
+    A page asks whether its host has an address within its wait, and a non-global one.  Of the answers of a kind in one step
+    the first and the last one tell that for every wait that is no shorter than the step, however many there are."""
+    judged = with_address_hex(dns, "address").withColumn("inside", non_global(F.col("family"), F.col("hx")))
+    at = F.when(F.col("address").isNotNull(), F.unix_micros("resolved_at"))  # no filter: a row without an address is a sign of time, too
+    steps = judged.groupBy(F.window("resolved_at", f"{step} milliseconds"), "host", "inside").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.min("address").alias("address"))
+    return steps.filter("first is not null").select(F.window_time("window").alias("seen_at"), "host", "first", "last", "address")
+
+
 def waited_pages(pages: DataFrame, copies: DataFrame, dns: DataFrame, wait: str) -> DataFrame:
-    """Pages with ``copy`` (null: none came in time) and the distinct ``addresses`` of their host; no html."""
-    with_copy = latest_within(pages, copies, "page_id", "fetched_at", "rendered_at", wait).withColumnRenamed("match", "copy")
-    hosted = with_copy.withColumn("host", guard_host("url"))
-    named = waiting(hosted, dns, "host", "fetched_at", "resolved_at", wait, SALT)
-    one = named.groupBy("page_id", "fetched_at").agg(F.min(F.struct("url", "files", "host", "copy")).alias("row"),
-                                                     F.collect_set("match.address").alias("addresses"))
-    return one.select("page_id", "fetched_at", "row.*", "addresses")
+    """Pages with ``copy`` (null: none came in time) and ``addresses`` of their host, one of each kind that it has within the
+    wait at least; no html.
+
+    Copies and addresses come as one stream, under the names that a page waits for: that of its copy, and those of its host
+    in each span of time that the wait reaches into.  So a page meets the few answers of these spans, not all of its host."""
+    step = max(1, -(-_micros(pages.sparkSession, wait) // (STEPS * 1000)))
+    span = lambda micros: F.floor(micros / F.lit(STEPS * step * 1000)).cast("long")
+    of_page = F.concat(F.lit("page:"), F.col("page_id").cast("string"))
+    of_host = lambda x, salt: F.concat(F.lit("host:"), x.cast("string"), F.lit(":"), salt.cast("string"), F.lit(":"), F.col("host"))
+
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALT))
+    spans = F.sequence(span(F.unix_micros("fetched_at")), span(F.expr(f"unix_micros(fetched_at + INTERVAL {wait})")))
+    left = pages.withColumn("host", guard_host("url"))
+    left = left.withColumn("awaited", F.explode_outer(F.array_compact(F.concat(
+        F.array(of_page), F.coalesce(F.transform(spans, lambda x: of_host(x, salt)), F.array().cast("array<string>"))))))
+
+    copy, at = F.struct((F.col("rendered_at") + F.expr("INTERVAL 0 SECONDS")).alias("rendered_at"), "url", "file"), F.unix_micros("rendered_at")
+    rows = copies.select(of_page.alias("key"), F.col("rendered_at").alias("seen_at"), at.alias("first"), at.alias("last"),
+                         copy.alias("copy"), F.lit(None).cast("string").alias("address"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    answers = _answers(dns, step).withColumn("salt", salts).select(
+        of_host(span(F.col("first")), F.col("salt")).alias("key"), "seen_at", "first", "last", F.lit(None).cast(rows.schema["copy"].dataType).alias("copy"), "address")
+    right = rows.unionByName(answers)
+
+    # an answer is seen at the end of its step, so the wait is longer by a step; what counts is the time of the copy and the answers
+    cond = (f"awaited = key AND seen_at >= fetched_at AND seen_at <= fetched_at + INTERVAL {wait} + INTERVAL {step} MILLISECONDS"
+            f" AND last >= unix_micros(fetched_at) AND first <= unix_micros(fetched_at + INTERVAL {wait})")
+    met = left.join(right, F.expr(cond), "leftOuter").drop("awaited", "key", "seen_at", "first", "last")
+    one = met.groupBy("page_id", "fetched_at").agg(
+        F.collect_set(F.struct("url", "file")).alias("rows"), F.collect_set("copy").alias("copies"),
+        F.collect_set(F.when(F.col("address").isNotNull(), F.struct("host", "address"))).alias("names"))
+    one = one.withColumns({"url": F.array_min("rows")["url"], "last": F.array_max("copies")}).withColumn("host", guard_host("url"))
+    files = F.transform(F.filter("rows", lambda x: x["url"].eqNullSafe(F.col("url"))), lambda x: x["file"])
+    same = F.filter("copies", lambda x: x["rendered_at"].eqNullSafe(F.col("last.rendered_at")) & x["url"].eqNullSafe(F.col("last.url")))
+    found = F.struct("last.rendered_at", "last.url", F.transform(same, lambda x: x["file"]).alias("files"))
+    addresses = F.transform(F.filter("names", lambda x: x["host"] == F.col("host")), lambda x: x["address"])
+    return one.select("page_id", "fetched_at", "url", files.alias("files"), "host",
+                      F.when(F.col("last").isNotNull(), found).alias("copy"), addresses.alias("addresses"))
 
 
 def stream_scrape(spark: SparkSession, pages_dir: str, copies_dir: str, dns_dir: str, out_dir: str, ckpt: str,
@@ -143,19 +195,22 @@ def stream_scrape(spark: SparkSession, pages_dir: str, copies_dir: str, dns_dir:
     pages, copies = _narrow(pages, "page_id", "url", "fetched_at"), _narrow(copies, "page_id", "url", "rendered_at")
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        own = batch.sparkSession
         held = os.path.join(out_dir, "waited", f"epoch={epoch_id}")
         batch.write.mode("overwrite").parquet(held)  # the state is read once
-        ready = own.read.schema(batch.schema).parquet(held)
+        ready = spark.read.schema(batch.schema).parquet(held)  # in the caller's session: the stream's own one has no adaptive execution
         if ready.isEmpty():
             return
         # of rows equal in page, time and address: the page with the smallest html, the copy with the greatest
-        page = _read_back(own, pages_dir, FETCHED_SCHEMA, ready, ["page_id", "fetched_at", "url"])
+        page = _read_back(spark, pages_dir, FETCHED_SCHEMA, ready, ["page_id", "fetched_at", "url"])
         page = page.groupBy("key").agg(F.min(F.struct("html")).alias("row")).select("key.page_id", "key.url", "row.html")
-        copy = _read_back(own, copies_dir, COPY_SCHEMA, ready.filter("copy is not null").select("page_id", "copy.*"), ["page_id", "rendered_at", "url"])
-        copy = copy.groupBy("key").agg(F.max(F.struct("html", "render_error")).alias("row")).select("key.page_id", "key.url", "row.*")
+
+        def copy(wanted: DataFrame) -> DataFrame:
+            asked = ready.filter("copy is not null").select("page_id", "copy.*").join(wanted, "page_id", "left_semi")
+            rows = _read_back(spark, copies_dir, COPY_SCHEMA, asked, ["page_id", "rendered_at", "url"], lambda rows: may_match(rows, "page_id", wanted))
+            return rows.groupBy("key").agg(F.max(F.struct("html", "render_error")).alias("row")).select("key.page_id", "key.url", "row.*")
+
         names = ready.select("host", F.explode("addresses").alias("address")).distinct()
-        found = scrape(own, page, copy, names, cfg)
+        found = scrape(spark, page, copy, names, cfg)
         items = found.items.join(ready.select("page_id", F.col("fetched_at").alias("extracted_at")), "page_id")
         for name, df in (("items", items), ("rejected", found.rejected)):
             df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch_id}"))

@@ -14,7 +14,8 @@ from pagelift.operators import guard, mdtables, review
 from pagelift.plans import joins
 from pagelift.plans.pipeline import scrape
 from pagelift.streaming.incremental import (
-    APPROVAL_SCHEMA, COPY_SCHEMA, DNS_SCHEMA, FETCHED_SCHEMA, ITEM_SCHEMA, approval_stream_join, scratch, stream_scrape)
+    APPROVAL_SCHEMA, COPY_SCHEMA, DNS_SCHEMA, FETCHED_SCHEMA, ITEM_SCHEMA, STEPS, _narrow, _stream, approval_stream_join, scratch,
+    stream_scrape, waited_pages)
 
 START = datetime(2024, 5, 1, 12)
 RICH = "<html><head><title>Rich</title></head><body><main><p>" + " ".join(f"w{i}." for i in range(300)) + "</p></main></body></html>"
@@ -86,6 +87,65 @@ def test_texts_do_not_wait_in_the_state(spark):
     assert 0 < _state_bytes(ckpt1) < len(long) // 2
 
 
+def test_a_page_meets_few_answers_however_many_its_host_has(spark):
+    rng = random.Random(11)
+    pages, copies, dns, out, ckpt = (scratch(spark, f"test-{n}") for n in ("pages", "copies", "dns", "out", "ckpt"))
+    second, micro = timedelta(seconds=1), timedelta(microseconds=1)
+    hosts = ("busy.example", "rare.example", "edge.example")
+    fetched = [(k, rng.choice(hosts[:2]), at(0) + second * rng.randint(0, 6 * 3600)) for k in range(80)] + [(100 + k, hosts[2], at(90 * k)) for k in range(12)]
+    answers = [(hosts[0], at(0) + second * rng.randint(-3600, 8 * 3600)) for _ in range(1500)] + [(hosts[1], at(0) + second * rng.randint(-3600, 8 * 3600)) for _ in range(9)]
+    answers = [(host, rng.choice(("93.184.216.{}", "10.0.{}.1", None)), t) for host, t in answers]
+    for k, t in enumerate(at(90 * k) for k in range(12)):  # just inside and just outside of the wait
+        answers.append((hosts[2], ("93.184.216.{}", "10.0.{}.1")[k % 2], (t, t - micro, t + second * 3600, t + second * 3600 + micro)[k // 3]))
+    answers = [(host, a and a.format(n % 250), t) for n, (host, a, t) in enumerate(answers)] + [(None, "10.0.0.1", at(1))]
+    rng.shuffle(answers)
+    copied = [(k, "https://b.example/", None, None, t + timedelta(minutes=m)) for k, _, t in fetched for m in (5, 60, 61) if (k + m) % 4]
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    def arrive(pages_, copies_, dns_):
+        for rows, schema, path in ((pages_, FETCHED_SCHEMA, pages), (copies_, COPY_SCHEMA, copies), (dns_, DNS_SCHEMA, dns)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        p, c, d = (_stream(spark, path, schema, t, "10 minutes", 16) for path, schema, t in (
+            (pages, FETCHED_SCHEMA, "fetched_at"), (copies, COPY_SCHEMA, "rendered_at"), (dns, DNS_SCHEMA, "resolved_at")))
+        waited = waited_pages(_narrow(p, "page_id", "url", "fetched_at"), _narrow(c, "page_id", "url", "rendered_at"), d, "1 hour")
+        waited.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    arrive([(k, f"https://{host}/{k}", None, t) for k, host, t in fetched], [], [])
+    arrive([], copied[::2], answers[::2])
+    arrive([], copied[1::2], answers[1::2])
+    arrive([(-1, "https://late.example/", None, at(43200))], [(-1, None, None, None, at(43200))], [("late.example", "10.0.0.1", at(43200))])
+    got = {r.page_id: r for r in spark.read.parquet(out).filter("page_id >= 0").collect()}
+    assert len(got) == len(fetched) == spark.read.parquet(out).filter("page_id >= 0").count()
+    hour = timedelta(hours=1)
+    for k, host, t in fetched:
+        met = {a for h, a, s in answers if h == host and a and t <= s <= t + hour}
+        kinds = lambda found: {a.startswith("10.") for a in found}
+        assert kinds(got[k].addresses) == kinds(met), (k, host)
+        assert set(got[k].addresses) <= {a for h, a, _ in answers if h == host}
+        assert len(got[k].addresses) <= 2 * (STEPS + 1)  # not one for each answer
+        last = max((s for i, _, _, _, s in copied if i == k and t <= s <= t + hour), default=None)
+        assert (got[k].copy and got[k].copy.rendered_at) == last
+
+
+def test_copies_may_be_asked_for_the_pages_that_want_one(spark):
+    u = "https://good.example/{}".format
+    pages = spark.createDataFrame([(1, u(1), RICH), (2, u(2), SHELL), (3, u(3), SHELL)], "page_id long, url string, html string")
+    rendered = spark.createDataFrame([(1, u(1), RICH, None), (2, u("b"), RICH, None)], "page_id long, url string, html string, render_error string")
+    dns = spark.createDataFrame([("good.example", "93.184.216.34")], "host string, address string")
+    asked = []
+
+    def copies(wanted):
+        asked.extend(r.page_id for r in wanted.collect())
+        return rendered.join(wanted, "page_id", "left_semi")
+
+    res = scrape(spark, pages, copies, dns)
+    assert sorted(asked) == [2, 3]
+    assert sorted((r.page_id, r.url, r.method) for r in res.items.collect()) == [(1, u(1), "http"), (2, u("b"), "browser")]
+    assert [(r.page_id, r.status) for r in res.rejected.collect()] == [(3, 502)]
+
+
 def test_of_equal_approvals_the_greatest_content_counts_and_rows_that_came_late_do_not(spark):
     items, approvals, out, ckpt = (scratch(spark, f"test-{n}") for n in ("items", "approvals", "out", "ckpt"))
     u = "https://a.example/{}".format

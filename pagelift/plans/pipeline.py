@@ -84,8 +84,8 @@ def _fetched(pages: DataFrame, cfg: JobConfig) -> DataFrame:
 
 def _rendered(rendered: DataFrame | Callable[[DataFrame], DataFrame], wanted: DataFrame) -> DataFrame:
     """Pass 2, a projection of the filtered scan of the copies."""
-    own = rendered(wanted) if callable(rendered) else may_match(rendered, "page_id", wanted)
-    copies = own.select("page_id", "url", "html", "render_error")
+    columns = ("page_id", "url", "html", "render_error")
+    copies = rendered(wanted).select(*columns) if callable(rendered) else may_match(rendered.select(*columns), "page_id", wanted)
     return _extracted(copies).select(F.monotonically_increasing_id().alias("copy"), "page_id", *_TEXTS, "quality",
                                      F.coalesce("render_error", "parse_error").alias("r_error"))
 
